@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, dac
+from factloom.llm import bpe, dac, decontaminate, simhash
 from factloom.llm.shared import shared_dir, table
 
 
@@ -29,8 +29,19 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.checksums(dac.read(spark, manifest))
 
 
-_QUERIES = [op2_bpe, op4_token_files]
-_ORACLES: dict[str, str] = {}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that occur in benchmark items, and the verdict."""
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.verdicts(found)
+
+
+_QUERIES = [op2_bpe, op3_simhash, op4_token_files, op5_decontaminate]
+_ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
