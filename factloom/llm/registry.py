@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, dac, decontaminate, simhash
+from factloom.llm import bpe, dac, decontaminate, simhash, topk
 from factloom.llm.shared import shared_dir, table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     coded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), decoded=True)
@@ -40,8 +45,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(found)
 
 
-_QUERIES = [op2_bpe, op3_simhash, op4_token_files, op5_decontaminate]
-_ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
+_QUERIES = [op1_exact_topk, op2_bpe, op3_simhash, op4_token_files, op5_decontaminate]
+_ORACLES: dict[str, str] = {"op1_exact_topk": topk.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
