@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, dac, decontaminate, simhash, topk, warc
+from factloom.llm import bpe, dac, decontaminate, quality, simhash, topk, toxicity, warc
+from factloom.llm.labelled import fold
 from factloom.llm.shared import shared_dir, table
 
 
@@ -52,7 +53,25 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages(warc.read(spark, folder))
 
 
-_QUERIES = [op1_exact_topk, op2_bpe, op3_simhash, op4_token_files, op5_decontaminate, op6_warc]
+def _scored(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), F.col("score"), (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(quality.with_score(docs.select("doc_id", "text"), model, name="score"), quality.THRESHOLD)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(toxicity.with_score(docs.select("doc_id", "text"), model, name="score"), toxicity.THRESHOLD)
+
+
+_QUERIES = [op1_exact_topk, op2_bpe, op3_simhash, op4_token_files, op5_decontaminate, op6_warc, op9_quality, op10_toxicity]
 _ORACLES: dict[str, str] = {"op1_exact_topk": topk.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_warc": warc.ORACLE}
 
 
