@@ -66,7 +66,7 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.withColumn("kept", F.array_distinct("kept"))
 
 
-def _all_grams(df: DataFrame, size: int) -> Column:
+def _all_grams(size: int) -> Column:
     """Every gram of ``size`` words with its place."""
     if size == 1:
         return F.transform("h", lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~((1 << PLACE_BITS) - 1)).cast("long")).bitwiseOR(i.cast("long")))
@@ -100,10 +100,13 @@ def _agreeing(a: str, b: str) -> Column:
 
 def item_grams(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item, need, gram, left, right) of each item's kept grams; need: how many words must agree."""
-    df = _grams(items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), words(F.col(text_col)).alias("words")).where(F.size("words") > 0).distinct())
+    df = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), words(F.col(text_col)).alias("words")).where(F.size("words") > 0).distinct()
+    # Written, so that the grams are not worked out again inside each later expression.
+    df = saved(_grams(df), "items")
     n = F.size("h")
-    first = F.when(n == 1, _all_grams(df, 1)).when(n == 2, _all_grams(df, 2)).when(n == 3, _all_grams(df, 3)).otherwise(_all_grams(df, GRAM))
-    df = _kept(df).withColumn("kept", F.when(n >= SPAN, F.col("kept")).otherwise(F.slice(first, 1, 1)))
+    first = F.when(n == 1, _all_grams(1)).when(n == 2, _all_grams(2)).when(n == 3, _all_grams(3)).otherwise(_all_grams(GRAM))
+    short = df.where(n < SPAN).withColumn("kept", F.slice(first, 1, 1))
+    df = _kept(df.where(n >= SPAN)).unionByName(short)
     df = df.select("item", "h", F.least(n, F.lit(SPAN)).alias("need"), F.explode("kept").alias("kept"))
     return df.select("item", "need", _hash("kept").alias("gram"), *_around(_place("kept")))
 
@@ -124,7 +127,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     df = _kept(_grams(keyed.select("id", "text_hash", words(F.col("text")).alias("words"))))
-    looked_up = reduce(lambda x, y: F.concat(x, y), [F.col("kept"), *(_all_grams(df, k) for k in short)])
+    looked_up = reduce(lambda x, y: F.concat(x, y), [F.col("kept"), *(_all_grams(k) for k in short)])
     df = df.select("id", "text_hash", F.size("words").cast("long").alias("n_words"), looked_up.alias("kept"))
     # The first element marks the document itself, so that one reading gives its words and its grams.
     df = df.select("id", "text_hash", "n_words", F.posexplode(F.concat(F.array(F.col("text_hash")), "kept")).alias("nth", "kept"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, dac, decontaminate, html_text, quality, simhash, topk, toxicity, warc
+from factloom.llm import bpe, chat, dac, decontaminate, html_text, quality, simhash, topk, toxicity, warc
 from factloom.llm.labelled import fold
 from factloom.llm.shared import shared_dir, table
 
@@ -59,6 +59,11 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a preference pair."""
+    return chat.digests(chat.preferences(chat.swapped_pairs(chat.conversations(table(spark, sf_dir, "conversations")))))
+
+
 def _scored(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), F.col("score"), (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -77,8 +82,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.with_score(docs.select("doc_id", "text"), model, name="score"), toxicity.THRESHOLD)
 
 
-_QUERIES = [op1_exact_topk, op2_bpe, op3_simhash, op4_token_files, op5_decontaminate, op6_warc, op7_html, op9_quality, op10_toxicity]
-_ORACLES: dict[str, str] = {"op1_exact_topk": topk.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_warc": warc.ORACLE}
+_QUERIES = [op1_exact_topk, op2_bpe, op3_simhash, op4_token_files, op5_decontaminate, op6_warc, op7_html, op8_chat, op9_quality, op10_toxicity]
+_ORACLES: dict[str, str] = {"op1_exact_topk": topk.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_warc": warc.ORACLE, "op8_chat": chat.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
