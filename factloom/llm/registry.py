@@ -82,7 +82,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.with_score(docs.select("doc_id", "text"), model, name="score"), toxicity.THRESHOLD)
 
 
-_QUERIES = [op1_exact_topk, op2_bpe, op3_simhash, op4_token_files, op5_decontaminate, op6_warc, op7_html, op8_chat, op9_quality, op10_toxicity]
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline from documents to tokens."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")
+
+
+_QUERIES = [op1_exact_topk, op2_bpe, op3_simhash, op4_token_files, op5_decontaminate, op6_warc, op7_html, op8_chat, op9_quality, op10_toxicity, pipeline]
 _ORACLES: dict[str, str] = {"op1_exact_topk": topk.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_warc": warc.ORACLE, "op8_chat": chat.ORACLE}
 
 
