@@ -36,6 +36,7 @@ LONGEST_REMEMBERED = 48
 
 _ID_BITS, _AT_BITS = 20, 26
 _ID_MASK, _AT_MASK = (1 << _ID_BITS) - 1, (1 << _AT_BITS) - 1
+_MARKS = frozenset(".,;:!?|*")
 #: A space before white space or the end: only there can splitting at single spaces differ from PATTERN.
 _LOOSE_SPACE = re.compile(r" \s| \Z")
 
@@ -101,7 +102,7 @@ class ByteBpe:
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, by_length)) + ")") if by_length else None
         self.find_words, self.find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
         self.words = _Memory(self._encode_word, remembered)
-        self.pieces = _Memory(lambda piece: self._encode_run(" " + piece), remembered)
+        self.pieces = _Memory(self._encode_piece, remembered)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-tokenizer word."""
@@ -144,6 +145,15 @@ class ByteBpe:
         find = self.find_ascii if text.isascii() else self.find_words
         return b"".join(map(self.words.__getitem__, find(text)))
 
+    def _encode_piece(self, piece: str) -> bytes:
+        """A piece that a single space precedes; letters, with one mark behind them or none, need no pattern."""
+        if piece.isalpha():
+            return self._encode_word(" " + piece)
+        if piece[-1:] in _MARKS and piece[:-1].isalpha():
+            stem = self.pieces[piece[:-1]]
+            return stem + self.words[piece[-1]]
+        return self._encode_run(" " + piece)
+
     def _encode_plain(self, text: str) -> bytes:
         if _LOOSE_SPACE.search(text):
             return self._encode_run(text)
