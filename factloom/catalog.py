@@ -393,3 +393,47 @@ def stale_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the mean account balance by segment; draws by hash, so there is no SQL twin."""
     return metrics.bootstrap(_t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_acctbal", "c_custkey", ["c_mktsegment"], resamples=200)
+
+
+@query()
+def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heuristic experiment over the documents as examples, one row a baseline; no single SQL says it."""
+    from factloom.plans import experiment
+    from factloom.sources.examples import load_examples
+
+    kind = F.col("doc_id") % 3
+    paired = _matched(spark, sf_dir)
+    source = paired.select(
+        F.col("doc_id").cast("string").alias("_id"),
+        F.concat(F.lit("What does the board report about cash and dividend: "), F.col("question")).alias("text"),
+        F.lit(False).alias("reasoning"),
+        F.when(kind == 0, "Governance").when(kind == 1, "Financials").otherwise("Shareholder  Return").alias("category"),
+        F.array("text").alias("references"),
+        F.col("question").alias("answer"),
+        F.lit("qa").alias("type"),
+    )
+    return experiment.summary(experiment.run(load_examples(source, per_category=None)))
+
+
+@query()
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts and means of the events read as a stream; rows only."""
+    import uuid
+
+    from factloom.streaming import progress
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        import tempfile
+
+        root = "file://" + tempfile.mkdtemp(prefix="factloom-stream-")
+    name = f"progress_{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    return progress.collected(progress.snapshots(progress.watch(spark, path, fields), "event_type", "value"), name, "complete", f"{root.rstrip('/')}/{name}")
+
+
+@query("SELECT event_type, cast(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.get_json_object("props", "$.k").cast("long") % 10).alias("k")
+    return _t(spark, sf_dir, "events").groupBy("event_type", k).agg(F.count(F.lit(1)).alias("n"))

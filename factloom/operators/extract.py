@@ -51,10 +51,25 @@ def _title(name: str) -> str:
     return name.title() if name.islower() else name
 
 
-def governance(text: Column) -> tuple[Column, Column]:
-    low = F.lower(text)
-    company = F.coalesce(X.company(text), F.lit("Referenced Company"))
-    people = X.first_of_each(X.persons(text))
+def prepared(df: DataFrame, text: str) -> DataFrame:
+    """Adds what the extractors share, worked out once a row: lower case, company, people, periods, amounts."""
+    t = F.col(text)
+    return df.withColumns(
+        {
+            "_low": F.lower(t),
+            "_company": F.coalesce(X.company(t), F.lit("Referenced Company")),
+            "_people": X.first_of_each(X.persons(t)),
+            "_periods": X.periods(t),
+            "_amounts": X.amounts(t),
+        }
+    )
+
+
+SHARED = ("_low", "_company", "_people", "_periods", "_amounts")
+
+
+def governance() -> tuple[Column, Column]:
+    low, company, people = F.col("_low"), F.col("_company"), F.col("_people")
     has = lambda k: F.contains(low, F.lit(k.lower()))
     entities = [F.array(entity(company, "LegalEntity"))]
     entities += [_if(has(c), entity(F.lit(c.title()), "Committee" if "committee" in c else "Board")) for c in dims.COMMITTEES]
@@ -69,13 +84,12 @@ def governance(text: Column) -> tuple[Column, Column]:
     return _concat(entities, ENTITIES), _concat(relations, RELATIONS)
 
 
-def financials(text: Column) -> tuple[Column, Column]:
-    low = F.lower(text)
-    company = F.coalesce(X.company(text), F.lit("Referenced Company"))
+def financials() -> tuple[Column, Column]:
+    low, company = F.col("_low"), F.col("_company")
     has = lambda k: F.contains(low, F.lit(k))
     metric = F.coalesce(*(F.when(has(m), F.lit(_title(m))) for m in dims.METRICS))
     segments = F.array_compact(F.array(*(F.when(has(s), F.lit(s.title())) for s in dims.SEGMENTS)))
-    periods, amounts = X.periods(text), X.amounts(text)
+    periods, amounts = F.col("_periods"), F.col("_amounts")
     entities = [
         F.array(entity(company, "LegalEntity")),
         _if(metric.isNotNull(), entity(metric, "FinancialMetric")),
@@ -91,9 +105,8 @@ def financials(text: Column) -> tuple[Column, Column]:
     return _concat(entities, ENTITIES), _concat(relations, RELATIONS)
 
 
-def shareholder_return(text: Column) -> tuple[Column, Column]:
-    low = F.lower(text)
-    company = F.coalesce(X.company(text), F.lit("Referenced Company"))
+def shareholder_return() -> tuple[Column, Column]:
+    low, company = F.col("_low"), F.col("_company")
     has = lambda k: F.contains(low, F.lit(k))
     bought, dividend = has("repurchase") | has("buyback"), has("dividend")
     shares = F.when(has("common stock"), "Common Stock").when(has("common share"), "Common Share")
@@ -103,7 +116,7 @@ def shareholder_return(text: Column) -> tuple[Column, Column]:
         _if(bought, entity(program, "RepurchaseProgram")),
         _if(dividend, entity(F.lit("Dividend"), "Dividend")),
         _if(shares.isNotNull(), entity(shares, "ShareClass")),
-        F.transform(F.slice(X.amounts(text), 1, 5), lambda a: entity(a, "MonetaryAmount")),
+        F.transform(F.slice("_amounts", 1, 5), lambda a: entity(a, "MonetaryAmount")),
     ]
     relations = [
         _if(bought, relation(company, "announced_repurchase", program)),
@@ -118,9 +131,10 @@ EXTRACTORS = {"governance": governance, "financials": financials, "shareholder_r
 
 def extract(df: DataFrame, text: str = "source_text", profile: str = "selected_profile") -> DataFrame:
     """Adds entities and relations by each row's profile; unknown profiles go to financials."""
-    made = {name: f(F.col(text)) for name, f in EXTRACTORS.items()}
+    df = prepared(df, text)
+    made = {name: f() for name, f in EXTRACTORS.items()}
     pick = lambda i: F.when(F.col(profile) == "governance", made["governance"][i]).when(F.col(profile) == "shareholder_return", made["shareholder_return"][i]).otherwise(made["financials"][i])
-    df = df.withColumns({"entities": pick(0), "relations": pick(1)})
+    df = df.withColumns({"entities": pick(0), "relations": pick(1)}).drop(*SHARED)
     return df.withColumns({"entities": distinct_entities(F.col("entities")), "relations": distinct_relations(F.col("relations"))})
 
 
@@ -131,32 +145,32 @@ def degraded(df: DataFrame) -> DataFrame:
     return df.withColumns({"entities": F.slice("entities", 1, F.greatest(F.lit(1), half("entities"))), "relations": F.transform(F.slice("relations", 1, half("relations")), weak)})
 
 
-def induced_gold(question: Column, answer: Column, profile: Column) -> tuple[Column, Column]:
-    """Proxy gold from question and answer by the target profile; all names in normal form.
+def induced_gold(df: DataFrame, question: str, answer: str, profile: str) -> DataFrame:
+    """Adds gold_entities and gold_relations: proxy gold from question and answer by the target profile.
 
-    entities: array of (name, entity_type); relations: array of (source_name, relation_type, target_name).
+    All names are in normal form.
     """
-    text = F.concat(question, F.lit("\n"), answer)
-    low, n = F.lower(text), X.normalize
+    df = prepared(df.withColumn("_qa", F.concat(F.col(question), F.lit("\n"), F.col(answer))), "_qa")
+    low, n, of = F.col("_low"), X.normalize, F.col(profile)
     has = lambda k: F.contains(low, F.lit(k))
     e = lambda name, kind: F.struct(name.alias("name"), F.lit(kind).alias("entity_type"))
     r = lambda a, kind, b: F.struct(a.alias("source_name"), F.lit(kind).alias("relation_type"), b.alias("target_name"))
     et, rt = "array<struct<name: string, entity_type: string>>", "array<struct<source_name: string, relation_type: string, target_name: string>>"
-    people, audit = X.first_of_each(X.persons(text)), F.lit("audit committee")
-    periods = X.periods(text)
+    people, audit = F.col("_people"), F.lit("audit committee")
+    periods = F.col("_periods")
     metric = F.coalesce(*(F.when(has(m), F.lit(m)) for m in dims.METRICS))
     bought, dividend = has("repurchase") | has("buyback"), has("dividend")
     shares = F.when(has("common stock"), "common stock").when(has("common share"), "common share")
     program, firm = F.lit("share repurchase program"), F.lit("company")
     gov = _concat([F.transform(people, lambda p: e(n(p), "Person")), _if(has("audit committee"), e(audit, "Committee")), _if(has("chief executive officer"), e(F.lit("chief executive officer"), "OfficerRole"))], et)
-    fin = _concat([F.transform(X.amounts(text), lambda a: e(n(a), "MonetaryAmount")), F.transform(periods, lambda p: e(n(p), "ReportingPeriod")), _if(metric.isNotNull(), e(metric, "FinancialMetric"))], et)
+    fin = _concat([F.transform("_amounts", lambda a: e(n(a), "MonetaryAmount")), F.transform(periods, lambda p: e(n(p), "ReportingPeriod")), _if(metric.isNotNull(), e(metric, "FinancialMetric"))], et)
     shr = _concat([_if(bought, e(program, "RepurchaseProgram")), _if(dividend, e(F.lit("dividend"), "Dividend")), _if(shares.isNotNull(), e(shares, "ShareClass"))], et)
     gov_r = _concat([F.when(has("audit committee"), F.transform(people, lambda p: r(n(p), "serves_on_committee", audit)))], rt)
     fin_r = _concat([_if(metric.isNotNull() & (F.size(periods) > 0), r(metric, "reported_for_period", n(F.get(periods, F.lit(0)))))], rt)
     shr_r = _concat([_if(bought, r(firm, "announced_repurchase", program)), _if(dividend, r(firm, "declared_dividend", F.lit("dividend")))], rt)
     none_e, none_r = F.array().cast(et), F.array().cast(rt)
-    by = lambda g, f, s, other: F.array_distinct(F.when(profile == "governance", g).when(profile == "financials", f).when(profile == "shareholder_return", s).otherwise(other))
-    return by(gov, fin, shr, none_e), by(gov_r, fin_r, shr_r, none_r)
+    by = lambda g, f, s, other: F.array_distinct(F.when(of == "governance", g).when(of == "financials", f).when(of == "shareholder_return", s).otherwise(other))
+    return df.withColumns({"gold_entities": by(gov, fin, shr, none_e), "gold_relations": by(gov_r, fin_r, shr_r, none_r)}).drop("_qa", *SHARED)
 
 
 def mentions(df: DataFrame, keys: Sequence[str], column: str = "entities") -> DataFrame:

@@ -15,6 +15,7 @@ from factloom.functions import text as X
 from factloom.operators import answers, evidence, extract, graph, metrics, profiles, quality, support
 from factloom.plans import dims
 from factloom.plans.sample import allowed_relations
+from factloom.sources.staging import staged
 
 GRAPH_BASELINES = [name for name, flags in dims.BASELINES.items() if flags[0] is not None]
 
@@ -61,13 +62,12 @@ def _mentions(df: DataFrame, column: str) -> DataFrame:
 
 def extraction_scores(df: DataFrame) -> DataFrame:
     """(graph_id, extraction_f1) against the proxy gold of question and answer; F1s are rounded before their mean."""
-    gold_e, gold_r = extract.induced_gold(F.col("question_text"), F.col("answer_text"), F.col("target_profile"))
-    df = df.withColumns({"gold_e": gold_e, "gold_r": gold_r})
+    df = extract.induced_gold(df, "question_text", "answer_text", "target_profile")
     n = X.normalize
     pred_e = df.select("graph_id", F.explode("entities").alias("m")).select("graph_id", n(F.col("m.name")).alias("a"), F.col("m.entity_type").alias("b"))
     pred_r = df.select("graph_id", F.explode("relations").alias("m")).select("graph_id", n(F.col("m.source_name")).alias("a"), F.col("m.relation_type").alias("b"), n(F.col("m.target_name")).alias("c"))
-    true_e = df.select("graph_id", F.explode("gold_e").alias("m")).select("graph_id", F.col("m.name").alias("a"), F.col("m.entity_type").alias("b"))
-    true_r = df.select("graph_id", F.explode("gold_r").alias("m")).select("graph_id", F.col("m.source_name").alias("a"), F.col("m.relation_type").alias("b"), F.col("m.target_name").alias("c"))
+    true_e = df.select("graph_id", F.explode("gold_entities").alias("m")).select("graph_id", F.col("m.name").alias("a"), F.col("m.entity_type").alias("b"))
+    true_r = df.select("graph_id", F.explode("gold_relations").alias("m")).select("graph_id", F.col("m.source_name").alias("a"), F.col("m.relation_type").alias("b"), F.col("m.target_name").alias("c"))
     e = metrics.set_scores(pred_e, true_e, ["a", "b"], ["graph_id"]).select("graph_id", F.round("f1", 3).alias("ef"))
     r = metrics.set_scores(pred_r, true_r, ["a", "b", "c"], ["graph_id"]).select("graph_id", F.round("f1", 3).alias("rf"))
     both = df.select("graph_id").join(e, "graph_id", "left").join(r, "graph_id", "left")
@@ -83,11 +83,12 @@ def run(examples: DataFrame, config: Config | None = None) -> DataFrame:
     config = config or Config()
     spark = examples.sparkSession
     examples = with_intents(examples)
-    made = extractions(examples)
-    nodes, edges = graph.build(_mentions(made, "entities"), _mentions(made, "relations"))
-    issues = quality.analyze(nodes, edges, allowed_relations(spark))
+    # Mentions and graph feed every later table.
+    made = staged(extractions(examples), "extractions")
+    nodes, edges = (staged(table, "graph") for table in graph.build(_mentions(made, "entities"), _mentions(made, "relations")))
+    issues = staged(quality.analyze(nodes, edges, allowed_relations(spark)), "issues")
     questions = made.select("graph_id", F.col("example_id").alias("question_id"), "target_profile", "intent_id", "required_relations", "required_entity_types", "focus_slots")
-    found = support.analyze(questions, edges, nodes, dims.SLOT_HINTS)
+    found = staged(support.analyze(questions, edges, nodes, dims.SLOT_HINTS), "support")
 
     ends = nodes.select("graph_id", "node_id", "name", "entity_type")
     side = lambda s: ends.withColumnsRenamed({"node_id": f"{s}_node_id", "name": f"{s}_name", "entity_type": f"{s}_type"})
@@ -96,7 +97,7 @@ def run(examples: DataFrame, config: Config | None = None) -> DataFrame:
     used = support.supporting_edges(questions, kept).join(side("source"), ["graph_id", "source_node_id"], "left").join(side("target"), ["graph_id", "target_node_id"], "left")
     lines = evidence.sentence_rows(made.select("graph_id", "references"), ["graph_id"])
     snippets = evidence.snippets(used.select("graph_id", "edge_id", "source_name", "relation_type", "target_name"), lines, "graph_id", config.snippet_limit)
-    bundles = evidence.bundle(used, snippets, ["graph_id"])
+    bundles = staged(evidence.bundle(used, snippets, ["graph_id"]), "bundles")
     counts = used.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_edges"))
     n_issues = issues.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_issues"))
     n_nodes = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes"))
@@ -115,7 +116,7 @@ def run(examples: DataFrame, config: Config | None = None) -> DataFrame:
     reference = plain.join(text, "example_id", "left").withColumns({"baseline": F.lit("reference_only_baseline"), "answer": F.coalesce("answer", F.lit("Reference context did not provide grounded answer text.")), "confidence": F.lit(0.35)})
     asked = plain.withColumns({"baseline": F.lit("question_only_baseline"), "answer": F.lit("Insufficient grounded context to answer from the question alone."), "confidence": F.lit(0.12)})
     rows = df.unionByName(reference, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
-    rows = rows.withColumn("graph_id", F.concat_ws(":", "baseline", "example_id"))
+    rows = staged(rows.withColumn("graph_id", F.concat_ws(":", "baseline", "example_id")), "answers")
     return rows.join(metrics.token_f1(rows, ["graph_id"], "answer", "answer_text").withColumn("token_f1", F.round("token_f1", 3)), "graph_id")
 
 

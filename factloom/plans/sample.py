@@ -19,6 +19,7 @@ from factloom.functions import text as X
 from factloom.operators import answers, evidence, graph, metrics, profiles, quality, support
 from factloom.operators.extract import ENTITIES, RELATIONS, distinct_entities, entity, relation
 from factloom.plans import dims
+from factloom.sources.staging import staged
 
 #: Words that are no part of a person's name, in either place.
 STOP = ("Executive", "Board", "Committee", "Return", "Banking")
@@ -105,11 +106,10 @@ def index(spark: SparkSession, documents: DataFrame, questions: DataFrame, rules
     else:
         decided = documents.join(gold_profiles.withColumnRenamed("profile", "selected_profile"), "doc_id")
     made = extracted(decided, rules, F.col("selected_profile"))
-    entities, relations = _rows(made, "entities"), _rows(made, "relations")
-    # The sample is tiny and every later table reads these.
-    nodes, edges = (table.persist() for table in graph.build(entities, relations, linked, aliases))
-    issues = quality.analyze(nodes, edges, allowed_relations(spark))
-    found = support.analyze(questions_with_needs(questions), edges, nodes, {})
+    entities, relations = staged(_rows(made, "entities"), "entities"), staged(_rows(made, "relations"), "relations")
+    nodes, edges = (staged(table, "graph") for table in graph.build(entities, relations, linked, aliases))
+    issues = staged(quality.analyze(nodes, edges, allowed_relations(spark)), "issues")
+    found = staged(support.analyze(questions_with_needs(questions), edges, nodes, {}), "support")
     return State(decided, entities, relations, nodes, edges, issues, found)
 
 
