@@ -4,8 +4,9 @@ A word is the average of the vectors of its character n-grams (3 to 5 bytes, bla
 which are hashed into one table, so a misspelling nobody has seen shares most vectors with the word.
 A window of ``WINDOW`` words is the average of its words and goes through a linear softmax.  A
 document counts by its most toxic window; in training, that window carries the document's label
-and is chosen anew each round.  A logistic curve over all training documents turns the highest
-window's margin into the score.
+and is chosen anew each round, and toxic windows are drawn as often as half the clean ones.  A
+logistic curve over training documents that were kept back turns the highest window's margin into
+the score.
 
 Scoring folds table and softmax into one number an n-gram: the model is linear after averaging.
 
@@ -26,7 +27,10 @@ from factloom.llm.labelled import fold, sampled, texts_of
 
 TOXIC, CLEAN = 2_000, 4_000
 THRESHOLD = 0.5
-WINDOW = 12
+#: Words of a window: the bag of one word's n-grams, so that long texts do not thin out one bad word.
+WINDOW = 1
+#: Share of the training documents that is kept back for the curve.
+HELD_BACK = 0.25
 BITS, WIDTH = 18, 8
 SIZES = (3, 4, 5)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -225,6 +229,8 @@ def _step(windows: list[bytes], labels: np.ndarray, net: _Net, rate: float) -> N
 def _curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """(slope, shift) of the logistic curve through scaled margins, by Newton's method with a small penalty."""
     keep = np.isfinite(margins)
+    if not keep.any():
+        return 0.0, -60.0
     x, y = margins[keep], labels[keep]
     middle, scale = x.mean(), x.std() + 1e-9
     design = np.stack([(x - middle) / scale, np.ones(len(x))], axis=1)
@@ -236,25 +242,33 @@ def _curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return w[0] / scale, w[1] - w[0] * middle / scale
 
 
-def train(toxic: list[str], clean: list[str], rounds: int = 6, batch: int = 256, rate: float = 0.2, seed: int = 5) -> Model:
+def train(toxic: list[str], clean: list[str], rounds: int = 6, passes: int = 2, batch: int = 256, rate: float = 0.2, seed: int = 5) -> Model:
     if not toxic or not clean:
         return Model(np.zeros(0, np.float32), 0.0, 0.0)
     rng = np.random.default_rng(seed)
+    toxic, clean = ([texts[i] for i in rng.permutation(len(texts))] for texts in (toxic, clean))
+    # With very few documents all of them serve both ends.
+    back = [int(HELD_BACK * len(texts)) if min(len(toxic), len(clean)) >= 40 else 0 for texts in (toxic, clean)]
+    learn_toxic, learn_clean = toxic[back[0] :], clean[back[1] :]
     net = _Net(rng)
-    table = _first_table(toxic, clean)
+    table = _first_table(learn_toxic, learn_clean)
     for round_ in range(rounds):
-        bad, _ = _windows(toxic, table)
-        hard, _ = _windows(clean, table)
-        windows = bad + hard + _random_windows(clean, rng, 1)
-        labels = np.array([1] * len(bad) + [0] * (len(windows) - len(bad)))
-        order = rng.permutation(len(windows))
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            blurred = rng.random(len(some)) < MISSPELT[0]
-            _step([_misspelt(windows[i], rng) if blur else windows[i] for i, blur in zip(some, blurred, strict=True)], labels[some], net, rate * (1 - round_ / (rounds + 1)))
+        bad, _ = _windows(learn_toxic, table)
+        hard, _ = _windows(learn_clean, table)
+        good = hard + _random_windows(learn_clean, rng, 1)
+        for _ in range(passes if bad else 0):
+            drawn = [bad[i] for i in rng.integers(0, len(bad), max(len(bad), len(good) // 2))]
+            windows = drawn + good
+            labels = np.array([1] * len(drawn) + [0] * len(good))
+            order = rng.permutation(len(windows))
+            for at in range(0, len(order), batch):
+                some = order[at : at + batch]
+                blurred = rng.random(len(some)) < MISSPELT[0]
+                _step([_misspelt(windows[i], rng) if blur else windows[i] for i, blur in zip(some, blurred, strict=True)], labels[some], net, rate * (1 - round_ / (rounds + 1)))
         table = net.table()
-    margins = np.concatenate([_windows(toxic, table)[1], _windows(clean, table)[1]])
-    slope, shift = _curve(margins, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
+    kept_toxic, kept_clean = (texts[:n] if n else texts for texts, n in zip((toxic, clean), back, strict=True))
+    margins = np.concatenate([_windows(kept_toxic, table)[1], _windows(kept_clean, table)[1]])
+    slope, shift = _curve(margins, np.array([1.0] * len(kept_toxic) + [0.0] * len(kept_clean)))
     return Model(table, float(slope), float(shift))
 
 
