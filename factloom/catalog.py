@@ -430,7 +430,7 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"progress_{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
-    return progress.collected(progress.snapshots(progress.watch(spark, path, fields), "event_type", "value"), name, "complete", f"{root.rstrip('/')}/{name}")
+    return progress.collected(progress.snapshots(progress.watch(spark, sf_dir, fields, names="events.parquet"), "event_type", "value"), name, "complete", f"{root.rstrip('/')}/{name}")
 
 
 @query("SELECT event_type, cast(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL")

@@ -14,9 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def watch(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet") -> DataFrame:
-    """New files of a folder as a stream."""
-    return spark.readStream.schema(schema).format(fmt).load(folder)
+def watch(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", names: str = "*") -> DataFrame:
+    """New files of a folder, those with matching names, as a stream."""
+    return spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", names).load(folder)
 
 
 def snapshots(events: DataFrame, key: str, value: str) -> DataFrame:
