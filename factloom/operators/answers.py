@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import relation_phrase
+from factloom.functions.text import relation_phrase, truncated
 from factloom.plans import dims
 
 QUESTION_ONLY = "Insufficient context to answer without supporting reference evidence."
@@ -51,3 +51,46 @@ def from_bundle(triples: Column, missing: Column) -> Column:
     )
     bare = F.when(lacking, F.concat(F.lit("Graph evidence does not ground the required slots for this question. Missing slots: "), listed, F.lit("."))).otherwise("Graph evidence does not provide grounded triples for this question.")
     return F.when(F.size(F.coalesce(triples, F.array())) > 0, full).otherwise(bare)
+
+
+def shared(mode: Column, sentences: Column, triples: Column, missing: Column) -> tuple[Column, Column]:
+    """(answer, confidence) of the answerer that all contexts share, without a model."""
+    none = F.array().cast("array<string>")
+    lines = F.filter(F.transform(F.coalesce(sentences, none), lambda s: F.trim(s)), lambda s: s != "")
+    quoted = F.when(F.size(lines) > 0, F.array_join(F.slice(lines, 1, 2), " ")).otherwise("Reference context did not provide grounded answer text.")
+    facts = F.array_join(F.transform(F.slice(triples, 1, 3), lambda t: F.concat_ws(" ", t["source_name"], F.replace(t["relation_type"], F.lit("_"), F.lit(" ")), t["target_name"])), "; ")
+    lacking = F.concat(F.lit("Graph evidence is incomplete. Missing slots: "), F.array_join(missing, ", "), F.lit("."))
+    empty = F.when(F.size(missing) > 0, lacking).otherwise("Graph evidence did not provide grounded triples for this question.")
+    has = F.coalesce(F.size(triples) > 0, F.lit(False))
+    graph = F.when(has, F.concat(F.lit("Graph-grounded evidence: "), facts, F.lit("."))).otherwise(empty)
+    answer = F.when(mode == "question_only", "Insufficient grounded context to answer from the question alone.").when(mode == "reference_only", quoted).otherwise(graph)
+    sure = F.when(mode == "question_only", 0.12).when(mode == "reference_only", 0.35).when(has, 0.42).otherwise(0.18)
+    return answer, sure
+
+
+def _section(title: str, lines: Column) -> Column:
+    """A heading and its lines; no lines read ``- None``."""
+    return F.concat(F.lit(f"[{title}]\n"), F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise("- None"))
+
+
+def context(mode: Column, question: Column, intent: Column, sentences: Column, triples: Column, missing: Column, budget: int = 2200, sentence_limit: int = 4, triple_limit: int = 5, snippet_limit: int = 3) -> Column:
+    """The text of a question's context that a model would read, cut to the budget."""
+    none = F.array().cast("array<string>")
+    dashed = lambda items: F.transform(F.filter(F.transform(F.coalesce(items, none), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.concat(F.lit("- "), x))
+    head = lambda name: F.concat(F.lit("[Question]\n"), F.trim(question), F.lit(f"\n\n[Context Mode]\n{name}\n\n"))
+    used = F.slice(triples, 1, triple_limit)
+    named = lambda t, end: F.concat(t[f"{end}_name"], F.lit(" ("), t[f"{end}_type"], F.lit(")"))
+    things = F.array_sort(F.array_distinct(F.flatten(F.transform(used, lambda t: F.array(named(t, "source"), named(t, "target"))))))
+    links = F.transform(used, lambda t: F.concat(named(t, "source"), F.lit(" --"), t["relation_type"], F.lit("--> "), named(t, "target"), F.lit(" [confidence="), t["confidence"].cast("string"), F.lit("]")))
+    quotes = F.slice(F.flatten(F.transform(used, lambda t: F.slice(t["provenance_snippets"], 1, snippet_limit))), 1, snippet_limit)
+    graph = F.concat_ws(
+        "\n\n",
+        F.concat(head("graph_evidence_bundle"), F.lit("[Intent]\n"), intent),
+        _section("Entities", F.coalesce(dashed(things), none)),
+        _section("Triples", F.coalesce(dashed(links), none)),
+        _section("Provenance Snippets", F.coalesce(dashed(quotes), none)),
+        _section("Missing Slots", dashed(missing)),
+    )
+    plain = F.concat(head("question_only"), F.lit("[Available Context]\nNo supporting evidence beyond the question text."))
+    reference = F.concat(head("reference_only"), _section("Reference Sentences", F.slice(dashed(sentences), 1, sentence_limit)))
+    return truncated(F.when(mode == "question_only", plain).when(mode == "reference_only", reference).otherwise(graph), budget)
