@@ -70,14 +70,16 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
 
 
-def _word_scores(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The average of each word's n-gram numbers."""
+def _word_scores(data: np.ndarray, starts: np.ndarray, table: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The average of each word's n-gram numbers; ``firsts`` are the words that begin a text."""
     total, count = np.zeros(len(data), np.float64), np.zeros(len(data), np.int32)
     for bucket, valid in _ngrams(data):
         total[1 : len(bucket) + 1] += np.where(valid, table[bucket], 0)
         count[1 : len(bucket) + 1] += valid
     scores = np.add.reduceat(total, starts) / np.maximum(np.add.reduceat(count, starts), 1)
-    scores[1:][scores[1:] == scores[:-1]] = 0  # a word that is repeated at once counts once
+    again = np.append(False, scores[1:] == scores[:-1])
+    again[firsts] = False  # the word before is another text's
+    scores[again] = 0  # a word that is repeated at once counts once
     return scores
 
 
@@ -88,14 +90,15 @@ def _highest(texts: list[str | None], table: np.ndarray, window: int) -> tuple[n
     starts = _words(data)
     if not len(starts):
         return best, places, data
-    sums = np.concatenate([[0.0], np.cumsum(_word_scores(data, starts, table))])
     first = np.searchsorted(starts, np.append(begins, len(data)))
+    scores = _word_scores(data, starts, table, first[first < len(starts)])
     for i in range(len(texts)):
         a, b = int(first[i]), int(first[i + 1])
         if a == b:
             continue
         span = min(window, b - a)
-        means = (sums[a + span : b + 1] - sums[a : b - span + 1]) / span
+        sums = np.append(0.0, np.cumsum(scores[a:b]))  # of this text alone, so that its neighbours don't round it
+        means = scores[a:b] if span == 1 else (sums[span:] - sums[:-span]) / span
         at = int(np.argmax(means))
         best[i] = means[at]
         end = starts[a + at + span] if a + at + span < len(starts) else len(data)
