@@ -392,7 +392,7 @@ def stale_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the mean account balance by segment; draws by hash, so there is no SQL twin."""
-    return metrics.bootstrap(_t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_acctbal", "c_custkey", ["c_mktsegment"], resamples=200)
+    return metrics.bootstrap(_t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_acctbal", "c_custkey", ["c_mktsegment"])
 
 
 @query()
