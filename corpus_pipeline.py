@@ -2,12 +2,14 @@
 
 1. quality: documents that the positive-unlabelled classifier rejects go.
 2. toxicity: documents that the subword classifier calls toxic go.
-3. near duplicates: of each group that SimHash links, the document with the smallest id stays.
+3. near duplicates: of each group that SimHash links, the row with the smallest id stays; of different
+   texts under that id, the one with the least hash.
 4. decontamination: documents contaminated by the benchmark go.
 5. tokens: what is left, as token ids.
 
-Rows with a null id pass stages 3 and 4, which name documents by id; of repeated ids one row stays
-in stage 3.  Empty tables pass as empty tables.
+Stage 3 decides by row: a row goes only if its group keeps another, null ids come last, and of rows
+with equal id and text one stays.  Rows with a null id pass stage 4, which names documents by id.
+Empty tables pass as empty tables.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from factloom.llm import bpe, decontaminate, quality, simhash, toxicity
 from factloom.llm.registry import tokenizer_path
 from factloom.llm.shared import saved, table
 
-#: Ids that are broadcast at most (8 bytes each); more are joined by shuffle.
+#: Ids, or pairs of id and text hash, that are broadcast at most (8 or 16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -40,13 +42,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    grouped = saved(simhash.near_duplicates(docs), "groups")
-    left = _without(docs, grouped.where("doc_id <> component_id"))
-    repeated = saved(grouped.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    # The least key of a group names it: null ids last, then the smaller id, then the lesser hash.
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
+    keyed = docs.withColumn("_key", key)
+    grouped = saved(simhash.near_duplicates(keyed, "_key"), "groups")
+    pair = [F.col("_key.doc_id").alias("_id"), F.col("_key.text_hash").alias("_hash")]
+
+    def matched(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+        pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+        return rows.join(pairs, F.col("_key.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key.text_hash") == F.col("_hash")), how)
+
+    left = matched(keyed, saved(grouped.where("_key <> component_id").select(pair).distinct(), "gone"), "left_anti")
+    repeated = saved(grouped.where("_key = component_id").groupBy("_key").count().where("count > 1").select(pair), "repeated")
     if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return _without(left, repeated).unionByName(once)
+        return left.select(docs.columns)
+    once = matched(left, repeated, "left_semi").dropDuplicates(["_key"])
+    return matched(left, repeated, "left_anti").unionByName(once).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
