@@ -7,7 +7,8 @@ stand in the DOM, and next of kin under one parent.  The minimum cut, found by m
 blocks; the content side is the text.
 
 Cases: a null page gives the empty text; text outside any block element is a block; unclosed and
-stray tags are repaired; repeated rows and extra columns stay; an empty table gives no rows.
+stray tags are repaired; formulas are part of their paragraph; the labels of closed svg graphics are
+no text; repeated rows and extra columns stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from dataclasses import dataclass, field
-from html import unescape
+from html import escape, unescape
 from math import exp, log1p
 
 import pandas as pd
@@ -26,13 +27,20 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 #: Elements of HTML by how they part text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style title textarea iframe noscript noembed noframes template svg math canvas object select xmp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
+#: Hold no markup, only text up to their end tag, or up to the end of the page.
+RAW = frozenset("script style title textarea iframe noembed noframes".split())
+#: Left out with all they hold, and parsed as if they were not there where their own end tag is missing.
+LEFT_OUT = frozenset("svg template annotation annotation-xml".split())
+#: Containers inside paragraphs; without an end tag of their own they hold nothing.
+HOLDERS = frozenset("canvas noscript object select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes, if open in the same container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: What elements and names say of the text within.
-BAD_ELEMENTS = frozenset("nav footer aside form button menu dialog fieldset".split())
+BAD_ELEMENTS = frozenset("nav footer aside form button menu dialog fieldset".split()) | HOLDERS
 GOOD_ELEMENTS = frozenset("article main".split())
 BAD_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login"
@@ -64,10 +72,28 @@ class _Block:
     text: str = ""
 
 
+def _ends(html: str, tag: str) -> dict[int, int]:
+    """Where each element of a name ends, by where its start tag ends; unclosed and self-closed ones have no entry."""
+    found, open_ = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?![a-zA-Z0-9:-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", html, re.IGNORECASE):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                open_.append(m.end())
+        elif open_:
+            found[open_.pop()] = m.end()
+    return found
+
+
 def parse(html: str) -> tuple[list[_Node], list[_Block]]:
     """The containers of a page and its blocks of text, in page order."""
     nodes, blocks, stack = [_Node("", -1, 0)], [], [0]
     links, block = 0, _Block(0)
+    known: dict[str, dict[int, int]] = {}
+
+    def own_end(tag: str, at: int) -> int | None:
+        if tag not in known:
+            known[tag] = _ends(html, tag)
+        return known[tag].get(at)
 
     def finish(at: int) -> None:
         nonlocal block
@@ -92,8 +118,13 @@ def parse(html: str) -> tuple[list[_Node], list[_Block]]:
         if tag in RAW and not closing:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
-            if tag in ("script", "style", "template", "svg", "math"):
-                continue
+            if tag not in ("script", "style"):
+                finish(stack[-1])
+            continue
+        if tag in LEFT_OUT:
+            at = at if closing else own_end(tag, at) or at
+            continue
+        if tag in HOLDERS and not closing and own_end(tag, at) is None:
             finish(stack[-1])
             continue
         if tag in INLINE:
@@ -103,15 +134,22 @@ def parse(html: str) -> tuple[list[_Node], list[_Block]]:
         if tag in VOID:
             finish(stack[-1])
             continue
-        links = 0
+        links = links if tag in HOLDERS else 0
         if closing:
             if any(nodes[k].tag == tag for k in stack):
                 while nodes[stack.pop()].tag != tag:
                     pass
             finish(stack[-1])
             continue
-        if nodes[stack[-1]].tag == "p":
+        if nodes[stack[-1]].tag == "p" and tag not in HOLDERS:
             stack.pop()
+        if tag == "xmp" and (end := re.compile(r"</xmp\b[^>]*>?", re.IGNORECASE).search(html, at)):
+            nodes.append(_Node(tag, stack[-1], len(stack)))
+            finish(len(nodes) - 1)
+            block.parts.append(escape(html[at : end.start()]))
+            finish(stack[-1])
+            at = end.end()
+            continue
         while len(stack) > 1 and nodes[stack[-1]].tag in CLOSES.get(tag, ()):
             stack.pop()
         node = _Node(tag, stack[-1], len(stack))
