@@ -33,7 +33,7 @@ from factloom.llm.shared import filesystem, saved
 
 MAGIC = b"WARC/1.1\r\n"
 RANGE = 8 << 20
-#: A header is no longer than this.
+#: What is read at first to find a header's end; longer ones are read on in growing steps.
 HEADER = 64 << 10
 #: Groups of equal payloads that are broadcast at most (some 100 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -114,22 +114,30 @@ def write(df: DataFrame, folder: str, **options) -> None:
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*\r\n", re.IGNORECASE)
 
 
-def header_at(data: bytes, at: int) -> tuple[int, int] | None:
-    """(header bytes, block bytes) of the record that begins at ``at``, if a header stands there."""
-    if not data.startswith(MAGIC, at):
-        return None
-    end = data.find(b"\r\n\r\n", at, at + HEADER)
-    found = _LENGTH.search(data, at, end + 2) if end >= 0 else None
-    return (end + 4 - at, int(found[1])) if found else None
+def _header_end(file, data: bytes, base: int, at: int) -> tuple[bytes, int]:
+    """(data, where the blank line behind ``at`` stands in it, or -1); data starts at ``base`` and is read on until there is one."""
+    since, step = at, HEADER
+    while (blank := data.find(b"\r\n\r\n", since)) < 0 and (more := _read(file, base + len(data), step)):
+        since, step = max(at, len(data) - 3), 2 * step
+        data += more
+    return data, blank
 
 
-def _candidates(data: bytes, begin: int, end: int) -> list[tuple[int, int]]:
-    """(offset, where its chain leaves the range) of each candidate in [begin, end); data starts at ``begin``."""
-    found, at = {}, data.find(MAGIC)
+def _candidates(file, begin: int, end: int) -> list[tuple[int, int]]:
+    """(offset, where its chain leaves the range) of each candidate in [begin, end)."""
+    data = _read(file, begin, end - begin + HEADER)
+    found, at, blank, length = {}, data.find(MAGIC), -1, None
     while 0 <= at < end - begin:
-        sizes = header_at(data, at)
-        if sizes:
-            found[begin + at] = begin + at + sum(sizes) + 4
+        # Places before the same blank line share it, and the first length behind them.
+        moved = blank < at
+        if moved:
+            data, blank = _header_end(file, data, begin, at)
+            if blank < 0:
+                break
+        if moved or length and length.start() < at:
+            length = _LENGTH.search(data, at, blank + 2)
+        if length:
+            found[begin + at] = begin + blank + 4 + int(length[1]) + 4
         at = data.find(MAGIC, at + 1)
     for offset in sorted(found, reverse=True):  # successors lie behind, so they are resolved already
         found[offset] = found.get(found[offset], found[offset])
@@ -149,7 +157,7 @@ def chain(ranges: DataFrame) -> DataFrame:
             for path, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, name = filesystem(path)
                 with fs.open_input_file(name) as file:
-                    found = _candidates(_read(file, begin, end - begin + HEADER), begin, end)
+                    found = _candidates(file, begin, end)
                 if found:
                     at, leaves = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(at)), pa.array(at, pa.int64()), pa.array(leaves, pa.int64())], names=["path", "at", "leaves"])
@@ -185,7 +193,11 @@ def _walk(file, entry: int, end: int, size: int) -> Iterator[tuple[int, list, li
     """The records of a chain from ``entry`` up to a range's end."""
     held, base, at = _read(file, entry, max(0, end - entry) + HEADER), entry, entry
     while at < end:
-        sizes = header_at(held, at - base)
+        blank = -1
+        if held.startswith(MAGIC, at - base):
+            held, blank = _header_end(file, held, base, at - base)
+        length = _LENGTH.search(held, at - base, blank + 2) if blank >= 0 else None
+        sizes = (blank + 4 - (at - base), int(length[1])) if length else None
         if sizes is None or at + sum(sizes) + 4 > size:
             raise ValueError(f"the chain of records breaks off at {at} of {size}")
         if at - base + sum(sizes) > len(held):
