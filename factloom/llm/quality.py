@@ -9,7 +9,8 @@ repetition and word statistics of the whole text.
 Bounds: ``SAMPLE`` positives and ``SAMPLE`` unlabelled documents train it; scoring reads all rows.
 
 Cases: a null text is empty; empty texts get the score of all-zero shares; repeated rows and extra
-columns stay; without any positive every score is the prior 0.5; an empty table gives no rows.
+columns stay; without any positive every score is the prior 0.5; with fewer than 20
+positives or 20 unlabelled documents the prior isn't estimated but taken as 0.5; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ A window of ``WINDOW`` words is the average of its words and goes through a line
 document counts by its most toxic window; in training, that window carries the document's label
 and is chosen anew each round, and toxic windows are drawn as often as half the clean ones.  A
 logistic curve over training documents that were kept back turns the highest window's margin into
-the score.
+the score; with fewer than 40 toxic or 40 clean documents none are kept back, and all serve both ends.
 
 Scoring folds table and softmax into one number an n-gram: the model is linear after averaging.
 
