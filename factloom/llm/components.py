@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import saved
+from factloom.llm.shared import discard, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges, "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = saved(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, saved(_small_star(_large_star(edges)), "edges")
+        discard(before)
         now = _mark(edges)
         if now == mark:
             break

@@ -19,8 +19,12 @@ def sampled(ids: DataFrame, rows: int, id_col: str = "doc_id") -> DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(columns of ids, text) of the documents named; ``ids`` is bounded by its sample, so it is broadcast."""
+    """(columns of ids, text) of the documents named, one row each; ``ids`` is bounded by its sample, so it is broadcast.
+
+    Of rows with one id the text of the least hash counts, so there are never more rows than ids.
+    """
     named = ids.withColumnRenamed(id_col, "its_id")
     columns = [c for c in named.columns if c != "its_id"]
     chosen = docs.select(F.col(id_col).alias("an_id"), F.coalesce(F.col(text_col), F.lit("")).alias("its_text"))
-    return chosen.join(F.broadcast(named), F.col("an_id") == F.col("its_id")).select(*columns, F.col("its_text").alias("text"))
+    found = chosen.join(F.broadcast(named), F.col("an_id") == F.col("its_id"))
+    return found.groupBy("an_id", *columns).agg(F.min_by("its_text", F.struct(F.xxhash64("its_text"), "its_text")).alias("text")).select(*columns, "text")

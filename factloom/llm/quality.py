@@ -8,8 +8,8 @@ repetition and word statistics of the whole text.
 
 Bounds: ``SAMPLE`` positives and ``SAMPLE`` unlabelled documents train it; scoring reads all rows.
 
-Cases: a null text is empty; empty texts get the score of all-zero shares; repeated rows and extra
-columns stay; without any positive every score is the prior 0.5; with fewer than 20
+Cases: a null text is empty; empty texts get the score of all-zero shares; a text of any length counts
+whole; repeated rows and extra columns stay; of sampled rows with one id, the text of the least hash trains; without any positive every score is the prior 0.5; with fewer than 20
 positives or 20 unlabelled documents the prior isn't estimated but taken as 0.5; an empty table gives no rows.
 """
 
@@ -19,11 +19,12 @@ from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.labelled import fold, sampled, texts_of
+from factloom.llm.shared import by_bytes, only
 
 SAMPLE = 6_000
 THRESHOLD = 0.3
@@ -145,13 +146,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     positives = labels.where((F.col("quality") == 1) & (fold() != 0))
     ids = sampled(positives, sample).withColumn("good", F.lit(True)).unionByName(sampled(docs.where(fold() != 0), sample).withColumn("good", F.lit(False)))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"good": batch["good"], "x": [features(t).tolist() for t in batch["text"]]})
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
+        for batch in by_bytes(batches, 1):
+            x = [features(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float32()))], names=["good", "x"])
 
-    found = texts_of(docs, ids).select("good", "text").mapInPandas(rows, "good boolean, x array<float>").toPandas()  # at most 2 * sample rows
-    x = np.array(found["x"].tolist(), np.float64).reshape(-1, FEATURES)
-    good = found["good"].to_numpy(bool)
+    found = texts_of(docs, ids).select("good", "text").mapInArrow(rows, "good boolean, x array<float>").toArrow()  # at most 2 * sample rows
+    x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, FEATURES)
+    good = found["good"].to_numpy().astype(bool)
     # The rows' order depends on the cluster; the fit must not.
     p, u = (part[np.lexsort(part.T)] if len(part) else part for part in (x[good], x[~good]))
     rng = np.random.default_rng(11)
@@ -162,8 +165,10 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
     """``docs`` with the score of every whole text in column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.concatenate([shared.value.scores(texts[i : i + 1000].tolist()) for i in range(0, len(texts), 1000)]) if len(texts) else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("quality")
+        for texts in batches:
+            yield pa.concat_arrays([pa.array(shared.value.scores(part.to_pylist())) for part in by_bytes([texts])] or [pa.array([], pa.float64())])
 
     return docs.withColumn(name, score(F.col(text_col)))
