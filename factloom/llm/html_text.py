@@ -1,29 +1,42 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text.  Each block gets a score from its place in the DOM, its names and
-its words; the score is the capacity of its edge from the source (content) or to the sink
-(boilerplate).  Smoothness edges join neighbours in page order, the weaker the further apart they
-stand in the DOM, and next of kin under one parent.  The minimum cut, found by max-flow, labels the
-blocks; the content side is the text.
-
-Cases: a null page gives the empty text; text outside any block element is a block; unclosed and
-stray tags are repaired; formulas are part of their paragraph; the labels of closed svg graphics are
+A page is cut into blocks of text.  A block's capacity, to the source (content) or to the sink
+(boilerplate), is the log odds that two sources give it: what its containers say by element and name,
+and a logistic classifier of the text alone (words, closing mark, share of links, heading, list item).
+The classifier is fitted without labels: on pages that have an <article> or <main> it learns to tell
+the blocks within from those without, starting from weights that hold where there are no such pages.
+Smoothness edges join neighbours in page order, the weaker the further apart they stand in the DOM,
+and next of kin under one parent.  The minimum cut, found by max-flow, labels the blocks, so that a
+block with weak signs follows its neighbours; the content side is the text.
+
+Bounds: ``FIT_PAGES`` pages fit the classifier, of which counts of kinds of blocks reach the driver;
+extraction reads every whole page.
+
+Cases: a null page gives the empty text; text outside any block element is a block; a line break is
+white space inside its block; unclosed and stray tags are repaired, in time linear in the page's length
+however long or deep it is; formulas are part of their paragraph; the labels of closed svg graphics are
 no text; repeated rows and extra columns stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from html import escape, unescape
 from math import exp, log1p
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
+from factloom.llm.labelled import sampled, texts_of
+from factloom.llm.shared import by_bytes, only
+
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_VALUE = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 #: Elements of HTML by how they part text.
@@ -36,7 +49,7 @@ RAW = frozenset("script style title textarea iframe noembed noframes".split())
 LEFT_OUT = frozenset("svg template annotation annotation-xml".split())
 #: Containers inside paragraphs; without an end tag of their own they hold nothing.
 HOLDERS = frozenset("canvas noscript object select".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes, if open in the same container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: What elements and names say of the text within.
@@ -50,8 +63,16 @@ BAD_NAMES = re.compile(
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?=$|[\s_-])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
-#: Strengths of smoothness edges: neighbours in page order, next of kin; and how fast DOM distance weakens them.
-ADJACENT, KIN, DECAY = 0.8, 0.5, 0.5
+#: Strengths of smoothness edges: neighbours in page order, next of kin; how fast DOM distance weakens them, and where they end.
+ADJACENT, KIN, DECAY, FAR = 4.0, 1.0, 0.5, 24
+#: Pages that fit the classifier, and how many blocks its starting weights count for.
+FIT_PAGES, PRIOR_BLOCKS = 2_000, 25.0
+#: Starting weights: constant, log of words, closing mark, share of links, heading, list item.
+PRIOR = (-1.9, 0.9, 0.5, -3.0, 1.0, 0.0)
+#: The classifier's log odds stay within this, so that what the containers say is not drowned.
+MOST = 6.0
+#: Log odds on pages where no element names the main text.
+UNNAMED = 1.5
 
 
 @dataclass
@@ -72,23 +93,51 @@ class _Block:
     text: str = ""
 
 
+class _Tags:
+    """Finds where tags end.  Each way of failing looks ahead once a page, so the time is linear."""
+
+    def __init__(self, html: str):
+        self.html, self.quoted, self.open = html, True, True
+
+    def end(self, at: int) -> int | None:
+        """Where the tag ends whose name ends at ``at``; None if nothing closes it."""
+        plain = self.html.find(">", at) if self.open else -1
+        if plain < 0:
+            self.open = False
+            return None
+        while self.quoted and (found := _VALUE.search(self.html, at)):
+            if not found[1]:
+                return found.end()
+            at = self.html.find(found[1], found.end()) + 1
+            if not at:
+                break
+        # A quote that never ends: from here on quotes mean nothing.
+        self.quoted = False
+        return plain + 1
+
+
 def _ends(html: str, tag: str) -> dict[int, int]:
     """Where each element of a name ends, by where its start tag ends; unclosed and self-closed ones have no entry."""
-    found, open_ = {}, []
-    for m in re.finditer(rf"<(/?){tag}(?![a-zA-Z0-9:-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", html, re.IGNORECASE):
+    found, open_, tags = {}, [], _Tags(html)
+    for m in re.finditer(rf"<(/?){tag}(?![a-zA-Z0-9:-])", html, re.IGNORECASE):
+        end = tags.end(m.end())
+        if end is None:
+            break
         if not m[1]:
-            if not m[0].endswith("/>"):
-                open_.append(m.end())
+            if html[end - 2] != "/":
+                open_.append(end)
         elif open_:
-            found[open_.pop()] = m.end()
+            found[open_.pop()] = end
     return found
 
 
 def parse(html: str) -> tuple[list[_Node], list[_Block]]:
     """The containers of a page and its blocks of text, in page order."""
     nodes, blocks, stack = [_Node("", -1, 0)], [], [0]
-    links, block = 0, _Block(0)
+    links, block, tags = 0, _Block(0), _Tags(html)
     known: dict[str, dict[int, int]] = {}
+    opened: Counter[str] = Counter()
+    xmp_ends = True  # until a search finds no end behind it
 
     def own_end(tag: str, at: int) -> int | None:
         if tag not in known:
@@ -103,18 +152,35 @@ def parse(html: str) -> tuple[list[_Node], list[_Block]]:
                 blocks.append(block)
         block = _Block(at)
 
-    at, find = 0, _TOKEN.match
+    def add(piece: str) -> None:
+        block.parts.append(piece)
+        block.linked += len(piece) if links else 0
+
+    def pop() -> str:
+        tag = nodes[stack.pop()].tag
+        opened[tag] -= 1
+        return tag
+
+    at = 0
     while at < len(html):
-        token = find(html, at)
-        at = token.end()
-        tag = token[2]
-        if tag is None:
-            piece = token[0]
-            if piece[0] != "<" or len(piece) == 1:
-                block.parts.append(piece)
-                block.linked += len(piece) if links else 0
+        begin = html.find("<", at)
+        if begin != at:
+            add(html[at : begin if begin >= 0 else None])
+            if begin < 0:
+                break
+        if html.startswith(("<!", "<?"), begin):
+            comment = html.startswith("<!--", begin)
+            empty = comment and re.compile("<!--?-?>").match(html, begin)
+            end = empty.end() - 1 if empty else html.find("-->" if comment else ">", begin + (4 if comment else 2))
+            at = len(html) if end < 0 else end + (3 if comment and not empty else 1)
             continue
-        tag, closing = tag.lower(), bool(token[1])
+        name = _OPEN.match(html, begin)
+        end = tags.end(name.end()) if name else None
+        if end is None:
+            add("<")
+            at = begin + 1
+            continue
+        tag, closing, rest, at = name[2].lower(), bool(name[1]), html[name.end() : end - 1], end
         if tag in RAW and not closing:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
@@ -127,6 +193,9 @@ def parse(html: str) -> tuple[list[_Node], list[_Block]]:
         if tag in HOLDERS and not closing and own_end(tag, at) is None:
             finish(stack[-1])
             continue
+        if tag == "br":
+            add(" ")
+            continue
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
@@ -136,32 +205,35 @@ def parse(html: str) -> tuple[list[_Node], list[_Block]]:
             continue
         links = links if tag in HOLDERS else 0
         if closing:
-            if any(nodes[k].tag == tag for k in stack):
-                while nodes[stack.pop()].tag != tag:
+            if opened[tag]:
+                while pop() != tag:
                     pass
             finish(stack[-1])
             continue
         if nodes[stack[-1]].tag == "p" and tag not in HOLDERS:
-            stack.pop()
-        if tag == "xmp" and (end := re.compile(r"</xmp\b[^>]*>?", re.IGNORECASE).search(html, at)):
+            pop()
+        if tag == "xmp" and xmp_ends and (end := re.compile(r"</xmp\b[^>]*>?", re.IGNORECASE).search(html, at)):
             nodes.append(_Node(tag, stack[-1], len(stack)))
             finish(len(nodes) - 1)
             block.parts.append(escape(html[at : end.start()]))
             finish(stack[-1])
             at = end.end()
             continue
+        xmp_ends = xmp_ends and tag != "xmp"
         while len(stack) > 1 and nodes[stack[-1]].tag in CLOSES.get(tag, ()):
-            stack.pop()
+            pop()
         node = _Node(tag, stack[-1], len(stack))
-        rest = token[3]
         if rest and ("=" in rest or "hidden" in rest):
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
             node.names = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().strip()
             node.hidden = bool(_HIDDEN.search(found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", rest))
         nodes.append(node)
         stack.append(len(nodes) - 1)
+        opened[tag] += 1
         if tag in GOOD_ELEMENTS and not BAD_NAMES.search(node.names):
-            for k in stack[:-1]:
+            for k in reversed(stack[:-1] if not nodes[stack[-2]].holds_main else ()):
+                if nodes[k].holds_main:
+                    break  # and so do all around it
                 nodes[k].holds_main = True
         finish(stack[-1])
     finish(0)
@@ -189,23 +261,76 @@ def _place_score(nodes: list[_Node]) -> list[float]:
     return scores
 
 
-def scores(nodes: list[_Node], blocks: list[_Block]) -> list[float]:
-    """Above zero for content; the costs of the two labels."""
-    places, out = _place_score(nodes), []
-    bare = 0.0 if any(n.holds_main for n in nodes) else 1.5  # no element names the main text
+def kind_of(nodes: list[_Node], block: _Block) -> tuple[int, int, int, int, int]:
+    """What the classifier knows of a block's text: words (in steps of the logarithm), closing mark, tenths of links, heading, list item."""
+    tag = nodes[block.node].tag
+    share = min(1.0, block.linked / max(1, len(block.text)))
+    return round(4 * log1p(block.text.count(" ") + 1)), int(block.text[-1] in ".!?:\"»…"), round(10 * share), int(bool(re.fullmatch(r"h[1-6]", tag))), int(tag in ("li", "dt", "dd", "td", "th"))
+
+
+def _design(kinds: Sequence[tuple]) -> np.ndarray:
+    return np.array(kinds, float).reshape(-1, 5) * (0.25, 1, 0.1, 1, 1)
+
+
+def scores(nodes: list[_Node], blocks: list[_Block], weights: Sequence[float] = PRIOR) -> list[float]:
+    """Log odds of each block: above zero for content."""
+    places = _place_score(nodes)
+    bare = 0.0 if any(n.holds_main for n in nodes) else UNNAMED
+    out = []
     for block in blocks:
-        words = block.text.count(" ") + 1
-        share = min(1.0, block.linked / max(1, len(block.text)))
-        own = bare + 0.9 * log1p(words) - 1.9 + (0.5 if block.text[-1] in ".!?:\"»…" else 0.0) - 3.0 * share
-        if re.fullmatch(r"h[1-6]", nodes[block.node].tag):
-            own += 1.0
-        out.append(places[block.node] + own)
+        words, mark, links, heading, item = kind_of(nodes, block)
+        own = weights[0] + weights[1] * words / 4 + weights[2] * mark + weights[3] * links / 10 + weights[4] * heading + weights[5] * item
+        out.append(places[block.node] + bare + max(-MOST, min(MOST, own)))
     return out
 
 
+def seeds(html: str | None) -> list[tuple]:
+    """(inside the main text, kind) of each block of a page that names its main text by an element."""
+    nodes, blocks = parse(html or "")
+    if not any(n.holds_main for n in nodes):
+        return []
+    places = _place_score(nodes)
+    return [(int(places[b.node] > 0), *kind_of(nodes, b)) for b in blocks]
+
+
+def fitted(counts: Sequence[tuple]) -> tuple[float, ...]:
+    """Weights from (inside, kind, number of blocks), by Newton's method; both sides weigh the same, and ``PRIOR`` counts for ``PRIOR_BLOCKS`` blocks."""
+    prior = np.array(PRIOR)
+    if not counts:
+        return tuple(PRIOR)
+    y, n = np.array([c[0] for c in counts], float), np.array([c[-1] for c in counts], float)
+    design = np.hstack([np.ones((len(y), 1)), _design([c[1:-1] for c in counts])])
+    for side in (0, 1):
+        n[y == side] *= n.sum() / 2 / max(1.0, n[y == side].sum()) if (y == side).any() else 1
+    w = prior.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        hessian = (design * (n * p * (1 - p))[:, None]).T @ design + PRIOR_BLOCKS * np.eye(len(w))
+        step = np.linalg.solve(hessian, design.T @ (n * (p - y)) + PRIOR_BLOCKS * (w - prior))
+        w -= step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+    return tuple(float(x) for x in w)
+
+
+def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html", pages: int = FIT_PAGES) -> tuple[float, ...]:
+    """The classifier's weights from at most ``pages`` pages, those of the least hashes of ids; what comes to the driver is a count a kind of block."""
+    kind = ["inside", "words", "mark", "links", "heading", "item"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("html")
+        for batch in by_bytes(batches, 0):
+            found = Counter(x for html in batch.column(0).to_pylist() for x in seeds(html))
+            columns = zip(*((*k, n) for k, n in found.items()), strict=True) if found else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*kind, "n"])
+
+    chosen = texts_of(df, sampled(df, pages, id_col), id_col, html_col).select("text")
+    counted = chosen.mapInArrow(rows, ", ".join(f"{c} long" for c in [*kind, "n"])).groupBy(*kind).agg(F.sum("n").alias("n"))
+    return fitted(sorted(tuple(r) for r in counted.collect()))
+
+
 def _distance(nodes: list[_Node], a: int, b: int) -> int:
+    """Steps between two containers, up to ``FAR``."""
     steps = 0
-    while a != b:
+    while a != b and steps < FAR:
         if nodes[a].depth < nodes[b].depth:
             a, b = b, a
         a = nodes[a].parent
@@ -217,8 +342,8 @@ def smoothness(nodes: list[_Node], blocks: list[_Block]) -> list[tuple[int, int,
     """(block, block, cost of labelling them differently)."""
     edges, last = [], {}
     for i, block in enumerate(blocks):
-        if i:
-            edges.append((i - 1, i, ADJACENT * exp(-DECAY * _distance(nodes, blocks[i - 1].node, block.node))))
+        if i and (steps := _distance(nodes, blocks[i - 1].node, block.node)) < FAR:
+            edges.append((i - 1, i, ADJACENT * exp(-DECAY * steps)))
         parent = nodes[block.node].parent
         if parent in last and last[parent] != i - 1:
             edges.append((last[parent], i, KIN))
@@ -287,20 +412,24 @@ def min_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[boo
                 at = to[path.pop() ^ 1]
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, weights: Sequence[float] = PRIOR) -> str:
     """The content blocks of a page, a line each."""
     if not html:
         return ""
     nodes, blocks = parse(html)
-    keep = min_cut(scores(nodes, blocks), smoothness(nodes, blocks))
+    keep = min_cut(scores(nodes, blocks, weights), smoothness(nodes, blocks))
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
-def with_text(df: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:
+def with_text(df: DataFrame, html_col: str = "html", name: str = "text", weights: Sequence[float] = PRIOR) -> DataFrame:
     """``df`` with the main text of every page in column ``name``."""
-
-    @F.pandas_udf("string")
-    def extract(pages: pd.Series) -> pd.Series:
-        return pages.map(main_text, na_action=None)
+    weights = tuple(weights)
+
+    @F.arrow_udf("string")
+    def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("html")
+        for pages in batches:
+            texts = [main_text(html, weights) for part in by_bytes([pages]) for html in part.to_pylist()]
+            yield pa.array(texts, pa.string())
 
     return df.withColumn(name, extract(F.col(html_col)))
