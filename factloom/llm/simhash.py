@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.components import components
-from factloom.llm.shared import saved, slices
+from factloom.llm.shared import by_bytes, only, saved, slices
 
 SEED = 42
 BLOCK = 4096
+#: Linked fingerprints (16 bytes each) up to which a row a component is broadcast.
+BROADCAST_ROWS = 1_000_000
 PARTS = ((0, 23), (23, 23), (46, 18))
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b110001110101
@@ -63,19 +65,20 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("bits", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        only("simhash")
+        for batch in by_bytes(batches, 1):
             bits = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=[id_col, "bits"])
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _remainders(width: int = 23) -> np.ndarray:
-    """x modulo the generator polynomial, for every x of 23 bits."""
+def _remainders(first: int, width: int) -> np.ndarray:
+    """The remainder by the generator polynomial of every word whose bits lie in [first, first + width)."""
     table = np.zeros(1, np.uint32)
-    for bit in range(width):
+    for bit in range(first, first + width):
         power = 1 << bit
-        for at in range(width - 1, 10, -1):
+        for at in range(22, 10, -1):
             if power >> at & 1:
                 power ^= GOLAY << at - 11
         table = np.concatenate([table, table ^ np.uint32(power)])
@@ -89,18 +92,22 @@ class Covering:
         self.shift, self.width = np.uint64(shift), width
         self.errors = None
         if width == 23:
-            self.remainder = _remainders()
+            # The remainder of a sum is the sum of remainders: two small tables do for all words.
+            self.low, self.high = _remainders(0, 12), _remainders(12, 11)
             self.errors = np.zeros(2048, np.uint32)
             for n in range(1, 4):
                 for bits in combinations(range(23), n):
                     word = sum(1 << b for b in bits)
-                    self.errors[self.remainder[word]] = word
+                    self.errors[self.remainder(np.uint32(word))] = word
+
+    def remainder(self, part: np.ndarray) -> np.ndarray:
+        return self.low[part & np.uint32(0xFFF)] ^ self.high[part >> np.uint32(12)]
 
     def part(self, bits: np.ndarray) -> np.ndarray:
         return (bits >> self.shift & np.uint64((1 << self.width) - 1)).astype(np.uint32)
 
     def nearest(self, part: np.ndarray) -> np.ndarray:
-        return part if self.errors is None else part ^ self.errors[self.remainder[part]]
+        return part if self.errors is None else part ^ self.errors[self.remainder(part)]
 
     def copies(self, bits: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, anchor, is it home) for each anchor within the covering radius + ``extra``."""
@@ -116,13 +123,12 @@ class Covering:
         return row, anchor, home[row] == anchor
 
 
-_COVERINGS: list[Covering] = []
-
-
 def coverings() -> list[Covering]:
-    if not _COVERINGS:
-        _COVERINGS.extend(Covering(*p) for p in PARTS)
-    return _COVERINGS
+    """The parts' anchors, built once per worker."""
+    held = only("simhash")
+    if "coverings" not in held:
+        held["coverings"] = [Covering(*p) for p in PARTS]
+    return held["coverings"]
 
 
 def shares(limit: int) -> list[int]:
@@ -244,7 +250,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = saved(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     nodes = saved(marked.groupBy("bits").agg(F.min(id_col).alias("least")), "nodes")
     named = components(links(nodes, limit)).withColumnRenamed("node", "bits")
-    nodes = nodes.join(named, "bits", "left").withColumn("component", F.coalesce("component", "bits"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = nodes.join(least, "component").select("bits", "component_id")
-    return marked.join(found, "bits").select(id_col, F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+    linked = saved(nodes.join(named, "bits"), "linked")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    # One row a component; a hot component's nodes stay where they are while the table is small.
+    least = F.broadcast(least) if linked.count() <= BROADCAST_ROWS else least
+    found = linked.join(least, "component").select("bits", "component_id")
+    named = nodes.join(found, "bits", "left").select("bits", F.coalesce("component_id", "least").alias("component_id"))
+    return marked.join(named, "bits").select(id_col, F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
