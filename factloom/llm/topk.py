@@ -1,19 +1,23 @@
 """Exact top-k inner products by norm buckets with length or coordinate pruning.
 
-Vectors are dealt to buckets of similar length.  Queries first search the bucket of the longest
-vectors; their k-th best score there is a lower bound for the rest.  A later bucket is skipped by a
-query when even its longest vector, pointing the query's way, cannot reach that bound.  Otherwise
-the bound over both lengths is a local cosine threshold: where it is low, vectors are cut by length
-(a prefix of the bucket in order of length); where it is high, by coordinates (the interval that the
-query's largest coordinates leave).  What remains is verified by integer products.  While a bucket
-is searched, the bound rises.
-
-Bucket and query block form a task's group; both are bounded, so a hot vector spreads over blocks.
-
-Cases: vectors that are null or hold null or non-finite components take no part, nor do null ids;
-vectors meet only those of their own dimension; repeated ids are searched as rows of their own, but
-a query never meets rows of its own id; fewer than k candidates give fewer rows; ties go to the
-smaller id; an empty table gives no rows; extra columns are ignored.
+Vectors are dealt to buckets of similar length, the longest first.  Buckets are searched in rounds
+of 1, 2, 4, ... buckets.  After each round a query's k-th best score so far is its bound, which rises
+from round to round; a bucket is skipped by a query when even its longest vector, pointing the
+query's way, cannot reach the bound, and queries that no further bucket can serve drop out.
+Otherwise the bound over both lengths is a local cosine threshold: where it is low, vectors are cut by
+length (a prefix of the bucket in order of length); where it is high, by coordinates (the interval
+that the query's largest coordinates leave).  What remains is verified by integer products.
+
+There are at most ``BUCKETS`` buckets, so their edges stay a short list; a large bucket is split by
+hash.  Queries are dealt to at most ``CLASSES`` classes by the length of vector that they still need,
+so that short vectors are sent only to the few queries that need them, and then to blocks by hash.
+Bucket split and query block form a task's group; both hold some ``NUMBERS`` numbers.
+
+Cases: vectors that are null or hold null or non-finite components take no part, nor do null ids, nor
+vectors of 2**31 or more in length after scaling, whose products may not fit 64 bits; vectors meet
+only those of their own dimension; repeated ids are rows of their own, as queries and as candidates,
+and a query meets all rows but itself; fewer than k candidates give fewer rows; ties go to the smaller
+id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,30 +28,32 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from factloom.llm.shared import saved
 
 SCALE = 1024
-#: Rows of a bucket, and queries of a block, on average.
-BUCKET, QUERIES = 4096, 1024
+#: Buckets of different length and classes of queries at most; numbers of a bucket split or query block, on average.
+BUCKETS, CLASSES, NUMBERS = 256, 32, 1 << 19
+#: Longer vectors, after scaling, take no part.
+LONGEST = 2.0**31
 #: Local cosine thresholds from here on are pruned by coordinates, lower ones by length.
 COSINE = 0.3
 #: Coordinates that a query prunes by.
 FOCUS = 4
 
-RESULT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+_LONGS = "query_row long, query_id long, row long, vec_id long, score long"
 
 
 def scaled(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(vec_id, vec, length, size): floor(scale * x) as longs; rows that take no part are gone."""
-    x = F.transform(vec_col, lambda v: v.cast("double"))
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    x = F.transform(vec_col, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")))
+    raw = F.transform(vec_col, lambda v: F.lit(float(scale)) * v.cast("double"))
+    bad = F.exists(raw, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) >= LONGEST))
     df = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~bad)
-    df = df.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v).cast("long")).alias("vec"))
+    df = df.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: v.cast("long")).alias("vec"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v))
-    return df.select("vec_id", "vec", norm.alias("length"), F.size("vec").alias("size"))
+    return df.select("vec_id", "vec", norm.alias("length"), F.size("vec").alias("size")).where(F.col("length") < LONGEST)
 
 
 def _exact(values: np.ndarray, top: int) -> np.ndarray:
@@ -65,17 +71,17 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
-def search_bucket(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query (ids, scores) of its k best rows of the bucket that reach its bound, with the query's place."""
+def search_bucket(rows_of: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its place, and the places in the bucket and scores of its k best rows that reach its bound."""
     lengths = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
     order = np.argsort(-lengths, kind="stable")
-    ids, vectors, lengths = ids[order], vectors[order], lengths[order]
+    rows_of, ids, vectors, lengths = rows_of[order], ids[order], vectors[order], lengths[order]
     top = int(max(np.abs(vectors).max(initial=0), np.abs(queries).max(initial=0)))
     exact, exact_queries = _exact(vectors, top), _exact(queries, top)
     unit = vectors / np.maximum(lengths, 1e-300)[:, None]
     columns = np.ascontiguousarray(unit.T)
     slack = 1e-9
-    for place, (query_id, query, bound) in enumerate(zip(query_ids.tolist(), queries, bounds.tolist(), strict=True)):
+    for place, (query_row, query, bound) in enumerate(zip(query_rows.tolist(), queries, bounds.tolist(), strict=True)):
         length = float(np.sqrt((query.astype(np.float64) ** 2).sum()))
         rows = np.arange(len(ids))
         if np.isfinite(bound) and bound > 0:
@@ -95,7 +101,7 @@ def search_bucket(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
                     low = -1.0 if q < -cosine else middle - half
                     high = 1.0 if q > cosine else middle + half
                     rows = rows[(x >= low - slack) & (x <= high + slack)]
-        rows = rows[ids[rows] != query_id]
+        rows = rows[rows_of[rows] != query_row]
         if not len(rows):
             continue
         scores = exact[rows] @ exact_queries[place]
@@ -103,71 +109,88 @@ def search_bucket(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
             near = scores >= bound
             rows, scores = rows[near], scores[near]
         best = _best(scores, ids[rows], k)
-        yield place, ids[rows[best]], scores[best].astype(np.int64)
+        yield place, order[rows[best]], scores[best].astype(np.int64)
 
 
-def _search(key: tuple, bucket: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    out = ([], [], [])
+def _search(bucket: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
     if len(bucket) and len(queries):
-        ids, vectors = bucket["vec_id"].to_numpy(np.int64), np.stack(bucket["vec"].to_numpy()).astype(np.int64)
-        asked = np.stack(queries["query"].to_numpy()).astype(np.int64)
-        query_ids, bounds = queries["query_id"].to_numpy(np.int64), queries["bound"].to_numpy(np.float64)
-        if vectors.ndim == 2 and vectors.shape[1]:
-            for place, found, scores in search_bucket(ids, vectors, query_ids, asked, bounds, k):
-                out[0].append(np.full(len(found), query_ids[place]))
-                out[1].append(found)
-                out[2].append(scores)
+        rows, ids = bucket["row"].to_numpy(np.int64), bucket["vec_id"].to_numpy(np.int64)
+        vectors, asked = (np.stack(c.to_numpy()).astype(np.int64) for c in (bucket["vec"], queries["query"]))
+        query_rows, query_ids = queries["query_row"].to_numpy(np.int64), queries["query_id"].to_numpy(np.int64)
+        if vectors.shape[1]:
+            for place, found, scores in search_bucket(rows, ids, vectors, query_rows, asked, queries["bound"].to_numpy(np.float64), k):
+                for column, x in zip(out, (np.full(len(found), query_rows[place]), np.full(len(found), query_ids[place]), rows[found], ids[found], scores), strict=True):
+                    column.append(x)
     columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-    return pd.DataFrame(dict(zip(RESULT.names, columns, strict=True)))
-
-
-def _joined(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Search each (bucket, split) with each block of the queries that name the bucket."""
-    key = ["bucket", "split", "block"]
-    return rows.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(lambda name, b, q: _search(name, b, q, k), RESULT)
+    return pd.DataFrame(dict(zip([x.split()[0] for x in _LONGS.split(", ")], columns, strict=True)))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
 
-def top_k(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, bucket: int = BUCKET, block: int = QUERIES) -> DataFrame:
+def _edges(df: DataFrame, column: str, parts: int) -> list[float]:
+    """At most ``parts`` - 1 values that cut ``column`` into parts of similar size."""
+    if parts <= 1:
+        return []
+    return sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.25 / parts)))
+
+
+def _above(edges: list[float], column: str):
+    """How many of the edges lie above a value: part 0 has the largest values."""
+    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e > F.col(column))) if edges else F.lit(0)
+
+
+def top_k(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, bucket: int | None = None, block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best inner products of each row for which ``is_query`` holds.
 
     ``is_query`` is a condition on vec_id.  Scores are integers: products of floor(scale * x).
+    ``bucket`` and ``block`` are the rows of a bucket split and of a query block; by default they
+    follow the dimension.
     """
     spark = df.sparkSession
-    rows = saved(scaled(df, id_col, vec_col, scale), "vectors")
-    n, asked = rows.count(), rows.where(is_query).count()
-    buckets = max(1, -(-n // bucket))
-    blocks = max(1, -(-asked // block))
-    edges = sorted(set(rows.approxQuantile("length", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
-    # The edges are as many as the buckets; bucket 0 has the longest vectors.
-    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e > F.col("length"))) if edges else F.lit(0)
-    rows = rows.withColumn("bucket", place.cast("int"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.max("length").alias("longest"), F.first("size").alias("any"))
-    sizes = sizes.select("bucket", "longest", F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket)).cast("int").alias("splits")).collect()  # a row a bucket
-    table = spark.createDataFrame([(r["bucket"], float(r["longest"]), r["splits"]) for r in sizes], "bucket int, longest double, splits int")
-    small = F.broadcast(table)
-    dealt = rows.join(small.select("bucket", "splits"), "bucket").withColumn("split", F.pmod(F.xxhash64("vec_id"), F.col("splits")).cast("int"))
-    # The dimension is part of a group's name: a query meets vectors of its own dimension only.
-    dealt = dealt.withColumn("split", F.concat_ws("/", "size", "split"))
-    base = dealt.select("bucket", "split", "vec_id", "vec")
-    spread = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else base.withColumn("block", F.lit(0))
-    queries = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    queries = queries.select("vec_id", "vec", "length", "size", "block")
-
-    def sent(to: DataFrame, targets) -> DataFrame:
-        each = to.join(F.broadcast(targets)).where(F.col("bound").isNull() | (F.col("length") * F.col("longest") * (1 + 1e-9) >= F.col("bound")))
-        each = each.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-        bound = F.coalesce(F.col("bound").cast("double"), F.lit(float("-inf")))
-        return each.select("bucket", F.concat_ws("/", "size", "split").alias("split"), "block", F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), bound.alias("bound"))
-
-    first = saved(_ranked(_joined(spread.where("bucket = 0"), sent(queries.withColumn("bound", F.lit(None).cast("long")), table.where("bucket = 0")), k), k), "first-bucket")
-    bounds = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
-    rest = _joined(spread.where("bucket > 0"), sent(queries.join(bounds, "vec_id", "left"), table.where("bucket > 0")), k)
-    return _ranked(first.drop("rank").unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
+    rows = saved(scaled(df, id_col, vec_col, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    n, widest = rows.agg(F.count(F.lit(1)), F.max("size")).first()
+    each = max(256, NUMBERS // max(1, widest or 1))
+    bucket, block = bucket or each, block or each
+    buckets = min(BUCKETS, max(1, -(-n // bucket)))
+    rows = rows.withColumn("bucket", _above(_edges(rows, "length", buckets), "length").cast("int"))
+    # At most BUCKETS rows.
+    sizes = sorted(tuple(r) for r in rows.groupBy("bucket").agg(F.max("length"), F.ceil(F.count(F.lit(1)) / bucket).cast("int")).collect())
+    queries = rows.where(is_query).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), F.col("length").alias("query_length"), "size")
+    best, first, width = None, 0, 1
+    while first < len(sizes):
+        some = sizes[first : first + width]
+        first, width = first + width, 2 * width
+        bounds = spark.createDataFrame([], "query_row long, bound long") if best is None else best.where(F.col("rank") == k).select("query_row", F.col("score").alias("bound"))
+        asked = queries.join(bounds, "query_row", "left")
+        reaches = lambda longest: F.col("bound").isNull() | (F.col("query_length") * longest * (1 + 1e-9) >= F.col("bound"))
+        asked = saved(asked.where(reaches(F.lit(some[0][1]))).withColumn("need", F.when(F.col("query_length") > 0, F.col("bound") / F.col("query_length"))).withColumn("need", F.coalesce("need", F.lit(float("-inf")))), "asked")
+        left = asked.count()
+        if not left:
+            break
+        # Few queries without a bound would spoil the quantiles of those with one; they are a class of their own.
+        bounded = asked.where("bound IS NOT NULL")
+        classes = _above(_edges(bounded, "need", min(CLASSES, -(-left // block))), "need")
+        hashes = -(-left // (block * min(CLASSES, -(-left // block))))
+        targets = F.array(*(F.struct(F.lit(b).alias("bucket"), F.lit(longest).alias("longest"), F.lit(s).alias("splits")) for b, longest, s in some))
+        sent = asked.withColumns({"class": F.when(F.col("bound").isNull(), -1).otherwise(classes).cast("int"), "block": F.pmod(F.xxhash64("query_row", F.lit(1)), F.lit(hashes)).cast("int")})
+        sent = sent.withColumn("target", F.explode(F.filter(targets, lambda t: reaches(t["longest"])))).withColumn("bound", F.coalesce(F.col("bound").cast("double"), F.lit(float("-inf"))))
+        wanted = sent.select("target.bucket", F.col("class").alias("class")).distinct()  # at most BUCKETS * (CLASSES + 1) rows
+        asks = sent.select("target.bucket", "class", "block", "size", F.explode(F.sequence(F.lit(0), F.col("target.splits") - 1)).alias("split"), "query_row", "query_id", "query", "bound")
+        splits = F.element_at(F.create_map(*(F.lit(x) for b, _, s in some for x in (b, s))), F.col("bucket"))
+        held = rows.where(F.col("bucket").between(some[0][0], some[-1][0])).join(F.broadcast(wanted), "bucket")
+        held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
+        held = held.select("bucket", "class", "block", "size", F.pmod(F.xxhash64("row"), splits).cast("int").alias("split"), "row", "vec_id", "vec")
+        # The dimension is part of a group's name: a query meets vectors of its own dimension only.
+        key = ["bucket", "split", "class", "block", "size"]
+        found = held.groupBy(*key).cogroup(asks.groupBy(*key)).applyInPandas(lambda b, q: _search(b, q, k), _LONGS)
+        best = saved(_ranked(found if best is None else best.drop("rank").unionByName(found), k), "best")
+    if best is None:
+        best = spark.createDataFrame([], f"{_LONGS}, rank int")
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
