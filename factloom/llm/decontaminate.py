@@ -3,13 +3,16 @@
 Words are hashed; ``GRAM`` consecutive word hashes make a gram, and of every ``WINNOW`` consecutive
 grams the one with the least hash is kept (the leftmost of equals).  Texts that share
 GRAM + WINNOW - 1 = 13 consecutive words share a kept gram at the same place of that span, so joining
-the kept grams of documents and benchmark items misses no span.  Each hit is then extended word by
-word to both sides, as far as a 13-word window with that gram can reach.
+the kept grams of documents and benchmark items misses no span.  Of a shared span, at least five more
+words agree on one side of the gram, so hits and items meet by nine words and not by a common gram of
+four.  Each is then extended word by word to both sides, as far as a 13-word window with that gram can
+reach.
 
 An item of fewer than 13 words is found whole: all grams of its kind (4 words, or the item's own
-length below that) of the documents are looked up, without winnowing, and only if such items exist.
+length below that) of the documents are looked up, without winnowing, and only if such items exist;
+hits meet such items by all of their words.
 
-Cases: null texts have no words; an item without words matches nothing; repeated document rows stay
+Cases: null texts have no words; texts of any length that a value can hold are taken whole; an item without words matches nothing; repeated document rows stay
 rows of their own; items with equal ids count once; a null item id is written ``null``; empty tables
 give no rows, or no hits; extra columns are ignored.
 """
@@ -24,11 +27,13 @@ from pyspark.sql import functions as F
 from factloom.llm.shared import saved
 
 SPAN, GRAM = 13, 4
+#: Words beside a gram that agree on one side of it at least: (13 - 4) / 2, rounded up.
+BESIDE = 5
 WINNOW = SPAN - GRAM + 1
 #: Rows of a side that is broadcast at most (24 bytes each or so); a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Low bits of a kept gram hold its place in the text, the rest its hash.
-PLACE_BITS = 26
+PLACE_BITS = 30
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -98,6 +103,23 @@ def _agreeing(a: str, b: str) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.size(same))
 
 
+def _beside() -> list[Column]:
+    """Hashes of a gram with the words beside it, on the left and on the right."""
+    return [
+        F.when(F.size("left") >= BESIDE, F.xxhash64(F.lit(-1), "gram", F.slice("left", 1, BESIDE))),
+        F.when(F.size("right") >= GRAM + BESIDE, F.xxhash64(F.lit(-2), "gram", F.slice("right", GRAM + 1, BESIDE))),
+    ]
+
+
+def _whole(need: Column) -> Column:
+    """Hash of the ``need`` words from a gram on."""
+    return F.when(F.size("right") >= need, F.xxhash64(need, F.slice("right", F.lit(1), need)))
+
+
+def _keys(keys: list[Column]) -> Column:
+    return F.array_compact(F.array(*keys))
+
+
 def item_grams(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item, need, gram, left, right) of each item's kept grams; need: how many words must agree."""
     df = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), words(F.col(text_col)).alias("words")).where(F.size("words") > 0).distinct()
@@ -123,7 +145,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     them lie inside an occurrence of a window of that item.
     """
     grams = saved(item_grams(items), "item-grams")
-    short = sorted(r["need"] for r in grams.where(F.col("need") < SPAN).select(F.least("need", F.lit(GRAM)).alias("need")).distinct().collect())  # at most 4 rows
+    needs = sorted(r["need"] for r in grams.where(F.col("need") < SPAN).select("need").distinct().collect())  # at most 12 rows
+    short = sorted({min(n, GRAM) for n in needs})
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     df = _kept(_grams(keyed.select("id", "text_hash", words(F.col("text")).alias("words"))))
@@ -142,7 +165,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hit = hit.select("id", "text_hash", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"), "kept")
     around = F.transform("kept", lambda k: _context(k))
     hit = hit.select("id", "text_hash", F.explode(around).alias("at")).select("id", "text_hash", "at.*")
-    pairs = hit.join(_small(grams.withColumnsRenamed({"left": "item_left", "right": "item_right"})), "gram")
+    hit = hit.withColumn("key", F.explode(_keys([*_beside(), *(_whole(F.lit(n)) for n in needs)])))
+    of_items = F.when(F.col("need") < SPAN, _keys([_whole(F.col("need"))])).otherwise(_keys(_beside()))
+    keyed_items = saved(grams.select("item", "need", F.explode(of_items).alias("key"), F.col("left").alias("item_left"), F.col("right").alias("item_right")), "item-keys")
+    pairs = hit.drop("gram").join(_small(keyed_items), "key")
     pairs = pairs.withColumns({"before": _agreeing("left", "item_left"), "after": _agreeing("right", "item_right")}).where("before + after >= need")
     spans = pairs.select("id", "text_hash", F.struct("item", (F.col("place") - F.col("before")).alias("begin"), (F.col("place") + F.col("after")).alias("end")).alias("span")).distinct()
     spans = spans.groupBy(F.col("id").alias("its_id"), F.col("text_hash").alias("its_hash")).agg(F.array_sort(F.collect_list("span")).alias("spans"))
