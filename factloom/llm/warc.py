@@ -13,7 +13,7 @@ reached.  A chain that stops before the end of its file is an error.
 Cases: a null payload is empty; a null id is written as the highest UUID and read as null, and never
 is what others revisit unless it stands alone; rows with the largest id of equal payloads are all
 responses; a null url is written as a urn; control characters and blanks of a url become %XX;
-an empty table reads as no rows; extra columns are ignored.
+payloads and headers of any length are taken whole; an empty table reads as no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.shared import filesystem, saved
+from factloom.llm.shared import discard, filesystem, saved
 
 MAGIC = b"WARC/1.1\r\n"
 RANGE = 8 << 20
+#: Ranges that one task takes on a large input, one after the other.
+TASK_RANGES = 16
 #: What is read at first to find a header's end; longer ones are read on in growing steps.
 HEADER = 64 << 10
 #: Groups of equal payloads that are broadcast at most (some 100 bytes each); more are joined by shuffle.
@@ -167,9 +169,11 @@ def chain(ranges: DataFrame) -> DataFrame:
     met, known = saved(met, "met"), -1
     while (n := met.count()) > known:
         known = n
-        met = saved(met.union(met.join(jumps, ["path", "at"]).select("path", F.col("leaves").alias("at"))).distinct(), "met")
+        before, met = met, saved(met.union(met.join(jumps, ["path", "at"]).select("path", F.col("leaves").alias("at"))).distinct(), "met")
+        discard(before)
         further = jumps.select("path", F.col("at").alias("leaves"), F.col("leaves").alias("then"))
-        jumps = saved(jumps.join(further, ["path", "leaves"], "left").select("path", "at", F.coalesce("then", "leaves").alias("leaves")), "jumps")
+        before, jumps = jumps, saved(jumps.join(further, ["path", "leaves"], "left").select("path", "at", F.coalesce("then", "leaves").alias("leaves")), "jumps")
+        discard(before)
     return met
 
 
@@ -219,7 +223,8 @@ def read(spark: SparkSession, folder: str, range_bytes: int = RANGE) -> DataFram
     files = spark.read.format("binaryFile").load(folder).select("path", "length").where("length > 0")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("begin"))
     ranges = saved(ranges.withColumn("end", F.least("length", F.col("begin") + range_bytes)), "ranges")
-    tasks = max(1, ranges.count())
+    n, cores = ranges.count(), spark.sparkContext.defaultParallelism
+    tasks = max(1, min(n, 4 * cores), -(-n // TASK_RANGES))
     ranges = ranges.repartition(tasks, "path", "begin")
     # The end of a file is met too; it is no entry.
     entries = chain(ranges).withColumn("begin", F.floor(F.col("at") / range_bytes).cast("long") * range_bytes)
