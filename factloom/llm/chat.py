@@ -7,8 +7,8 @@ else is masked out of the loss.
 
 Cases: a null conversation has no turns; null roles read ``unknown`` and null texts are empty; equal
 sides give empty completions; a null turn number comes first, and turns with equal numbers follow in
-order of role and text; rows with a null conversation id form one conversation; repeated turns stay;
-empty tables give no rows; extra columns are ignored.
+order of role and text; a turn without a conversation id is a conversation of its own, equal ones
+together, so that no task gathers all of them; texts of any length stay whole; repeated turns stay; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ TURN = "struct<turn: bigint, role: string, text: string>"
 def conversations(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(id, turns): each conversation's turns in order."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return df.select(id_col, turn.alias("t")).groupBy(id_col).agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col(id_col).isNull(), F.xxhash64("t"))
+    return df.select(id_col, turn.alias("t")).groupBy(id_col, alone.alias("alone")).agg(F.array_sort(F.collect_list("t")).alias("turns")).drop("alone")
 
 
 def _rendered(turn: Column) -> Column:
@@ -101,7 +102,7 @@ def digests(found: DataFrame) -> DataFrame:
 ORACLE = f"""
 WITH conv AS (
   SELECT conv_id, list(struct_pack(turn := turn, role := coalesce(role, 'unknown'), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS t
-  FROM conversations GROUP BY conv_id
+  FROM conversations GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN struct_pack(turn := turn, role := coalesce(role, 'unknown'), text := coalesce(text, '')) END
 ), pair AS (
   SELECT a.conv_id, a.t AS c, CASE WHEN b.t IS NULL THEN a.t[:-2]
     ELSE list_concat(a.t[:-2], [struct_pack(turn := a.t[-1].turn, role := a.t[-1].role, text := b.t[-1].text)]) END AS r
