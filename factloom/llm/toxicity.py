@@ -1,53 +1,74 @@
 """Toxicity classifier: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the average of the vectors of its character n-grams (3 to 5 bytes, blanks as word ends),
+A word is the average of the vectors of its character n-grams (3 to 6 bytes, blanks as word ends),
 which are hashed into one table, so a misspelling nobody has seen shares most vectors with the word.
-A window of ``WINDOW`` words is the average of its words and goes through a linear softmax.  A
-document counts by its most toxic window; in training, that window carries the document's label
-and is chosen anew each round, and toxic windows are drawn as often as half the clean ones.  A
-logistic curve over training documents that were kept back turns the highest window's margin into
-the score; with fewer than 40 toxic or 40 clean documents none are kept back, and all serve both ends.
-
-Scoring folds table and softmax into one number an n-gram: the model is linear after averaging.
-
-Bounds: ``TOXIC`` and ``CLEAN`` labelled documents train it; scoring reads every whole text.
-
-Cases: null, empty and blank texts score 0; repeated rows and extra columns stay; if the labels hold
-no toxic document every score is 0; an empty table gives no rows.
+A bag is the average of several words' vectors and goes through a linear softmax.  Vectors and softmax
+are trained together on bags of a document's ``BAG`` different words that look most toxic, chosen anew
+each round: those of toxic documents carry the label toxic, those of clean ones, and bags of random
+words of theirs, the label clean; toxic bags are drawn as often as half the clean ones, and some words
+are misspelt at random.
+
+After averaging the model is linear, so table and softmax fold into one number an n-gram.  Three
+averages make a document's score: that of its most toxic word, that of its ``BAG`` most toxic different
+words, and that of all its n-grams.  A logistic curve over training documents that were kept back
+weighs them; with fewer than 40 toxic or 40 clean documents none are kept back, and all serve both
+ends.  The numbers are integers, so a text's score is the same alone, in any order and in any batch.
+
+Bounds: ``TOXIC`` and ``CLEAN`` labelled documents train it, each by at most ``WORDS`` different words
+of at most ``LONGEST`` bytes (those of the least hashes), which executors pick; scoring reads every
+whole text.
+
+Cases: null, empty and blank texts score 0; a text of any length counts whole; repeated rows and extra
+columns stay; of labelled rows with one id, the text of the least hash trains; if the labels hold no
+toxic or no clean document every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm import codepoints
 from factloom.llm.labelled import fold, sampled, texts_of
+from factloom.llm.shared import by_bytes, gathered, only, text_bytes
 
 TOXIC, CLEAN = 2_000, 4_000
+#: Different words of a training document, and the bytes of the longest.
+WORDS, LONGEST = 2_048, 64
 THRESHOLD = 0.5
-#: Words of a window: the bag of one word's n-grams, so that long texts do not thin out one bad word.
-WINDOW = 1
+#: Different words of a bag.
+BAG = 3
 #: Share of the training documents that is kept back for the curve.
 HELD_BACK = 0.25
 BITS, WIDTH = 18, 8
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: All ASCII but letters and digits parts words.
-_BLANKS = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256))
-#: Shares of a batch's windows, and of their words, that are misspelt in training.
-MISSPELT = (0.5, 0.5)
-
-
-def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all texts with blanks around each, where each text begins)."""
-    parts = [(t or "").lower().encode("utf-8", "replace").translate(_BLANKS) for t in texts]
-    begins = np.cumsum([1] + [len(p) + 1 for p in parts])[:-1]
-    return np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8), begins
-
-
-def _ngrams(data: np.ndarray):
+#: All but letters, marks and digits parts words.
+_CLASSES = (r"\p{L}", r"\p{M}", r"\p{N}")
+#: Share of a batch's bags, and of their words, that are misspelt in training; forms of a word a round.
+MISSPELT, FORMS = (0.5, 0.5), 2
+#: Steps of an n-gram number.
+_STEPS = 1 << 16
+
+
+def _spaced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the lower-cased texts with a blank around each and in place of all that parts words, where each text begins)."""
+    lowered = pa.array([(t or "").lower() for t in texts.to_pylist()], pa.large_string())
+    data, at = text_bytes(lowered)
+    kind = codepoints.classes(data, codepoints.table(_CLASSES))
+    begins = at[:-1] + np.arange(1, len(at))
+    out = np.full(len(data) + len(at), 32, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(1, len(at)), np.diff(at))] = np.where(kind < len(_CLASSES), data, 32)
+    return out, begins
+
+
+def _ngrams(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size: (bucket of the n-gram at each place, whether it lies in one word)."""
     blank, wide = data == 32, data.astype(np.uint64)
     for size in SIZES:
@@ -70,116 +91,98 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
 
 
-def _word_scores(data: np.ndarray, starts: np.ndarray, table: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """The average of each word's n-gram numbers; ``firsts`` are the words that begin a text."""
-    total, count = np.zeros(len(data), np.float64), np.zeros(len(data), np.int32)
+def _totals(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of each word's n-gram numbers, how many they are)."""
+    total, count = np.zeros(len(data), np.int64), np.zeros(len(data), np.int32)
     for bucket, valid in _ngrams(data):
-        total[1 : len(bucket) + 1] += np.where(valid, table[bucket], 0)
+        total[1 : len(bucket) + 1] += table[bucket] * valid
         count[1 : len(bucket) + 1] += valid
-    scores = np.add.reduceat(total, starts) / np.maximum(np.add.reduceat(count, starts), 1)
-    again = np.append(False, scores[1:] == scores[:-1])
-    again[firsts] = False  # the word before is another text's
-    scores[again] = 0  # a word that is repeated at once counts once
-    return scores
+    return np.add.reduceat(total, starts), np.add.reduceat(count, starts)
 
 
-def _highest(texts: list[str | None], table: np.ndarray, window: int) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
-    """(highest window average of each text, its place in the bytes, the bytes); -inf if there are no words."""
-    data, begins = _joined(texts)
-    best, places = np.full(len(texts), -np.inf), [(0, 0)] * len(texts)
+def averages(texts: pa.Array, table: np.ndarray) -> np.ndarray:
+    """The three averages of each text; nan if it has no words."""
+    out = np.full((len(texts), 3), np.nan)
+    data, begins = _spaced(texts)
     starts = _words(data)
     if not len(starts):
-        return best, places, data
+        return out
     first = np.searchsorted(starts, np.append(begins, len(data)))
-    scores = _word_scores(data, starts, table, first[first < len(starts)])
+    total, count = _totals(data, starts, table)
+    score = total / count
     for i in range(len(texts)):
         a, b = int(first[i]), int(first[i + 1])
-        if a == b:
-            continue
-        span = min(window, b - a)
-        sums = np.append(0.0, np.cumsum(scores[a:b]))  # of this text alone, so that its neighbours don't round it
-        means = scores[a:b] if span == 1 else (sums[span:] - sums[:-span]) / span
-        at = int(np.argmax(means))
-        best[i] = means[at]
-        end = starts[a + at + span] if a + at + span < len(starts) else len(data)
-        places[i] = (int(starts[a + at]), int(end))
-    return best, places, data
+        if a < b:
+            top, rest = [], score[a:b]
+            while len(rest) and len(top) < BAG:  # equal words have equal numbers
+                top.append(float(rest.max()))
+                rest = rest[rest < top[-1]]
+            out[i] = top[0], sum(top) / len(top), total[a:b].sum() / count[a:b].sum()
+    return out / _STEPS
 
 
 class Model:
-    """n-gram numbers and the curve that makes a score of a margin."""
+    """n-gram numbers and the curve that makes a score of a text's averages."""
 
-    def __init__(self, table: np.ndarray, slope: float, shift: float, window: int = WINDOW):
-        self.table, self.slope, self.shift, self.window = table, slope, shift, window
+    def __init__(self, table: np.ndarray, weights: np.ndarray):
+        self.table, self.weights = table, weights
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros(len(texts))
+    def scored(self, texts: pa.Array) -> np.ndarray:
         if not len(self.table):
-            return out
-        at, held, weight = 0, [], 0
-        for i, text in enumerate([*texts, None]):
-            if held and (i == len(texts) or weight > 1 << 20):
-                margin = self.slope * _highest(held, self.table, self.window)[0] + self.shift
-                out[at : at + len(held)] = 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
-                out[at : at + len(held)][np.isneginf(margin)] = 0
-                at, held, weight = i, [], 0
-            if i < len(texts):
-                held.append(text)
-                weight += len(text or "")
-        return out
+            return np.zeros(len(texts))
+        means = averages(texts, self.table)
+        known = ~np.isnan(means[:, 0])
+        margin = (np.where(known[:, None], means, 0) * self.weights[:-1]).sum(axis=1) + self.weights[-1]
+        return np.where(known, 1 / (1 + np.exp(-np.clip(margin, -60, 60))), 0.0)
 
-
-def _first_table(toxic: list[str], clean: list[str]) -> np.ndarray:
-    """Log odds of each n-gram by documents, to choose the first windows."""
-    counts = []
-    for texts in (toxic, clean):
-        seen = np.zeros(1 << BITS)
-        for text in texts:
-            data, _ = _joined([text])
-            for bucket, valid in _ngrams(data):
-                seen[np.unique(bucket[valid])] += 1
-        counts.append(seen / max(1, len(texts)))
-    return np.maximum(0, np.log((counts[0] + 0.002) / (counts[1] + 0.002))).astype(np.float32)
-
-
-def _windows(texts: list[str], table: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The bytes of each text's highest window, and its average."""
-    found, scores = [], []
-    for at in range(0, len(texts), 200):
-        best, places, data = _highest(texts[at : at + 200], table, WINDOW)
-        found += [data[a:b].tobytes() for (a, b), s in zip(places, best, strict=True) if not np.isneginf(s)]
-        scores.append(best)
-    return found, np.concatenate(scores) if scores else np.zeros(0)
-
-
-def _random_windows(texts: list[str], rng: np.random.Generator, each: int) -> list[bytes]:
-    found = []
-    for text in texts:
-        words = text.lower().encode("utf-8", "replace").translate(_BLANKS).split()
-        for _ in range(each if words else 0):
-            at = int(rng.integers(0, max(1, len(words) - WINDOW + 1)))
-            found.append(b" ".join(words[at : at + WINDOW]) + b" ")
-    return found
-
-
-def _misspelt(window: bytes, rng: np.random.Generator) -> bytes:
-    """The window with a letter dropped, doubled, swapped or replaced in some of its words."""
-    words = window.split()
-    for i in np.flatnonzero(rng.random(len(words)) < MISSPELT[1]):
-        word = bytearray(words[i])
-        if len(word) < 4:
-            continue
-        at, kind = int(rng.integers(1, len(word) - 1)), int(rng.integers(0, 4))
-        if kind == 0:
-            del word[at]
-        elif kind == 1:
-            word.insert(at, word[at])
-        elif kind == 2:
-            word[at], word[at + 1] = word[at + 1], word[at]
-        else:
-            word[at] = b"abcdefghijklmnopqrstuvwxyz0134"[int(rng.integers(0, 30))]
-        words[i] = bytes(word)
-    return b" ".join(words) + b" "
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return self.scored(pa.array(texts, pa.large_string()))
+
+
+class _Grams:
+    """n-grams of words, by size: those of word i are buckets[begins[i] : begins[i] + counts[i]]."""
+
+    def __init__(self, joined: bytes):
+        """``joined`` holds the words with one blank between them."""
+        data = np.frombuffer(b" " + joined + b" ", np.uint8)
+        starts = _words(data)
+        self.parts = []
+        for bucket, valid in _ngrams(data):
+            # An n-gram belongs to the word that its second place lies in.
+            ends = np.searchsorted(at := np.flatnonzero(valid), np.append(starts[1:], len(data)) - 1).astype(np.int32)
+            begins = np.concatenate([[0], ends[:-1]]).astype(np.int32)
+            self.parts.append((bucket[at], begins, ends - begins))
+        self.counts = np.sum([counts for _, _, counts in self.parts], axis=0)
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets of all n-grams of the words, size by size, the place in ``words`` that each belongs to)."""
+        found = [(gathered(buckets, begins[words], counts[words])[0], np.repeat(np.arange(len(words)), counts[words])) for buckets, begins, counts in self.parts]
+        return np.concatenate([b for b, _ in found]), np.concatenate([o for _, o in found])
+
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """The sum of each word's n-gram numbers."""
+        total = np.zeros(len(self.counts))
+        for buckets, begins, counts in self.parts:
+            some = counts > 0
+            if some.any():
+                total[some] += np.add.reduceat(table[buckets], begins[some])
+        return total
+
+
+def _misspelt(word: bytes, rng: np.random.Generator) -> bytes:
+    """The word with a letter dropped, doubled, swapped or replaced; short words stay."""
+    if len(word) < 4:
+        return word
+    made, at, kind = bytearray(word), int(rng.integers(1, len(word) - 1)), int(rng.integers(0, 4))
+    if kind == 0:
+        del made[at]
+    elif kind == 1:
+        made.insert(at, made[at])
+    elif kind == 2:
+        made[at], made[at + 1] = made[at + 1], made[at]
+    else:
+        made[at] = b"abcdefghijklmnopqrstuvwxyz0134"[int(rng.integers(0, 30))]
+    return bytes(made)
 
 
 class _Net:
@@ -191,104 +194,148 @@ class _Net:
         self.of_vectors, self.of_softmax = np.full(1 << BITS, 1e-4), np.full((WIDTH + 1, 2), 1e-2)
 
     def table(self) -> np.ndarray:
-        return (self.vectors @ (self.softmax[:-1, 1] - self.softmax[:-1, 0])).astype(np.float32)
-
-
-def _step(windows: list[bytes], labels: np.ndarray, net: _Net, rate: float) -> None:
-    """One gradient step of vectors and softmax on a batch of windows."""
-    vectors, softmax = net.vectors, net.softmax
-    data = np.frombuffer(b" " + b" ".join(windows) + b" ", np.uint8)
-    starts = _words(data)
-    ends = np.cumsum([1] + [len(w) + 1 for w in windows])
-    window_of_word = np.searchsorted(ends, starts, "right") - 1
-    words_of_window = np.maximum(np.bincount(window_of_word, minlength=len(windows)), 1)
-    buckets, owners = [], []
-    for bucket, valid in _ngrams(data):
-        at = np.flatnonzero(valid)
-        buckets.append(bucket[at])
-        owners.append(np.searchsorted(starts, at + 1, "right") - 1)
-    bucket, word = np.concatenate(buckets), np.concatenate(owners)
-    share = 1 / (np.bincount(word, minlength=len(starts))[word] * words_of_window[window_of_word[word]])
-    window = window_of_word[word]
-    mean = np.zeros((len(windows), WIDTH))
-    picked = vectors[bucket] * share[:, None]
-    for j in range(WIDTH):
-        mean[:, j] = np.bincount(window, picked[:, j], len(windows))
-    logits = mean @ softmax[:-1] + softmax[-1]
-    logits -= logits.max(axis=1, keepdims=True)
-    chance = np.exp(logits)
-    chance /= chance.sum(axis=1, keepdims=True)
-    chance[np.arange(len(labels)), labels] -= 1  # the gradient of the logits
-    back = chance @ softmax[:-1].T
-    gradient = np.vstack([mean.T @ chance, chance.sum(axis=0)]) / len(windows)
-    net.of_softmax += gradient**2
-    softmax -= rate * gradient / np.sqrt(net.of_softmax)
-    touched, place = np.unique(bucket, return_inverse=True)
-    change = np.stack([np.bincount(place, back[window, j] * share, len(touched)) for j in range(WIDTH)], axis=1)
-    net.of_vectors[touched] += (change**2).mean(axis=1)
-    vectors[touched] -= rate * change / np.sqrt(net.of_vectors[touched])[:, None]
-
-
-def _curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """(slope, shift) of the logistic curve through scaled margins, by Newton's method with a small penalty."""
-    keep = np.isfinite(margins)
-    if not keep.any():
-        return 0.0, -60.0
-    x, y = margins[keep], labels[keep]
-    middle, scale = x.mean(), x.std() + 1e-9
-    design = np.stack([(x - middle) / scale, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hessian = (design * (p * (1 - p) + 1e-9)[:, None]).T @ design + np.eye(2) * 0.5
-        w -= np.linalg.solve(hessian, design.T @ (p - y) + 0.5 * w * np.array([1, 0]))
-    return w[0] / scale, w[1] - w[0] * middle / scale
-
-
-def train(toxic: list[str], clean: list[str], rounds: int = 6, passes: int = 2, batch: int = 256, rate: float = 0.2, seed: int = 5) -> Model:
-    if not toxic or not clean:
-        return Model(np.zeros(0, np.float32), 0.0, 0.0)
+        return self.vectors @ (self.softmax[:-1, 1] - self.softmax[:-1, 0])
+
+    def step(self, grams: _Grams, bags: np.ndarray, labels: np.ndarray, rate: float) -> None:
+        """One gradient step on bags of words (-1 where a bag has fewer)."""
+        bag_of_word = np.repeat(np.arange(len(bags)), bags.shape[1])[bags.ravel() >= 0]
+        words = bags.ravel()[bags.ravel() >= 0]
+        in_bag = np.bincount(bag_of_word, minlength=len(bags))
+        bucket, word = grams.of(words)
+        bag = bag_of_word[word]
+        share = (1 / (grams.counts[words] * in_bag[bag_of_word]))[word]
+        picked = self.vectors[bucket] * share[:, None]
+        mean = np.stack([np.bincount(bag, picked[:, j], len(bags)) for j in range(WIDTH)], axis=1)
+        logits = mean @ self.softmax[:-1] + self.softmax[-1]
+        logits -= logits.max(axis=1, keepdims=True)
+        chance = np.exp(logits)
+        chance /= chance.sum(axis=1, keepdims=True)
+        chance[np.arange(len(labels)), labels] -= 1  # the gradient of the logits
+        back = chance @ self.softmax[:-1].T
+        gradient = np.vstack([mean.T @ chance, chance.sum(axis=0)]) / len(bags)
+        self.of_softmax += gradient**2
+        self.softmax -= rate * gradient / np.sqrt(self.of_softmax)
+        touched, place = np.unique(bucket, return_inverse=True)
+        change = np.stack([np.bincount(place, back[bag, j] * share, len(touched)) for j in range(WIDTH)], axis=1)
+        self.of_vectors[touched] += (change**2).mean(axis=1)
+        self.vectors[touched] -= rate * change / np.sqrt(self.of_vectors[touched])[:, None]
+
+
+def _bag(words: np.ndarray) -> np.ndarray:
+    return np.pad(words, (0, BAG - len(words)), constant_values=-1)
+
+
+def _top(docs: list[np.ndarray], scores: np.ndarray) -> np.ndarray:
+    return np.array([_bag(d[np.argsort(-scores[d], kind="stable")[:BAG]]) for d in docs]).reshape(-1, BAG)
+
+
+def _random(docs: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
+    return np.array([_bag(rng.choice(d, min(BAG, len(d)), replace=False)) for d in docs]).reshape(-1, BAG)
+
+
+def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and shift of the logistic curve over averages, by Newton's method with a small penalty; no average counts against a text."""
+    middle, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    used = np.ones(x.shape[1], bool)
+    while True:
+        design = np.hstack([(x - middle)[:, used] / scale[used], np.ones((len(x), 1))])
+        w, penalty = np.zeros(design.shape[1]), np.append(np.full(used.sum(), 0.5), 0)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+            hessian = (design * (p * (1 - p) + 1e-9)[:, None]).T @ design + np.diag(penalty) + np.eye(len(w)) * 1e-6
+            w -= np.linalg.solve(hessian, design.T @ (p - y) + penalty * w)
+        if (w[:-1] >= 0).all() or used.sum() == 1:
+            break
+        used[np.flatnonzero(used)[w[:-1] < 0]] = False
+        if not used.any():
+            used[0] = True
+    weights = np.zeros(x.shape[1])
+    weights[used] = w[:-1] / scale[used]
+    return np.append(weights, w[-1] - (weights * middle).sum())
+
+
+def train(toxic: list[bytes], clean: list[bytes], rounds: int = 6, passes: int = 2, batch: int = 256, rate: float = 0.2, seed: int = 5) -> Model:
+    """Train on documents given by their different words, with blanks between them."""
     rng = np.random.default_rng(seed)
-    toxic, clean = ([texts[i] for i in rng.permutation(len(texts))] for texts in (toxic, clean))
+    parts = [[d for d in docs if d] for docs in (toxic, clean)]
+    if not all(parts):
+        return Model(np.zeros(0, np.int32), np.zeros(4))
+    parts = [[docs[i] for i in rng.permutation(len(docs))] for docs in parts]
     # With very few documents all of them serve both ends.
-    back = [int(HELD_BACK * len(texts)) if min(len(toxic), len(clean)) >= 40 else 0 for texts in (toxic, clean)]
-    learn_toxic, learn_clean = toxic[back[0] :], clean[back[1] :]
-    net = _Net(rng)
-    table = _first_table(learn_toxic, learn_clean)
+    back = [int(HELD_BACK * len(docs)) if min(map(len, parts)) >= 40 else 0 for docs in parts]
+    learnt = [d for docs, n in zip(parts, back, strict=True) for d in docs[n:]]
+    held = pc.split_pattern(pa.array(learnt, pa.large_binary()), b" ")
+    words = held.flatten().dictionary_encode()
+    docs = np.split(words.indices.to_numpy(), held.offsets.to_numpy()[1:-1])
+    words = words.dictionary
+    bad, good = docs[: len(parts[0]) - back[0]], docs[len(parts[0]) - back[0] :]
+    grams, net = _Grams(b" ".join(words.to_pylist())), _Net(rng)
+    # Log odds of each n-gram, by how many documents hold its words, choose the first bags.
+    share = np.zeros((2, 1 << BITS))
+    for side, some in enumerate((bad, good)):
+        holding = np.bincount(np.concatenate(some), minlength=len(words)) / len(some)
+        for buckets, _, counts in grams.parts:
+            share[side] += np.bincount(buckets, np.repeat(holding, counts), 1 << BITS)
+    table = np.maximum(0, np.log((share[0] + 0.002) / (share[1] + 0.002)))
     for round_ in range(rounds):
-        bad, _ = _windows(learn_toxic, table)
-        hard, _ = _windows(learn_clean, table)
-        good = hard + _random_windows(learn_clean, rng, 1)
-        for _ in range(passes if bad else 0):
-            drawn = [bad[i] for i in rng.integers(0, len(bad), max(len(bad), len(good) // 2))]
-            windows = drawn + good
-            labels = np.array([1] * len(drawn) + [0] * len(good))
-            order = rng.permutation(len(windows))
+        scores = grams.sums(table) / grams.counts
+        toxic_bags, clean_bags = _top(bad, scores), np.vstack([_top(good, scores), _random(good, rng)])
+        used = np.unique(np.concatenate([toxic_bags.ravel(), clean_bags.ravel()]))
+        used = used[used >= 0]
+        plain = words.take(pa.array(used)).to_pylist()
+        local = _Grams(b" ".join([*plain, *(_misspelt(w, rng) for _ in range(FORMS) for w in plain)]))
+        toxic_bags, clean_bags = (np.where(b >= 0, np.searchsorted(used, b), -1) for b in (toxic_bags, clean_bags))
+        for _ in range(passes):
+            drawn = toxic_bags[rng.integers(0, len(toxic_bags), max(len(toxic_bags), len(clean_bags) // 2))]
+            bags, labels = np.vstack([drawn, clean_bags]), np.repeat([1, 0], [len(drawn), len(clean_bags)])
+            blurred = (rng.random((len(bags), 1)) < MISSPELT[0]) & (rng.random(bags.shape) < MISSPELT[1]) & (bags >= 0)
+            bags = np.where(blurred, bags + len(used) * rng.integers(1, FORMS + 1, bags.shape), bags)
+            order = rng.permutation(len(bags))
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
-                blurred = rng.random(len(some)) < MISSPELT[0]
-                _step([_misspelt(windows[i], rng) if blur else windows[i] for i, blur in zip(some, blurred, strict=True)], labels[some], net, rate * (1 - round_ / (rounds + 1)))
+                net.step(local, bags[some], labels[some], rate * (1 - round_ / (rounds + 1)))
         table = net.table()
-    kept_toxic, kept_clean = (texts[:n] if n else texts for texts, n in zip((toxic, clean), back, strict=True))
-    margins = np.concatenate([_windows(kept_toxic, table)[1], _windows(kept_clean, table)[1]])
-    slope, shift = _curve(margins, np.array([1.0] * len(kept_toxic) + [0.0] * len(kept_clean)))
-    return Model(table, float(slope), float(shift))
+    table = np.round(table * _STEPS).astype(np.int32)
+    kept = [docs[:n] if n else docs for docs, n in zip(parts, back, strict=True)]
+    texts = pa.array([d.decode("utf-8", "replace") for docs in kept for d in docs], pa.large_string())
+    means = np.concatenate([averages(part, table) for part in by_bytes([texts])])
+    return Model(table, _curve(means, np.repeat([1.0, 0.0], [len(k) for k in kept])))
+
+
+def different_words(texts: pa.Array) -> list[bytes]:
+    """The different words of each text that train a model, with blanks between them."""
+    data, begins = _spaced(texts)
+    held, out = data.tobytes(), []
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(data)], strict=True):
+        words = {w for w in held[a:b].split(b" ") if 0 < len(w) <= LONGEST}
+        if len(words) > WORDS:
+            words = sorted(words, key=lambda w: (xxhash.xxh64_intdigest(w), w))[:WORDS]
+        out.append(b" ".join(sorted(words)))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Model:
     """Train on at most ``toxic`` + ``clean`` labelled documents, none of them held out."""
     known = labels.where(fold() != 0)
     ids = sampled(known.where("toxic = 1"), toxic).withColumn("bad", F.lit(True)).unionByName(sampled(known.where("toxic = 0"), clean).withColumn("bad", F.lit(False)))
-    found = sorted((not r["bad"], r["text"]) for r in texts_of(docs, ids).select("bad", "text").toLocalIterator())  # at most toxic + clean rows
-    return train([t for good, t in found if not good], [t for good, t in found if good])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
+        for batch in by_bytes(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(different_words(batch.column(1)), pa.binary())], names=["bad", "words"])
+
+    found = texts_of(docs, ids).select("bad", "text").mapInArrow(rows, "bad boolean, words binary").toArrow()  # at most toxic + clean rows
+    return train(*(sorted(found["words"].filter(pc.equal(found["bad"], bad)).to_pylist()) for bad in (True, False)))
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity_score") -> DataFrame:
     """``docs`` with the score of every whole text in column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("toxicity")
+        for texts in batches:
+            yield pa.concat_arrays([pa.array(shared.value.scored(part)) for part in by_bytes([texts])] or [pa.array([], pa.float64())])
 
     return docs.withColumn(name, score(F.col(text_col)))

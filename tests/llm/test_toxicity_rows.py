@@ -1,18 +1,75 @@
-"""A document's toxicity score does not depend on the documents that share its batch."""
+"""A document's toxicity score stands alone; unseen misspellings are found; the sample is bounded."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.llm import toxicity
 
+TEXTS = ["one two", "two", "two", "", "two three", None, "three", "three three four", "four", "", "Ünï köln—vier «fünf»", " \n"]
+
 
 @pytest.mark.parametrize("sign", [1, -1])
 def test_neighbours_do_not_change_a_score(sign):
-    table = sign * np.abs(np.random.default_rng(8).normal(size=1 << toxicity.BITS)).astype(np.float32)
-    model = toxicity.Model(table, 1.0, 0.0)
+    table = (sign * 1e4 * np.abs(np.random.default_rng(8).normal(size=1 << toxicity.BITS))).astype(np.int32)
+    model = toxicity.Model(table, np.array([1.0, 2.0, 0.5, -1.0]))
+    alone = [model.scores([t])[0] for t in TEXTS]
+    assert model.scores(TEXTS).tolist() == alone
+    assert model.scores(TEXTS[::-1]).tolist() == alone[::-1]
     for text in ("idiot", "idiot idiot", "a", "the end"):
         assert model.scores([text] * 3).tolist() == model.scores([text]).tolist() * 3
-    texts = ["one two", "two", "two", "", "two three", None, "three", "three three four", "four", ""]
-    assert model.scores(texts).tolist() == [model.scores([t])[0] for t in texts]
-    wide = toxicity.Model(table, 1.0, 0.0, window=2)
-    assert wide.scores(texts).tolist() == [wide.scores([t])[0] for t in texts]
+    assert model.scores(["weather weather nice"])[0] == pytest.approx(model.scores(["weather nice weather"])[0])
+    assert model.scores(["", None, " . "]).tolist() == [0, 0, 0]
+
+
+def plain_averages(text, table):
+    """The three averages by their definition."""
+    words, numbers = [w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()], []
+    for word in words:
+        data = b" " + word.encode() + b" "
+        grams = [data[i : i + n] for n in toxicity.SIZES for i in range(len(data) - n + 1)]
+        numbers.append([int(table[int.from_bytes(g, "little") * int(toxicity._MULTIPLIER) % 2**64 >> 64 - toxicity.BITS]) for g in grams])
+    of_word = {w: sum(n) / len(n) for w, n in zip(words, numbers, strict=True)}
+    top = sorted(of_word.values(), reverse=True)[: toxicity.BAG]
+    return np.array([top[0], np.mean(top), sum(map(sum, numbers)) / sum(map(len, numbers))]) / toxicity._STEPS
+
+
+def test_averages_against_their_definition():
+    table = (1e4 * np.random.default_rng(9).normal(size=1 << toxicity.BITS)).astype(np.int32)
+    texts = [t for t in TEXTS if t and t.strip()] + ["a b c d e f g", "Same same SAME other"]
+    got = toxicity.averages(pa.array(texts, pa.large_string()), table)
+    assert got == pytest.approx(np.array([plain_averages(t, table) for t in texts]))
+
+
+def _corpus(rng, n, bad):
+    word = lambda: "".join(rng.choice(list("etaoinshr"), int(rng.integers(3, 8))))
+    docs = []
+    for i in range(n):
+        words = [word() for _ in range(int(rng.integers(20, 80)))]
+        if i % 4 == 0:
+            words += list(rng.choice(bad, 3, replace=False))
+        docs.append((" ".join(words), i % 4 == 0))
+    return docs
+
+
+def test_unseen_misspellings_are_found():
+    rng = np.random.default_rng(2)
+    bad = ["wretchmug", "grubkins", "slimeball", "dunderpate", "muckface", "foulwick"]
+    docs = _corpus(rng, 800, bad)
+    words = toxicity.different_words(pa.array([t for t, _ in docs], pa.large_string()))
+    model = toxicity.train([w for w, (_, b) in zip(words, docs, strict=True) if b], [w for w, (_, b) in zip(words, docs, strict=True) if not b])
+    fresh = _corpus(rng, 400, ["wretchmugg", "wrechmug", "grubkinz", "grubkns", "slimebal", "slim3ball", "dunderpaet", "muckfaec", "foulwiick", "f0ulwick"])
+    scores = model.scores([t for t, _ in fresh])
+    found = scores >= toxicity.THRESHOLD
+    toxic = np.array([b for _, b in fresh])
+    assert found[toxic].mean() > 0.9 and found[~toxic].mean() < 0.05
+
+
+def test_training_documents_are_bounded(spark):
+    many = " ".join(f"w{i}" for i in range(10_000)) + " " + "x" * 100
+    assert [len(w.split()) for w in toxicity.different_words(pa.array([many, "a A b", ""], pa.large_string()))] == [toxicity.WORDS, 2, 0]
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None)], "doc_id long, text string")
+    from factloom.llm.labelled import texts_of
+
+    ids = spark.createDataFrame([(1, True), (2, False)], "doc_id long, bad boolean")
+    assert texts_of(docs, ids).count() == 2
