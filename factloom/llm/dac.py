@@ -3,14 +3,16 @@
 Each id is cut into chunks of 8 bits.  Level 1 holds the lowest chunk of every id and one
 continuation bit per id; level 2 holds the next chunk of the ids whose bit is set, and so on.  A
 rank directory (set bits before each block of 512) finds an id's place on the next level, so any
-id is read from a few bytes without decoding a block.
+id is read from a few bytes, found by their places in the file, without decoding a block.
 
-A file is a row of segments of about ``SEGMENT_IDS`` ids, then an index of the segments.  Files
-hold documents in ascending id order; file k's documents come before those of file k + 1.
+A file is a row of segments, each of the documents of some ``SEGMENT_BYTES`` of text (or of one longer
+document), then an index of the segments.  Files hold documents in ascending id order; file k's
+documents come before those of file k + 1.  The number of files follows the bytes of text.
 
 Cases: null text is empty and holds the end id only; null document ids come first and are read as
-null; repeated ids keep all their rows; an empty table writes no file and reads as no rows; extra
-columns are ignored.
+null; repeated ids keep all their rows, in the order of a hash of their texts and then of the texts,
+and may go on in the next file; an empty table writes no file and reads as no rows; a text of any
+length is one document of one segment; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import bpe
-from factloom.llm.shared import filesystem, slices, write_atomically
+from factloom.llm.shared import by_bytes, filesystem, write_atomically
 
 MAGIC = b"DACTOK01"
-SEGMENT_IDS = 1 << 20
+SEGMENT_BYTES = 4 << 20
+#: Bytes of text of a file on a large input, and the least that a file is cut down to so that all cores have work.
+FILE_BYTES, LEAST_FILE_BYTES = 256 << 20, 8 << 20
 BLOCK_BITS = 512
 _BLOCK_BYTES = BLOCK_BITS // 8
 _SEGMENT = struct.Struct("<QQQQ")  # where it begins, its bytes, its documents, its ids
@@ -76,21 +81,21 @@ def pick(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], at: int) -> in
     return found
 
 
-def pack_segment(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+def pack_segment(doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> bytes:
     levels = split_levels(ids)
     parts = [
         struct.pack("<QQQ", len(doc_ids), len(ids), len(levels)),
-        np.array([x is not None for x in doc_ids], np.uint8).tobytes(),
-        np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
-        np.array(counts, "<u8").tobytes(),
+        doc_ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(),
+        doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(),
+        counts.astype("<u8").tobytes(),
     ]
     for chunks, bits, ranks in levels:
         parts += [struct.pack("<QQQ", len(chunks), len(bits), len(ranks)), chunks.tobytes(), bits.tobytes(), ranks.tobytes()]
     return b"".join(parts)
 
 
-def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, list]:
-    """(document ids, ids of each document, levels)."""
+def unpack_segment(data: bytes) -> tuple[pa.Array, np.ndarray, list]:
+    """(document ids, number of ids of each document, levels)."""
     n_docs, _, n_levels = struct.unpack_from("<QQQ", data)
     at = 24
 
@@ -101,8 +106,8 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, list]:
         return found
 
     known = take("u1", n_docs)
-    doc_ids = [x if k else None for x, k in zip(take("<i8", n_docs).tolist(), known.tolist(), strict=True)]
-    counts = take("<u8", n_docs)
+    doc_ids = pa.array(take("<i8", n_docs), pa.int64(), mask=known == 0)
+    counts = take("<u8", n_docs).astype(np.int64)
     levels = []
     for _ in range(n_levels):
         sizes = struct.unpack_from("<QQQ", data, at)
@@ -111,6 +116,22 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, list]:
     return doc_ids, counts, levels
 
 
+class _Stored:
+    """A part of a file as an array that is read element by element."""
+
+    def __init__(self, file, begin: int, kind: str, n: int):
+        self.file, self.begin, self.kind, self.n = file, begin, np.dtype(kind), n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at):
+        first, last = (at.start or 0, at.stop) if isinstance(at, slice) else (at, at + 1)
+        self.file.seek(self.begin + first * self.kind.itemsize)
+        found = np.frombuffer(self.file.read((last - first) * self.kind.itemsize), self.kind)
+        return found if isinstance(at, slice) else found[0]
+
+
 class TokenFile:
     """A token file that is open for reading."""
 
@@ -125,91 +146,105 @@ class TokenFile:
         self.file.seek(size - 16 - n * _SEGMENT.size)
         self.index = list(_SEGMENT.iter_unpack(self.file.read(n * _SEGMENT.size)))
         self.firsts = np.cumsum([0] + [x[3] for x in self.index])
-        self.held: tuple[int, list] = (-1, [])
+        self.places: dict[int, list] = {}
 
     def __len__(self) -> int:
         return int(self.firsts[-1])
 
-    def _segment(self, k: int):
-        begin, size, _, _ = self.index[k]
-        self.file.seek(begin)
-        return unpack_segment(self.file.read(size))
+    def _levels(self, k: int) -> list[tuple[_Stored, _Stored, _Stored]]:
+        """Where the levels of segment k stand; only their sizes are read."""
+        if k not in self.places:
+            at = self.index[k][0]
+            self.file.seek(at)
+            n_docs, _, n_levels = struct.unpack("<QQQ", self.file.read(24))
+            at += 24 + 17 * n_docs
+            levels = []
+            for _ in range(n_levels):
+                self.file.seek(at)
+                sizes = struct.unpack("<QQQ", self.file.read(24))
+                parts, at = [], at + 24
+                for kind, n in zip(("u1", "u1", "<u4"), sizes, strict=True):
+                    parts.append(_Stored(self.file, at, kind, n))
+                    at += n * parts[-1].kind.itemsize
+                levels.append(tuple(parts))
+            self.places[k] = levels
+        return self.places[k]
 
     def __getitem__(self, at: int) -> int:
-        """The id at place ``at`` of the file."""
+        """The id at place ``at`` of the file: a chunk, up to 64 bytes of bitmap and a rank a level are read."""
         if not 0 <= at < len(self):
             raise IndexError(at)
         k = int(np.searchsorted(self.firsts, at, "right")) - 1
-        if self.held[0] != k:
-            self.held = (k, self._segment(k)[2])
-        return pick(self.held[1], at - int(self.firsts[k]))
+        return pick(self._levels(k), at - int(self.firsts[k]))
+
+    def segments(self) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """(document ids, number of ids of each, all ids) of each segment."""
+        for begin, size, _, _ in self.index:
+            self.file.seek(begin)
+            doc_ids, counts, levels = unpack_segment(self.file.read(size))
+            yield doc_ids, counts, join_levels(levels)
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """(document id, its ids) in the order of the file."""
-        for k in range(len(self.index)):
-            doc_ids, counts, levels = self._segment(k)
-            ends = np.cumsum(counts.astype(np.int64))
-            yield from zip(doc_ids, np.split(join_levels(levels), ends[:-1]), strict=True)
+        for doc_ids, counts, ids in self.segments():
+            yield from zip(doc_ids.to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True)
 
     def close(self) -> None:
         self.file.close()
 
 
-def _file_parts(documents: Iterator[tuple[int | None, bytes]], segment_ids: int, totals: dict) -> Iterator[bytes]:
+def _file_parts(segments: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]], totals: dict) -> Iterator[bytes]:
     index, at = [], len(MAGIC)
-    doc_ids, held, n = [], [], 0
-
-    def flush() -> bytes:
-        nonlocal at, n
-        data = pack_segment(doc_ids, [len(x) >> 2 for x in held], np.frombuffer(b"".join(held), "<u4"))
-        index.append((at, len(data), len(doc_ids), n))
+    yield MAGIC
+    for doc_ids, counts, ids in segments:
+        data = pack_segment(doc_ids, counts, ids)
+        index.append((at, len(data), len(doc_ids), len(ids)))
         at += len(data)
         totals["docs"] += len(doc_ids)
-        totals["ids"] += n
-        doc_ids.clear()
-        held.clear()
-        n = 0
-        return data
-
-    yield MAGIC
-    for doc_id, ids in documents:
-        doc_ids.append(doc_id)
-        held.append(ids)
-        n += len(ids) >> 2
-        if n >= segment_ids:
-            yield flush()
-    if doc_ids:
-        yield flush()
+        totals["ids"] += len(ids)
+        yield data
     yield b"".join(_SEGMENT.pack(*x) for x in index) + struct.pack("<Q8s", len(index), MAGIC)
 
 
-def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, files: int | None = None, segment_ids: int = SEGMENT_IDS) -> list[tuple[str, int, int]]:
+def files_for(df: DataFrame, text_col: str = "text") -> int:
+    """How many files the texts fill: ``FILE_BYTES`` each, or less where cores would have no work."""
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // FILE_BYTES), min(4 * cores, -(-size // LEAST_FILE_BYTES)))
+
+
+def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, files: int | None = None, slice_bytes: int = SEGMENT_BYTES) -> list[tuple[str, int, int]]:
     """Encode every text and write token files to ``folder``; [(file, documents, ids)] in order.
 
-    What comes to the driver is one row a file; the number of files is the number of partitions.
+    What comes to the driver is one row a file.  A hot id is dealt out by the hash of its texts.
     """
     spark = df.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or files_for(df, text_col)
     source = bpe.vocabulary(spark, path)
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, totals = bpe.library(source.value).encode, {"docs": 0, "ids": 0}
-        rows = ((i, encode(t) + end) for b in slices(batches) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        first = next(rows, None)
+        coder, totals = bpe.worker_bpe(bpe.LibraryBpe, source.value), {"docs": 0, "ids": 0}
+        parts = by_bytes(batches, 1, slice_bytes)
+        first = next(parts, None)
         if first is None:
             return
-        place = TaskContext.get().partitionId()
-        uri = f"{folder}/tokens-{place:06d}.dac"
 
-        def all_rows():
-            yield first
-            yield from rows
+        def segments():
+            part = first
+            while part is not None:
+                ids, at = coder.encode_all(part.column(1))
+                if end_id is not None:
+                    ids = np.insert(ids, at[1:], end_id)
+                yield part.column(0).cast(pa.int64()), np.diff(at) + (end_id is not None), ids
+                part = next(parts, None)
 
-        write_atomically(uri, _file_parts(all_rows(), segment_ids, totals))
+        place = TaskContext.get().partitionId()
+        uri = f"{folder}/tokens-{place:06d}.dac"
+        write_atomically(uri, _file_parts(segments(), totals))
         yield pa.RecordBatch.from_pydict({"place": [place], "file": [uri], "docs": [totals["docs"]], "ids": [totals["ids"]]})
 
-    dealt = df.select(id_col, text_col).repartitionByRange(files, id_col).sortWithinPartitions(id_col)
+    order = [F.col("id"), F.xxhash64("text")]
+    dealt = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
     written = dealt.mapInArrow(run, "place long, file string, docs long, ids long").collect()
     return [(r["file"], r["docs"], r["ids"]) for r in sorted(written, key=lambda r: r["place"])]
 
@@ -220,34 +255,24 @@ def read(spark: SparkSession, manifest: list[tuple[str, int, int]]) -> DataFrame
     if not manifest:
         return spark.createDataFrame([], schema)
     starts = np.cumsum([0] + [m[2] for m in manifest]).tolist()
-    names = [m[0] for m in manifest]
+    listed = spark.sparkContext.broadcast([(m[0], start) for m, start in zip(manifest, starts, strict=False)])  # one entry a file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                start, held = starts[k], ([], [], [])
-                file = TokenFile(names[k])
-                for doc_id, ids in file.documents():
-                    for column, x in zip(held, (doc_id, start, ids.astype("<u4").tobytes()), strict=True):
-                        column.append(x)
-                    start += len(ids)
-                    if len(held[0]) >= 500:
-                        yield _batch(held)
-                        held = ([], [], [])
+                name, start = listed.value[k]
+                file = TokenFile(name)
+                for doc_ids, counts, ids in file.segments():
+                    at = np.concatenate([[0], np.cumsum(counts)])
+                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start + at[:-1]), bpe.packed(ids, at)], names=["doc_id", "start", "ids"])
+                    start += int(at[-1])
                 file.close()
-                if held[0]:
-                    yield _batch(held)
 
-    def _batch(held) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.binary())], names=["doc_id", "start", "ids"])
-
-    return spark.range(0, len(names), 1, len(names)).mapInArrow(run, schema)
+    return spark.range(0, len(manifest), 1, len(manifest)).mapInArrow(run, schema)
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of what ``read`` returns."""
-    from pyspark.sql import functions as F
-
     return tokens.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

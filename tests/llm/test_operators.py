@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -54,7 +55,8 @@ def test_bpe(spark, docs, none):
         assert by_id[doc_id].decoded == lib.decode(ids, skip_special_tokens=False)
     assert bpe.encode(none, registry.tokenizer_path()).count() == 0
     broken = spark.createDataFrame([(1, bytearray(np.array([163, 5, 99999], "<u4").tobytes())), (2, None)], "doc_id long, ids binary")
-    assert {r.doc_id: r.decoded for r in bpe.decode(broken, registry.tokenizer_path()).collect()}[2] == ""
+    got = {r.doc_id: r.decoded for r in bpe.decode(broken, registry.tokenizer_path()).collect()}
+    assert got == {1: lib.decode([163, 5], skip_special_tokens=False), 2: ""}
 
 
 def test_bpe_random_texts_and_memory():
@@ -63,13 +65,38 @@ def test_bpe_random_texts_and_memory():
     lib, random_ = library(), random.Random(5)
     with open(registry.tokenizer_path(), "rb") as f:
         source = f.read()
-    coder, other = bpe.ByteBpe(source, remembered=50), bpe.LibraryBpe(source, remembered=50)
+    coder, other = bpe.ByteBpe(source, remembered=20_000), bpe.LibraryBpe(source, remembered=20_000)
     letters = " \n\t\r 　\x1c\x85ab'sllé1²!?.<|😀́|"
     texts = ["".join(random_.choice(letters) for _ in range(random_.randint(1, 40))) for _ in range(3000)]
     for text, expected in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == expected.ids
         assert coder.encode(text) == other.encode(text)
-    assert len(coder.words) + len(coder.words.old) <= 60
+    together = pa.array([*texts, None, "", "<|endof", "text|>"], pa.string())
+    for one in (coder, other):
+        ids, at = one.encode_all(together)
+        assert [ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)] == [coder.encode(t) for t in together.to_pylist()]
+        assert one.decode_all(ids, at).to_pylist() == [t or "" for t in together.to_pylist()]
+        assert 160 * (len(one.young) + len(one.old)) <= 20_400
+
+
+def test_bpe_every_kind_of_character():
+    """Each code point between letters, digits, marks and blanks, against the library."""
+    lib = library()
+    with open(registry.tokenizer_path(), "rb") as f:
+        coder = bpe.LibraryBpe(f.read())
+    points = [c for c in [*range(0x600), *range(0x600, 0x30000, 37), 0x2028, 0x3000, 0xFEFF, 0x10FFFF] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c} 1{c}.{c}'s '{c}\n{c}  {c}" for c in map(chr, points)]
+    ids, at = coder.encode_all(pa.array(texts))
+    for i, expected in enumerate(lib.encode_batch(texts, add_special_tokens=False)):
+        assert ids[at[i] : at[i + 1]].tolist() == expected.ids, hex(points[i])
+
+
+def test_bpe_long_words_and_endings():
+    lib = library()
+    with open(registry.tokenizer_path(), "rb") as f:
+        coder = bpe.ByteBpe(f.read())
+    for text in ("x" * 70_000 + "  " + "%" * 5_000, "we'll they've I'd 're'vex it'sn't 'S ''s 'l 'r '", " 's\n's's'", "<|endoftext|>'s <|endoftext|> <|endoftext|<|endoftext|>"):
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
 def test_dac_levels():
@@ -83,10 +110,11 @@ def test_dac_levels():
 def test_token_files(spark, docs, none):
     lib = library()
     folder = shared.shared_dir(spark, "tokens")
-    manifest = dac.write(docs, folder, registry.tokenizer_path(), files=3, segment_ids=500)
+    manifest = dac.write(docs, folder, registry.tokenizer_path(), files=3, slice_bytes=500)
     got = dac.checksums(dac.read(spark, manifest)).orderBy("start").collect()
     expected, start = [], 0
-    for doc_id, text, *_ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    for doc_id, text, *_ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]])):
         ids = np.array([*lib.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         expected.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -95,6 +123,7 @@ def test_token_files(spark, docs, none):
     whole = np.concatenate([ids for _, ids in file.documents()])
     assert [file[i] for i in range(0, len(file), 97)] == whole[::97].tolist()
     file.close()
+    assert dac.files_for(docs) == 1 and dac.files_for(none) == 1
     assert dac.read(spark, dac.write(none, shared.shared_dir(spark, "tokens"), registry.tokenizer_path())).count() == 0
 
 
@@ -198,11 +227,13 @@ def test_top_k(spark):
     rows = [(i, ([0.5] * 8 if i % 7 == 0 else (rng.normal(size=8) * np.exp(rng.normal() * 1.2)).tolist())) for i in range(800)]
     rows += [(2000, None), (2001, [1.0, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2003, [1.0, 2.0]), (2100, [float("inf")] * 8), (None, [1.0] * 8), (2200, [0.0] * 8), (2300, [1.0, 2.0]), (2400, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"score": F.lit(1), "rank": F.lit(2)})
-    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0, bucket=150, block=5).collect())
-    kept = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    rows += [(300, [3.0] * 8), (777, [4.0] * 8), (777, [4.0] * 8), (3000, [1e300] * 8), (3100, [2.0**21] * 8)]
+    df = df.unionByName(spark.createDataFrame(rows[-5:], "vec_id long, embedding array<double>").withColumns({"score": F.lit(1), "rank": F.lit(2)}))
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0, bucket=60, block=3).collect())
+    kept = [(i, [int(np.floor(1024 * x)) for x in v], n) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and abs(x) < 2**21 for x in v)]
     expected = []
-    for i, q in (x for x in kept if x[0] % 100 == 0):
-        best = sorted((-sum(a * b for a, b in zip(q, p, strict=True)), j) for j, p in kept if j != i and len(p) == len(q))[:10]
+    for i, q, n in (x for x in kept if x[0] % 100 == 0):
+        best = sorted((-sum(a * b for a, b in zip(q, p, strict=True)), j) for j, p, m in kept if m != n and len(p) == len(q))[:10]
         expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     assert got == sorted(expected)
     assert topk.top_k(spark.createDataFrame([], df.schema), F.col("vec_id") % 100 == 0).count() == 0
@@ -246,9 +277,10 @@ PAGE = """<html><head><title>T</title><style>x{}</style></head><body class="has-
 
 def test_html(spark):
     text = "Title of it\nA long first paragraph of the article & more words here, quite a few.\nSecond paragraph with a link inside it.\nShort item\nAnother one"
-    df = spark.createDataFrame([(1, PAGE), (1, PAGE), (2, None), (3, ""), (4, "plain text only &lt; here"), (5, "<p>a < b <<p>c")], "page_id long, html string").withColumn("text", F.lit("clash"))
-    got = [(r.page_id, r.text) for r in html_text.with_text(df).collect()]
-    assert got == [(1, text), (1, text), (2, ""), (3, ""), (4, "plain text only < here"), (5, "a < b <\nc")]
+    df = spark.createDataFrame([(1, PAGE), (1, PAGE), (2, None), (3, ""), (4, "plain text only &lt; here"), (5, "<p>a < b <<p>c"), (6, "<p>one<br>two<br/> three")], "page_id long, html string").withColumn("text", F.lit("clash"))
+    for weights in (html_text.PRIOR, html_text.fit(df), html_text.fit(df.limit(0))):
+        got = [(r.page_id, r.text) for r in html_text.with_text(df, weights=weights).collect()]
+        assert got == [(1, text), (1, text), (2, ""), (3, ""), (4, "plain text only < here"), (5, "a < b <\nc"), (6, "one two three")]
     assert html_text.with_text(df.limit(0)).count() == 0
 
 
@@ -274,6 +306,8 @@ def test_chat(spark):
     assert got[1].n_prompt_turns == 3 and got[1].prompt == f"{b}user\nhi{e}\n{b}assistant\nho{e}\n{b}user\n{e}\n"
     assert got[1].chosen == f"{b}unknown\nyes{e}\n" and got[1].rejected == f"{b}unknown\nno{e}\n" and got[1].chosen_trained == []
     assert got[0].chosen == f"{b}assistant\nno{e}\n" and [got[0].chosen[s.begin : s.end] for s in got[0].chosen_trained] == ["no" + e]
+    lost = spark.createDataFrame([(None, i, "user", f"lost {i % 3}") for i in range(6)], df.drop("turns").schema)
+    assert sorted(len(r.turns) for r in chat.conversations(lost).collect()) == [1] * 6
     assert got[9].rejected == "" and got[9].chosen == f"{b}user\nalone{e}\n"
     pairs = spark.createDataFrame([(1, None, None)], f"pair_id long, chosen array<{chat.TURN}>, rejected array<{chat.TURN}>")
     assert tuple(chat.preferences(pairs).first())[1:4] == (0, "", "")
