@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import bpe, decontaminate, quality, simhash, toxicity
 from factloom.llm.registry import tokenizer_path
-from factloom.llm.shared import saved, table
+from factloom.llm.shared import discard, fresh, saved, table
 
 #: Ids, or pairs of id and text hash, that are broadcast at most (8 or 16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -32,31 +32,31 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, name="_score").where(F.col("_score") >= quality.THRESHOLD).select(docs.columns)
+    model, score = quality.fit(docs, table(spark, sf_dir, "labels")), fresh("score", docs)
+    return quality.with_score(docs, model, name=score).where(F.col(score) >= quality.THRESHOLD).select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, name="_score").where(F.col("_score") < toxicity.THRESHOLD).select(docs.columns)
+    model, score = toxicity.fit(docs, table(spark, sf_dir, "labels")), fresh("score", docs)
+    return toxicity.with_score(docs, model, name=score).where(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The least key of a group names it: null ids last, then the smaller id, then the lesser hash.
-    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
-    keyed = docs.withColumn("_key", key)
-    grouped = saved(simhash.near_duplicates(keyed, "_key"), "groups")
-    pair = [F.col("_key.doc_id").alias("_id"), F.col("_key.text_hash").alias("_hash")]
+    key, its_id, its_hash = (fresh(name, docs) for name in ("key", "its_id", "its_hash"))
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.xxhash64("text").alias("text_hash")))
+    grouped = saved(simhash.near_duplicates(keyed, key), "groups")
+    pair = [F.col(f"{key}.doc_id").alias(its_id), F.col(f"{key}.text_hash").alias(its_hash)]
 
     def matched(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
         pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
-        return rows.join(pairs, F.col("_key.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key.text_hash") == F.col("_hash")), how)
+        return rows.join(pairs, F.col(f"{key}.doc_id").eqNullSafe(F.col(its_id)) & (F.col(f"{key}.text_hash") == F.col(its_hash)), how)
 
-    left = matched(keyed, saved(grouped.where("_key <> component_id").select(pair).distinct(), "gone"), "left_anti")
-    repeated = saved(grouped.where("_key = component_id").groupBy("_key").count().where("count > 1").select(pair), "repeated")
+    left = matched(keyed, saved(grouped.where(F.col(key) != F.col("component_id")).select(pair).distinct(), "gone"), "left_anti")
+    repeated = saved(grouped.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(pair), "repeated")
     if repeated.isEmpty():
         return left.select(docs.columns)
-    once = matched(left, repeated, "left_semi").dropDuplicates(["_key"])
+    once = matched(left, repeated, "left_semi").dropDuplicates([key])
     return matched(left, repeated, "left_anti").unionByName(once).select(docs.columns)
 
 
@@ -86,5 +86,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        if name != STAGES[0][0]:
+            discard(before)
     return docs
