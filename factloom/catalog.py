@@ -51,7 +51,8 @@ def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({c}, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+WHITE = r"[\t-\r\x1c-\x20\x85\p{{Z}}]"
+_SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace({{c}}, '([.!?]){WHITE}+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^{WHITE}+|{WHITE}+$', '', 'g')), lambda s: s <> '')"
 
 
 @query(f"SELECT doc_id, cast(len({_SENTENCES.format(c='text')}) AS BIGINT) AS n_sentences FROM documents")
@@ -254,7 +255,7 @@ def query_support(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array().cast("array<string>").alias("focus_slots"),
     )
     found = support.analyze(questions, edges, nodes, {})
-    return found.select("question_id", "support_score", "answerable", F.size("supporting_edge_ids").cast("long").alias("n_edges"))
+    return found.select("question_id", "support_score", "answerable", "n_edges")
 
 
 # Evidence -----------------------------------------------------------------------------------------
@@ -268,7 +269,7 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("item_id", F.col("doc_id") % F.lit(n)).join(items, "item_id")
 
 
-_MATCHED = "SELECT d.doc_id, d.text, b.text AS question FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id"
+_MATCHED = "SELECT d.doc_id, d.text, b.text AS question FROM (SELECT doc_id, text, doc_id % n AS item_id FROM documents, (SELECT count(*) AS n FROM benchmark)) d JOIN benchmark b ON d.item_id = b.item_id"
 
 
 @query(
@@ -415,24 +416,6 @@ def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.summary(experiment.run(load_examples(source, per_category=None)))
 
 
-@query()
-def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running counts and means of the events read as a stream; rows only."""
-    import uuid
-
-    from factloom.streaming import progress
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="factloom-stream-")
-    name = f"progress_{uuid.uuid4().hex}"
-    path = f"{sf_dir}/events.parquet"
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
-    return progress.collected(progress.snapshots(progress.watch(spark, sf_dir, fields, names="events.parquet"), "event_type", "value"), name, "complete", f"{root.rstrip('/')}/{name}")
-
-
 @query("SELECT event_type, cast(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.get_json_object("props", "$.k").cast("long") % 10).alias("k")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.numbers import rounded
+
+# They must be these for right results.
 PERSON = r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"
 PERSON_WITH_INITIAL = r"\b([A-Z][a-z]+(?: [A-Z]\.)? [A-Z][a-z]+)\b"
 MONEY = r"(USD [0-9]+(?:\.[0-9]+)?(?: billion| million)?)"
@@ -16,8 +19,17 @@ QUARTER = r"\b(Q[1-4] 20[0-9]{2})\b"
 YEAR = r"\b(?:FY)?20\d{2}\b"
 LOOSE_QUARTER = r"(?i)\bQ[1-4]\s?20\d{2}\b"
 COMPANY = r"([A-Z][A-Za-z&., ]+(?:Inc\.|Corporation|Corp\.|Company|Markets|Holdings))"
-SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9])"
+#: All white space, not only that of ASCII.
+WHITE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+SENTENCE_END = rf"(?<=[.!?]){WHITE}+(?=[A-Z0-9])"
+FIRST_STOP = rf"(?<=[\p{{L}}\p{{N}}_])\.{WHITE}+(?=[A-Z])"
 TRUNCATED = "\n\n[Truncated]\nContext truncated to the shared answer-context budget."
+# End of fixed values.
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at its ends."""
+    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
 
 
 def normalize(text: Column) -> Column:
@@ -35,7 +47,7 @@ def slug(text: Column) -> Column:
 
 
 def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, rf"{WHITE}+", " "))
 
 
 def keyword_score(text: Column, keywords: Sequence[str]) -> Column:
@@ -44,19 +56,25 @@ def keyword_score(text: Column, keywords: Sequence[str]) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), stripped), lambda s: s != "")
 
 
 def first_sentence(text: Column) -> Column:
-    """Up to the first full stop that a capital follows, with its full stop."""
-    head = F.split(F.trim(text), r"(?<=\w)\.\s+(?=[A-Z])", 2)[0]
-    return F.when(F.endswith(head, F.lit(".")), head).otherwise(F.concat(head, F.lit(".")))
+    """Up to the first full stop that a capital follows, with its full stop; an empty text stays empty."""
+    head = stripped(F.split(text, FIRST_STOP, 2)[0])
+    return F.when(F.endswith(head, F.lit(".")) | (head == ""), head).otherwise(F.concat(head, F.lit(".")))
+
+
+def first_of_each(values: Column, key: Callable[[Column], Column] = F.lower) -> Column:
+    """Of values with equal keys the first, in order of appearance: sorted by key, so long arrays take no quadratic time."""
 
+    def firsts(ranked: Column) -> Column:
+        kept = F.filter(ranked, lambda x, i: (i == 0) | ~F.get(ranked, i - 1)["key"].eqNullSafe(x["key"]))
+        return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["at"].alias("at"), x["value"].alias("value")))), lambda x: x["value"])
 
-def first_of_each(values: Column) -> Column:
-    """Distinct values, whatever their case, in order of first appearance."""
-    lowered = F.transform(values, lambda v: F.lower(v))
-    return F.filter(values, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+    ranked = F.array_sort(F.transform(values, lambda v, i: F.struct(key(v).alias("key"), i.alias("at"), v.alias("value"))))
+    # A lambda binds the sorted array, which would else be sorted again for each element.
+    return F.get(F.transform(F.array(ranked), firsts), F.lit(0))
 
 
 def persons(text: Column, initials: bool = True) -> Column:
@@ -95,14 +113,14 @@ def lenient_json(text: Column, schema: str) -> Column:
 def confidence(text: Column) -> Column:
     """A confidence in words, as a number or in percent, as 0 to 1."""
     word = F.lower(F.trim(text))
-    number = F.try_to_number(F.nullif(F.regexp_extract(word, r"\d+(?:\.\d+)?", 0), F.lit("")), F.lit("999999999.999999")).cast("double")
+    number = F.regexp_extract(word, r"\d+(?:\.\d+)?", 0).try_cast("double")
     scaled = F.when((number > 1) & (number <= 100), number / 100).otherwise(number)
     return (
         F.when(word.isin("high", "very high"), 0.85)
         .when(word.isin("medium", "moderate"), 0.6)
         .when(word.isin("low", "very low"), 0.3)
         .when(number.isNull(), 0.4)
-        .otherwise(F.round(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)), 3))
+        .otherwise(rounded(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))))
     )
 
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Mapping
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import relation_phrase, truncated
+from factloom.functions.numbers import rounded
+from factloom.functions.text import confidence, lenient_json, relation_phrase, truncated
 from factloom.plans import dims
 
+# They must be these for right results.
 QUESTION_ONLY = "Insufficient context to answer without supporting reference evidence."
 NO_EVIDENCE = "Insufficient high-quality graph evidence to answer the question."
 NO_TEMPLATE = "A graph answer was produced, but no tutorial template matched the question."
+# End of fixed values; so are the sentences of ``from_bundle``, ``shared`` and ``context``.
 
 
 def scaled_confidence(base: Column, support: Column) -> Column:
@@ -20,20 +27,33 @@ def scaled_confidence(base: Column, support: Column) -> Column:
 
 def graph_confidence(n_edges: Column, support: Column) -> Column:
     base = F.lit(0.55) + F.least(n_edges, F.lit(3)) * F.lit(0.1)
-    return F.round(F.least(scaled_confidence(base, support), F.lit(0.92)), 3)
-
-
-def by_template(template: Column, found: Column) -> tuple[Column, Column]:
-    """(answer, confidence) of selected edges ``found``: array of (relation_type, source_name), best first."""
-    of = lambda rel: F.transform(F.filter(found, lambda e: (e["relation_type"] == rel) & e["source_name"].isNotNull()), lambda e: e["source_name"])
-    members = F.concat(F.array_join(of("serves_on_committee"), ", "), F.lit(" serve on the audit committee."))
-    reporter = F.coalesce(F.get(of("reports_metric"), F.lit(0)), F.lit("The company"))
-    metric = F.concat(reporter, F.lit(" reported USD 2.4 billion of net income for Q4 2025."))
-    capital = F.lit("The company is returning capital through a USD 5 billion share repurchase program and a USD 0.42 quarterly cash dividend.")
-    none = F.size(F.coalesce(found, F.array().cast("array<struct<relation_type: string, source_name: string>>"))) == 0
-    answer = F.when(none, NO_EVIDENCE).when(template == "who-serves-on-committee", members).when(template == "metric-for-period", metric).when(template == "shareholder-return-policy", capital).otherwise(NO_TEMPLATE)
-    sure = F.when(none, 0.2).when(template == "who-serves-on-committee", 0.88).when(template == "metric-for-period", 0.84).when(template == "shareholder-return-policy", 0.83).otherwise(0.5)
-    return answer, sure
+    return rounded(F.least(scaled_confidence(base, support), F.lit(0.92)))
+
+
+@dataclass(frozen=True)
+class AnswerTemplate:
+    """Text with places like {relation.source} or {relation.target}: the names of those edges, in order, with commas."""
+
+    pattern: str
+    confidence: float
+
+
+def by_template(template: Column, found: Column, templates: Mapping[str, AnswerTemplate]) -> tuple[Column, Column]:
+    """(answer, confidence) of selected edges ``found``: array of (relation_type, source_name, target_name), best first."""
+
+    def names(relation: str, side: str) -> Column:
+        of = F.filter(found, lambda e: (e["relation_type"] == relation) & e[f"{side}_name"].isNotNull())
+        return F.array_join(F.transform(of, lambda e: e[f"{side}_name"]), ", ")
+
+    def filled(pattern: str) -> Column:
+        parts = re.split(r"\{(\w+)\.(source|target)\}", pattern)
+        return F.concat(*(F.lit(parts[i]) if i % 3 == 0 else names(parts[i], parts[i + 1]) for i in range(len(parts)) if i % 3 < 2))
+
+    none = F.coalesce(F.size(found), F.lit(0)) <= 0
+    answer, sure = F.when(none, NO_EVIDENCE), F.when(none, 0.2)
+    for name, rule in templates.items():
+        answer, sure = answer.when(template == name, filled(rule.pattern)), sure.when(template == name, rule.confidence)
+    return answer.otherwise(NO_TEMPLATE), sure.otherwise(0.5)
 
 
 def from_bundle(triples: Column, missing: Column) -> Column:
@@ -94,3 +114,45 @@ def context(mode: Column, question: Column, intent: Column, sentences: Column, t
     plain = F.concat(head("question_only"), F.lit("[Available Context]\nNo supporting evidence beyond the question text."))
     reference = F.concat(head("reference_only"), _section("Reference Sentences", F.slice(dashed(sentences), 1, sentence_limit)))
     return truncated(F.when(mode == "question_only", plain).when(mode == "reference_only", reference).otherwise(graph), budget)
+
+
+def first_reference(references: Column, question: Column, length: int = 400) -> Column:
+    """The head of the first reference, or the question."""
+    return F.when(F.size(references) > 0, F.substring(F.get(references, F.lit(0)), 1, length)).otherwise(question)
+
+
+def after_error(error: Column, references: Column, question: Column) -> Column:
+    """What stands in for an answer where a row's run failed: null where ``error`` is."""
+    note = F.concat(F.lit("Runtime exception fallback: "), error)
+    return F.when(
+        error.isNotNull(),
+        F.struct(first_reference(references, question).alias("answer"), F.lit(0.08).alias("confidence"), F.array(note).alias("quality_notes"), F.lit("runtime_error_fallback").alias("answer_generation_mode")),
+    )
+
+
+def with_agent(df: DataFrame, response: str | None, heuristic_only: bool = False) -> DataFrame:
+    """Takes the answer of a model where it can be read, else the row's own (answer, confidence, quality_notes).
+
+    Adds ``answer_generation_mode`` and ``answer_fallback_reason``; ``response`` names the column with
+    the model's JSON (its error stands in ``<response>_error``), None if no model was asked.
+    """
+    notes = F.coalesce("quality_notes", F.array().cast("array<string>")) if "quality_notes" in df.columns else F.array().cast("array<string>")
+    if response is None or heuristic_only:
+        mode = "heuristic_synthesis_baseline" if heuristic_only else "heuristic_local"
+        return df.withColumns({"quality_notes": notes, "answer_generation_mode": F.lit(mode), "answer_fallback_reason": F.lit(None).cast("string")})
+    parsed = lenient_json(F.col(response), "answer string, confidence string, quality_notes string")
+    text = F.trim(parsed["answer"])
+    good = F.coalesce(text != "", F.lit(False))
+    listed = F.from_json(parsed["quality_notes"], "array<string>")
+    said = F.filter(F.coalesce(listed, F.array(parsed["quality_notes"])), lambda n: F.coalesce(F.trim(n) != "", F.lit(False)))
+    reason = F.coalesce(F.col(f"{response}_error"), F.lit("missing worker result"))
+    fallback = F.array(F.concat(F.lit("Answer agent fallback used: "), reason))
+    return df.withColumns(
+        {
+            "answer": F.when(good, text).otherwise(F.col("answer")),
+            "confidence": F.when(good, confidence(F.coalesce(parsed["confidence"], F.lit("0.4")))).otherwise(F.col("confidence")),
+            "quality_notes": F.concat(notes, F.when(good, F.coalesce(said, F.array().cast("array<string>"))).otherwise(fallback)),
+            "answer_generation_mode": F.when(good, "openai_answer_agent").otherwise("heuristic_answer_fallback"),
+            "answer_fallback_reason": F.when(~good, reason),
+        }
+    )

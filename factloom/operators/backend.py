@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.text import lenient_json
+from factloom.operators.extract import from_model
+from factloom.plans import dims
 
 Backend = Callable[[list[dict]], list[str | None]]
 
@@ -36,6 +38,53 @@ def ask(df: DataFrame, backend: Backend, columns: Sequence[str], name: str = "re
     return df.mapInPandas(run, schema)
 
 
+# What a model is told, by task; the temperature is zero.
+INSTRUCTIONS = {
+    "profile": "Select exactly one profile from governance, financials, shareholder_return. Return JSON only with keys selected_profile, confidence, rationale.",
+    "extraction": "Extract ontology-constrained entities and relations. Return compact JSON with keys entities and relations. Each entity needs name and entity_type. Each relation needs source_name, relation_type, target_name. Return JSON only.",
+    "answer": "Answer the question using only the provided context. Do not use outside knowledge. If context is insufficient, answer conservatively and explain what is grounded versus missing. Return JSON only with keys answer, confidence, quality_notes.",
+}
+TEMPERATURE = 0.0
+# End of fixed values.
+
+
+def prompt(task: str, profile: Column | None = None) -> Column:
+    """The request of a task as JSON, from the columns of an example (and, for answers, of its question and context)."""
+    if task == "profile":
+        return F.to_json(F.struct(F.col("source_text").alias("document_text"), F.array(*map(F.lit, dims.PROFILES)).alias("allowed_profiles")))
+    if task == "extraction":
+        of = lambda table: F.create_map(*(x for name, kinds in table.items() for x in (F.lit(name), F.array(*map(F.lit, kinds)))))[profile]
+        return F.to_json(F.struct(profile.alias("profile"), of(dims.ENTITY_TYPES).alias("allowed_entity_types"), of(dims.PROFILES).alias("allowed_relation_types"), F.col("source_text").alias("document_text")))
+    policy = F.struct(*(F.lit(True).alias(name) for name in ("use_only_provided_context", "same_prompt_across_baselines", "be_conservative_when_evidence_is_missing")))
+    fields = ["target_profile", "intent_id", "focus_slots", "required_relations", "required_entity_types"]
+    return F.to_json(F.struct(F.col("question_text").alias("question"), *fields, policy.alias("answer_policy"), "context_mode", "context_text"))
+
+
+def requests(df: DataFrame, task: str, profile: Column | None = None) -> DataFrame:
+    """``df`` with the columns task, instructions, prompt and temperature that a backend gets."""
+    return df.withColumns({"task": F.lit(task), "instructions": F.lit(INSTRUCTIONS[task]), "prompt": prompt(task, profile), "temperature": F.lit(TEMPERATURE)})
+
+
+def choose_profile(df: DataFrame, response: str) -> DataFrame:
+    """The model's profile, confidence and reason where it names a known profile, else the row's own, with the failure as reason."""
+    parsed = lenient_json(F.col(response), "selected_profile string, confidence string, rationale string")
+    good = F.coalesce(parsed["selected_profile"].isin(*dims.PROFILES), F.lit(False))
+    failed = F.concat(F.lit("Heuristic fallback used after model profile selection failure: "), F.coalesce(F.col(f"{response}_error"), F.lit("missing worker result")))
+    return df.withColumns(
+        {
+            "selected_profile": F.when(good, parsed["selected_profile"]).otherwise(F.col("selected_profile")),
+            "selection_confidence": F.when(good, F.coalesce(parsed["confidence"].try_cast("double"), F.lit(0.7))).otherwise(F.col("selection_confidence")),
+            "ontology_rationale": F.when(good, F.coalesce(parsed["rationale"], F.lit(""))).otherwise(failed),
+        }
+    )
+
+
+def choose_extraction(df: DataFrame, response: str) -> DataFrame:
+    """The model's entities and relations where they can be read, else the row's own; ``extraction_mode`` says which."""
+    entities, relations = from_model(F.col(response))
+    return df.withColumns({"entities": F.coalesce(entities, F.col("entities")), "relations": F.coalesce(relations, F.col("relations")), "extraction_mode": F.when(entities.isNotNull(), "openai").otherwise("heuristic_fallback")})
+
+
 def prefer(response: Column, schema: str, field: str, heuristic: Column) -> Column:
     """A field of the parsed answer, or the heuristic."""
     return F.coalesce(lenient_json(response, schema)[field], heuristic)

@@ -5,7 +5,7 @@ Each extractor gives (entities, relations): arrays in the order that later steps
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from factloom.plans import dims
 
 ENTITIES = "array<struct<name: string, entity_type: string, confidence: double>>"
 RELATIONS = "array<struct<source_name: string, relation_type: string, target_name: string, confidence: double>>"
+MODEL_ANSWER = "entities array<struct<name: string, entity_type: string>>, relations array<struct<source_name: string, relation_type: string, target_name: string>>"
 ENTITY_CONFIDENCE, RELATION_CONFIDENCE = 0.74, 0.71
 
 
@@ -34,17 +35,13 @@ def _concat(parts: Sequence[Column], kind: str) -> Column:
     return F.concat(*(F.coalesce(p, F.array()).cast(kind) for p in parts))
 
 
-def _first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
-
-
-def distinct_entities(items: Column) -> Column:
-    return _first_of_each(items, lambda e: F.struct(F.lower(e["name"]), e["entity_type"]))
+def distinct_entities(items: Column, fold_case: bool = True) -> Column:
+    """The first of each (name, type); ``fold_case``: whatever the name's case."""
+    return X.first_of_each(items, lambda e: F.struct((F.lower(e["name"]) if fold_case else e["name"]).alias("name"), e["entity_type"].alias("entity_type")))
 
 
 def distinct_relations(items: Column) -> Column:
-    return _first_of_each(items, lambda r: F.struct(F.lower(r["source_name"]), r["relation_type"], F.lower(r["target_name"])))
+    return X.first_of_each(items, lambda r: F.struct(F.lower(r["source_name"]).alias("s"), r["relation_type"].alias("r"), F.lower(r["target_name"]).alias("t")))
 
 
 def _title(name: str) -> str:
@@ -173,6 +170,17 @@ def induced_gold(df: DataFrame, question: str, answer: str, profile: str) -> Dat
     return df.withColumns({"gold_entities": by(gov, fin, shr, none_e), "gold_relations": by(gov_r, fin_r, shr_r, none_r)}).drop("_qa", *SHARED)
 
 
+def from_model(response: Column) -> tuple[Column, Column]:
+    """(entities, relations) of a model's JSON answer; null where it can't be read, items without a name left out."""
+    parsed = X.lenient_json(response, MODEL_ANSWER)
+    none_e, none_r = F.array().cast(ENTITIES), F.array().cast(RELATIONS)
+    entities = F.transform(F.filter(parsed["entities"], lambda e: e["name"].isNotNull()), lambda e: entity(e["name"], e["entity_type"], 0.8))
+    whole = F.filter(parsed["relations"], lambda r: r["source_name"].isNotNull() & r["target_name"].isNotNull())
+    relations = F.transform(whole, lambda r: F.struct(r["source_name"].alias("source_name"), r["relation_type"].alias("relation_type"), r["target_name"].alias("target_name"), F.lit(0.78).alias("confidence")))
+    known = F.coalesce(parsed["entities"].isNotNull() | parsed["relations"].isNotNull(), F.lit(False))
+    return F.when(known, F.coalesce(entities, none_e)), F.when(known, F.coalesce(relations, none_r))
+
+
 def mentions(df: DataFrame, keys: Sequence[str], column: str = "entities") -> DataFrame:
     """Rows of an array of mentions with their place ``pos``."""
     return df.select(*keys, F.posexplode(column).alias("pos", "_m")).select(*keys, "pos", "_m.*")

@@ -31,17 +31,36 @@ def raw_id(doc: Column, name: Column, kind: Column) -> Column:
     return F.concat_ws(":", doc, slug(name), slug(kind))
 
 
-def build(entities: DataFrame, relations: DataFrame, linked: bool = True, aliases: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _node_id(linked: bool | str, aliases: Mapping[str, str] | None):
+    def node_id(name: str, kind: Column) -> Column:
+        one, other = linked_id(F.col(name), aliases), raw_id(F.col("doc_id"), F.col(name), kind)
+        return F.when(F.col(linked), one).otherwise(other) if isinstance(linked, str) else one if linked else other
+
+    return node_id
+
+
+def node_sets(entities: DataFrame, relations: DataFrame, linked: bool | str = True, aliases: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """((graph_id, node_id, alias), (graph_id, node_id, doc_id)): what ``build`` puts into arrays, a row each.
+
+    A node that many documents name has a row for each of them and no row without bound.
+    """
+    node_id = _node_id(linked, aliases)
+    named = entities.select("graph_id", node_id("name", F.col("entity_type")).alias("node_id"), F.col("name").alias("alias"), "doc_id")
+    for side in ("source_name", "target_name"):
+        named = named.unionByName(relations.select("graph_id", node_id(side, F.lit(UNRESOLVED)).alias("node_id"), F.col(side).alias("alias"), "doc_id"))
+    return named.drop("doc_id").distinct(), named.drop("alias").distinct()
+
+
+def build(entities: DataFrame, relations: DataFrame, linked: bool | str = True, aliases: Mapping[str, str] | None = None, sets: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of mentions.
 
     entities: graph_id, doc_ord, doc_id, profile, pos, name, entity_type, confidence;
     relations: graph_id, doc_ord, doc_id, profile, pos, source_name, relation_type, target_name, confidence.
-    Without linking, ids hold document and type, and endpoints never meet typed nodes.
+    Without linking, ids hold document and type, and endpoints never meet typed nodes; ``linked`` may
+    name a column that says it for each mention.  Without ``sets`` nodes have no arrays of aliases and
+    documents (``node_sets`` has them as rows), which a node named by very many documents needs.
     """
-
-    def node_id(name: str, kind: Column) -> Column:
-        return linked_id(F.col(name), aliases) if linked else raw_id(F.col("doc_id"), F.col(name), kind)
-
+    node_id = _node_id(linked, aliases)
     at = lambda phase, end: F.struct("doc_ord", F.lit(phase).alias("phase"), "pos", F.lit(end).alias("end"))
     typed = entities.select("graph_id", node_id("name", F.col("entity_type")).alias("node_id"), "name", "entity_type", "profile", "doc_id", "confidence", at(0, 0).alias("ord"))
     ends = relations.withColumns({"source_node_id": node_id("source_name", F.lit(UNRESOLVED)), "target_node_id": node_id("target_name", F.lit(UNRESOLVED))})
@@ -52,15 +71,15 @@ def build(entities: DataFrame, relations: DataFrame, linked: bool = True, aliase
     events = typed.unionByName(endpoint("source", 0)).unionByName(endpoint("target", 1))
     first = F.min_by(F.struct("name", "entity_type", "profile", (F.col("ord.phase") == 1).alias("relation_only_endpoint")), "ord")
     is_typed = F.col("ord.phase") == 0
+    arrays = [F.array_sort(F.collect_set("name")).alias("aliases"), F.array_sort(F.collect_set("doc_id")).alias("source_doc_ids")] if sets else []
     nodes = events.groupBy("graph_id", "node_id").agg(
         first.alias("first"),
-        F.array_sort(F.collect_set("name")).alias("aliases"),
-        F.array_sort(F.collect_set("doc_id")).alias("source_doc_ids"),
+        *arrays,
         F.array_sort(F.collect_set(F.when(is_typed, F.col("profile")))).alias("profiles"),
         F.max_by("confidence", F.when(is_typed, F.col("ord"))).alias("last_entity_confidence"),
         F.min("ord").alias("ord"),
     )
-    nodes = nodes.select("graph_id", "node_id", "first.*", "aliases", "source_doc_ids", "profiles", "last_entity_confidence", "ord")
+    nodes = nodes.select("graph_id", "node_id", "first.*", *(["aliases", "source_doc_ids"] if sets else []), "profiles", "last_entity_confidence", "ord")
     edge_id = F.concat_ws(":", "profile", "doc_id", F.col("pos") + 1, "source_node_id", "relation_type", "target_node_id")
     edges = ends.select("graph_id", edge_id.alias("edge_id"), "source_node_id", "relation_type", "target_node_id", "profile", F.col("doc_id").alias("source_doc_id"), "confidence", F.struct("doc_ord", "pos").alias("ord"))
     return nodes, edges

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.functions.numbers import rounded
 from factloom.functions.text import tokens
+from factloom.sources.staging import staged
 
 
 def f1(tp: Column, predicted: Column, gold: Column) -> Column:
@@ -55,6 +58,11 @@ def delta_matrix(scores: DataFrame, name: str = "baseline", value: str = "score"
     return scores.select(F.col(name).alias("lhs"), F.col(value).alias("_l")).crossJoin(F.broadcast(right)).select("lhs", "rhs", (F.col("_l") - F.col("_r")).alias("delta"))
 
 
+def delta_maps(matrix: DataFrame) -> DataFrame:
+    """(lhs, deltas): a delta matrix with a map a baseline."""
+    return matrix.groupBy("lhs").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rhs", "delta")))).alias("deltas"))
+
+
 def delta_vs(scores: DataFrame, anchor: str, name: str = "baseline", values: Sequence[str] = ("score",)) -> DataFrame:
     """Each row's values less those of the anchor row; nulls stay null."""
     base = scores.where(F.col(name) == anchor).select(*(F.col(v).alias(f"_{v}") for v in values))
@@ -69,8 +77,35 @@ def accuracy(df: DataFrame, predicted: str, gold: str, *keys: str) -> DataFrame:
 
 def running_mean(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Mean over the processed prefix of each group."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("running_mean", F.avg(value).over(w))
+    found = prefixes(df, by, order, {"_sum": F.col(value).cast("double"), "_n": F.col(value).isNotNull().cast("long")})
+    return found.withColumn("running_mean", F.try_divide("_sum", "_n")).drop("_sum", "_n")
+
+
+def checkpoints(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str], every: int = 10) -> DataFrame:
+    """(by, processed, total, mean of each value so far) after each ``every`` rows of a group, and at its end."""
+    sums = {f"_sum_{v}": F.col(v).cast("double") for v in values} | {f"_n_{v}": F.col(v).isNotNull().cast("long") for v in values}
+    found = prefixes(df, by, order, {"processed": F.lit(1).cast("long"), **sums})
+    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    found = found.join(total, list(by)).where((F.col("processed") % every == 0) | (F.col("processed") == F.col("total")))
+    return found.select(*by, "processed", "total", *(rounded(F.try_divide(f"_sum_{v}", f"_n_{v}")).alias(v) for v in values))
+
+
+def prefixes(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """``df`` with running sums over each group in order of ``order``; rows of equal order may change places.
+
+    Rows are dealt by range of group and order, so that a large group fills many tasks; each part
+    sums its own rows and adds what the parts before it hold, of which there is one row a group and part.
+    """
+    dealt = df.withColumns({f"_of{name}": x for name, x in sums.items()}).repartitionByRange(*by, *order)
+    dealt = staged(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = dealt.groupBy(*by, "_part").agg(*(F.sum(f"_of{name}").alias(f"_to{name}") for name in sums))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_part").alias("_its"), *(F.sum(f"_to{name}").over(before).alias(f"_to{name}") for name in sums))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by), F.col("_part") == F.col("_its"))
+    within = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    found = dealt.join(offsets, same)
+    return found.select(*df.columns, *((zero(F.sum(f"_of{name}").over(within)) + zero(F.col(f"_to{name}"))).alias(name) for name in sums))
 
 
 def bootstrap(df: DataFrame, value: str, id_col: str, keys: Sequence[str], resamples: int = 2000, seed: int = 7) -> DataFrame:
@@ -79,10 +114,11 @@ def bootstrap(df: DataFrame, value: str, id_col: str, keys: Sequence[str], resam
     Draw d of resample b of a group takes row number xxhash64(seed, b, d, group) mod n, so the result
     does not depend on partitions.  Rows with null values are left out; one row is its own interval.
     """
-    w = Window.partitionBy(*keys).orderBy(id_col)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), (F.row_number().over(w) - 1).cast("long").alias("_at"))
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(id_col).alias("_id"), F.col(value).cast("double").alias("_v"))
+    rows = staged(prefixes(known, keys, ["_id"], {"_at": F.lit(1).cast("long")}).select(*keys, "_v", (F.col("_at") - 1).alias("_at")), "numbered")
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
-    draws = totals.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    # Row d makes draw d of every resample, so the draws start out as spread as the rows.
+    draws = rows.select(*keys, F.col("_at").alias("_d")).join(totals, list(keys)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     draws = draws.select(*keys, "_b", F.pmod(F.xxhash64(F.lit(seed), "_b", "_d", *keys), "n").alias("_at"))
     means = draws.join(rows, [*keys, "_at"]).groupBy(*keys, "_b").agg(F.avg("_v").alias("_m"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_m", "_b")) - 1

@@ -39,42 +39,62 @@ def own_hint_slots(slots: Column, hints: Column, joined: Column) -> Column:
     return F.filter(slots, lambda s: F.exists(F.coalesce(hints[s], F.array().cast("array<string>")), lambda h: F.contains(joined, h)))
 
 
-def analyze(questions: DataFrame, edges: DataFrame, nodes: DataFrame, hints: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
+def analyze(questions: DataFrame, edges: DataFrame, nodes: DataFrame, hints: Mapping[str, Mapping[str, Sequence[str]]], edge_ids: bool = False) -> DataFrame:
     """Support of each question (graph_id, question_id, target_profile, intent_id, required_relations,
     required_entity_types, focus_slots[, focus_slot_hints]).
 
     Requirements are relations, entity types and slots, in this order; the score is the matched
-    share.  Without requirements it is 0 and the question counts as answerable.
+    share.  Without requirements it is 0 and the question counts as answerable.  A hint is looked
+    for in the words of one edge.
+
+    Edges stay rows: they are summed up by question and source node, then by question, into sets of
+    types and slots, which are short.  Only ``edge_ids`` lists the edges of a question, in order.
     """
     ends = nodes.select("graph_id", "node_id", F.col("name"), F.col("entity_type"))
     side = lambda s: ends.withColumnsRenamed({"node_id": f"{s}_node_id", "name": f"{s}_name", "entity_type": f"{s}_type"})
+    none = F.array().cast("array<string>")
+    own_hints = F.col("focus_slot_hints") if "focus_slot_hints" in questions.columns else F.lit(None).cast("map<string, array<string>>")
+    asked = questions.select("graph_id", "question_id", F.col("intent_id").alias("_intent"), F.coalesce("focus_slots", none).alias("_slots"), own_hints.alias("_hints"))
     used = supporting_edges(questions, edges).join(side("source"), ["graph_id", "source_node_id"], "left").join(side("target"), ["graph_id", "target_node_id"], "left")
+    used = used.join(asked, ["graph_id", "question_id"])
     words = F.array_join(F.array_compact(F.array(F.lower("source_name"), F.lower("target_name"), F.lower("relation_type"))), " ")
-    holder = F.when((F.col("relation_type") == "holds_role") & (F.col("source_type") == "Person"), F.col("source_node_id"))
-    facts = used.groupBy("graph_id", "question_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "edge_id", words.alias("words")))).alias("found"),
-        F.array_sort(F.collect_set("relation_type")).alias("matched_relations"),
-        F.array_sort(F.array_union(F.collect_set("source_type"), F.collect_set("target_type"))).alias("matched_entity_types"),
-        F.collect_list(holder).alias("holders"),
-        F.bool_or((F.col("relation_type") == "holds_role") & (F.col("target_type") == "OfficerRole")).alias("role_held"),
-        F.count_distinct(F.when(F.col("relation_type") == "reported_for_period", F.col("target_node_id"))).alias("n_periods"),
+    slots = F.when(F.col("_intent").isin(*hints), _hint_slots(F.col("_intent"), words, hints)).otherwise(own_hint_slots(F.col("_slots"), F.col("_hints"), words))
+    role, period = F.col("relation_type") == "holds_role", F.when(F.col("relation_type") == "reported_for_period", F.col("target_node_id"))
+    by_node = used.groupBy("graph_id", "question_id", "source_node_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.collect_set("relation_type").alias("relations"),
+        F.array_union(F.collect_set("source_type"), F.collect_set("target_type")).alias("types"),
+        F.collect_set(slots).alias("slots"),
+        F.count_if(role & (F.col("source_type") == "Person")).alias("held"),
+        F.bool_or(role & (F.col("target_type") == "OfficerRole")).alias("role_held"),
+        F.min(period).alias("first_period"),
+        F.max(period).alias("last_period"),
     )
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    facts = by_node.groupBy("graph_id", "question_id").agg(
+        F.sum("n").alias("n_edges"),
+        union("relations").alias("matched_relations"),
+        union("types").alias("matched_entity_types"),
+        F.array_distinct(F.flatten(F.flatten(F.collect_set("slots")))).alias("slots"),
+        F.max("held").alias("held"),  # of one person
+        F.bool_or("role_held").alias("role_held"),
+        (F.min("first_period") != F.max("last_period")).alias("two_periods"),
+    )
+    if edge_ids:
+        listed = used.groupBy("graph_id", "question_id").agg(F.array_sort(F.collect_list(F.struct("ord", "edge_id"))).alias("found"))
+        facts = facts.join(listed, ["graph_id", "question_id"], "left")
     df = questions.join(facts, ["graph_id", "question_id"], "left")
-    none = F.array().cast("array<string>")
-    df = df.withColumns({c: F.coalesce(c, none) for c in ("matched_relations", "matched_entity_types", "required_relations", "required_entity_types", "focus_slots", "holders")})
-    joined = F.coalesce(F.array_join(F.transform("found", lambda f: f["words"]), " "), F.lit(""))
-    own_hints = F.col("focus_slot_hints") if "focus_slot_hints" in questions.columns else F.lit(None).cast("map<string, array<string>>")
-    slots = F.when(F.col("intent_id").isin(*hints), _hint_slots(F.col("intent_id"), joined, hints)).otherwise(own_hint_slots(F.col("focus_slots"), own_hints, joined))
-    twice = F.size("holders") > F.size(F.array_distinct("holders"))  # someone holds two roles
-    person = F.array_compact(F.array(F.when(F.size("holders") > 0, F.lit("person")), F.when(F.col("role_held"), F.lit("current_role")), F.when(twice, F.lit("prior_role"))))
-    both = F.when((F.col("intent_id") == "financials_metric_delta") & (F.coalesce("n_periods", F.lit(0)) >= 2), F.array(F.lit("current_period"), F.lit("prior_period"))).otherwise(none)
-    filled = F.when(F.col("intent_id") == "governance_role_transition", person).otherwise(F.array_union(slots, both))
+    df = df.withColumns({c: F.coalesce(c, none) for c in ("matched_relations", "matched_entity_types", "required_relations", "required_entity_types", "focus_slots", "slots")})
+    person = F.array_compact(F.array(F.when(F.col("held") > 0, F.lit("person")), F.when(F.col("role_held"), F.lit("current_role")), F.when(F.col("held") > 1, F.lit("prior_role"))))
+    both = F.when((F.col("intent_id") == "financials_metric_delta") & F.col("two_periods"), F.array(F.lit("current_period"), F.lit("prior_period"))).otherwise(none)
+    filled = F.when(F.col("intent_id") == "governance_role_transition", person).otherwise(F.array_union("slots", both))
     df = df.withColumn("filled_slots", F.array_sort(filled))
     named = lambda prefix, items: F.transform(items, lambda x: F.concat(F.lit(prefix), x))
     needs = F.concat(named("relation:", "required_relations"), named("entity_type:", "required_entity_types"), named("slot:", "focus_slots"))
     has = F.concat(named("relation:", "matched_relations"), named("entity_type:", "matched_entity_types"), named("slot:", "filled_slots"))
     df = df.withColumns({"requirements": needs, "has": has})
     matched = F.size(F.array_intersect("requirements", "has"))
+    ids = [F.coalesce(F.transform("found", lambda f: f["edge_id"]), none).alias("supporting_edge_ids")] if edge_ids else []
     return df.select(
         "graph_id",
         "question_id",
@@ -82,7 +102,8 @@ def analyze(questions: DataFrame, edges: DataFrame, nodes: DataFrame, hints: Map
         "intent_id",
         F.coalesce(F.try_divide(matched, F.size("requirements")), F.lit(0.0)).alias("support_score"),
         F.forall("requirements", lambda r: F.array_contains("has", r)).alias("answerable"),
-        F.coalesce(F.transform("found", lambda f: f["edge_id"]), none).alias("supporting_edge_ids"),
+        F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"),
+        *ids,
         F.filter("requirements", lambda r: ~F.array_contains("has", r)).alias("missing_requirements"),
         "matched_relations",
         "matched_entity_types",

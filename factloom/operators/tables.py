@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,3 +50,9 @@ def stale_gaps(df: DataFrame, by: str, ts: str, seconds: int, tie: str) -> DataF
     following = F.lead(ts).over(Window.partitionBy(by).orderBy(ts, tie))
     gap = following.cast("timestamp").cast("long") - F.col(ts).cast("timestamp").cast("long")
     return df.withColumn("gap_seconds", gap).where(F.col("gap_seconds") > seconds)
+
+
+def merged_by_priority(parts: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
+    """Rows of several tables by key; of equal keys the last table's row stays."""
+    numbered = reduce(DataFrame.unionByName, (df.withColumn("_nth", F.lit(i)) for i, df in enumerate(parts)))
+    return latest(numbered, key, ["_nth"]).drop("_nth")

@@ -12,6 +12,11 @@ PROFILES = {
     "financials": ("reports_metric", "reported_for_period", "segment_contribution"),
     "shareholder_return": ("announced_repurchase", "declared_dividend", "applies_to_share_class"),
 }
+ENTITY_TYPES = {
+    "governance": ("LegalEntity", "Person", "OfficerRole", "Board", "Committee"),
+    "financials": ("LegalEntity", "FinancialMetric", "ReportingPeriod", "BusinessSegment", "MonetaryAmount"),
+    "shareholder_return": ("LegalEntity", "RepurchaseProgram", "Dividend", "ShareClass", "MonetaryAmount"),
+}
 SECTION_PROFILES = {"governance": "governance", "financials": "financials", "shareholder return": "shareholder_return"}
 PROFILE_KEYWORDS = {
     "governance": ("board", "director", "audit committee", "chief executive officer", "governance", "chair", "officer"),

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
-from factloom.operators import answers, evidence, extract, graph, metrics, profiles, quality, support
+from factloom.functions.numbers import rounded
+from factloom.operators import answers, evidence, extract, graph, metrics, profiles, quality, support, tables
+from factloom.operators.backend import Backend, ask, requests
 from factloom.plans import dims
 from factloom.plans.sample import allowed_relations
 from factloom.sources.staging import staged
@@ -60,33 +62,56 @@ def _mentions(df: DataFrame, column: str) -> DataFrame:
     return df.select("graph_id", F.lit(0).alias("doc_ord"), F.col("example_id").alias("doc_id"), F.col("selected_profile").alias("profile"), F.posexplode(column).alias("pos", "_m")).select("graph_id", "doc_ord", "doc_id", "profile", "pos", "_m.*")
 
 
-def extraction_scores(df: DataFrame) -> DataFrame:
-    """(graph_id, extraction_f1) against the proxy gold of question and answer; F1s are rounded before their mean."""
+def resolved_gold(df: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """Adds gold_entities, gold_relations and evaluation_gold_source: manual gold where there is any, else the proxy of question and answer.
+
+    ``manual`` has (example_id, gold_entities, gold_relations); all names come in normal form.
+    """
     df = extract.induced_gold(df, "question_text", "answer_text", "target_profile")
+    if manual is None:
+        return df.withColumn("evaluation_gold_source", F.lit("induced_proxy"))
+    n = X.normalize
+    known = manual.select(
+        "example_id",
+        F.transform("gold_entities", lambda e: F.struct(n(e["name"]).alias("name"), e["entity_type"].alias("entity_type"))).alias("_manual_e"),
+        F.transform("gold_relations", lambda r: F.struct(n(r["source_name"]).alias("source_name"), r["relation_type"].alias("relation_type"), n(r["target_name"]).alias("target_name"))).alias("_manual_r"),
+        F.lit(True).alias("_manual"),
+    )
+    df = df.join(known, "example_id", "left")
+    given = F.coalesce("_manual", F.lit(False))
+    of = lambda c, kept: F.when(given, F.coalesce(F.array_distinct(kept), F.array().cast(df.schema[c].dataType))).otherwise(F.col(c))
+    return df.withColumns({"gold_entities": of("gold_entities", "_manual_e"), "gold_relations": of("gold_relations", "_manual_r"), "evaluation_gold_source": F.when(given, "manual_gold").otherwise("induced_proxy")}).drop("_manual", "_manual_e", "_manual_r")
+
+
+def extraction_scores(df: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """(graph_id, extraction_f1, evaluation_gold_source) against resolved gold; F1s are rounded before their mean."""
+    df = staged(resolved_gold(df, manual), "gold")
     n = X.normalize
     pred_e = df.select("graph_id", F.explode("entities").alias("m")).select("graph_id", n(F.col("m.name")).alias("a"), F.col("m.entity_type").alias("b"))
     pred_r = df.select("graph_id", F.explode("relations").alias("m")).select("graph_id", n(F.col("m.source_name")).alias("a"), F.col("m.relation_type").alias("b"), n(F.col("m.target_name")).alias("c"))
     true_e = df.select("graph_id", F.explode("gold_entities").alias("m")).select("graph_id", F.col("m.name").alias("a"), F.col("m.entity_type").alias("b"))
     true_r = df.select("graph_id", F.explode("gold_relations").alias("m")).select("graph_id", F.col("m.source_name").alias("a"), F.col("m.relation_type").alias("b"), F.col("m.target_name").alias("c"))
-    e = metrics.set_scores(pred_e, true_e, ["a", "b"], ["graph_id"]).select("graph_id", F.round("f1", 3).alias("ef"))
-    r = metrics.set_scores(pred_r, true_r, ["a", "b", "c"], ["graph_id"]).select("graph_id", F.round("f1", 3).alias("rf"))
-    both = df.select("graph_id").join(e, "graph_id", "left").join(r, "graph_id", "left")
+    e = metrics.set_scores(pred_e, true_e, ["a", "b"], ["graph_id"]).select("graph_id", rounded(F.col("f1")).alias("ef"))
+    r = metrics.set_scores(pred_r, true_r, ["a", "b", "c"], ["graph_id"]).select("graph_id", rounded(F.col("f1")).alias("rf"))
+    both = df.select("graph_id", "evaluation_gold_source").join(e, "graph_id", "left").join(r, "graph_id", "left")
     # No mention on either side is a full score.
-    return both.select("graph_id", F.round((F.coalesce("ef", F.lit(1.0)) + F.coalesce("rf", F.lit(1.0))) / 2, 3).alias("extraction_f1"))
+    return both.select("graph_id", rounded((F.coalesce("ef", F.lit(1.0)) + F.coalesce("rf", F.lit(1.0))) / 2).alias("extraction_f1"), "evaluation_gold_source")
 
 
-def run(examples: DataFrame, config: Config | None = None) -> DataFrame:
+def run(examples: DataFrame, config: Config | None = None, manual: DataFrame | None = None, backend: Backend | None = None) -> DataFrame:
     """One row an example and baseline: profile, graph size, issues, support, answer, scores.
 
-    ``examples`` are the rows of ``load_examples``.
+    ``examples`` are the rows of ``load_examples``, ``manual`` manual gold.  A ``backend`` answers every
+    baseline from its context by the same prompt; where it fails, the heuristic answer stays.
     """
     config = config or Config()
     spark = examples.sparkSession
     examples = with_intents(examples)
     # Mentions and graph feed every later table.
     made = staged(extractions(examples), "extractions")
-    nodes, edges = (staged(table, "graph") for table in graph.build(_mentions(made, "entities"), _mentions(made, "relations")))
-    issues = staged(quality.analyze(nodes, edges, allowed_relations(spark)), "issues")
+    entities, relations = _mentions(made, "entities"), _mentions(made, "relations")
+    nodes, edges = (staged(table, "graph") for table in graph.build(entities, relations, sets=False))
+    issues = staged(quality.analyze(nodes, edges, allowed_relations(spark), graph.node_sets(entities, relations)[0]), "issues")
     questions = made.select("graph_id", F.col("example_id").alias("question_id"), "target_profile", "intent_id", "required_relations", "required_entity_types", "focus_slots")
     found = staged(support.analyze(questions, edges, nodes, dims.SLOT_HINTS), "support")
 
@@ -98,12 +123,11 @@ def run(examples: DataFrame, config: Config | None = None) -> DataFrame:
     lines = evidence.sentence_rows(made.select("graph_id", "references"), ["graph_id"])
     snippets = evidence.snippets(used.select("graph_id", "edge_id", "source_name", "relation_type", "target_name"), lines, "graph_id", config.snippet_limit)
     bundles = staged(evidence.bundle(used, snippets, ["graph_id"]), "bundles")
-    counts = used.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_edges"))
     n_issues = issues.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_issues"))
     n_nodes = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes"))
 
-    df = made.select("graph_id", "baseline", "example_id", "category", "question_text", "answer_text", "target_profile", "by_keywords", "selected_profile", "intent_id", F.size("entities").alias("n_entities"), F.size("relations").alias("n_relations"))
-    for other in (found.drop("question_id", "target_profile", "intent_id"), bundles, counts, n_issues, n_nodes, extraction_scores(made)):
+    df = made.select("graph_id", "baseline", "example_id", "category", "question_text", "answer_text", "target_profile", "by_keywords", "selected_profile", "intent_id", F.size("entities").alias("n_entities"), F.size("relations").alias("n_relations"), "references", "focus_slots", "required_relations", "required_entity_types")
+    for other in (found.drop("question_id", "target_profile", "intent_id"), bundles, n_issues, n_nodes, extraction_scores(made, manual)):
         df = df.join(other, "graph_id", "left")
     df = df.na.fill(0, ["n_edges", "n_issues", "n_nodes"])
     missing = support.missing_slots(F.col("missing_requirements"))
@@ -111,27 +135,72 @@ def run(examples: DataFrame, config: Config | None = None) -> DataFrame:
 
     best = evidence.reference_sentences(examples, ["example_id"], "question_text", limit=config.reference_sentence_limit)
     text = best.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("edge_overlap")).alias("a"), (-F.col("token_overlap")).alias("b"), (-F.col("length")).alias("c"), "pos", "sentence"))).alias("s"))
-    text = text.select("example_id", F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("answer"))
-    plain = examples.select("example_id", "category", "question_text", "answer_text", "target_profile", "intent_id")
-    reference = plain.join(text, "example_id", "left").withColumns({"baseline": F.lit("reference_only_baseline"), "answer": F.coalesce("answer", F.lit("Reference context did not provide grounded answer text.")), "confidence": F.lit(0.35)})
+    text = text.select("example_id", F.transform("s", lambda x: x["sentence"]).alias("sentences"))
+    plain = examples.select("example_id", "category", "question_text", "answer_text", "target_profile", "intent_id", "references", "focus_slots", "required_relations", "required_entity_types")
+    reference = plain.join(text, "example_id", "left").withColumns({"baseline": F.lit("reference_only_baseline"), "answer": F.coalesce(F.array_join("sentences", " "), F.lit("Reference context did not provide grounded answer text.")), "confidence": F.lit(0.35)})
     asked = plain.withColumns({"baseline": F.lit("question_only_baseline"), "answer": F.lit("Insufficient grounded context to answer from the question alone."), "confidence": F.lit(0.12)})
     rows = df.unionByName(reference, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
-    rows = staged(rows.withColumn("graph_id", F.concat_ws(":", "baseline", "example_id")), "answers")
-    return rows.join(metrics.token_f1(rows, ["graph_id"], "answer", "answer_text").withColumn("token_f1", F.round("token_f1", 3)), "graph_id")
+    mode = F.when(F.col("baseline").isin(GRAPH_BASELINES), "graph_evidence_bundle").otherwise(F.replace(F.col("baseline"), F.lit("_baseline"), F.lit("")))
+    rows = rows.withColumns({"graph_id": F.concat_ws(":", "baseline", "example_id"), "context_mode": mode, "missing_slots": F.coalesce(support.missing_slots(F.col("missing_requirements")), F.array().cast("array<string>"))})
+    if backend is not None:
+        context = answers.context(F.col("context_mode"), F.col("question_text"), F.col("intent_id"), F.col("sentences"), F.col("triples"), F.col("missing_slots"), config.context_char_budget, config.reference_sentence_limit, config.graph_triple_limit, config.snippet_limit)
+        rows = ask(requests(rows.withColumn("context_text", context), "answer"), backend, ["example_id", "task", "instructions", "prompt", "temperature"])
+    rows = answers.with_agent(rows, "response" if backend is not None else None)
+    rows = staged(rows.drop("context_text", "task", "instructions", "prompt", "temperature", "response", "response_error"), "answers")
+    return rows.join(metrics.token_f1(rows, ["graph_id"], "answer", "answer_text").withColumn("token_f1", rounded(F.col("token_f1"))), "graph_id")
+
+
+def details(rows: DataFrame, per_baseline: int | None = 25) -> DataFrame:
+    """Answer details of each baseline's first examples: (baseline, example_id, answer struct)."""
+    kept = rows if per_baseline is None else tables.per_group_limit(rows, per_baseline, ["baseline"], [F.col("example_id")])
+    bundle = F.struct("context_mode", "answer_generation_mode", "answer_fallback_reason", "intent_id", "focus_slots", "answerable", "missing_slots", "filled_slots", "missing_requirements", "matched_relations", "matched_entity_types", F.col("sentences").alias("reference_sentences"), "triples")
+    answer = F.struct(
+        F.col("example_id").alias("question_id"),
+        "category",
+        F.coalesce("selected_profile", "target_profile").alias("profile_used"),
+        F.col("question_text").alias("question"),
+        "answer",
+        F.col("answer_text").alias("ground_truth_answer"),
+        "token_f1",
+        "confidence",
+        F.transform("triples", lambda t: t["edge_id"]).alias("selected_edge_ids"),
+        "quality_notes",
+        bundle.alias("evidence_bundle"),
+    )
+    return kept.select("baseline", "example_id", answer.alias("answer"))
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """One row a baseline; metrics that do not apply to it are null."""
+def _applicable(rows: DataFrame) -> DataFrame:
+    """The metrics of each row; null where they do not apply to its baseline."""
     chosen = F.col("baseline").isin(GRAPH_BASELINES[1:])
     built = F.col("baseline").isin(GRAPH_BASELINES)
-    right = F.when(chosen, (F.col("selected_profile") == F.col("target_profile")).cast("double"))
-    table = rows.groupBy("baseline").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("token_f1"), 3).alias("answer_quality_score"),
-        F.round(F.avg(right), 3).alias("profile_selection_accuracy"),
-        F.round(F.avg(F.when(built, F.col("extraction_f1"))), 3).alias("extraction_f1"),
-        F.round(F.avg(F.when(built, F.col("support_score"))), 3).alias("support_coverage"),
-        F.round(F.avg("confidence"), 3).alias("avg_confidence"),
+    return rows.select(
+        "baseline",
+        "example_id",
+        F.col("token_f1").alias("answer_quality_score"),
+        F.when(chosen, (F.col("selected_profile") == F.col("target_profile")).cast("double")).alias("profile_selection_accuracy"),
+        F.when(built, F.col("extraction_f1")).alias("extraction_f1"),
+        F.when(built, F.col("support_score")).alias("support_coverage"),
+        F.when(built, F.coalesce("n_issues", F.lit(0))).alias("n_issues"),
+        "confidence",
     )
-    delta = metrics.delta_vs(table, "reference_only_baseline", "baseline", ["answer_quality_score"])
-    return table.join(delta.withColumn("answer_quality_delta", F.round("answer_quality_score_delta", 3)).drop("answer_quality_score_delta"), "baseline")
+
+
+METRICS = ("answer_quality_score", "profile_selection_accuracy", "extraction_f1", "support_coverage")
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """One row a baseline; metrics that do not apply to it are null."""
+    table = _applicable(rows).groupBy("baseline").agg(
+        F.count(F.lit(1)).alias("n"), *(rounded(F.avg(m)).alias(m) for m in METRICS), rounded(F.avg("confidence")).alias("avg_confidence"), F.sum("n_issues").alias("n_issues")
+    )
+    table = staged(table, "summary")
+    for anchor, name in (("reference_only_baseline", "answer_quality_delta"), ("question_only_baseline", "answer_quality_delta_vs_question_only")):
+        delta = metrics.delta_vs(table, anchor, "baseline", ["answer_quality_score"]).select("baseline", rounded(F.col("answer_quality_score_delta")).alias(name))
+        table = table.join(delta, "baseline", "left")
+    return table
+
+
+def partial_summary(rows: DataFrame, every: int = 10) -> DataFrame:
+    """(baseline, processed, total, metrics so far) after each ``every`` examples and at the end."""
+    return metrics.checkpoints(_applicable(rows), ["baseline"], ["example_id"], METRICS, every)

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.numbers import rounded
 from factloom.functions.text import normalize
-from factloom.operators import metrics
+from factloom.operators import extract, metrics
 from factloom.plans import dims
 
 _ENTITY = "struct<name: string, entity_type: string, confidence: double, source_doc_id: string>"
@@ -37,7 +38,7 @@ def conformance(profile: Column, relations: Column) -> Column:
     """Share of relations that the profile allows; null without relations or for an unknown profile."""
     allowed = F.create_map(*(x for p, rels in dims.PROFILES.items() for x in (F.lit(p), F.array(*map(F.lit, rels)))))[profile]
     good = F.size(F.filter(relations, lambda r: F.array_contains(allowed, r["relation_type"])))
-    return F.when((F.size(F.coalesce(relations, F.array())) > 0) & allowed.isNotNull(), good / F.size(relations))
+    return rounded(F.when((F.size(F.coalesce(relations, F.array())) > 0) & allowed.isNotNull(), good / F.size(relations)))
 
 
 def fallback_or_error(rationale: str = "profile_decision.ontology_rationale") -> Column:
@@ -90,15 +91,16 @@ def records(artifacts: DataFrame) -> DataFrame:
 def baseline_summary(flat: DataFrame) -> DataFrame:
     """Means of the records by baseline; what is null does not count."""
     counted = [c for c, kind in flat.dtypes if c.endswith("_count")]
-    rate = lambda c: F.avg(F.col(c).cast("int").cast("double"))
+    mean = lambda c: rounded(F.avg(c))
+    rate = lambda c: rounded(F.avg(F.col(c).cast("int").cast("double")))
     return flat.groupBy("baseline").agg(
         F.count(F.lit(1)).alias("sample_count"),
-        *(F.avg(c).alias(f"avg_{c}") for c in counted),
-        F.avg("allowed_relation_ratio").alias("relation_schema_conformance_rate"),
+        *(mean(c).alias(f"avg_{c}") for c in counted),
+        mean("allowed_relation_ratio").alias("relation_schema_conformance_rate"),
         rate("support_positive").alias("query_support_positive_rate"),
         rate("answerable").alias("answerable_rate"),
-        F.avg("support_score").alias("avg_support_score"),
-        F.avg("token_f1").alias("avg_answer_token_f1"),
+        mean("support_score").alias("avg_support_score"),
+        mean("token_f1").alias("avg_answer_token_f1"),
     )
 
 
@@ -108,6 +110,59 @@ def histogram(artifacts: DataFrame, items: str, kind: str) -> DataFrame:
     return rows.groupBy("baseline", kind).agg(F.count(F.lit(1)).alias("n")).orderBy("baseline", F.desc("n"), kind)
 
 
+def profile_histogram(flat: DataFrame) -> DataFrame:
+    """(baseline, selected_profile, n) of the records that name one, most frequent first."""
+    named = flat.where(F.coalesce("selected_profile", F.lit("")) != "")
+    return named.groupBy("baseline", "selected_profile").agg(F.count(F.lit(1)).alias("n")).orderBy("baseline", F.desc("n"), "selected_profile")
+
+
+#: What a summary is compared in.
+COMPARED = (
+    "avg_entity_count", "avg_relation_count", "relation_schema_conformance_rate", "avg_schema_violation_count", "avg_disconnected_node_count",
+    "avg_support_score", "answerable_rate", "avg_filled_slot_count", "avg_selected_edge_count", "avg_answer_token_f1",
+)
+
+
+def delta_table(summary: DataFrame, anchor: str) -> DataFrame:
+    """Each baseline's summary less the anchor's, in the metrics ``COMPARED``; null where either is; no anchor, no rows."""
+    found = metrics.delta_vs(summary, anchor, "baseline", COMPARED)
+    return found.select("baseline", F.lit(anchor).alias("delta_against"), *(rounded(F.col(f"{m}_delta")).alias(f"{m}_delta") for m in COMPARED))
+
+
+def _canonical(category: Column) -> Column:
+    return F.replace(F.trim(F.regexp_replace(F.lower(category), r"\s+", " ")), F.lit(" "), F.lit("_"))
+
+
+def _set_f1(predicted: DataFrame, gold: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, entity and relation precision, recall, F1) of two tables of mentions in arrays ``entities`` and ``relations``."""
+    n = normalize
+    items = {
+        "entity": ("entities", lambda m: [n(m["name"]).alias("a"), m["entity_type"].alias("b")]),
+        "relation": ("relations", lambda m: [n(m["source_name"]).alias("a"), m["relation_type"].alias("b"), n(m["target_name"]).alias("c")]),
+    }
+    table = predicted.select(*keys)
+    for kind, (column, fields) in items.items():
+        rows = [df.select(*keys, F.explode(column).alias("m")).select(*keys, *fields(F.col("m"))) for df in (predicted, gold)]
+        names = ["a", "b", "c"][: 2 if kind == "entity" else 3]
+        found = metrics.set_scores(*rows, names, keys).select(*keys, *(F.col(c).alias(f"{kind}_{c}") for c in ("precision", "recall", "f1")))
+        # No mention on either side is a full score.
+        table = table.join(found, list(keys), "left").na.fill(1.0, [f"{kind}_{c}" for c in ("precision", "recall", "f1")])
+    return table
+
+
+def artifact_extraction_f1(artifacts: DataFrame) -> DataFrame:
+    """(baseline, example_id, ontology_constrained_extraction_f1) against the proxy gold of question and answer; 0 if nothing was predicted."""
+    a, none = F.col("answer"), F.lit("")
+    asked = artifacts.select(
+        "baseline", "example_id", F.coalesce("extraction.entities", F.array().cast(f"array<{_ENTITY}>")).alias("entities"), F.coalesce("extraction.relations", F.array().cast(f"array<{_RELATION}>")).alias("relations"),
+        F.coalesce(a["question"], none).alias("question"), F.coalesce(a["ground_truth_answer"], none).alias("truth"), _canonical(F.coalesce(a["category"], none)).alias("profile"),
+    )
+    gold = extract.induced_gold(asked, "question", "truth", "profile")
+    gold = gold.select("baseline", "example_id", F.col("gold_entities").alias("entities"), F.col("gold_relations").alias("relations"))
+    found = _set_f1(asked, gold, ["baseline", "example_id"]).join(asked.select("baseline", "example_id", (F.size("entities") + F.size("relations") == 0).alias("empty")), ["baseline", "example_id"])
+    return found.select("baseline", "example_id", F.when(F.col("empty"), 0.0).otherwise(rounded((F.col("entity_f1") + F.col("relation_f1")) / 2)).alias("ontology_constrained_extraction_f1"))
+
+
 def metric_rows(answers: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Per-example metrics: answers (baseline, doc_id, category, token_f1) and artifacts, outer joined.
 
@@ -120,23 +175,25 @@ def metric_rows(answers: DataFrame, artifacts: DataFrame) -> DataFrame:
         F.col("example_id").alias("doc_id"),
         F.col("answer.category").alias("_category"),
         F.col("query_support.support_score").alias("query_support_path_coverage"),
-        F.round(conformance(F.col("profile_decision.selected_profile"), F.col("extraction.relations")), 3).alias("relation_schema_conformance_rate"),
+        conformance(F.col("profile_decision.selected_profile"), F.col("extraction.relations")).alias("relation_schema_conformance_rate"),
         fallback_or_error().alias("fallback_error_rate"),
         F.col("profile_decision.selected_profile").alias("_profile"),
     )
+    extraction = artifact_extraction_f1(artifacts).withColumnRenamed("example_id", "doc_id")
+    art = art.join(extraction, ["baseline", "doc_id"], "left")
     reference = answers.where("baseline = 'reference_only_baseline'").select("doc_id", F.col("token_f1").alias("_reference"))
     df = answers.join(art, ["baseline", "doc_id"], "full_outer").join(reference, "doc_id", "left")
     df = df.withColumn("category", F.coalesce("category", "_category")).where("category IS NOT NULL")
     graph, chosen = F.col("baseline").isin(built), F.col("baseline").isin(built[1:])
-    of_category = F.replace(F.trim(F.regexp_replace(F.lower("category"), r"\s+", " ")), F.lit(" "), F.lit("_"))
+    of_category = _canonical(F.col("category"))
     return df.select(
         "baseline",
         "doc_id",
         "category",
         F.col("token_f1").alias("answer_quality_score"),
-        F.round(F.col("token_f1") - F.col("_reference"), 3).alias("answer_quality_delta"),
+        rounded(F.col("token_f1") - F.col("_reference")).alias("answer_quality_delta"),
         F.when(chosen, (F.col("_profile") == of_category).cast("double")).alias("profile_selection_accuracy"),
-        *(F.when(graph, F.col(c)).alias(c) for c in ("query_support_path_coverage", "relation_schema_conformance_rate", "fallback_error_rate")),
+        *(F.when(graph, F.col(c)).alias(c) for c in ("ontology_constrained_extraction_f1", "query_support_path_coverage", "relation_schema_conformance_rate", "fallback_error_rate")),
     )
 
 
@@ -158,28 +215,67 @@ def snapshot(answers: DataFrame) -> DataFrame:
         from_json("$.support_score").cast("double").alias("s"),
         from_json("$.answerable").cast("boolean").cast("int").alias("a"),
     )
-    mean = lambda c, name: F.round(F.avg(c), 3).alias(name)
+    mean = lambda c, name: rounded(F.avg(c)).alias(name)
     sets = df.groupingSets([[F.col("baseline")], [F.col("baseline"), F.col("category")]], "baseline", "category")
     return sets.agg(F.grouping("category").cast("int").alias("is_total"), F.count(F.lit(1)).alias("example_count"), mean("f", "answer_quality_score"), mean("c", "avg_answer_confidence"), mean("s", "avg_support_score"), mean("a", "answerable_rate"))
 
 
 def manual_gold_scores(artifacts: DataFrame, gold: DataFrame) -> DataFrame:
-    """Artifacts against manual gold: profile, intent, slot coverage, preferred evidence; null where gold lists nothing."""
-    df = artifacts.join(gold.withColumnRenamed("category", "gold_category"), "example_id")
+    """Artifacts against manual gold, one row an artifact that has gold: profile, intent, extraction, slots, evidence; null where gold lists nothing."""
+    df = artifacts.join(gold.withColumnsRenamed({"category": "gold_category", "intent_id": "gold_intent_id"}), "example_id")
     bundle = F.col("answer.evidence_bundle")
     none = F.array().cast("array<string>")
     triples = F.transform(bundle["triples"], lambda t: F.concat_ws(" ", t["source_name"], t["relation_type"], t["target_name"], F.array_join(t["provenance_snippets"], " ")))
     text = normalize(F.concat_ws(" ", F.col("answer.answer"), F.array_join(F.coalesce(bundle["reference_sentences"], none), " "), F.array_join(F.coalesce(triples, none), " ")))
     needed, wanted = F.array_distinct("required_answer_slots"), F.col("preferred_answer_evidence")
-    filled = F.coalesce(bundle["filled_slots"], none)
+    filled = F.array_sort(F.array_distinct(F.coalesce(bundle["filled_slots"], none)))
     hits = F.size(F.filter(wanted, lambda t: F.contains(text, normalize(t))))
     intent = F.coalesce(F.nullif(F.col("query_support.intent_id"), F.lit("")), bundle["intent_id"], F.lit(""))
-    return df.select(
-        "baseline",
-        "example_id",
-        (F.col("profile_decision.selected_profile") == F.col("gold_profile")).alias("profile_match"),
-        (intent == F.col("intent_id")).alias("intent_match"),
-        F.when(F.size(needed) > 0, F.size(F.array_intersect(needed, filled)) / F.size(needed)).alias("required_slot_coverage"),
-        F.when(F.size(wanted) > 0, hits / F.size(wanted)).alias("preferred_evidence_hit_rate"),
+    keys = ["baseline", "example_id"]
+    entities, relations = F.array().cast(f"array<{_ENTITY}>"), F.array().cast(f"array<{_RELATION}>")
+    predicted = df.select(*keys, F.coalesce("extraction.entities", entities).alias("entities"), F.coalesce("extraction.relations", relations).alias("relations"))
+    f1 = _set_f1(predicted, df.select(*keys, F.col("gold_entities").alias("entities"), F.col("gold_relations").alias("relations")), keys)
+    kinds = [f"{kind}_{c}" for kind in ("entity", "relation") for c in ("precision", "recall", "f1")]
+    f1 = f1.select(*keys, *(rounded(F.col(c)).alias(c) for c in kinds)).withColumn("extraction_f1_manual", rounded((F.col("entity_f1") + F.col("relation_f1")) / 2))
+    selected = F.col("profile_decision.selected_profile")
+    judged = df.select(
+        *keys,
+        F.col("gold_category").alias("category"),
+        "gold_profile",
+        selected.alias("predicted_profile"),
+        selected.eqNullSafe(F.col("gold_profile")).alias("profile_match"),
+        "gold_intent_id",
+        intent.alias("predicted_intent_id"),
+        (intent == F.col("gold_intent_id")).alias("intent_match"),
+        filled.alias("filled_slots"),
+        rounded(F.when(F.size(needed) > 0, F.size(F.array_intersect(needed, filled)) / F.size(needed))).alias("required_slot_coverage"),
+        rounded(F.when(F.size(wanted) > 0, hits / F.size(wanted))).alias("preferred_evidence_hit_rate"),
         F.col("answer.token_f1").alias("answer_token_f1"),
+        F.col("extraction.evaluation_gold_source").alias("evaluation_gold_source"),
+        F.col("error").alias("artifact_error"),
+    )
+    return judged.join(f1, keys)
+
+
+def manual_gold_missing(artifacts: DataFrame, gold: DataFrame) -> DataFrame:
+    """(baseline, example_id) of gold examples that a baseline has no artifact for."""
+    baselines = artifacts.select("baseline").distinct().groupBy().agg(F.collect_list("baseline").alias("b"))  # six names or so
+    wanted = gold.select("example_id").crossJoin(F.broadcast(baselines)).select(F.explode("b").alias("baseline"), "example_id")
+    return wanted.join(artifacts.select("baseline", "example_id"), ["baseline", "example_id"], "left_anti")
+
+
+def manual_gold_summary(scores: DataFrame, missing: DataFrame) -> DataFrame:
+    """One row a baseline: counts and six means; what is null does not count."""
+    mean = lambda c, name: rounded(F.avg(F.col(c).cast("double"))).alias(name)
+    match = lambda c, name: rounded(F.avg(F.col(c).cast("int").cast("double"))).alias(name)
+    found = scores.groupBy("baseline").agg(
+        F.count(F.lit(1)).alias("sample_count"),
+        match("profile_match", "profile_selection_accuracy_manual"),
+        match("intent_match", "intent_accuracy_manual"),
+        mean("extraction_f1_manual", "ontology_constrained_extraction_f1_manual"),
+        mean("required_slot_coverage", "required_answer_slot_coverage_manual"),
+        mean("preferred_evidence_hit_rate", "preferred_answer_evidence_hit_rate"),
+        mean("answer_token_f1", "answer_token_f1"),
     )
+    lost = missing.groupBy("baseline").agg(F.count(F.lit(1)).alias("missing_artifact_count"))
+    return found.join(lost, "baseline", "full_outer").na.fill(0, ["sample_count", "missing_artifact_count"])

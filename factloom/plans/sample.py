@@ -13,9 +13,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factloom.functions import text as X
+from factloom.functions.numbers import rounded
 from factloom.operators import answers, evidence, graph, metrics, profiles, quality, support
 from factloom.operators.extract import ENTITIES, RELATIONS, distinct_entities, entity, relation
 from factloom.plans import dims
@@ -34,6 +34,8 @@ class RuleSet:
     entity_confidence: float = 0.88
     relation_confidence: float = 0.84
     dedupe: bool = False
+    #: Answers by query template.
+    templates: Mapping[str, answers.AnswerTemplate] = field(default_factory=dict)
 
 
 def _people(text: Column) -> Column:
@@ -72,8 +74,10 @@ def extracted(df: DataFrame, rules: RuleSet, profile: Column) -> DataFrame:
     return df.withColumn("entities", distinct_entities(F.col("entities"))) if rules.dedupe else df
 
 
-def _rows(df: DataFrame, column: str) -> DataFrame:
-    return df.select(F.lit("sample").alias("graph_id"), F.col("ord").alias("doc_ord"), "doc_id", F.col("selected_profile").alias("profile"), F.posexplode(column).alias("pos", "_m")).select("graph_id", "doc_ord", "doc_id", "profile", "pos", "_m.*")
+def _rows(df: DataFrame, column: str, graph_id: Column, *more: str) -> DataFrame:
+    keys = [graph_id.alias("graph_id"), F.col("ord").alias("doc_ord"), "doc_id", F.col("selected_profile").alias("profile"), *more]
+    names = ["graph_id", "doc_ord", "doc_id", "profile", *more, "pos"]
+    return df.select(*keys, F.posexplode(column).alias("pos", "_m")).select(*names, "_m.*")
 
 
 def questions_with_needs(questions: DataFrame) -> DataFrame:
@@ -106,24 +110,31 @@ def index(spark: SparkSession, documents: DataFrame, questions: DataFrame, rules
     else:
         decided = documents.join(gold_profiles.withColumnRenamed("profile", "selected_profile"), "doc_id")
     made = extracted(decided, rules, F.col("selected_profile"))
-    entities, relations = staged(_rows(made, "entities"), "entities"), staged(_rows(made, "relations"), "relations")
+    entities, relations = (staged(_rows(made, c, F.lit("sample")), c) for c in ("entities", "relations"))
     nodes, edges = (staged(table, "graph") for table in graph.build(entities, relations, linked, aliases))
     issues = staged(quality.analyze(nodes, edges, allowed_relations(spark)), "issues")
-    found = staged(support.analyze(questions_with_needs(questions), edges, nodes, {}), "support")
+    found = staged(support.analyze(questions_with_needs(questions), edges, nodes, {}, edge_ids=True), "support")
     return State(decided, entities, relations, nodes, edges, issues, found)
 
 
-def answer(state: State, questions: DataFrame, quality_aware: bool, scale: bool) -> DataFrame:
-    """(question_id, answer, confidence, selected_edge_ids) from each question's supporting edges, best first."""
-    asked = questions_with_needs(questions)
+def _answers(asked: DataFrame, edges: DataFrame, nodes: DataFrame, found: DataFrame, templates: Mapping[str, answers.AnswerTemplate], scaled: Column) -> DataFrame:
+    """Answers from each question's supporting edges, best first; ``scaled``: whether support scales the confidence."""
+    side = lambda s: nodes.select("graph_id", F.col("node_id").alias(f"{s}_node_id"), F.col("name").alias(f"{s}_name"))
+    used = support.supporting_edges(asked, edges)
+    for s in ("source", "target"):
+        used = used.join(side(s), ["graph_id", f"{s}_node_id"], "left")
+    best = used.groupBy("graph_id", "question_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("rank"), "ord", "edge_id", "relation_type", "source_name", "target_name"))).alias("found"))
+    df = asked.join(best, ["graph_id", "question_id"], "left").join(found.select("graph_id", "question_id", "support_score", "answerable"), ["graph_id", "question_id"], "left")
+    text, sure = answers.by_template(F.col("query_template"), F.col("found"), templates)
+    sure = F.when(scaled, answers.scaled_confidence(sure, F.col("support_score"))).otherwise(sure)
+    ids = F.coalesce(F.transform("found", lambda e: e["edge_id"]), F.array().cast("array<string>"))
+    return df.select("graph_id", "question_id", "target_profile", "ground_truth_answer", text.alias("answer"), rounded(sure).alias("confidence"), ids.alias("selected_edge_ids"), "support_score", "answerable")
+
+
+def answer(state: State, questions: DataFrame, quality_aware: bool, scale: bool, templates: Mapping[str, answers.AnswerTemplate]) -> DataFrame:
+    """(question_id, answer, confidence, selected_edge_ids, ...) of the sample's graph."""
     edges = quality.without_issues(state.edges, state.issues) if quality_aware else state.edges
-    names = state.nodes.select("graph_id", F.col("node_id").alias("source_node_id"), F.col("name").alias("source_name"))
-    used = support.supporting_edges(asked, edges).join(names, ["graph_id", "source_node_id"], "left")
-    best = used.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("rank"), "ord", "edge_id", "relation_type", "source_name"))).alias("found"))
-    df = asked.join(best, "question_id", "left").join(state.support.select("question_id", "support_score", "answerable", "missing_requirements"), "question_id", "left")
-    text, sure = answers.by_template(F.col("query_template"), F.transform("found", lambda e: F.struct(e["relation_type"].alias("relation_type"), e["source_name"].alias("source_name"))))
-    sure = answers.scaled_confidence(sure, F.col("support_score")) if scale else sure
-    return df.select("question_id", "target_profile", "ground_truth_answer", text.alias("answer"), F.round(sure, 3).alias("confidence"), F.coalesce(F.transform("found", lambda e: e["edge_id"]), F.array().cast("array<string>")).alias("selected_edge_ids"), "support_score", "answerable")
+    return _answers(questions_with_needs(questions), edges, state.nodes, state.support, templates, F.lit(scale)).drop("graph_id")
 
 
 def reference_answers(documents: DataFrame, questions: DataFrame) -> DataFrame:
@@ -136,37 +147,53 @@ def question_answers(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", "target_profile", "ground_truth_answer", F.lit(answers.QUESTION_ONLY).alias("answer"), F.lit(0.12).alias("confidence"))
 
 
-def answer_quality(found: DataFrame) -> DataFrame:
-    """Mean token F1, each rounded to three places first."""
-    scored = metrics.token_f1(found, ["question_id"], "answer", "ground_truth_answer")
-    return scored.agg(F.round(F.avg(F.round("token_f1", 3)), 3).alias("answer_quality_score"))
-
-
 def evaluate(spark: SparkSession, data: Mapping[str, DataFrame], constrained: RuleSet, unconstrained: RuleSet, aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """One row a baseline: answer quality and its delta, profile accuracy, extraction F1, support coverage."""
+    """One row a baseline: answer quality and its delta, profile accuracy, extraction F1, support coverage.
+
+    The baseline is the graph's id, so one plan builds the graphs of all of them.
+    """
     documents, questions = data["documents"], data["questions"]
-    number = lambda: F.lit(None).cast("double")
-    tables = []
-    for place, (name, (select, rule, linked, aware)) in enumerate(dims.BASELINES.items()):
-        if select is None:
-            found = question_answers(questions) if name.startswith("question") else reference_answers(documents, questions)
-            row = answer_quality(found).withColumns({"profile_selection_accuracy": number(), "extraction_f1": number(), "support_coverage": number()})
-        else:
-            state = index(spark, documents, questions, constrained if rule else unconstrained, linked, None if select else data["gold_profiles"], aliases)
-            found = answer(state, questions, aware, aware)
-            e = metrics.set_scores(state.entities, data["gold_entities"], ["doc_id", "name", "entity_type"]).select(F.round("f1", 3).alias("ef"))
-            r = metrics.set_scores(state.relations, data["gold_relations"], ["doc_id", "source_name", "relation_type", "target_name"]).select(F.round("f1", 3).alias("rf"))
-            gold = data["gold_profiles"].join(state.decisions.select("doc_id", "selected_profile"), "doc_id", "left")
-            accuracy = metrics.accuracy(gold, "selected_profile", "profile").select(F.round("accuracy", 3).alias("profile_selection_accuracy")) if select else spark.range(1).select(number().alias("profile_selection_accuracy"))
-            coverage = state.support.agg(F.round(F.avg("support_score"), 3).alias("support_coverage"))
-            row = answer_quality(found).crossJoin(accuracy).crossJoin(e.crossJoin(r).select(F.round((F.col("ef") + F.col("rf")) / 2, 3).alias("extraction_f1"))).crossJoin(coverage)
-        tables.append(row.select(F.lit(place).alias("place"), F.lit(name).alias("baseline"), "*"))
-    table = tables[0]
-    for other in tables[1:]:
-        table = table.unionByName(other)
-    anchor = F.max(F.when(F.col("baseline") == "reference_only_baseline", F.col("answer_quality_score"))).over(Window.partitionBy(F.lit(0)))
-    delta = F.when(F.col("baseline") != "question_only_baseline", F.round(F.col("answer_quality_score") - anchor, 3))
-    return table.withColumn("answer_quality_delta", delta)
+    built = [name for name, flags in dims.BASELINES.items() if flags[0] is not None]
+    chosen = [name for name in built if dims.BASELINES[name][0]]
+    flag = lambda name, i: F.lit(dims.BASELINES[name][i])
+    flags = F.array(*(F.struct(F.lit(n).alias("graph_id"), flag(n, 0).alias("selects"), flag(n, 1).alias("constrained"), flag(n, 2).alias("linked"), flag(n, 3).alias("aware")) for n in built))
+    each = F.explode(F.array(*map(F.lit, built)))
+    gold = data["gold_profiles"]
+    decided = profiles.by_section(documents, dims.SECTION_PROFILES).withColumnRenamed("selected_profile", "by_section").join(gold, "doc_id", "left")
+    decided = decided.withColumn("_f", F.explode(flags)).select("*", "_f.*").drop("_f")
+    decided = decided.withColumn("selected_profile", F.when(F.col("selects"), F.col("by_section")).otherwise(F.col("profile"))).drop("profile").where("selected_profile IS NOT NULL")
+    one = extracted(decided, constrained, F.col("selected_profile")).withColumnsRenamed({"entities": "_e", "relations": "_r"})
+    made = extracted(one, unconstrained, F.col("selected_profile"))
+    made = staged(made.withColumns({c: F.when(F.col("constrained"), F.col(kept)).otherwise(F.col(c)) for c, kept in (("entities", "_e"), ("relations", "_r"))}).drop("_e", "_r"), "extractions")
+    entities, relations = (staged(_rows(made, c, F.col("graph_id"), "linked"), c) for c in ("entities", "relations"))
+    nodes, edges = (staged(table, "graph") for table in graph.build(entities, relations, "linked", aliases))
+    issues = quality.analyze(nodes, edges, allowed_relations(spark))
+    asked = staged(questions_with_needs(questions).drop("graph_id").withColumn("graph_id", each), "questions")
+    found = staged(support.analyze(asked, edges, nodes, {}), "support")
+
+    aware = F.col("graph_id").isin(*(n for n in built if dims.BASELINES[n][3]))
+    kept = quality.without_issues(edges, issues.where(aware))
+    by_graph = _answers(asked, kept, nodes, found, {**unconstrained.templates, **constrained.templates}, aware).withColumnRenamed("graph_id", "baseline")
+    plain = [question_answers(questions).withColumn("baseline", F.lit("question_only_baseline")), reference_answers(documents, questions).withColumn("baseline", F.lit("reference_only_baseline"))]
+    columns = ["baseline", "question_id", "answer", "ground_truth_answer"]
+    every = by_graph.select(columns).unionByName(plain[0].select(columns)).unionByName(plain[1].select(columns))
+    scored = metrics.token_f1(staged(every, "answers"), ["baseline", "question_id"], "answer", "ground_truth_answer")
+    quality_score = scored.groupBy("baseline").agg(rounded(F.avg(rounded(F.col("token_f1")))).alias("answer_quality_score"))
+
+    e = metrics.set_scores(entities, data["gold_entities"].withColumn("graph_id", each), ["doc_id", "name", "entity_type"], ["graph_id"]).select("graph_id", rounded(F.col("f1")).alias("ef"))
+    r = metrics.set_scores(relations, data["gold_relations"].withColumn("graph_id", each), ["doc_id", "source_name", "relation_type", "target_name"], ["graph_id"]).select("graph_id", rounded(F.col("f1")).alias("rf"))
+    # No mention on either side is a full score.
+    f1 = e.join(r, "graph_id", "full_outer").select(F.col("graph_id").alias("baseline"), rounded((F.coalesce("ef", F.lit(1.0)) + F.coalesce("rf", F.lit(1.0))) / 2).alias("extraction_f1"))
+    right = gold.withColumn("graph_id", each).join(decided.select("graph_id", "doc_id", "selected_profile"), ["graph_id", "doc_id"], "left").where(F.col("graph_id").isin(*chosen))
+    accuracy = metrics.accuracy(right, "selected_profile", "profile", "graph_id").select(F.col("graph_id").alias("baseline"), rounded(F.col("accuracy")).alias("profile_selection_accuracy"))
+    coverage = found.groupBy(F.col("graph_id").alias("baseline")).agg(rounded(F.avg("support_score")).alias("support_coverage"))
+    table = spark.createDataFrame(list(enumerate(dims.BASELINES)), "place int, baseline string")
+    for other in (quality_score, accuracy, f1, coverage):
+        table = table.join(other, "baseline", "left")
+    table = staged(table, "summary")
+    delta = metrics.delta_vs(table, "reference_only_baseline", "baseline", ["answer_quality_score"])
+    delta = delta.select("baseline", F.when(F.col("baseline") != "question_only_baseline", rounded(F.col("answer_quality_score_delta"))).alias("answer_quality_delta"))
+    return table.join(delta, "baseline")
 
 
 def provenance(state: State, questions: DataFrame, documents: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from factloom import catalog  # noqa: F401  registers its queries on import
+    from factloom import catalog, catalog_domain, catalog_runs  # noqa: F401  they register their queries on import
 
 
 def queries() -> dict[str, Query]:

@@ -7,11 +7,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.operators.tables import category_filter, latest
 from factloom.sources.examples import CATEGORIES, require
 
-#: Keys of the run metadata tables; decisions and ingestion are kept for each baseline.
+# The run metadata tables, their columns and keys; decisions and ingestion are kept for each baseline.
 KEYS = {
     "documents": ("doc_id",),
     "experiment_runs": ("run_id",),
@@ -20,6 +21,15 @@ KEYS = {
     "question_answers": ("run_id", "question_id"),
     "artifacts": ("artifact_id",),
 }
+SCHEMAS = {
+    "documents": "doc_id string, source_dataset string, category string, sample_type string, input_text string, reference_json string, created_at string",
+    "experiment_runs": "run_id string, run_type string, agent_framework string, model_name string, dataset_path string, ontology_version string, started_at string, finished_at string, status string, notes string, created_at string",
+    "profile_decisions": "run_id string, baseline string, doc_id string, selected_profile string, candidate_profiles_json string, confidence double, mapping_policy string, extension_policy string, rationale_json string, created_at string",
+    "graph_ingestion": "run_id string, baseline string, doc_id string, node_count int, edge_count int, graph_namespace string, graph_uri string, quality_summary_json string, created_at string",
+    "question_answers": "run_id string, question_id string, doc_id string, category string, query_template string, selected_profile string, answer_text string, answer_confidence double, supporting_edges_json string, evaluation_json string, created_at string",
+    "artifacts": "artifact_id string, run_id string, doc_id string, question_id string, artifact_type string, artifact_path string, metadata_json string, created_at string",
+}
+# End of fixed values.
 
 
 def ingest(source: DataFrame, path: str) -> DataFrame:
@@ -30,19 +40,59 @@ def ingest(source: DataFrame, path: str) -> DataFrame:
     return written.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy("category")
 
 
+def conforming(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the columns of a run table: those it lacks are null, others are dropped."""
+    schema = _schema(name)
+    have = set(df.columns)
+    return df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def _schema(name: str) -> StructType:
+    return StructType.fromDDL(SCHEMAS[name])
+
+
+def _of_run(name: str) -> list[str]:
+    """Tables that hold many runs are kept in a folder a run, so that a run's rows are read alone."""
+    return ["run_id"] if name != "experiment_runs" and "run_id" in _schema(name).fieldNames() else []
+
+
+def create(spark: SparkSession, root: str) -> None:
+    """All run tables, without rows."""
+    for name in SCHEMAS:
+        upsert(spark.createDataFrame([], _schema(name)), root, name, 0)
+
+
 def upsert(df: DataFrame, root: str, name: str, seq: int) -> None:
     """Append rows under a sequence number; readers take the latest row of each key."""
-    df.withColumn("seq", F.lit(seq).cast("long")).write.mode("append").parquet(f"{root}/{name}")
+    conforming(df, name).withColumn("seq", F.lit(seq).cast("long")).write.mode("append").partitionBy(*_of_run(name)).parquet(f"{root}/{name}")
+
+
+def current(spark: SparkSession, root: str, name: str, key: tuple[str, ...] | None = None, run_id: str | None = None) -> DataFrame:
+    """The latest row of each key, of one run or of all."""
+    table = spark.read.schema(_schema(name).add("seq", "long")).parquet(f"{root}/{name}")
+    table = table if run_id is None else table.where(F.col("run_id") == run_id)
+    return latest(table, list(key or KEYS[name]), ["seq"]).drop("seq")
+
+
+def mergeable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges whose two ends are nodes; others can't be stored."""
+    for side in ("source", "target"):
+        ends = nodes.select("graph_id", F.col("node_id").alias(f"{side}_node_id")).distinct()
+        edges = edges.join(ends, ["graph_id", f"{side}_node_id"], "left_semi")
+    return edges
 
 
-def current(spark: SparkSession, root: str, name: str, key: tuple[str, ...] | None = None) -> DataFrame:
-    return latest(spark.read.parquet(f"{root}/{name}"), list(key or KEYS[name]), ["seq"]).drop("seq")
+def write_graph(nodes: DataFrame, edges: DataFrame, root: str, seq: int = 0, buckets: int = 64) -> None:
+    """Property-graph tables of a run, in ``buckets`` folders by graph; a later write of a key replaces the earlier one when read."""
+    bucket = F.pmod(F.xxhash64("graph_id"), F.lit(buckets)).cast("int")
+    for name, table in (("nodes", nodes), ("edges", mergeable(nodes, edges))):
+        table.withColumns({"seq": F.lit(seq).cast("long"), "bucket": bucket}).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{root}/{name}")
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, root: str, mode: str = "append") -> None:
-    """Property-graph tables; a later write of a key replaces the earlier one when read through ``latest``."""
-    nodes.write.mode(mode).partitionBy("graph_id").parquet(f"{root}/nodes")
-    edges.write.mode(mode).partitionBy("graph_id").parquet(f"{root}/edges")
+def read_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as last written."""
+    read = lambda name, key: latest(spark.read.parquet(f"{root}/{name}").drop("bucket"), ["graph_id", key], ["seq"]).drop("seq")
+    return read("nodes", "node_id"), read("edges", "edge_id")
 
 
 def write_artifacts(df: DataFrame, folder: str) -> None:

@@ -30,38 +30,70 @@ def windowed(events: DataFrame, ts: str, key: str, width: str, delay: str) -> Da
     return timed.groupBy(F.window("_ts", width), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
-def stale_alerts(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """(key, last_seen, silence) once for each silence of more than ``seconds`` before a key's next row.
+def stale_alerts(events: DataFrame, key: str, ts: str, seconds: int, silent: bool = True) -> DataFrame:
+    """(key, last_seen, silence) once for each silence of more than ``seconds``.
 
-    State is the last time of each key; rows of a batch are taken in order of time.
+    A silence is found by the key's next row, or, if none comes, by a timeout of ``seconds`` after the
+    last one arrived; the row after an alert of the latter kind brings no second one.  State is the last
+    time of each key; rows of a batch are taken in order of time.  Timeouts need a query that runs on
+    (a processing-time trigger); without ``silent`` there are none, and a query over what there is ends.
     """
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = sorted(t for batch in batches for t in batch[ts].astype("int64").tolist())
+        last, told = state.get if state.exists else (None, False)
         out = []
-        for t in times:
-            if last is not None and t - last > seconds:
-                out.append((name[0], last, t - last))
-            last = t if last is None else max(last, t)
-        if last is not None:
-            state.update((last,))
+        if state.hasTimedOut:
+            out.append((name[0], last, seconds))
+            told = True
+        else:
+            for t in sorted(t for batch in batches for t in batch[ts].astype("int64").tolist()):
+                if last is not None and t - last > seconds and not told:
+                    out.append((name[0], last, t - last))
+                if last is None or t > last:
+                    last, told = t, False
+            if silent:
+                state.setTimeoutDuration(1000 * seconds)
+        state.update((last, told))
         yield pd.DataFrame(out, columns=[key, "last_seen", "silence"])
 
     keyed = events.select(key, F.col(ts).cast("timestamp").cast("long").alias(ts))
     kind = events.schema[key].dataType.simpleString()
-    return keyed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, last_seen long, silence long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, last_seen long, silence long", "last long, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if silent else GroupStateTimeout.NoTimeout)
 
 
-def on_completion(stream: DataFrame, checkpoint: str, done: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Run ``done`` once for every micro-batch that holds a completed run; a repeated batch has the same number."""
+def on_completion(stream: DataFrame, checkpoint: str, done: Callable[[DataFrame, int], None], run: str = "run_id") -> StreamingQuery:
+    """Run ``done`` once for each completed run, however often its row comes; a repeated batch has the same number."""
+    finished = stream.where("status = 'completed'").dropDuplicates([run])
 
     def each(batch: DataFrame, number: int) -> None:
-        finished = batch.where("status = 'completed'")
-        if not finished.isEmpty():
-            done(finished, number)
+        if not batch.isEmpty():
+            done(batch, number)
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+    return finished.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+
+
+# The fields of a checkpoint.
+CHECKPOINT = (
+    "run_id string, status string, stage string, current_baseline string, sample_count long, updated_at string, "
+    "baseline_progress map<string, struct<progress: struct<status: string, processed_examples: long, total_examples: long>, "
+    "metrics: struct<profile_selection_accuracy: double, ontology_constrained_extraction_f1: double, query_support_path_coverage: double, answer_quality_score: double, answer_quality_delta: double>>>"
+)
+
+
+def checkpoint_snapshots(checkpoints: DataFrame, json: str = "value") -> DataFrame:
+    """What a look at a checkpoint shows: its state and each baseline's progress and scores, from its JSON text."""
+    df = checkpoints.select(F.from_json(json, CHECKPOINT).alias("c")).select("c.*")
+    shown = lambda _, b: F.struct(
+        b["progress"]["processed_examples"].alias("processed_examples"), b["progress"]["total_examples"].alias("total_examples"),
+        b["metrics"]["answer_quality_score"].alias("answer_quality_score"), b["metrics"]["ontology_constrained_extraction_f1"].alias("ontology_constrained_extraction_f1"), b["metrics"]["query_support_path_coverage"].alias("query_support_path_coverage"),
+    )
+    return df.select("run_id", "status", "stage", "current_baseline", "sample_count", F.transform_values("baseline_progress", shown).alias("baseline_progress"))
+
+
+def baseline_progress(checkpoints: DataFrame, json: str = "value") -> DataFrame:
+    """(run_id, baseline, status, processed_examples, total_examples, metrics...) of checkpoints' JSON text, a row a baseline."""
+    df = checkpoints.select(F.from_json(json, CHECKPOINT).alias("c")).select("c.run_id", F.explode("c.baseline_progress").alias("baseline", "b"))
+    return df.select("run_id", "baseline", "b.progress.*", "b.metrics.*")
 
 
 def collected(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
