@@ -92,8 +92,12 @@ def periods(text: Column) -> Column:
 
 
 def company(text: Column) -> Column:
-    """The first company name, or null."""
-    return collapsed(F.nullif(F.regexp_extract(text, COMPANY, 1), F.lit("")))
+    """The first company name, or null.
+
+    The pattern tries every capital up to the end of its run, so texts without any of the endings are left out first.
+    """
+    ending = COMPANY[COMPANY.index("(?:") : -1]
+    return F.when(F.regexp_like(text, F.lit(ending)), collapsed(F.nullif(F.regexp_extract(text, COMPANY, 1), F.lit(""))))
 
 
 def truncated(text: Column, budget: int) -> Column:

@@ -38,14 +38,17 @@ def reference_sentences(df: DataFrame, keys: Sequence[str], question: str, refer
     return best.select(*keys, "pos", "sentence", "edge_overlap", "token_overlap", "length")
 
 
-def snippets(edges: DataFrame, sentence_table: DataFrame, key: str, limit: int = 1) -> DataFrame:
-    """The best sentences for each edge (key, edge_id, source_name, relation_type, target_name)."""
-    s = normalize(F.col("sentence"))
-    inside = lambda name: ((normalize(F.col(name)) != "") & F.contains(s, normalize(F.col(name)))).cast("int")
-    terms = F.array_distinct(F.split("relation_type", "_"))
-    rows = edges.join(sentence_table, key)
-    rows = rows.withColumns({"endpoint_overlap": inside("source_name") + inside("target_name"), "relation_overlap": F.size(F.filter(terms, lambda t: F.contains(s, t))), "length": F.length("sentence")})
-    return first_rows(rows, limit, [key, "edge_id"], [F.desc("endpoint_overlap"), F.desc("relation_overlap"), F.desc("length"), F.asc("pos")])
+def snippets(edges: DataFrame, sentence_table: DataFrame, key: str, limit: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """The best sentences for each edge (key, edge_id, source_name, relation_type, target_name).
+
+    Edges are told apart by key, edge_id and ``by``.  Normal forms are worked out before the join, once a sentence.
+    """
+    lines = sentence_table.withColumns({"_s": normalize(F.col("sentence")), "length": F.length("sentence")})
+    named = edges.withColumns({"_source": normalize(F.col("source_name")), "_target": normalize(F.col("target_name")), "_terms": F.array_distinct(F.split("relation_type", "_"))})
+    inside = lambda name: F.coalesce((F.col(name) != "") & F.contains("_s", name), F.lit(False)).cast("int")
+    rows = named.join(lines, key)
+    rows = rows.withColumns({"endpoint_overlap": inside("_source") + inside("_target"), "relation_overlap": F.size(F.filter("_terms", lambda t: F.contains("_s", t)))}).drop("_s", "_source", "_target", "_terms")
+    return first_rows(rows, limit, [key, *by, "edge_id"], [F.desc("endpoint_overlap"), F.desc("relation_overlap"), F.desc("length"), F.asc("pos")])
 
 
 def bundle(used: DataFrame, snippet_rows: DataFrame, keys: Sequence[str]) -> DataFrame:

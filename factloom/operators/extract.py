@@ -127,8 +127,8 @@ EXTRACTORS = {"governance": governance, "financials": financials, "shareholder_r
 
 
 def extract(df: DataFrame, text: str = "source_text", profile: str = "selected_profile") -> DataFrame:
-    """Adds entities and relations by each row's profile; unknown profiles go to financials."""
-    df = prepared(df, text)
+    """Adds entities and relations by each row's profile; unknown profiles go to financials.  What ``prepared`` adds may be there already."""
+    df = df if set(SHARED) <= set(df.columns) else prepared(df, text)
     made = {name: f() for name, f in EXTRACTORS.items()}
     pick = lambda i: F.when(F.col(profile) == "governance", made["governance"][i]).when(F.col(profile) == "shareholder_return", made["shareholder_return"][i]).otherwise(made["financials"][i])
     df = df.withColumns({"entities": pick(0), "relations": pick(1)}).drop(*SHARED)

@@ -6,6 +6,7 @@ every graph operator keeps the key (graph_id, ...).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as X
 from factloom.functions.numbers import rounded
 from factloom.operators import answers, evidence, extract, graph, metrics, profiles, quality, support, tables
-from factloom.operators.backend import Backend, ask, requests
+from factloom.operators.backend import Backend, ask, choose_extraction, choose_profile, requests
 from factloom.plans import dims
 from factloom.plans.sample import allowed_relations
 from factloom.sources.staging import staged
@@ -43,14 +44,30 @@ def with_intents(examples: DataFrame) -> DataFrame:
     return df.withColumns({"required_relations": listed(1), "required_entity_types": listed(2), "focus_slots": listed(3)})
 
 
-def extractions(examples: DataFrame) -> DataFrame:
-    """(example, baseline, selected_profile, entities, relations) of the graph baselines."""
+TASKS = ("profile", "extraction", "answer")
+
+
+def extractions(examples: DataFrame, backend: Backend | None = None, tasks: Sequence[str] = TASKS) -> DataFrame:
+    """(example, baseline, selected_profile, entities, relations) of the graph baselines.
+
+    A ``backend`` chooses profiles and extracts where ``tasks`` say so; where it fails, the heuristics stay.
+    """
     flags = F.array(*(F.struct(F.lit(n).alias("baseline"), F.lit(dims.BASELINES[n][0]).alias("selects"), F.lit(dims.BASELINES[n][1]).alias("constrained"), F.lit(dims.BASELINES[n][3]).alias("aware")) for n in GRAPH_BASELINES))
     combined = F.when(F.trim("source_text") != "", F.col("source_text")).otherwise(F.col("question_text"))
-    chosen = profiles.by_keywords(examples, combined, dims.PROFILE_KEYWORDS, F.col("target_profile")).withColumn("by_keywords", F.col("selected_profile"))
+    chosen = profiles.by_keywords(examples, combined, dims.PROFILE_KEYWORDS, F.col("target_profile"))
+    request = ["example_id", "task", "instructions", "prompt", "temperature"]
+    if backend is not None and "profile" in tasks:
+        chosen = chosen.withColumnsRenamed({"confidence": "selection_confidence"})
+        chosen = choose_profile(ask(requests(chosen, "profile"), backend, request), "response").drop(*request[1:], "response", "response_error")
+    chosen = chosen.withColumn("by_keywords", F.col("selected_profile"))
+    # The text is searched once an example, not once a baseline.
+    chosen = staged(extract.prepared(chosen, "source_text"), "prepared")
     df = chosen.withColumn("_b", F.explode(flags)).select("*", "_b.*").drop("_b")
     df = df.withColumn("selected_profile", F.when(F.col("selects"), F.col("by_keywords")).otherwise(F.col("target_profile")))
     df = extract.extract(df)
+    if backend is not None and "extraction" in tasks:
+        asked = ask(requests(df, "extraction", F.col("selected_profile")), backend, request)
+        df = choose_extraction(asked, "response").drop(*request[1:], "response", "response_error")
     worn = {c: F.col(f"_{c}") for c in ("entities", "relations")}
     both = extract.degraded(df.withColumns({f"_{c}": F.col(c) for c in worn}))
     # ``_entities`` and ``_relations`` are as extracted, the plain names degraded.
@@ -85,7 +102,9 @@ def resolved_gold(df: DataFrame, manual: DataFrame | None = None) -> DataFrame:
 
 def extraction_scores(df: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """(graph_id, extraction_f1, evaluation_gold_source) against resolved gold; F1s are rounded before their mean."""
-    df = staged(resolved_gold(df, manual), "gold")
+    examples = df.select("example_id", "question_text", "answer_text", "target_profile").dropDuplicates(["example_id"])
+    gold = staged(resolved_gold(examples, manual).select("example_id", "gold_entities", "gold_relations", "evaluation_gold_source"), "gold")
+    df = df.select("graph_id", "example_id", "entities", "relations").join(gold, "example_id")
     n = X.normalize
     pred_e = df.select("graph_id", F.explode("entities").alias("m")).select("graph_id", n(F.col("m.name")).alias("a"), F.col("m.entity_type").alias("b"))
     pred_r = df.select("graph_id", F.explode("relations").alias("m")).select("graph_id", n(F.col("m.source_name")).alias("a"), F.col("m.relation_type").alias("b"), n(F.col("m.target_name")).alias("c"))
@@ -98,17 +117,18 @@ def extraction_scores(df: DataFrame, manual: DataFrame | None = None) -> DataFra
     return both.select("graph_id", rounded((F.coalesce("ef", F.lit(1.0)) + F.coalesce("rf", F.lit(1.0))) / 2).alias("extraction_f1"), "evaluation_gold_source")
 
 
-def run(examples: DataFrame, config: Config | None = None, manual: DataFrame | None = None, backend: Backend | None = None) -> DataFrame:
+def run(examples: DataFrame, config: Config | None = None, manual: DataFrame | None = None, backend: Backend | None = None, tasks: Sequence[str] = TASKS) -> DataFrame:
     """One row an example and baseline: profile, graph size, issues, support, answer, scores.
 
-    ``examples`` are the rows of ``load_examples``, ``manual`` manual gold.  A ``backend`` answers every
-    baseline from its context by the same prompt; where it fails, the heuristic answer stays.
+    ``examples`` are the rows of ``load_examples``, ``manual`` manual gold.  A ``backend`` does the
+    ``tasks`` named: it chooses profiles, extracts, and answers every baseline from its context by the
+    same prompt; where it fails, what the heuristics say stays.
     """
     config = config or Config()
     spark = examples.sparkSession
     examples = with_intents(examples)
     # Mentions and graph feed every later table.
-    made = staged(extractions(examples), "extractions")
+    made = staged(extractions(examples, backend, tasks), "extractions")
     entities, relations = _mentions(made, "entities"), _mentions(made, "relations")
     nodes, edges = (staged(table, "graph") for table in graph.build(entities, relations, sets=False))
     issues = staged(quality.analyze(nodes, edges, allowed_relations(spark), graph.node_sets(entities, relations)[0]), "issues")
@@ -120,8 +140,10 @@ def run(examples: DataFrame, config: Config | None = None, manual: DataFrame | N
     aware = made.where("aware").select("graph_id")
     kept = quality.without_issues(edges, issues.join(aware, "graph_id", "left_semi"))
     used = support.supporting_edges(questions, kept).join(side("source"), ["graph_id", "source_node_id"], "left").join(side("target"), ["graph_id", "target_node_id"], "left")
-    lines = evidence.sentence_rows(made.select("graph_id", "references"), ["graph_id"])
-    snippets = evidence.snippets(used.select("graph_id", "edge_id", "source_name", "relation_type", "target_name"), lines, "graph_id", config.snippet_limit)
+    lines = evidence.sentence_rows(examples.select("example_id", "references"), ["example_id"])
+    used = staged(used, "used")
+    about = used.select("graph_id", F.col("question_id").alias("example_id"), "edge_id", "source_name", "relation_type", "target_name")
+    snippets = evidence.snippets(about, lines, "example_id", config.snippet_limit, ["graph_id"])
     bundles = staged(evidence.bundle(used, snippets, ["graph_id"]), "bundles")
     n_issues = issues.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_issues"))
     n_nodes = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes"))
@@ -142,10 +164,11 @@ def run(examples: DataFrame, config: Config | None = None, manual: DataFrame | N
     rows = df.unionByName(reference, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
     mode = F.when(F.col("baseline").isin(GRAPH_BASELINES), "graph_evidence_bundle").otherwise(F.replace(F.col("baseline"), F.lit("_baseline"), F.lit("")))
     rows = rows.withColumns({"graph_id": F.concat_ws(":", "baseline", "example_id"), "context_mode": mode, "missing_slots": F.coalesce(support.missing_slots(F.col("missing_requirements")), F.array().cast("array<string>"))})
-    if backend is not None:
+    answered = backend is not None and "answer" in tasks
+    if answered:
         context = answers.context(F.col("context_mode"), F.col("question_text"), F.col("intent_id"), F.col("sentences"), F.col("triples"), F.col("missing_slots"), config.context_char_budget, config.reference_sentence_limit, config.graph_triple_limit, config.snippet_limit)
         rows = ask(requests(rows.withColumn("context_text", context), "answer"), backend, ["example_id", "task", "instructions", "prompt", "temperature"])
-    rows = answers.with_agent(rows, "response" if backend is not None else None)
+    rows = answers.with_agent(rows, "response" if answered else None)
     rows = staged(rows.drop("context_text", "task", "instructions", "prompt", "temperature", "response", "response_error"), "answers")
     return rows.join(metrics.token_f1(rows, ["graph_id"], "answer", "answer_text").withColumn("token_f1", rounded(F.col("token_f1"))), "graph_id")
 

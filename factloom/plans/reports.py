@@ -11,6 +11,7 @@ from factloom.functions.numbers import rounded
 from factloom.functions.text import normalize
 from factloom.operators import extract, metrics
 from factloom.plans import dims
+from factloom.sources.staging import staged
 
 _ENTITY = "struct<name: string, entity_type: string, confidence: double, source_doc_id: string>"
 _RELATION = "struct<source_name: string, relation_type: string, target_name: string, confidence: double, source_doc_id: string>"
@@ -157,8 +158,9 @@ def artifact_extraction_f1(artifacts: DataFrame) -> DataFrame:
         "baseline", "example_id", F.coalesce("extraction.entities", F.array().cast(f"array<{_ENTITY}>")).alias("entities"), F.coalesce("extraction.relations", F.array().cast(f"array<{_RELATION}>")).alias("relations"),
         F.coalesce(a["question"], none).alias("question"), F.coalesce(a["ground_truth_answer"], none).alias("truth"), _canonical(F.coalesce(a["category"], none)).alias("profile"),
     )
-    gold = extract.induced_gold(asked, "question", "truth", "profile")
-    gold = gold.select("baseline", "example_id", F.col("gold_entities").alias("entities"), F.col("gold_relations").alias("relations"))
+    asked = staged(asked, "asked")
+    gold = extract.induced_gold(asked.drop("entities", "relations"), "question", "truth", "profile")
+    gold = staged(gold.select("baseline", "example_id", F.col("gold_entities").alias("entities"), F.col("gold_relations").alias("relations")), "gold")
     found = _set_f1(asked, gold, ["baseline", "example_id"]).join(asked.select("baseline", "example_id", (F.size("entities") + F.size("relations") == 0).alias("empty")), ["baseline", "example_id"])
     return found.select("baseline", "example_id", F.when(F.col("empty"), 0.0).otherwise(rounded((F.col("entity_f1") + F.col("relation_f1")) / 2)).alias("ontology_constrained_extraction_f1"))
 
@@ -170,6 +172,8 @@ def metric_rows(answers: DataFrame, artifacts: DataFrame) -> DataFrame:
     for baselines without one.
     """
     built = [n for n, f in dims.BASELINES.items() if f[0] is not None]
+    # Nested rows are read once for all that is taken from them.
+    artifacts = staged(artifacts.select("baseline", "example_id", "error", "profile_decision", "extraction", "query_support", "answer"), "artifacts")
     art = artifacts.select(
         "baseline",
         F.col("example_id").alias("doc_id"),
@@ -222,7 +226,7 @@ def snapshot(answers: DataFrame) -> DataFrame:
 
 def manual_gold_scores(artifacts: DataFrame, gold: DataFrame) -> DataFrame:
     """Artifacts against manual gold, one row an artifact that has gold: profile, intent, extraction, slots, evidence; null where gold lists nothing."""
-    df = artifacts.join(gold.withColumnsRenamed({"category": "gold_category", "intent_id": "gold_intent_id"}), "example_id")
+    df = staged(artifacts.join(gold.withColumnsRenamed({"category": "gold_category", "intent_id": "gold_intent_id"}), "example_id"), "judged")
     bundle = F.col("answer.evidence_bundle")
     none = F.array().cast("array<string>")
     triples = F.transform(bundle["triples"], lambda t: F.concat_ws(" ", t["source_name"], t["relation_type"], t["target_name"], F.array_join(t["provenance_snippets"], " ")))

@@ -71,7 +71,7 @@ def extracted(df: DataFrame, rules: RuleSet, profile: Column) -> DataFrame:
         return F.when(profile == "governance", parts("governance", kinds, kind)).when(profile == "shareholder_return", parts("shareholder_return", kinds, kind)).otherwise(parts("financials", kinds, kind))
 
     df = df.withColumns({"entities": chosen(("entity", "pattern"), ENTITIES), "relations": chosen(("relation",), RELATIONS)})
-    return df.withColumn("entities", distinct_entities(F.col("entities"))) if rules.dedupe else df
+    return df.withColumn("entities", distinct_entities(F.col("entities"), fold_case=False)) if rules.dedupe else df
 
 
 def _rows(df: DataFrame, column: str, graph_id: Column, *more: str) -> DataFrame:

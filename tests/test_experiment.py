@@ -51,6 +51,10 @@ def test_manual_gold_and_backend(spark, source):
     gold = spark.createDataFrame([("e3", [("Dividend", "Dividend"), ("Other", "X")], [])], "example_id string, gold_entities array<struct<name: string, entity_type: string>>, gold_relations array<struct<source_name: string, relation_type: string, target_name: string>>")
 
     def model(requests):
+        if requests[0]["task"] == "profile":
+            return ['{"selected_profile": "shareholder_return"}' if r["example_id"] == "e3" else "?" for r in requests]
+        if requests[0]["task"] == "extraction":
+            return [None if r["example_id"] != "e1" else '{"entities": [{"name": "Ann", "entity_type": "Person"}], "relations": []}' for r in requests]
         assert all(r["task"] == "answer" and r["temperature"] == 0.0 and json.loads(r["prompt"])["context_text"] for r in requests)
         return ['{"answer": " Said. ", "confidence": "85 percent", "quality_notes": ["sure"]}' if r["example_id"] == "e3" else "no json" for r in requests]
 
@@ -58,6 +62,8 @@ def test_manual_gold_and_backend(spark, source):
     found = {(r.baseline, r.example_id): r for r in rows.collect()}
     full = found[("full_minimal_pipeline_with_quality_aware_evidence_selection", "e3")]
     assert (full.evaluation_gold_source, full.answer, full.confidence, full.quality_notes, full.answer_generation_mode) == ("manual_gold", "Said.", 0.85, ["sure"], "openai_answer_agent")
+    one = found[("full_minimal_pipeline_with_quality_aware_evidence_selection", "e1")]
+    assert (one.n_entities, one.n_relations) == (1, 0) and full.selected_profile == "shareholder_return"
     assert full.extraction_f1 == 0.2  # one of three entities, of two gold ones; relations without gold
     other = found[("reference_only_baseline", "e2")]
     assert other.answer_generation_mode == "heuristic_answer_fallback" and other.answer_fallback_reason == "missing worker result" and other.answer.startswith("Acme")
