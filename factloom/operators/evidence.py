@@ -33,7 +33,7 @@ def reference_sentences(df: DataFrame, keys: Sequence[str], question: str, refer
     held = df.select(*keys, tokens(F.col(question)).alias("_q"), (F.col(terms) if terms else F.array().cast("array<string>")).alias("_terms"), F.col(references))
     rows = sentence_rows(held, [*keys, "_q", "_terms"], references).withColumn("_s", normalize(F.col("sentence")))
     hit = F.size(F.filter(F.array_distinct("_terms"), lambda t: (t != "") & F.contains("_s", t)))
-    rows = rows.withColumns({"edge_overlap": hit, "token_overlap": overlap(tokens(F.col("sentence")), F.col("_q")), "length": F.length("sentence")})
+    rows = rows.withColumns({"edge_overlap": hit, "token_overlap": overlap(F.split("_s", " "), F.col("_q")), "length": F.length("sentence")})
     best = first_rows(rows, max(1, limit), keys, [F.desc("edge_overlap"), F.desc("token_overlap"), F.desc("length"), F.asc("pos")])
     return best.select(*keys, "pos", "sentence", "edge_overlap", "token_overlap", "length")
 
