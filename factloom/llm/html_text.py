@@ -1,10 +1,11 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is cut into blocks of text.  A block's capacity, to the source (content) or to the sink
-(boilerplate), is the log odds that two sources give it: what its containers say by element and name,
-and a logistic classifier of the text alone (words, closing mark, share of links, heading, list item).
-The classifier is fitted without labels: on pages that have an <article> or <main> it learns to tell
-the blocks within from those without, starting from weights that hold where there are no such pages.
+(boilerplate), is the log odds that three sources give it: what its containers say by elements and names
+whose meaning is known, how the words of their names part content elsewhere, and a logistic classifier of
+the text alone (words, closing mark, share of links, heading, list item).  The latter two are fitted
+without labels: on pages that have an <article> or <main> they learn to tell the blocks within from those
+without, starting from weights that hold where there are no such pages.
 Smoothness edges join neighbours in page order, the weaker the further apart they stand in the DOM,
 and next of kin under one parent.  The minimum cut, found by max-flow, labels the blocks, so that a
 block with weak signs follows its neighbours; the content side is the text.
@@ -26,6 +27,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from html import escape, unescape
 from math import exp, log1p
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +71,12 @@ ADJACENT, KIN, DECAY, FAR = 4.0, 1.0, 0.5, 24
 FIT_PAGES, PRIOR_BLOCKS = 2_000, 25.0
 #: Starting weights: constant, log of words, closing mark, share of links, heading, list item.
 PRIOR = (-1.9, 0.9, 0.5, -3.0, 1.0, 0.0)
+#: Words of names are hashed to this many places; a place's log odds count in full where some ``PRIOR_BLOCKS`` blocks show it.
+NAME_PLACES = 4096
+#: Log odds of one word of a name, and of all names around a block, stay within these.
+NAME_MOST, NAMES_MOST = 2.0, 4.0
+#: Containers above a block whose names teach.
+NAME_DEPTH = 8
 #: The classifier's log odds stay within this, so that what the containers say is not drowned.
 MOST = 6.0
 #: Log odds on pages where no element names the main text.
@@ -272,25 +280,75 @@ def _design(kinds: Sequence[tuple]) -> np.ndarray:
     return np.array(kinds, float).reshape(-1, 5) * (0.25, 1, 0.1, 1, 1)
 
 
-def scores(nodes: list[_Node], blocks: list[_Block], weights: Sequence[float] = PRIOR) -> list[float]:
+@dataclass(frozen=True)
+class Model:
+    """What is fitted: weights of the text's features, and the log odds of hashed words of names (none if empty)."""
+
+    weights: tuple[float, ...] = PRIOR
+    names: tuple[float, ...] = ()
+
+
+def _name_places(node: _Node) -> list[int]:
+    """The hashed words of a container's names; none for the main text's element and what holds it."""
+    if not node.names or node.holds_main or node.tag in GOOD_ELEMENTS:
+        return []
+    words = dict.fromkeys(re.findall(r"[a-z0-9]+", node.names))
+    return [crc32(w.encode()) % NAME_PLACES for w in list(words)[:16]]
+
+
+def _name_score(nodes: list[_Node], names: Sequence[float]) -> list[float]:
+    """What the names of a container and of those around it have been seen to say."""
+    out: list[float] = []
+    for node in nodes:
+        own = sum(names[i] for i in _name_places(node)) if names else 0.0
+        out.append(max(-NAMES_MOST, min(NAMES_MOST, (out[node.parent] if node.parent >= 0 else 0.0) + own)))
+    return out
+
+
+def scores(nodes: list[_Node], blocks: list[_Block], model: Model | None = None) -> list[float]:
     """Log odds of each block: above zero for content."""
+    model = model or Model()
+    weights, named = model.weights, _name_score(nodes, model.names)
     places = _place_score(nodes)
     bare = 0.0 if any(n.holds_main for n in nodes) else UNNAMED
     out = []
     for block in blocks:
         words, mark, links, heading, item = kind_of(nodes, block)
         own = weights[0] + weights[1] * words / 4 + weights[2] * mark + weights[3] * links / 10 + weights[4] * heading + weights[5] * item
-        out.append(places[block.node] + bare + max(-MOST, min(MOST, own)))
+        out.append(places[block.node] + named[block.node] + bare + max(-MOST, min(MOST, own)))
     return out
 
 
 def seeds(html: str | None) -> list[tuple]:
-    """(inside the main text, kind) of each block of a page that names its main text by an element."""
+    """(inside the main text, kind) of each block of a page that names its main text by an element, then (inside, place of a name's word, -1, ...) of the names around it."""
     nodes, blocks = parse(html or "")
     if not any(n.holds_main for n in nodes):
         return []
-    places = _place_score(nodes)
-    return [(int(places[b.node] > 0), *kind_of(nodes, b)) for b in blocks]
+    places, found = _place_score(nodes), []
+    for block in blocks:
+        inside, at, words = int(places[block.node] > 0), block.node, set()
+        for _ in range(NAME_DEPTH):
+            words.update(_name_places(nodes[at]))
+            if nodes[at].parent < 0 or nodes[at].tag in GOOD_ELEMENTS:
+                break
+            at = nodes[at].parent
+        found += [(inside, *kind_of(nodes, block)), *((inside, w, -1, 0, 0, 0) for w in sorted(words))]
+    return found
+
+
+def name_scores(counts: Sequence[tuple]) -> tuple[float, ...]:
+    """Log odds of each place of names' words, from (inside, place, number of blocks) and (inside, None, number of all blocks)."""
+    held, total = np.zeros((2, NAME_PLACES)), np.zeros(2)
+    for inside, place, n in counts:
+        if place is None:
+            total[inside] += n
+        else:
+            held[inside, place] += n
+    if not total.all():
+        return ()
+    odds = np.log((held[1] + 1) / (total[1] + 2)) - np.log((held[0] + 1) / (total[0] + 2))
+    seen = held.sum(axis=0)
+    return tuple(np.clip(odds * seen / (seen + PRIOR_BLOCKS), -NAME_MOST, NAME_MOST).tolist())
 
 
 def fitted(counts: Sequence[tuple]) -> tuple[float, ...]:
@@ -311,8 +369,8 @@ def fitted(counts: Sequence[tuple]) -> tuple[float, ...]:
     return tuple(float(x) for x in w)
 
 
-def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html", pages: int = FIT_PAGES) -> tuple[float, ...]:
-    """The classifier's weights from at most ``pages`` pages, those of the least hashes of ids; what comes to the driver is a count a kind of block."""
+def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html", pages: int = FIT_PAGES) -> Model:
+    """What at most ``pages`` pages teach, those of the least hashes of ids; what comes to the driver is a count a kind of block and a place of names."""
     kind = ["inside", "words", "mark", "links", "heading", "item"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +382,9 @@ def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html", pages: i
 
     chosen = texts_of(df, sampled(df, pages, id_col), id_col, html_col).select("text")
     counted = chosen.mapInArrow(rows, ", ".join(f"{c} long" for c in [*kind, "n"])).groupBy(*kind).agg(F.sum("n").alias("n"))
-    return fitted(sorted(tuple(r) for r in counted.collect()))
+    rows = sorted(tuple(r) for r in counted.collect())
+    kinds = [r for r in rows if r[2] >= 0]
+    return Model(fitted(kinds), name_scores([(r[0], None, r[-1]) for r in kinds] + [(r[0], r[1], r[-1]) for r in rows if r[2] < 0]))
 
 
 def _distance(nodes: list[_Node], a: int, b: int) -> int:
@@ -412,24 +472,23 @@ def min_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[boo
                 at = to[path.pop() ^ 1]
 
 
-def main_text(html: str | None, weights: Sequence[float] = PRIOR) -> str:
+def main_text(html: str | None, model: Model | None = None) -> str:
     """The content blocks of a page, a line each."""
     if not html:
         return ""
     nodes, blocks = parse(html)
-    keep = min_cut(scores(nodes, blocks, weights), smoothness(nodes, blocks))
+    keep = min_cut(scores(nodes, blocks, model), smoothness(nodes, blocks))
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
-def with_text(df: DataFrame, html_col: str = "html", name: str = "text", weights: Sequence[float] = PRIOR) -> DataFrame:
+def with_text(df: DataFrame, html_col: str = "html", name: str = "text", model: Model | None = None) -> DataFrame:
     """``df`` with the main text of every page in column ``name``."""
-    weights = tuple(weights)
 
     @F.arrow_udf("string")
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         only("html")
         for pages in batches:
-            texts = [main_text(html, weights) for part in by_bytes([pages]) for html in part.to_pylist()]
+            texts = [main_text(html, model) for part in by_bytes([pages]) for html in part.to_pylist()]
             yield pa.array(texts, pa.string())
 
     return df.withColumn(name, extract(F.col(html_col)))

@@ -56,7 +56,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = html_text.with_text(pages, weights=html_text.fit(pages))
+    found = html_text.with_text(pages, model=html_text.fit(pages))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -12,9 +12,9 @@ from factloom.llm import html_text as H
 LONG = "This is a paragraph of the text that goes on for quite a while, as the paragraphs of a text do."
 
 
-def signs(page, weights=H.PRIOR):
+def signs(page, model=None):
     nodes, blocks = H.parse(page)
-    return "\n".join(b.text for b, s in zip(blocks, H.scores(nodes, blocks, weights), strict=True) if s > 0)
+    return "\n".join(b.text for b, s in zip(blocks, H.scores(nodes, blocks, model), strict=True) if s > 0)
 
 
 def test_a_link_between_paragraphs_stays():
@@ -66,6 +66,20 @@ def test_the_classifier_learns_from_pages_that_name_their_text():
     assert np.abs(np.array(H.fitted([(1, 4, 0, 0, 0, 1, 1)])) - H.PRIOR).max() < 0.3
 
 
+def test_names_learn_from_pages_that_name_their_text(spark):
+    """A box that only stands outside the main text elsewhere goes where no element names the main text, and one from within stays."""
+    named = [f"<div class='kasten x{i}'><p>{LONG}</p></div><main><div class='zeilen y{i}'><p>{LONG}</p></div></main>" for i in range(80)]
+    bare = f"<div class='kasten'><p>{LONG}</p></div><div class='zeilen'><p>One.</p></div>"
+    pages = spark.createDataFrame(list(enumerate(named)), "page_id long, html string")
+    model = H.fit(pages)
+    nodes, blocks = H.parse(bare)
+    before, after = H.scores(nodes, blocks), H.scores(nodes, blocks, model)
+    assert after[0] - before[0] < -1 and after[1] - before[1] > 1
+    places = [H._name_places(n)[0] for n in nodes if n.names]
+    assert model.names[places[0]] < -1 < 1 < model.names[places[1]]
+    assert H.Model() == H.fit(pages.limit(0)) and H.name_scores([(1, None, 5)]) == ()
+
+
 @pytest.mark.parametrize("junk", ["<a ", "<!", "<!--", '<a "', "<a ='", '<a x="<b>" ', "<div>", "<div><p>x</div>", "<article>", "<svg>", "<script>", "<xmp>", "<select>", "<a href=x>y", "<p>x", "&amp", "<li>x<ul>"])
 def test_hard_pages_take_linear_time(junk):
     began = time.process_time()

@@ -278,8 +278,8 @@ PAGE = """<html><head><title>T</title><style>x{}</style></head><body class="has-
 def test_html(spark):
     text = "Title of it\nA long first paragraph of the article & more words here, quite a few.\nSecond paragraph with a link inside it.\nShort item\nAnother one"
     df = spark.createDataFrame([(1, PAGE), (1, PAGE), (2, None), (3, ""), (4, "plain text only &lt; here"), (5, "<p>a < b <<p>c"), (6, "<p>one<br>two<br/> three")], "page_id long, html string").withColumn("text", F.lit("clash"))
-    for weights in (html_text.PRIOR, html_text.fit(df), html_text.fit(df.limit(0))):
-        got = [(r.page_id, r.text) for r in html_text.with_text(df, weights=weights).collect()]
+    for model in (None, html_text.fit(df), html_text.fit(df.limit(0))):
+        got = [(r.page_id, r.text) for r in html_text.with_text(df, model=model).collect()]
         assert got == [(1, text), (1, text), (2, ""), (3, ""), (4, "plain text only < here"), (5, "a < b <\nc"), (6, "one two three")]
     assert html_text.with_text(df.limit(0)).count() == 0
 
