@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, dac, decontaminate, html_text, quality, simhash, topk, toxicity, warc
+from factloom.llm import bpe, chat, dac, decontaminate, html_text, quality, simhash, structure, topk, toxicity, warc
 from factloom.llm.labelled import fold
 from factloom.llm.shared import shared_dir, table
 
@@ -83,6 +83,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.with_score(docs.select("doc_id", "text"), model, name="score"), toxicity.THRESHOLD)
 
 
+def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired: faults, cheapest edits and the digest of the result."""
+    return structure.report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline from documents to tokens."""
     import corpus_pipeline
@@ -90,8 +95,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir).drop("ids")
 
 
-_QUERIES = [op1_exact_topk, op2_bpe, op3_simhash, op4_token_files, op5_decontaminate, op6_warc, op7_html, op8_chat, op9_quality, op10_toxicity, pipeline]
-_ORACLES: dict[str, str] = {"op1_exact_topk": topk.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_warc": warc.ORACLE, "op8_chat": chat.ORACLE}
+_QUERIES = [op1_exact_topk, op2_bpe, op3_simhash, op4_token_files, op5_decontaminate, op6_warc, op7_html, op8_chat, op9_quality, op10_toxicity, op11_structure, pipeline]
+_ORACLES: dict[str, str] = {"op1_exact_topk": topk.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_warc": warc.ORACLE, "op8_chat": chat.ORACLE, "op11_structure": structure.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
