@@ -79,16 +79,14 @@ def solve(signature: str) -> tuple[int, str]:
     def cost(i: int, state: int) -> int:
         if (i, state) not in memo:
             least = _NEVER
+            now = state
             for inserted in range(3):  # a third insertion would come back to a state passed before
-                if i == n and state in _ENDS:
+                if i == n and now in _ENDS:
                     least = min(least, 2 * inserted)
-                for _, price, j, after in edits(i, state):
+                for _, price, j, after in edits(i, now):
                     least = min(least, 2 * inserted + price + cost(j, after))
-                if inserted == 0:
-                    first = state
-                state = _NEXT[state]
-            memo[i, first] = least
-            state = first
+                now = _NEXT[now]
+            memo[i, state] = least
         return memo[i, state]
 
     for i in range(n, -1, -_BLOCK):
@@ -188,7 +186,7 @@ def _arrow(schema: str | StructType, spark) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
-def chunks(turns: DataFrame, id_col: str = "conv_id", dropped: Column | None = None) -> DataFrame:
+def chunks(turns: DataFrame, id_col: str = "conv_id", dropped: Column | None = None, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """Conversations' turns in order, coded, as rows of (id, part, chunk); ``dropped`` marks rows that are gone."""
     gone = F.lit(False) if dropped is None else F.coalesce(dropped, F.lit(False))
     text = lambda name: F.when(~F.col("gone"), F.coalesce(F.col(name).cast("string"), F.lit(" "))).otherwise("")
@@ -211,7 +209,7 @@ def chunks(turns: DataFrame, id_col: str = "conv_id", dropped: Column | None = N
                             yield now.row(whole=now.chunk == 0 and not first)
                             first = False
                         now = _Chunk(conv, part, 0, set())
-                    elif len(now.turns) >= CHUNK_TURNS or now.bytes >= CHUNK_BYTES:
+                    elif len(now.turns) >= chunk_turns or now.bytes >= CHUNK_BYTES:
                         yield now.row(whole=False)
                         now = _Chunk(conv, part, now.chunk + 1, now.seen)
                     if not gone:
@@ -292,19 +290,17 @@ def _replayed(df: DataFrame) -> DataFrame:
     """``df`` (with turns, edits and state) with the edited turns in their place."""
     out = df.drop("edits", "state")
     schema = _arrow(out.schema, df.sparkSession)
-    names, turns_at = out.columns, df.columns.index("turns")
+    names, given = out.columns, df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                columns = dict(zip(df_columns, batch.columns, strict=True))
+                columns = dict(zip(given, batch.columns, strict=True))
                 turns = [replay(t, e, s)[0] for t, e, s in zip(columns["turns"].to_pylist(), columns["edits"].to_pylist(), columns["state"].to_pylist(), strict=True)]
                 arrays = [pa.array(turns, schema.field("turns").type) if n == "turns" else columns[n] for n in names]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    df_columns = df.columns
-    assert turns_at >= 0
     return df.mapInArrow(run, out.schema)
 
 
@@ -335,14 +331,14 @@ def _pieces(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, ddl)
 
 
-def repair(turns: DataFrame, id_col: str = "conv_id", dropped: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def repair(turns: DataFrame, id_col: str = "conv_id", dropped: Column | None = None, chunk_turns: int = CHUNK_TURNS) -> tuple[DataFrame, DataFrame]:
     """(audits, repaired) of the conversations in ``turns`` (id, turn, role, text).
 
     audits: (id, gaps, blank, duplicate, truncated, illegal, cost, audit), a row a conversation.
     repaired: (id, part, chunk, whole, turns), the edited turns (role, text) in the order of (part,
     chunk); whole: the conversation has this chunk only.
     """
-    cut = chunks(turns, id_col, dropped)
+    cut = chunks(turns, id_col, dropped, chunk_turns)
     counts = ["gaps", "blank", "duplicate", "truncated", "illegal"]
     span = F.when(F.col("n_turns") > 0, F.col("last_turn") - F.col("first_turn") + 1 - F.col("n_turns")).otherwise(F.lit(0)).cast("long")
     whole = cut.where("whole").select("conv", "part", "chunk", "turns", span.alias("gaps"), *_counts(F.col("codes")), "illegal", _signature(F.col("codes")).alias("signature"))
