@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, dac, decontaminate, html_text, quality, simhash, structure, topk, toxicity, warc
+from factloom.llm import bpe, chat, dac, decontaminate, html_text, personal, quality, simhash, spelling, structure, topk, toxicity, warc
 from factloom.llm.labelled import fold
 from factloom.llm.shared import shared_dir, table
 
@@ -88,6 +88,17 @@ def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.report(table(spark, sf_dir, "conversations"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the damaged documents with its near words, its form and its root."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the fixed spans, and those that the boosted trees add."""
+    docs = table(spark, sf_dir, "documents")
+    return personal.report(personal.with_spans(docs.select("doc_id", "text"), personal.fit(docs)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline from documents to tokens."""
     import corpus_pipeline
@@ -95,8 +106,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir).drop("ids")
 
 
-_QUERIES = [op1_exact_topk, op2_bpe, op3_simhash, op4_token_files, op5_decontaminate, op6_warc, op7_html, op8_chat, op9_quality, op10_toxicity, op11_structure, pipeline]
-_ORACLES: dict[str, str] = {"op1_exact_topk": topk.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_warc": warc.ORACLE, "op8_chat": chat.ORACLE, "op11_structure": structure.ORACLE}
+_QUERIES = [op1_exact_topk, op2_bpe, op3_simhash, op4_token_files, op5_decontaminate, op6_warc, op7_html, op8_chat, op9_quality, op10_toxicity, op11_structure, op12_spelling, op13_personal, pipeline]
+_ORACLES: dict[str, str] = {"op1_exact_topk": topk.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_warc": warc.ORACLE, "op8_chat": chat.ORACLE, "op11_structure": structure.ORACLE, "op12_spelling": spelling.oracle(structure.crc_sql)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
