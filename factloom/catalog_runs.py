@@ -6,16 +6,19 @@ Scores are multiples of 1/1024, so their sums do not depend on the order of rows
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.numbers import rounded
 from factloom.operators import metrics, tables
 from factloom.plans import dims, experiment, exports, reports
 from factloom.registry import query
-from factloom.sources import sinks
+from factloom.sources import files, sinks
 from factloom.sources.examples import load_examples, manual_gold, sample_dataset
 from factloom.sources.staging import folder, staged
-from factloom.streaming import progress
+from factloom.streaming import partial, progress, rewritten, silence
 
 BASELINES = list(dims.BASELINES)
 GRAPHS = experiment.GRAPH_BASELINES
@@ -204,11 +207,12 @@ def report_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("baseline", "answer_quality_score", "query_support_path_coverage", "fallback_error_rate", "answer_quality_delta")
 
 
-@query("SELECT c_mktsegment AS baseline, cast(c_nationkey AS VARCHAR) AS category, (c_custkey % 5) / 4::DOUBLE AS required_answer_slot_coverage_manual, CASE WHEN c_custkey % 3 <> 0 THEN 0.5::DOUBLE END AS preferred_answer_evidence_hit_rate FROM customer WHERE c_custkey <= 200")
+@query("SELECT c_mktsegment AS baseline, cast(c_nationkey AS VARCHAR) AS category, (c_custkey % 5) / 4::DOUBLE AS required_answer_slot_coverage_manual, CASE WHEN c_custkey % 3 <> 0 THEN 0.5::DOUBLE END AS preferred_answer_evidence_hit_rate FROM customer")
 def manual_eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     item = F.struct(key.cast("string").alias("example_id"), F.col("c_nationkey").cast("string").alias("category"), ((key % 5) / 4.0).alias("required_slot_coverage_manual"), F.when(key % 3 != 0, 0.5).alias("preferred_evidence_hit_rate"))
-    nested = _t(spark, sf_dir, "customer").where(key <= 200).groupBy("c_mktsegment").agg(F.struct(F.collect_list(item).alias("per_example")).alias("b"))
+    # A document a segment and nation, as if each were a run's.
+    nested = _t(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.struct(F.collect_list(item).alias("per_example")).alias("b"))
     text = nested.select(F.to_json(F.struct(F.create_map("c_mktsegment", "b").alias("baselines"))).alias("value"))
     return exports.manual_rows(text)
 
@@ -336,25 +340,27 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manual gold of every fifth order and of one example that nobody has."""
     key = F.col("o_orderkey")
-    names = lambda *x: F.array(*map(F.lit, x))
+    names = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
     entity = lambda i: F.struct(F.lit(f"name {i}").alias("name"), F.lit(f"T{i % 2}").alias("entity_type"))
     row = F.struct(
         key.cast("string").alias("example_id"), F.lit("Governance").alias("category"), _pick(PROFILES, F.col("o_custkey") + key % 2).alias("gold_profile"), F.when(key % 2 == 0, "ask").otherwise("other").alias("intent_id"),
-        F.when(key % 3 == 0, names("s1", "s9")).otherwise(F.array().cast("array<string>")).alias("required_answer_slots"), names("revenue ROSE", "nothing").alias("preferred_answer_evidence"),
+        F.when(key % 3 == 0, names("s1", "s9")).otherwise(F.array().cast("array<string>")).alias("required_answer_slots"), F.when(key % 7 == 0, names("nothing")).when(key % 7 == 1, names()).when(key % 7 == 2, names("revenue ROSE")).otherwise(names("revenue ROSE", "nothing")).alias("preferred_answer_evidence"),
         F.array(entity(0), entity(1)).alias("gold_entities"), F.array(F.struct(F.lit("name 0").alias("source_name"), F.lit("holds_role").alias("relation_type"), F.lit("Name 1").alias("target_name"))).alias("gold_relations"),
     )
     rows = _t(spark, sf_dir, "orders").where(key % 5 == 0).select(row.alias("x")).select("x.*")
     path = folder(spark, "gold")
-    # One JSON document with a list, as gold comes; its rows are few.
-    rows.agg(F.collect_list(F.struct("*")).alias("examples")).select(F.to_json(F.struct("examples")).alias("value")).coalesce(1).write.text(path)
+    # JSON documents with a list each, as gold comes, some thousand examples in one.
+    buckets = 1 + rows.count() // 1000
+    lists = rows.groupBy(F.pmod(F.xxhash64("example_id"), buckets).alias("bucket")).agg(F.collect_list(F.struct(*rows.columns)).alias("examples"))
+    lists.select("bucket", F.to_json(F.struct("examples")).alias("value")).repartition("bucket").write.partitionBy("bucket").text(path)
     return manual_gold(spark, path)
 
 
 _GOLD = (
     f"{_ART}, j AS (SELECT *, {_sql_pick(PROFILES, '(cust + key % 2)')} AS gold_profile, least(n, 2) AS hit FROM art WHERE key % 5 = 0), "
-    "e AS (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE 2.0 * hit / (n + 2) END::DOUBLE AS ef, CASE WHEN n = 0 THEN 0.0 ELSE 2.0 / (n + 1) END::DOUBLE AS rf, CASE WHEN key % 3 = 0 THEN 0.0 END::DOUBLE AS cov FROM j), "
+    "e AS (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE 2.0 * hit / (n + 2) END::DOUBLE AS ef, CASE WHEN n = 0 THEN 0.0 ELSE 2.0 / (n + 1) END::DOUBLE AS rf, CASE WHEN key % 3 = 0 THEN 0.0 END::DOUBLE AS cov, CASE key % 7 WHEN 0 THEN 0.0 WHEN 1 THEN NULL WHEN 2 THEN 1.0 ELSE 0.5 END::DOUBLE AS hits FROM j), "
     f"k AS (SELECT baseline, example_id, profile = gold_profile AS profile_match, key % 2 = 0 AS intent_match, {sql_round('ef')} AS entity_f1, {sql_round('rf')} AS relation_f1, {sql_round(f'({sql_round('ef')} + {sql_round('rf')}) / 2')} AS extraction_f1_manual, "
-    "cov AS required_slot_coverage, 0.5::DOUBLE AS preferred_evidence_hit_rate, f AS answer_token_f1 FROM e)"
+    "cov AS required_slot_coverage, hits AS preferred_evidence_hit_rate, f AS answer_token_f1 FROM e)"
 )
 
 
@@ -366,7 +372,7 @@ def manual_gold_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {_GOLD} SELECT baseline, count(*) AS sample_count, (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0) - count(*) AS missing_artifact_count, {sql_round('avg(profile_match::INT)')} AS profile_selection_accuracy_manual, "
-    f"{sql_round('avg(intent_match::INT)')} AS intent_accuracy_manual, {sql_round('avg(required_slot_coverage)')} AS required_answer_slot_coverage_manual, 0.5::DOUBLE AS preferred_answer_evidence_hit_rate, {sql_round('avg(answer_token_f1)')} AS answer_token_f1 FROM k GROUP BY baseline"
+    f"{sql_round('avg(intent_match::INT)')} AS intent_accuracy_manual, {sql_round('avg(required_slot_coverage)')} AS required_answer_slot_coverage_manual, {sql_round('avg(preferred_evidence_hit_rate)')} AS preferred_answer_evidence_hit_rate, {sql_round('avg(answer_token_f1)')} AS answer_token_f1 FROM k GROUP BY baseline"
 )
 def manual_gold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     art, gold = staged(_artifacts(spark, sf_dir), "artifacts"), _gold(spark, sf_dir)
@@ -465,21 +471,48 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.watch(spark, sf_dir, fields, names="events.parquet")
 
 
-def _collected(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    path = folder(spark, "stream")
-    return progress.collected(stream, path.rsplit("/", 1)[-1].replace("-", "_"), mode, path)
-
-
 @query("SELECT event_type, count(*) AS n, sum(cast(round(value * 100) AS BIGINT))::DOUBLE / count(*) AS mean FROM events GROUP BY event_type")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts and means of the events read as a stream."""
     events = _events(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
-    return _collected(spark, progress.snapshots(events, "event_type", "cents"), "complete")
+    return progress.collected(progress.snapshots(events, "event_type", "cents"), "complete", folder(spark, "stream"))
 
 
 @query(
-    "WITH e AS (SELECT user_id, cast(epoch(date_trunc('second', ts)) AS BIGINT) AS t FROM events), g AS (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS silence FROM e) SELECT user_id, t AS last_seen, silence FROM g WHERE silence > 900"
+    "WITH e AS (SELECT user_id, cast(epoch(date_trunc('second', ts)) AS BIGINT) AS t FROM events), g AS (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS silence FROM e) "
+    "SELECT user_id, t AS last_seen, silence, true AS returned FROM g WHERE silence > 900 UNION ALL SELECT user_id, t, NULL, false FROM g WHERE silence IS NULL AND t + 900 <= (SELECT max(t) FROM e)"
 )
 def stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silences of the events' users, found by the stream's state."""
-    return _collected(spark, progress.stale_alerts(_events(spark, sf_dir), "user_id", "ts", 900, silent=False), "append")
+    """Silences of the events' users, ended and open, told by timers in event time."""
+    return progress.collected(silence.silences(_events(spark, sf_dir), "user_id", "ts", 900, "0 seconds", forget=10**9), "append", folder(spark, "stream"))
+
+
+@query(f"SELECT event_type, count(*) AS processed, {sql_round('sum(cast(round(value * 100) AS BIGINT))::DOUBLE / count(*)')} AS cents FROM events GROUP BY event_type")
+def stream_partial_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial means of the events, kept over several batches and written once each."""
+    events = _t(spark, sf_dir, "events").select("event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    files = folder(spark, "arrivals")
+    events.repartition(8).write.parquet(files)
+    stream = spark.readStream.schema("event_type string, cents long").option("maxFilesPerTrigger", 2).parquet(files)
+    path = folder(spark, "partial")
+    partial.write(stream, path, ["event_type"], ["cents"]).awaitTermination()
+    return partial.means(spark, f"{path}/means", ["event_type"], ["cents"])
+
+
+@query(
+    "SELECT v AS version, o_orderpriority AS baseline, count(*) AS processed_examples, "
+    + sql_round("sum(cast(round(o_totalprice * 100) AS BIGINT))::DOUBLE / count(*)")
+    + " AS answer_quality_score FROM orders, (SELECT unnest([1, 2, 3]) AS v) WHERE o_orderkey % 3 < v GROUP BY ALL"
+)
+def rewritten_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's checkpoint, rewritten three times, watched by a stream that is started anew each time."""
+    orders = _t(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).alias("k"), F.col("o_orderpriority").alias("b"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    at, path = folder(spark, "runs"), folder(spark, "watch")
+    for version in (1, 2, 3):
+        found = orders.where(F.col("k") < version).groupBy("b").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("cents")).alias("score")).collect()  # a row a baseline
+        shown = {r.b: {"progress": {"status": "running", "processed_examples": r.n}, "metrics": {"answer_quality_score": r.score}} for r in found}
+        files.write(files.join(at, "r1_checkpoint.json"), json.dumps({"run_id": "r1", "status": "running", "baseline_progress": shown}).encode())
+        steps = progress.baseline_progress(rewritten.watch(spark, at, f"{path}/spool", "*_checkpoint.json"), keep=["version"])
+        query = steps.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("version", "baseline", "processed_examples", "answer_quality_score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,27 +29,60 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
+def ranked_sentences(df: DataFrame, question: str, references: str = "references", terms: str | None = None, limit: int = 2, name: str = "best") -> DataFrame:
+    """``df`` with its best sentences in ``name``, an array of (pos, sentence, edge_overlap, token_overlap, length).
+
+    Ranked in the row by edge terms within, tokens shared with the question and length; ties by place.
+    """
+    parts = F.flatten(F.transform(F.coalesce(references, F.array().cast("array<string>")), sentences))
+    wanted = F.filter(F.array_distinct(F.coalesce(F.col(terms), F.array().cast("array<string>"))), lambda t: t != "") if terms else F.array().cast("array<string>")
+    df = df.withColumns({"_q": tokens(F.col(question)), "_terms": wanted, "_lines": F.transform(parts, lambda s, i: F.struct(i.alias("pos"), s.alias("sentence"), normalize(s).alias("s")))})
+
+    def scored(x: Column) -> Column:
+        hit = F.size(F.filter("_terms", lambda t: F.contains(x["s"], t)))
+        # In the order of the rank: all but the place count downwards.
+        return F.struct((-hit).alias("e"), (-overlap(F.split(x["s"], " "), F.col("_q"))).alias("t"), (-F.length(x["sentence"])).alias("l"), x["pos"].alias("pos"), x["sentence"].alias("sentence"))
+
+    # Both are named outside the lambda too: the optimizer would else work them out again for each sentence.
+    held = F.when((F.size("_q") >= 0) & (F.size("_terms") >= 0), F.col("_lines"))
+    first = F.slice(F.array_sort(F.transform(held, scored)), 1, max(1, limit))
+    shown = lambda x: F.struct(x["pos"].alias("pos"), x["sentence"].alias("sentence"), (-x["e"]).alias("edge_overlap"), (-x["t"]).alias("token_overlap"), (-x["l"]).alias("length"))
+    return df.withColumn(name, F.transform(first, shown)).drop("_q", "_terms", "_lines")
+
+
 def reference_sentences(df: DataFrame, keys: Sequence[str], question: str, references: str = "references", terms: str | None = None, limit: int = 2) -> DataFrame:
-    """The best sentences of each row: edge terms within, tokens shared with the question, length; ties by place."""
-    held = df.select(*keys, tokens(F.col(question)).alias("_q"), (F.col(terms) if terms else F.array().cast("array<string>")).alias("_terms"), F.col(references))
-    rows = sentence_rows(held, [*keys, "_q", "_terms"], references).withColumn("_s", normalize(F.col("sentence")))
-    hit = F.size(F.filter(F.array_distinct("_terms"), lambda t: (t != "") & F.contains("_s", t)))
-    rows = rows.withColumns({"edge_overlap": hit, "token_overlap": overlap(F.split("_s", " "), F.col("_q")), "length": F.length("sentence")})
-    best = first_rows(rows, max(1, limit), keys, [F.desc("edge_overlap"), F.desc("token_overlap"), F.desc("length"), F.asc("pos")])
-    return best.select(*keys, "pos", "sentence", "edge_overlap", "token_overlap", "length")
+    """(keys, pos, sentence, edge_overlap, token_overlap, length): the best sentences of each row."""
+    return ranked_sentences(df, question, references, terms, limit, "_best").select(*keys, F.inline("_best"))
 
 
 def snippets(edges: DataFrame, sentence_table: DataFrame, key: str, limit: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """The best sentences for each edge (key, edge_id, source_name, relation_type, target_name).
 
-    Edges are told apart by key, edge_id and ``by``.  Normal forms are worked out before the join, once a sentence.
+    Edges are told apart by key, edge_id and ``by``.  What they search for is ranked once a key and
+    different (source, relation, target), in the row of the key's sentences, and joined back.
     """
-    lines = sentence_table.withColumns({"_s": normalize(F.col("sentence")), "length": F.length("sentence")})
-    named = edges.withColumns({"_source": normalize(F.col("source_name")), "_target": normalize(F.col("target_name")), "_terms": F.array_distinct(F.split("relation_type", "_"))})
-    inside = lambda name: F.coalesce((F.col(name) != "") & F.contains("_s", name), F.lit(False)).cast("int")
-    rows = named.join(lines, key)
-    rows = rows.withColumns({"endpoint_overlap": inside("_source") + inside("_target"), "relation_overlap": F.size(F.filter("_terms", lambda t: F.contains("_s", t)))}).drop("_s", "_source", "_target", "_terms")
-    return first_rows(rows, limit, [key, *by, "edge_id"], [F.desc("endpoint_overlap"), F.desc("relation_overlap"), F.desc("length"), F.asc("pos")])
+    names = ["source_name", "relation_type", "target_name"]
+    lines = sentence_table.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("_plain"))
+    lines = lines.withColumn("_lines", F.transform("_plain", lambda x: F.struct(x["pos"].alias("pos"), x["sentence"].alias("sentence"), normalize(x["sentence"]).alias("s"))))
+    sought = edges.select(key, F.struct(*names).alias("_edge")).groupBy(key).agg(F.collect_set("_edge").alias("_edges"))
+    searched = lambda e: F.struct(e.alias("edge"), normalize(e["source_name"]).alias("a"), normalize(e["target_name"]).alias("b"), F.array_distinct(F.split(e["relation_type"], "_")).alias("terms"))
+    rows = sought.withColumn("_sought", F.transform("_edges", searched)).join(lines, key)
+
+    def best(e: Column) -> Column:
+        inside = lambda x, name: F.coalesce((name != "") & F.contains(x["s"], name), F.lit(False)).cast("int")
+
+        def scored(x: Column) -> Column:
+            ends = inside(x, e["a"]) + inside(x, e["b"])
+            words = F.size(F.filter(e["terms"], lambda t: F.contains(x["s"], t)))
+            return F.struct((-ends).alias("e"), (-words).alias("r"), (-F.length(x["sentence"])).alias("l"), x["pos"].alias("pos"), x["sentence"].alias("sentence"))
+
+        return F.struct(e["edge"].alias("edge"), F.slice(F.array_sort(F.transform("_lines", scored)), 1, limit).alias("found"))
+
+    found = rows.select(F.col(key).alias("_key"), F.explode(F.transform("_sought", best)).alias("_x")).select("_key", F.col("_x.edge").alias("_edge"), F.col("_x.found").alias("_found"))
+    same = reduce(lambda a, b: a & b, (F.col(n).eqNullSafe(F.col(f"_edge.{n}")) for n in names), F.col(key) == F.col("_key"))
+    joined = edges.select(*dict.fromkeys([key, *by, "edge_id", *names])).join(found, same)
+    shown = joined.select(key, *(c for c in by if c != key), "edge_id", *names, F.explode("_found").alias("_f"))
+    return shown.select("*", (-F.col("_f.e")).alias("endpoint_overlap"), (-F.col("_f.r")).alias("relation_overlap"), (-F.col("_f.l")).alias("length"), "_f.pos", "_f.sentence").drop("_f")
 
 
 def bundle(used: DataFrame, snippet_rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from factloom.functions.numbers import rounded
@@ -27,12 +30,26 @@ def recall(tp: Column, predicted: Column, gold: Column) -> Column:
     return F.when((predicted == 0) & (gold == 0), 1.0).otherwise(F.coalesce(F.try_divide(tp.cast("double"), gold), F.lit(0.0)))
 
 
+def _numbered(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds ``name``: the tokens of a text, each with how many times it has come so far, so that they make a set."""
+    held, firsts = f"{name}_held", f"{name}_firsts"
+    df = df.withColumn(held, F.array_sort(tokens(F.col(text))))
+    n = F.size(held)
+    at = lambda i: F.get(held, i)
+    new = lambda i: (i == 0) | (at(i) != at(i - 1))
+    df = df.withColumn(firsts, F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), new)))
+    ends = F.concat(F.slice(firsts, 2, F.size(firsts)), F.array(n))
+    run = lambda first, end: F.transform(F.sequence(F.lit(1), end - first), lambda k: F.concat_ws(" ", at(first), k.cast("string")))
+    none = F.array().cast("array<string>")
+    return df.withColumn(name, F.when(n > 0, F.flatten(F.zip_with(firsts, ends, run))).otherwise(none)).drop(held, firsts)
+
+
 def token_overlap(df: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
-    """(keys, common, n_left, n_right): multiset overlap of the tokens of two texts."""
-    one = lambda name, side: df.select(*keys, F.explode(tokens(F.col(name))).alias("token"), F.lit(1 - side).alias("l"), F.lit(side).alias("r"))
-    counted = one(left, 0).unionByName(one(right, 1)).groupBy(*keys, "token").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    found = counted.groupBy(*keys).agg(F.sum(F.least("l", "r")).alias("common"), F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
-    return df.select(*keys).join(found, list(keys), "left").na.fill(0, ["common", "n_left", "n_right"])
+    """(keys, common, n_left, n_right): multiset overlap of the tokens of two texts, row by row."""
+    df = df.select(*keys, F.col(left).alias("_left_text"), F.col(right).alias("_right_text"))
+    df = _numbered(_numbered(df, "_left_text", "_l"), "_right_text", "_r")
+    size = lambda x: F.size(x).cast("long")
+    return df.select(*keys, size(F.array_intersect("_l", "_r")).alias("common"), size("_l").alias("n_left"), size("_r").alias("n_right"))
 
 
 def token_f1(df: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
@@ -52,6 +69,19 @@ def set_scores(predicted: DataFrame, gold: DataFrame, items: Sequence[str], keys
     return found.withColumns({"precision": precision(tp, n_p, n_g), "recall": recall(tp, n_p, n_g), "f1": f1(tp, n_p, n_g)})
 
 
+def item(*fields: Column) -> Column:
+    """A tuple as one text, by which arrays of tuples are compared; nulls are equal to each other only."""
+    return F.concat_ws("\x00", *(F.coalesce(F.concat(F.lit("="), f), F.lit("")) for f in fields))
+
+
+def array_scores(predicted: Column, gold: Column) -> dict[str, Column]:
+    """precision, recall and f1 of the distinct elements of two arrays that stand on one row."""
+    none = F.array().cast("array<string>")
+    p, g = F.array_distinct(F.coalesce(predicted, none)), F.array_distinct(F.coalesce(gold, none))
+    tp, n_p, n_g = F.size(F.array_intersect(p, g)), F.size(p), F.size(g)
+    return {"precision": precision(tp, n_p, n_g), "recall": recall(tp, n_p, n_g), "f1": f1(tp, n_p, n_g)}
+
+
 def delta_matrix(scores: DataFrame, name: str = "baseline", value: str = "score") -> DataFrame:
     """Difference of each pair of a small table of named scores (one row a baseline)."""
     right = scores.select(F.col(name).alias("rhs"), F.col(value).alias("_r"))
@@ -108,22 +138,72 @@ def prefixes(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappi
     return found.select(*df.columns, *((zero(F.sum(f"_of{name}").over(within)) + zero(F.col(f"_to{name}"))).alias(name) for name in sums))
 
 
-def bootstrap(df: DataFrame, value: str, id_col: str, keys: Sequence[str], resamples: int = 2000, seed: int = 7) -> DataFrame:
+#: Rows of a part of a group that draws for itself.
+PART_ROWS = 4_096
+#: Draws that a task makes at once.
+_DRAWS = 1 << 21
+
+
+def drawn_from(part: int, n: int, resamples: int, seed: Sequence[int], part_rows: int = PART_ROWS) -> np.ndarray:
+    """How many of the n draws of each resample fall to a part of ``part_rows`` of the n rows.
+
+    The rows are halved until the part is left; each half gets a binomial share of the draws, from a
+    generator seeded by the group and the half's bounds, so all parts of a group agree without meeting.
+    """
+    low, high = 0, -(-n // part_rows)
+    counts = np.full(resamples, n, np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        total, left = min(high * part_rows, n) - low * part_rows, (middle - low) * part_rows
+        to_left = np.random.default_rng([*seed, low, high]).binomial(counts, left / total)
+        if part < middle:
+            counts, high = to_left, middle
+        else:
+            counts, low = counts - to_left, middle
+    return counts
+
+
+def _sums(values: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The sum of ``counts[b]`` draws of ``values`` for each resample b."""
+    out, step = np.zeros(len(counts)), max(1, _DRAWS // max(1, int(counts.max())))
+    for at in range(0, len(counts), step):
+        some = counts[at : at + step]
+        drawn = values[rng.integers(0, len(values), int(some.sum()))]
+        ends = np.concatenate([[0.0], np.cumsum(drawn)])
+        upto = np.cumsum(some)
+        out[at : at + step] = ends[upto] - ends[upto - some]
+    return out
+
+
+def bootstrap(df: DataFrame, value: str, id_col: str, keys: Sequence[str], resamples: int = 2000, seed: int = 7, part_rows: int = PART_ROWS) -> DataFrame:
     """(keys, mean, low, high, n): percentile interval of the mean, from ``resamples`` draws with replacement.
 
-    Draw d of resample b of a group takes row number xxhash64(seed, b, d, group) mod n, so the result
-    does not depend on partitions.  Rows with null values are left out; one row is its own interval.
+    Rows are numbered by ``id_col`` and cut into parts of ``part_rows``.  Each part works out how many
+    draws of every resample fall to it and draws them from its own rows; only sums, one a part and
+    resample, are shuffled, and the result does not depend on partitions.  Rows with null values are
+    left out; one row is its own interval.
     """
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(id_col).alias("_id"), F.col(value).cast("double").alias("_v"))
     rows = staged(prefixes(known, keys, ["_id"], {"_at": F.lit(1).cast("long")}).select(*keys, "_v", (F.col("_at") - 1).alias("_at")), "numbered")
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
-    # Row d makes draw d of every resample, so the draws start out as spread as the rows.
-    draws = rows.select(*keys, F.col("_at").alias("_d")).join(totals, list(keys)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.select(*keys, "_b", F.pmod(F.xxhash64(F.lit(seed), "_b", "_d", *keys), "n").alias("_at"))
-    means = draws.join(rows, [*keys, "_at"]).groupBy(*keys, "_b").agg(F.avg("_v").alias("_m"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_m", "_b")) - 1
-    ranked = means.withColumn("_r", place)
+    by = {f"_key{i}": F.col(k) for i, k in enumerate(keys)}
+    counted = totals.select(*(c.alias(name) for name, c in by.items()), F.col("n").alias("_n"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(name)) for name, k in zip(by, keys, strict=True)), F.lit(True))
+    dealt = rows.join(counted, same).select(*keys, "_at", "_v", "_n", F.xxhash64(F.lit(seed), *keys).alias("_group"), F.floor(F.col("_at") / part_rows).alias("_part"))
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at")
+        group, part = int(rows["_group"].iloc[0]) & (2**63 - 1), int(rows["_part"].iloc[0])
+        counts = drawn_from(part, int(rows["_n"].iloc[0]), resamples, (seed, group), part_rows)
+        out = pd.DataFrame({"_b": np.arange(resamples), "_sum": _sums(rows["_v"].to_numpy(), counts, np.random.default_rng((seed, group, part)))})
+        return out.assign(**{k: rows[k].iloc[0] for k in keys})[[*keys, "_b", "_sum"]]
+
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("_b", T.LongType()), T.StructField("_sum", T.DoubleType())])
+    sums = dealt.groupBy(*keys, "_part").applyInPandas(draw, schema)
+    means = sums.groupBy(*keys, "_b").agg(F.sum("_sum").alias("_m"))
+    ranked = means.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_m", "_b")) - 1)  # ``resamples`` rows a group
     low, high = int(0.025 * resamples), min(resamples - 1, int(0.975 * resamples))
-    ends = ranked.groupBy(*keys).agg(F.max(F.when(F.col("_r") == low, F.col("_m"))).alias("low"), F.max(F.when(F.col("_r") == high, F.col("_m"))).alias("high"))
-    single = F.col("n") == 1
-    return totals.join(ends, list(keys)).select(*keys, "mean", F.when(single, F.col("mean")).otherwise(F.col("low")).alias("low"), F.when(single, F.col("mean")).otherwise(F.col("high")).alias("high"), "n")
+    ends = ranked.groupBy(*keys).agg(F.max(F.when(F.col("_r") == low, F.col("_m"))).alias("_low"), F.max(F.when(F.col("_r") == high, F.col("_m"))).alias("_high"))
+    ends = ends.withColumnsRenamed(dict(zip(keys, by, strict=True)))
+    end = lambda c: F.when(F.col("n") == 1, F.col("mean")).otherwise(F.col(c) / F.col("n"))
+    return totals.join(ends, same).select(*keys, "mean", end("_low").alias("low"), end("_high").alias("high"), "n")

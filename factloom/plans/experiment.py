@@ -6,7 +6,7 @@ every graph operator keeps the key (graph_id, ...).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from factloom.functions import text as X
 from factloom.functions.numbers import rounded
 from factloom.operators import answers, evidence, extract, graph, metrics, profiles, quality, support, tables
-from factloom.operators.backend import Backend, ask, choose_extraction, choose_profile, requests
+from factloom.operators.backend import Backend, ask, choose_extraction, choose_profile, failure, requests
 from factloom.plans import dims
+from factloom.plans.reports import mention_scores
 from factloom.plans.sample import allowed_relations
 from factloom.sources.staging import staged
 
@@ -30,10 +31,18 @@ class Config:
     sample_size: int | None = None
     per_category_limit: int | None = 25
     max_references: int = 2
-    reference_sentence_limit: int = 2
+    reference_sentence_limit: int = 4
     graph_triple_limit: int = 5
     snippet_limit: int = 3
     context_char_budget: int = 2200
+    max_workers: int = 4
+    call_timeout_seconds: float = 90.0
+    checkpoint_every_examples: int = 10
+    #: Folder of a table of the model's answers, by which a run that broke off is taken up; None keeps them for the session.
+    ledger: str | None = None
+
+    def calls(self) -> dict:
+        return {"workers": self.max_workers, "timeout": self.call_timeout_seconds, "ledger": self.ledger}
 
 
 def with_intents(examples: DataFrame) -> DataFrame:
@@ -47,10 +56,11 @@ def with_intents(examples: DataFrame) -> DataFrame:
 TASKS = ("profile", "extraction", "answer")
 
 
-def extractions(examples: DataFrame, backend: Backend | None = None, tasks: Sequence[str] = TASKS) -> DataFrame:
-    """(example, baseline, selected_profile, entities, relations) of the graph baselines.
+def extractions(examples: DataFrame, backend: Backend | None = None, tasks: Sequence[str] = TASKS, calls: Mapping | None = None) -> DataFrame:
+    """(example, baseline, selected_profile, entities, relations, error) of the graph baselines.
 
-    A ``backend`` chooses profiles and extracts where ``tasks`` say so; where it fails, the heuristics stay.
+    A ``backend`` chooses profiles and extracts where ``tasks`` say so; where it fails, the heuristics
+    stay, and where it gives a request up for good, ``error`` says why.  ``calls`` are settings of ``ask``.
     """
     flags = F.array(*(F.struct(F.lit(n).alias("baseline"), F.lit(dims.BASELINES[n][0]).alias("selects"), F.lit(dims.BASELINES[n][1]).alias("constrained"), F.lit(dims.BASELINES[n][3]).alias("aware")) for n in GRAPH_BASELINES))
     combined = F.when(F.trim("source_text") != "", F.col("source_text")).otherwise(F.col("question_text"))
@@ -58,7 +68,10 @@ def extractions(examples: DataFrame, backend: Backend | None = None, tasks: Sequ
     request = ["example_id", "task", "instructions", "prompt", "temperature"]
     if backend is not None and "profile" in tasks:
         chosen = chosen.withColumnsRenamed({"confidence": "selection_confidence"})
-        chosen = choose_profile(ask(requests(chosen, "profile"), backend, request), "response").drop(*request[1:], "response", "response_error")
+        asked = ask(requests(chosen, "profile"), backend, request, **(calls or {}))
+        chosen = choose_profile(asked, "response").withColumn("error", failure("response")).drop(*request[1:], "response", "response_error")
+    else:
+        chosen = chosen.withColumn("error", F.lit(None).cast("string"))
     chosen = chosen.withColumn("by_keywords", F.col("selected_profile"))
     # The text is searched once an example, not once a baseline.
     chosen = staged(extract.prepared(chosen, "source_text"), "prepared")
@@ -66,8 +79,8 @@ def extractions(examples: DataFrame, backend: Backend | None = None, tasks: Sequ
     df = df.withColumn("selected_profile", F.when(F.col("selects"), F.col("by_keywords")).otherwise(F.col("target_profile")))
     df = extract.extract(df)
     if backend is not None and "extraction" in tasks:
-        asked = ask(requests(df, "extraction", F.col("selected_profile")), backend, request)
-        df = choose_extraction(asked, "response").drop(*request[1:], "response", "response_error")
+        asked = ask(requests(df, "extraction", F.col("selected_profile")), backend, request, **(calls or {}))
+        df = choose_extraction(asked, "response").withColumn("error", F.coalesce("error", failure("response"))).drop(*request[1:], "response", "response_error")
     worn = {c: F.col(f"_{c}") for c in ("entities", "relations")}
     both = extract.degraded(df.withColumns({f"_{c}": F.col(c) for c in worn}))
     # ``_entities`` and ``_relations`` are as extracted, the plain names degraded.
@@ -105,16 +118,8 @@ def extraction_scores(df: DataFrame, manual: DataFrame | None = None) -> DataFra
     examples = df.select("example_id", "question_text", "answer_text", "target_profile").dropDuplicates(["example_id"])
     gold = staged(resolved_gold(examples, manual).select("example_id", "gold_entities", "gold_relations", "evaluation_gold_source"), "gold")
     df = df.select("graph_id", "example_id", "entities", "relations").join(gold, "example_id")
-    n = X.normalize
-    pred_e = df.select("graph_id", F.explode("entities").alias("m")).select("graph_id", n(F.col("m.name")).alias("a"), F.col("m.entity_type").alias("b"))
-    pred_r = df.select("graph_id", F.explode("relations").alias("m")).select("graph_id", n(F.col("m.source_name")).alias("a"), F.col("m.relation_type").alias("b"), n(F.col("m.target_name")).alias("c"))
-    true_e = df.select("graph_id", F.explode("gold_entities").alias("m")).select("graph_id", F.col("m.name").alias("a"), F.col("m.entity_type").alias("b"))
-    true_r = df.select("graph_id", F.explode("gold_relations").alias("m")).select("graph_id", F.col("m.source_name").alias("a"), F.col("m.relation_type").alias("b"), F.col("m.target_name").alias("c"))
-    e = metrics.set_scores(pred_e, true_e, ["a", "b"], ["graph_id"]).select("graph_id", rounded(F.col("f1")).alias("ef"))
-    r = metrics.set_scores(pred_r, true_r, ["a", "b", "c"], ["graph_id"]).select("graph_id", rounded(F.col("f1")).alias("rf"))
-    both = df.select("graph_id", "evaluation_gold_source").join(e, "graph_id", "left").join(r, "graph_id", "left")
-    # No mention on either side is a full score.
-    return both.select("graph_id", rounded((F.coalesce("ef", F.lit(1.0)) + F.coalesce("rf", F.lit(1.0))) / 2).alias("extraction_f1"), "evaluation_gold_source")
+    scores = mention_scores(F.col("entities"), F.col("relations"), F.col("gold_entities"), F.col("gold_relations"))
+    return df.select("graph_id", rounded((rounded(scores["entity_f1"]) + rounded(scores["relation_f1"])) / 2).alias("extraction_f1"), "evaluation_gold_source")
 
 
 def run(examples: DataFrame, config: Config | None = None, manual: DataFrame | None = None, backend: Backend | None = None, tasks: Sequence[str] = TASKS) -> DataFrame:
@@ -122,13 +127,14 @@ def run(examples: DataFrame, config: Config | None = None, manual: DataFrame | N
 
     ``examples`` are the rows of ``load_examples``, ``manual`` manual gold.  A ``backend`` does the
     ``tasks`` named: it chooses profiles, extracts, and answers every baseline from its context by the
-    same prompt; where it fails, what the heuristics say stays.
+    same prompt; where it fails, what the heuristics say stays.  A row whose request it gives up for good
+    has an ``error``, and counts as ``failed`` says.
     """
     config = config or Config()
     spark = examples.sparkSession
     examples = with_intents(examples)
     # Mentions and graph feed every later table.
-    made = staged(extractions(examples, backend, tasks), "extractions")
+    made = staged(extractions(examples, backend, tasks, config.calls()), "extractions")
     entities, relations = _mentions(made, "entities"), _mentions(made, "relations")
     nodes, edges = (staged(table, "graph") for table in graph.build(entities, relations, sets=False))
     issues = staged(quality.analyze(nodes, edges, allowed_relations(spark), graph.node_sets(entities, relations)[0]), "issues")
@@ -148,31 +154,40 @@ def run(examples: DataFrame, config: Config | None = None, manual: DataFrame | N
     n_issues = issues.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_issues"))
     n_nodes = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes"))
 
-    df = made.select("graph_id", "baseline", "example_id", "category", "question_text", "answer_text", "target_profile", "by_keywords", "selected_profile", "intent_id", F.size("entities").alias("n_entities"), F.size("relations").alias("n_relations"), "references", "focus_slots", "required_relations", "required_entity_types")
+    df = made.select("error", "graph_id", "baseline", "example_id", "category", "question_text", "answer_text", "target_profile", "by_keywords", "selected_profile", "intent_id", F.size("entities").alias("n_entities"), F.size("relations").alias("n_relations"), "references", "focus_slots", "required_relations", "required_entity_types")
     for other in (found.drop("question_id", "target_profile", "intent_id"), bundles, n_issues, n_nodes, extraction_scores(made, manual)):
         df = df.join(other, "graph_id", "left")
     df = df.na.fill(0, ["n_edges", "n_issues", "n_nodes"])
     missing = support.missing_slots(F.col("missing_requirements"))
     df = df.withColumns({"answer": answers.from_bundle(F.col("triples"), missing), "confidence": answers.graph_confidence(F.col("n_edges"), F.col("support_score"))})
 
-    best = evidence.reference_sentences(examples, ["example_id"], "question_text", limit=config.reference_sentence_limit)
-    text = best.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("edge_overlap")).alias("a"), (-F.col("token_overlap")).alias("b"), (-F.col("length")).alias("c"), "pos", "sentence"))).alias("s"))
-    text = text.select("example_id", F.transform("s", lambda x: x["sentence"]).alias("sentences"))
-    plain = examples.select("example_id", "category", "question_text", "answer_text", "target_profile", "intent_id", "references", "focus_slots", "required_relations", "required_entity_types")
-    reference = plain.join(text, "example_id", "left").withColumns({"baseline": F.lit("reference_only_baseline"), "answer": F.coalesce(F.array_join("sentences", " "), F.lit("Reference context did not provide grounded answer text.")), "confidence": F.lit(0.35)})
-    asked = plain.withColumns({"baseline": F.lit("question_only_baseline"), "answer": F.lit("Insufficient grounded context to answer from the question alone."), "confidence": F.lit(0.12)})
+    best = evidence.ranked_sentences(examples, "question_text", limit=config.reference_sentence_limit)
+    best = best.withColumn("sentences", F.when(F.size("best") > 0, F.transform("best", lambda x: x["sentence"])))
+    plain = best.select("sentences", "example_id", "category", "question_text", "answer_text", "target_profile", "intent_id", "references", "focus_slots", "required_relations", "required_entity_types")
+    reference = plain.withColumns({"baseline": F.lit("reference_only_baseline"), "answer": F.coalesce(F.array_join("sentences", " "), F.lit("Reference context did not provide grounded answer text.")), "confidence": F.lit(0.35)})
+    asked = plain.drop("sentences").withColumns({"baseline": F.lit("question_only_baseline"), "answer": F.lit("Insufficient grounded context to answer from the question alone."), "confidence": F.lit(0.12)})
     rows = df.unionByName(reference, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
     mode = F.when(F.col("baseline").isin(GRAPH_BASELINES), "graph_evidence_bundle").otherwise(F.replace(F.col("baseline"), F.lit("_baseline"), F.lit("")))
     rows = rows.withColumns({"graph_id": F.concat_ws(":", "baseline", "example_id"), "context_mode": mode, "missing_slots": F.coalesce(support.missing_slots(F.col("missing_requirements")), F.array().cast("array<string>"))})
     answered = backend is not None and "answer" in tasks
     if answered:
         context = answers.context(F.col("context_mode"), F.col("question_text"), F.col("intent_id"), F.col("sentences"), F.col("triples"), F.col("missing_slots"), config.context_char_budget, config.reference_sentence_limit, config.graph_triple_limit, config.snippet_limit)
-        rows = ask(requests(rows.withColumn("context_text", context), "answer"), backend, ["example_id", "task", "instructions", "prompt", "temperature"])
-    rows = answers.with_agent(rows, "response" if answered else None)
+        rows = ask(requests(rows.withColumn("context_text", context), "answer"), backend, ["example_id", "task", "instructions", "prompt", "temperature"], **config.calls())
+        rows = rows.withColumn("error", F.coalesce("error", failure("response")))
+    rows = failed(answers.with_agent(rows, "response" if answered else None))
     rows = staged(rows.drop("context_text", "task", "instructions", "prompt", "temperature", "response", "response_error"), "answers")
     return rows.join(metrics.token_f1(rows, ["graph_id"], "answer", "answer_text").withColumn("token_f1", rounded(F.col("token_f1"))), "graph_id")
 
 
+def failed(rows: DataFrame) -> DataFrame:
+    """``rows`` with what counts for those that have an ``error``: a stand-in answer, no score of extraction or support, one more issue."""
+    wrong = F.col("error").isNotNull()
+    stand_in = answers.after_error(F.col("error"), F.col("references"), F.col("question_text"))
+    taken = {c: F.when(wrong, stand_in[c]).otherwise(F.col(c)) for c in ("answer", "confidence", "quality_notes", "answer_generation_mode")}
+    none = {c: F.when(wrong, 0.0).otherwise(F.col(c)) for c in ("extraction_f1", "support_score")}
+    return rows.withColumns(taken | none | {"n_issues": F.when(wrong, F.coalesce("n_issues", F.lit(0)) + 1).otherwise(F.col("n_issues"))})
+
+
 def details(rows: DataFrame, per_baseline: int | None = 25) -> DataFrame:
     """Answer details of each baseline's first examples: (baseline, example_id, answer struct)."""
     kept = rows if per_baseline is None else tables.per_group_limit(rows, per_baseline, ["baseline"], [F.col("example_id")])

@@ -134,21 +134,13 @@ def _canonical(category: Column) -> Column:
     return F.replace(F.trim(F.regexp_replace(F.lower(category), r"\s+", " ")), F.lit(" "), F.lit("_"))
 
 
-def _set_f1(predicted: DataFrame, gold: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, entity and relation precision, recall, F1) of two tables of mentions in arrays ``entities`` and ``relations``."""
+def mention_scores(entities: Column, relations: Column, gold_entities: Column, gold_relations: Column) -> dict[str, Column]:
+    """entity and relation precision, recall and F1 of two arrays of mentions each, all on one row; names count in normal form."""
     n = normalize
-    items = {
-        "entity": ("entities", lambda m: [n(m["name"]).alias("a"), m["entity_type"].alias("b")]),
-        "relation": ("relations", lambda m: [n(m["source_name"]).alias("a"), m["relation_type"].alias("b"), n(m["target_name"]).alias("c")]),
-    }
-    table = predicted.select(*keys)
-    for kind, (column, fields) in items.items():
-        rows = [df.select(*keys, F.explode(column).alias("m")).select(*keys, *fields(F.col("m"))) for df in (predicted, gold)]
-        names = ["a", "b", "c"][: 2 if kind == "entity" else 3]
-        found = metrics.set_scores(*rows, names, keys).select(*keys, *(F.col(c).alias(f"{kind}_{c}") for c in ("precision", "recall", "f1")))
-        # No mention on either side is a full score.
-        table = table.join(found, list(keys), "left").na.fill(1.0, [f"{kind}_{c}" for c in ("precision", "recall", "f1")])
-    return table
+    of_entity = lambda m: metrics.item(n(m["name"]), m["entity_type"])
+    of_relation = lambda m: metrics.item(n(m["source_name"]), m["relation_type"], n(m["target_name"]))
+    sides = {"entity": (entities, gold_entities, of_entity), "relation": (relations, gold_relations, of_relation)}
+    return {f"{kind}_{c}": x for kind, (p, g, of) in sides.items() for c, x in metrics.array_scores(F.transform(p, of), F.transform(g, of)).items()}
 
 
 def artifact_extraction_f1(artifacts: DataFrame) -> DataFrame:
@@ -158,11 +150,10 @@ def artifact_extraction_f1(artifacts: DataFrame) -> DataFrame:
         "baseline", "example_id", F.coalesce("extraction.entities", F.array().cast(f"array<{_ENTITY}>")).alias("entities"), F.coalesce("extraction.relations", F.array().cast(f"array<{_RELATION}>")).alias("relations"),
         F.coalesce(a["question"], none).alias("question"), F.coalesce(a["ground_truth_answer"], none).alias("truth"), _canonical(F.coalesce(a["category"], none)).alias("profile"),
     )
-    asked = staged(asked, "asked")
-    gold = extract.induced_gold(asked.drop("entities", "relations"), "question", "truth", "profile")
-    gold = staged(gold.select("baseline", "example_id", F.col("gold_entities").alias("entities"), F.col("gold_relations").alias("relations")), "gold")
-    found = _set_f1(asked, gold, ["baseline", "example_id"]).join(asked.select("baseline", "example_id", (F.size("entities") + F.size("relations") == 0).alias("empty")), ["baseline", "example_id"])
-    return found.select("baseline", "example_id", F.when(F.col("empty"), 0.0).otherwise(rounded((F.col("entity_f1") + F.col("relation_f1")) / 2)).alias("ontology_constrained_extraction_f1"))
+    judged = extract.induced_gold(asked, "question", "truth", "profile")
+    scores = mention_scores(F.col("entities"), F.col("relations"), F.col("gold_entities"), F.col("gold_relations"))
+    empty = F.size("entities") + F.size("relations") == 0
+    return judged.select("baseline", "example_id", F.when(empty, 0.0).otherwise(rounded((scores["entity_f1"] + scores["relation_f1"]) / 2)).alias("ontology_constrained_extraction_f1"))
 
 
 def metric_rows(answers: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -237,10 +228,7 @@ def manual_gold_scores(artifacts: DataFrame, gold: DataFrame) -> DataFrame:
     intent = F.coalesce(F.nullif(F.col("query_support.intent_id"), F.lit("")), bundle["intent_id"], F.lit(""))
     keys = ["baseline", "example_id"]
     entities, relations = F.array().cast(f"array<{_ENTITY}>"), F.array().cast(f"array<{_RELATION}>")
-    predicted = df.select(*keys, F.coalesce("extraction.entities", entities).alias("entities"), F.coalesce("extraction.relations", relations).alias("relations"))
-    f1 = _set_f1(predicted, df.select(*keys, F.col("gold_entities").alias("entities"), F.col("gold_relations").alias("relations")), keys)
-    kinds = [f"{kind}_{c}" for kind in ("entity", "relation") for c in ("precision", "recall", "f1")]
-    f1 = f1.select(*keys, *(rounded(F.col(c)).alias(c) for c in kinds)).withColumn("extraction_f1_manual", rounded((F.col("entity_f1") + F.col("relation_f1")) / 2))
+    scores = mention_scores(F.coalesce("extraction.entities", entities), F.coalesce("extraction.relations", relations), F.col("gold_entities"), F.col("gold_relations"))
     selected = F.col("profile_decision.selected_profile")
     judged = df.select(
         *keys,
@@ -257,8 +245,9 @@ def manual_gold_scores(artifacts: DataFrame, gold: DataFrame) -> DataFrame:
         F.col("answer.token_f1").alias("answer_token_f1"),
         F.col("extraction.evaluation_gold_source").alias("evaluation_gold_source"),
         F.col("error").alias("artifact_error"),
+        *(rounded(c).alias(name) for name, c in scores.items()),
     )
-    return judged.join(f1, keys)
+    return judged.withColumn("extraction_f1_manual", rounded((F.col("entity_f1") + F.col("relation_f1")) / 2))
 
 
 def manual_gold_missing(artifacts: DataFrame, gold: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from factloom.operators.tables import category_filter, latest
+from factloom.sources import commits
 from factloom.sources.examples import CATEGORIES, require
 
 # The run metadata tables, their columns and keys; decisions and ingestion are kept for each baseline.
@@ -56,24 +57,32 @@ def _of_run(name: str) -> list[str]:
     return ["run_id"] if name != "experiment_runs" and "run_id" in _schema(name).fieldNames() else []
 
 
+def _stored(name: str) -> StructType:
+    return _schema(name).add("seq", "long")
+
+
 def create(spark: SparkSession, root: str) -> None:
-    """All run tables, without rows."""
-    for name in SCHEMAS:
-        upsert(spark.createDataFrame([], _schema(name)), root, name, 0)
+    """All run tables, without rows, in one commit."""
+    commits.commit(spark, root, {name: spark.createDataFrame([], _stored(name)) for name in SCHEMAS}, {name: _of_run(name) for name in SCHEMAS})
 
 
 def upsert(df: DataFrame, root: str, name: str, seq: int) -> None:
     """Append rows under a sequence number; readers take the latest row of each key."""
-    conforming(df, name).withColumn("seq", F.lit(seq).cast("long")).write.mode("append").partitionBy(*_of_run(name)).parquet(f"{root}/{name}")
+    commits.commit(df.sparkSession, root, {name: conforming(df, name).withColumn("seq", F.lit(seq).cast("long"))}, {name: _of_run(name)})
 
 
 def current(spark: SparkSession, root: str, name: str, key: tuple[str, ...] | None = None, run_id: str | None = None) -> DataFrame:
     """The latest row of each key, of one run or of all."""
-    table = spark.read.schema(_schema(name).add("seq", "long")).parquet(f"{root}/{name}")
+    table = commits.rows(spark, root, name, _stored(name))
     table = table if run_id is None else table.where(F.col("run_id") == run_id)
     return latest(table, list(key or KEYS[name]), ["seq"]).drop("seq")
 
 
+def compact(spark: SparkSession, root: str, buckets: int = 8) -> None:
+    """Rewrite the run tables so that reading them touches at most ``buckets`` files a run."""
+    commits.compact(spark, root, KEYS, buckets, {name: _stored(name) for name in KEYS}, {name: _of_run(name) for name in KEYS})
+
+
 def mergeable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose two ends are nodes; others can't be stored."""
     for side in ("source", "target"):
@@ -82,17 +91,28 @@ def mergeable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, root: str, seq: int = 0, buckets: int = 64) -> None:
-    """Property-graph tables of a run, in ``buckets`` folders by graph; a later write of a key replaces the earlier one when read."""
-    bucket = F.pmod(F.xxhash64("graph_id"), F.lit(buckets)).cast("int")
-    for name, table in (("nodes", nodes), ("edges", mergeable(nodes, edges))):
-        table.withColumns({"seq": F.lit(seq).cast("long"), "bucket": bucket}).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{root}/{name}")
+GRAPH_KEYS = {"nodes": ("graph_id", "node_id"), "edges": ("graph_id", "edge_id")}
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, root: str, seq: int = 0, buckets: int = 64) -> int:
+    """Property-graph tables of a run, nodes and edges in one commit, dealt by node and by edge into ``buckets`` files.
+
+    A later write of a key replaces the earlier one when read; the commit's number comes back.
+    """
+    tables = {"nodes": nodes, "edges": mergeable(nodes, edges)}
+    dealt = {name: t.withColumn("seq", F.lit(seq).cast("long")).repartition(buckets, *GRAPH_KEYS[name]) for name, t in tables.items()}
+    return commits.commit(nodes.sparkSession, root, dealt)
+
+
+def read_graph(spark: SparkSession, root: str, commit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as of a commit, by default the last."""
+    read = lambda name: latest(commits.rows(spark, root, name, number=commit), list(GRAPH_KEYS[name]), ["seq"]).drop("seq")
+    return read("nodes"), read("edges")
 
 
-def read_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) as last written."""
-    read = lambda name, key: latest(spark.read.parquet(f"{root}/{name}").drop("bucket"), ["graph_id", key], ["seq"]).drop("seq")
-    return read("nodes", "node_id"), read("edges", "edge_id")
+def compact_graph(spark: SparkSession, root: str, buckets: int = 64) -> int:
+    """Rewrite the graph's tables so that reading them touches one file a bucket."""
+    return commits.compact(spark, root, GRAPH_KEYS, buckets)
 
 
 def write_artifacts(df: DataFrame, folder: str) -> None:

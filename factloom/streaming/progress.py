@@ -1,17 +1,15 @@
-"""Progress of runs as streams: snapshots, running means, stale alerts, completion steps.
+"""Progress of runs as streams: snapshots, counts by window, completion steps.
 
 Run metadata arrives as files; each micro-batch is one look at it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def watch(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", names: str = "*") -> DataFrame:
@@ -30,37 +28,6 @@ def windowed(events: DataFrame, ts: str, key: str, width: str, delay: str) -> Da
     return timed.groupBy(F.window("_ts", width), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
-def stale_alerts(events: DataFrame, key: str, ts: str, seconds: int, silent: bool = True) -> DataFrame:
-    """(key, last_seen, silence) once for each silence of more than ``seconds``.
-
-    A silence is found by the key's next row, or, if none comes, by a timeout of ``seconds`` after the
-    last one arrived; the row after an alert of the latter kind brings no second one.  State is the last
-    time of each key; rows of a batch are taken in order of time.  Timeouts need a query that runs on
-    (a processing-time trigger); without ``silent`` there are none, and a query over what there is ends.
-    """
-
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, told = state.get if state.exists else (None, False)
-        out = []
-        if state.hasTimedOut:
-            out.append((name[0], last, seconds))
-            told = True
-        else:
-            for t in sorted(t for batch in batches for t in batch[ts].astype("int64").tolist()):
-                if last is not None and t - last > seconds and not told:
-                    out.append((name[0], last, t - last))
-                if last is None or t > last:
-                    last, told = t, False
-            if silent:
-                state.setTimeoutDuration(1000 * seconds)
-        state.update((last, told))
-        yield pd.DataFrame(out, columns=[key, "last_seen", "silence"])
-
-    keyed = events.select(key, F.col(ts).cast("timestamp").cast("long").alias(ts))
-    kind = events.schema[key].dataType.simpleString()
-    return keyed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, last_seen long, silence long", "last long, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if silent else GroupStateTimeout.NoTimeout)
-
-
 def on_completion(stream: DataFrame, checkpoint: str, done: Callable[[DataFrame, int], None], run: str = "run_id") -> StreamingQuery:
     """Run ``done`` once for each completed run, however often its row comes; a repeated batch has the same number."""
     finished = stream.where("status = 'completed'").dropDuplicates([run])
@@ -90,14 +57,26 @@ def checkpoint_snapshots(checkpoints: DataFrame, json: str = "value") -> DataFra
     return df.select("run_id", "status", "stage", "current_baseline", "sample_count", F.transform_values("baseline_progress", shown).alias("baseline_progress"))
 
 
-def baseline_progress(checkpoints: DataFrame, json: str = "value") -> DataFrame:
-    """(run_id, baseline, status, processed_examples, total_examples, metrics...) of checkpoints' JSON text, a row a baseline."""
-    df = checkpoints.select(F.from_json(json, CHECKPOINT).alias("c")).select("c.run_id", F.explode("c.baseline_progress").alias("baseline", "b"))
-    return df.select("run_id", "baseline", "b.progress.*", "b.metrics.*")
+def baseline_progress(checkpoints: DataFrame, json: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, run_id, baseline, status, processed_examples, total_examples, metrics...) of checkpoints' JSON text, a row a baseline."""
+    df = checkpoints.select(*keep, F.from_json(json, CHECKPOINT).alias("c")).select(*keep, "c.run_id", F.explode("c.baseline_progress").alias("baseline", "b"))
+    return df.select(*keep, "run_id", "baseline", "b.progress.*", "b.metrics.*")
 
 
-def collected(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that a stream gives over the files there are, as a table in memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def collected(stream: DataFrame, mode: str, path: str) -> DataFrame:
+    """All that a stream gives over the files there are: its batches under ``path``, by number, read back.
+
+    A repeated batch replaces itself; of a ``complete`` stream the last batch is the result.
+    """
+    numbers: list[int] = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        numbers.append(number)
+
+    stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    kept = numbers[-1:] if mode == "complete" else numbers
+    if not kept:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(f"{path}/out/batch={n}" for n in kept))

@@ -148,8 +148,73 @@ def test_backend(spark):
     df = spark.createDataFrame([("x",), ("none",)], "t string").coalesce(1)
     got = backend.ask(df, model, ["t"]).select("t", backend.prefer(F.col("response"), "profile string", "profile", F.lit("h")).alias("p")).collect()
     assert {r.t: r.p for r in got} == {"x": "x", "none": "h"}
-    failed = backend.ask(spark.createDataFrame([("bad",)], "t string"), model, ["t"]).first()
-    assert failed.response is None and failed.response_error == "down"
+
+
+def _counted(log, poison):
+    """A backend that writes down what it is asked and fails with one text."""
+
+    def model(requests):
+        with open(log, "a") as out:
+            out.writelines(r["t"] + "\n" for r in requests)
+        if any(r["t"] == poison for r in requests):
+            raise RuntimeError("down")
+        return ["so " + r["t"] for r in requests]
+
+    return model
+
+
+def test_one_bad_request_stands_alone_and_none_is_made_twice(spark, tmp_path):
+    log, ledger = tmp_path / "log", str(tmp_path / "ledger")
+    df = spark.createDataFrame([(i, f"t{i % 700}", None) for i in range(1000)], "id int, t string, u string")
+    for _ in range(2):
+        got = {r.id: (r.response, r.response_error) for r in backend.ask(df, _counted(str(log), "t5"), ["t", "u"], ledger=ledger).collect()}
+        assert len(got) == 1000
+        assert {i for i, (response, _) in got.items() if response is None} == {5, 705} and got[5] == (None, "down") and got[6] == ("so t6", None)
+        asked = log.read_text().split()
+        assert len(set(asked)) == 700 and len(asked) <= 700 + 40  # only the halves of one call are made again
+    more = df.unionByName(spark.createDataFrame([(2000, "new", None)], df.schema))
+    backend.ask(more, _counted(str(log), "t5"), ["t", "u"], ledger=ledger).count()
+    assert log.read_text().split()[len(asked) :] == ["new"]
+    assert backend.ask(df.limit(0), _counted(str(log), ""), ["t"]).count() == 0
+
+
+def test_calls_have_a_deadline_and_a_bound():
+    import threading
+    import time
+
+    def slow(requests):
+        if requests[0]["t"] == "hang" or len(requests) > 1:
+            time.sleep(5)
+        return ["ok"] * len(requests)
+
+    began = time.monotonic()
+    assert backend.answered(slow, [{"t": "x"}, {"t": "hang"}], 0.3, began + 60) == [("ok", None), (None, "no answer within 0.3 seconds")]
+    assert backend.answered(slow, [{"t": "x"}] * 4, 0.3, began) == [(None, "deadline exceeded")] * 4
+    assert time.monotonic() - began < 4
+    short = backend.answered(lambda r: [], [{"t": "x"}], 1, time.monotonic() + 9)
+    assert short == [(None, "0 answers to 1 requests")]
+
+    def gone(requests):
+        raise backend.Unrecoverable("no such document")
+
+    assert backend.answered(gone, [{}], 1, time.monotonic() + 9) == [(None, "unrecoverable: no such document")]
+    assert threading.active_count() < 50
+
+
+def test_a_failed_example_counts_alone(spark, source):
+    given = examples.load_examples(source)
+    lost = given.select("example_id").orderBy("example_id").first().example_id
+
+    def model(requests):
+        if any(r["example_id"] == lost and r["task"] == "extraction" for r in requests):
+            raise backend.Unrecoverable("lost")
+        return [None] * len(requests)
+
+    rows = experiment.run(given, backend=model, tasks=("extraction",)).where("baseline LIKE 'graph%'").collect()
+    wrong = [r for r in rows if r.example_id == lost]
+    assert wrong and all((r.error, r.confidence, r.extraction_f1, r.support_score, r.answer_generation_mode) == ("lost", 0.08, 0.0, 0.0, "runtime_error_fallback") for r in wrong)
+    assert all(r.quality_notes == ["Runtime exception fallback: lost"] for r in wrong)
+    assert all(r.error is None and r.answer_generation_mode != "runtime_error_fallback" for r in rows if r.example_id != lost)
 
 
 def test_streams(spark, tmp_path):
@@ -157,10 +222,8 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame(rows, "id int, k string, s long, v double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = progress.watch(spark, str(tmp_path / "in"), "id int, k string, v double, ts timestamp")
-    got = {r.k: (r.n, r["mean"]) for r in progress.collected(progress.snapshots(stream, "k", "v"), "snap", "complete", str(tmp_path / "c1")).collect()}
+    got = {r.k: (r.n, r["mean"]) for r in progress.collected(progress.snapshots(stream, "k", "v"), "complete", str(tmp_path / "c1")).collect()}
     assert got == {"a": (3, 3.0), "b": (1, 7.0)}
-    stale = [tuple(r) for r in progress.collected(progress.stale_alerts(stream, "k", "ts", 900, silent=False), "stale", "append", str(tmp_path / "c2")).collect()]
-    assert stale == [("a", 10, 1990)]
     seen = []
     done = stream.withColumns({"status": F.when(F.col("id") >= 2, "completed"), "run_id": F.col("k")})
     for more in range(2):  # the same runs complete again
@@ -169,26 +232,6 @@ def test_streams(spark, tmp_path):
     assert sorted(seen) == ["a", "b"]
 
 
-def test_a_silent_key_alerts_once(spark, tmp_path):
-    import time
-
-    row = lambda i, k, s: spark.createDataFrame([(i, k, s)], "id int, k string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-    row(1, "a", 100).write.parquet(str(tmp_path / "in"))
-    alerts = progress.stale_alerts(progress.watch(spark, str(tmp_path / "in"), "id int, k string, ts timestamp"), "k", "ts", 2)
-    query = alerts.writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="300 milliseconds").start()
-    until = time.time() + 40
-    while time.time() < until and not spark.table("silent").count():
-        time.sleep(0.3)
-    time.sleep(2.5)
-    assert [tuple(r) for r in spark.table("silent").collect()] == [("a", 100, 2)]
-    row(2, "a", 500).write.mode("append").parquet(str(tmp_path / "in"))  # comes after its silence was told
-    until = time.time() + 40
-    while time.time() < until and spark.table("silent").count() < 2:
-        time.sleep(0.3)
-    query.stop()
-    assert [tuple(r) for r in spark.table("silent").orderBy("last_seen").collect()] == [("a", 100, 2), ("a", 500, 2)]
-
-
 def test_checkpoints(spark, tmp_path):
     text = json.dumps({"run_id": "r", "status": "running", "stage": "s", "sample_count": 4, "baseline_progress": {"b": {"progress": {"status": "running", "processed_examples": 2, "total_examples": 4}, "metrics": {"answer_quality_score": 0.5}}}})
     df = spark.createDataFrame([(text,)], "value string")
