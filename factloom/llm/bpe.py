@@ -290,6 +290,8 @@ def vocabulary(spark, path: str):
 
 def packed(ids: np.ndarray, at: np.ndarray) -> pa.Array:
     """The ids of each text as a binary value of little-endian unsigned 32-bit integers."""
+    if 4 * int(at[-1] - at[0]) >= 2**31:
+        raise OverflowError("the ids of a batch do not fit into one binary array of 2 GB")
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((4 * (at - at[0])).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids[at[0] : at[-1]], "<u4"))])
 
 

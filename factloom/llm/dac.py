@@ -216,7 +216,8 @@ def files_for(df: DataFrame, text_col: str = "text") -> int:
 def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, files: int | None = None, slice_bytes: int = SEGMENT_BYTES) -> list[tuple[str, int, int]]:
     """Encode every text and write token files to ``folder``; [(file, documents, ids)] in order.
 
-    What comes to the driver is one row a file.  A hot id is dealt out by the hash of its texts.
+    What comes to the driver is one row a file.  A hot id is dealt out by the hash of its texts,
+    and a hot text by its rows.
     """
     spark = df.sparkSession
     files = files or files_for(df, text_col)
@@ -243,8 +244,10 @@ def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_co
         write_atomically(uri, _file_parts(segments(), totals))
         yield pa.RecordBatch.from_pydict({"place": [place], "file": [uri], "docs": [totals["docs"]], "ids": [totals["ids"]]})
 
-    order = [F.col("id"), F.xxhash64("text")]
-    dealt = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
+    # Numbered, so that the copies of one row are dealt out too.
+    order = [F.col("id"), F.xxhash64("text"), F.col("row")]
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions("id", F.xxhash64("text"), "text", "row").drop("row")
     written = dealt.mapInArrow(run, "place long, file string, docs long, ids long").collect()
     return [(r["file"], r["docs"], r["ids"]) for r in sorted(written, key=lambda r: r["place"])]
 

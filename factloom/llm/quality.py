@@ -87,11 +87,11 @@ def _tail_ratio(p: np.ndarray, u: np.ndarray, seed: int) -> float:
     """The least ratio of held-out score tails, for one random split in halves."""
     rng = np.random.default_rng(seed)
     p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
-    half_p, half_u = len(p) // 2, len(u) // 2
+    half_p, half_u = max(1, len(p) // 2), max(1, len(u) // 2)
     w, adam = np.zeros(p.shape[1]), _Adam(p.shape[1], 0.02)
     for a, b in _batches(p[:half_p], u[:half_u], 20, seed):
         w += adam.step(-a.T @ (1 - _sigmoid(a @ w)) / len(a) + b.T @ _sigmoid(b @ w) / len(b) + 1e-4 * w)
-    of_p, of_u = np.sort(p[half_p:] @ w), np.sort(u[half_u:] @ w)
+    of_p, of_u = np.sort(p[min(half_p, len(p) - 1) :] @ w), np.sort(u[min(half_u, len(u) - 1) :] @ w)  # a single row serves both ends
     cuts = np.quantile(of_p, np.linspace(0.01, 0.9, 90))
     tail_p = 1 - np.searchsorted(of_p, cuts) / len(of_p)
     tail_u = 1 - np.searchsorted(of_u, cuts) / len(of_u)
@@ -126,7 +126,7 @@ def train(p: np.ndarray, u: np.ndarray, steps: int = 500) -> Model:
         return Model(np.zeros(0), np.ones(0), np.zeros(0), 0.5)
     model = Model(u.mean(axis=0), u.std(axis=0) + 0.02, np.zeros(0), 0.5)
     p, u = model.design(p), model.design(u)
-    prior = SHADE * estimate_prior(p, u) if min(len(p), len(u)) >= 20 else 0.5
+    prior = SHADE * estimate_prior(p, u)
     w, adam = np.zeros(p.shape[1]), _Adam(p.shape[1], 0.02)
     for _ in range(steps):
         sp, su = _sigmoid(p @ w), _sigmoid(u @ w)

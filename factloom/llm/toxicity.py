@@ -8,15 +8,16 @@ each round: those of toxic documents carry the label toxic, those of clean ones,
 words of theirs, the label clean; toxic bags are drawn as often as half the clean ones, and some words
 are misspelt at random.
 
-After averaging the model is linear, so table and softmax fold into one number an n-gram.  Three
-averages make a document's score: that of its most toxic word, that of its ``BAG`` most toxic different
-words, and that of all its n-grams.  A logistic curve over training documents that were kept back
-weighs them; with fewer than 40 toxic or 40 clean documents none are kept back, and all serve both
-ends.  The numbers are integers, so a text's score is the same alone, in any order and in any batch.
+After averaging the model is linear, so table and softmax fold into one number an n-gram.  ``FOLDS``
+such tables are learnt, each from all training documents but one fold, and the model's table is their
+mean, which steadies it against the chance of a single run.  Three averages make a document's score:
+that of its most toxic word, that of its ``BAG`` most toxic different words, and that of all its
+n-grams.  A logistic curve weighs them; it is fitted on all training documents, each scored by the
+table that has not seen it.  The numbers are integers, so a text's score is the same alone, in any order
+and in any batch.
 
-Bounds: ``TOXIC`` and ``CLEAN`` labelled documents train it, each by at most ``WORDS`` different words
-of at most ``LONGEST`` bytes (those of the least hashes), which executors pick; scoring reads every
-whole text.
+Bounds: ``TOXIC`` and ``CLEAN`` labelled documents train it, each by all of its different words, which
+executors pick; scoring reads every whole text.
 
 Cases: null, empty and blank texts score 0; a text of any length counts whole; repeated rows and extra
 columns stay; of labelled rows with one id, the text of the least hash trains; if the labels hold no
@@ -30,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +39,11 @@ from factloom.llm.labelled import fold, sampled, texts_of
 from factloom.llm.shared import by_bytes, gathered, only, text_bytes
 
 TOXIC, CLEAN = 2_000, 4_000
-#: Different words of a training document, and the bytes of the longest.
-WORDS, LONGEST = 2_048, 64
 THRESHOLD = 0.5
 #: Different words of a bag.
 BAG = 3
-#: Share of the training documents that is kept back for the curve.
-HELD_BACK = 0.25
+#: Tables, each of which leaves out one fold of the training documents.
+FOLDS = 4
 BITS, WIDTH = 18, 8
 SIZES = (3, 4, 5, 6)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -234,7 +232,12 @@ def _random(docs: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights and shift of the logistic curve over averages, by Newton's method with a small penalty; no average counts against a text."""
+    """Weights and shift of the logistic curve over averages, by Newton's method with a small penalty; no average counts against a text.
+
+    A class weighs as the root of its number of rows: the rarer one counts for more than its share.
+    """
+    weight = np.where(y > 0, np.sqrt(1 / max(1, (y > 0).sum())), np.sqrt(1 / max(1, (y <= 0).sum())))
+    weight *= len(y) / weight.sum()
     middle, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     used = np.ones(x.shape[1], bool)
     while True:
@@ -242,8 +245,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         w, penalty = np.zeros(design.shape[1]), np.append(np.full(used.sum(), 0.5), 0)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-            hessian = (design * (p * (1 - p) + 1e-9)[:, None]).T @ design + np.diag(penalty) + np.eye(len(w)) * 1e-6
-            w -= np.linalg.solve(hessian, design.T @ (p - y) + penalty * w)
+            hessian = (design * (weight * p * (1 - p) + 1e-9)[:, None]).T @ design + np.diag(penalty) + np.eye(len(w)) * 1e-6
+            w -= np.linalg.solve(hessian, design.T @ (weight * (p - y)) + penalty * w)
         if (w[:-1] >= 0).all() or used.sum() == 1:
             break
         used[np.flatnonzero(used)[w[:-1] < 0]] = False
@@ -254,22 +257,11 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.append(weights, w[-1] - (weights * middle).sum())
 
 
-def train(toxic: list[bytes], clean: list[bytes], rounds: int = 6, passes: int = 2, batch: int = 256, rate: float = 0.2, seed: int = 5) -> Model:
-    """Train on documents given by their different words, with blanks between them."""
-    rng = np.random.default_rng(seed)
-    parts = [[d for d in docs if d] for docs in (toxic, clean)]
-    if not all(parts):
-        return Model(np.zeros(0, np.int32), np.zeros(4))
-    parts = [[docs[i] for i in rng.permutation(len(docs))] for docs in parts]
-    # With very few documents all of them serve both ends.
-    back = [int(HELD_BACK * len(docs)) if min(map(len, parts)) >= 40 else 0 for docs in parts]
-    learnt = [d for docs, n in zip(parts, back, strict=True) for d in docs[n:]]
-    held = pc.split_pattern(pa.array(learnt, pa.large_binary()), b" ")
-    words = held.flatten().dictionary_encode()
-    docs = np.split(words.indices.to_numpy(), held.offsets.to_numpy()[1:-1])
-    words = words.dictionary
-    bad, good = docs[: len(parts[0]) - back[0]], docs[len(parts[0]) - back[0] :]
-    grams, net = _Grams(b" ".join(words.to_pylist())), _Net(rng)
+def _learnt(words: pa.Array, grams: _Grams, bad: list[np.ndarray], good: list[np.ndarray], rng: np.random.Generator, rounds: int, passes: int, batch: int, rate: float) -> np.ndarray:
+    """One n-gram table from documents as arrays of word numbers; zeros if a side is empty."""
+    if not bad or not good:
+        return np.zeros(1 << BITS)
+    net = _Net(rng)
     # Log odds of each n-gram, by how many documents hold its words, choose the first bags.
     share = np.zeros((2, 1 << BITS))
     for side, some in enumerate((bad, good)):
@@ -295,26 +287,44 @@ def train(toxic: list[bytes], clean: list[bytes], rounds: int = 6, passes: int =
                 some = order[at : at + batch]
                 net.step(local, bags[some], labels[some], rate * (1 - round_ / (rounds + 1)))
         table = net.table()
-    table = np.round(table * _STEPS).astype(np.int32)
-    kept = [docs[:n] if n else docs for docs, n in zip(parts, back, strict=True)]
-    texts = pa.array([d.decode("utf-8", "replace") for docs in kept for d in docs], pa.large_string())
-    means = np.concatenate([averages(part, table) for part in by_bytes([texts])])
-    return Model(table, _curve(means, np.repeat([1.0, 0.0], [len(k) for k in kept])))
+    return table
+
+
+def train(toxic: list[bytes], clean: list[bytes], rounds: int = 6, passes: int = 2, batch: int = 256, rate: float = 0.2, seed: int = 5) -> Model:
+    """Train on documents given by their different words, with blanks between them."""
+    rng = np.random.default_rng(seed)
+    parts = [[d for d in docs if d] for docs in (toxic, clean)]
+    if not all(parts):
+        return Model(np.zeros(0, np.int32), np.zeros(4))
+    parts = [[docs[i] for i in rng.permutation(len(docs))] for docs in parts]
+    held = pc.split_pattern(pa.array([d for docs in parts for d in docs], pa.large_binary()), b" ")
+    words = held.flatten().dictionary_encode()
+    docs = np.split(words.indices.to_numpy(), held.offsets.to_numpy()[1:-1])
+    words, first_clean = words.dictionary, len(parts[0])
+    toxic_ids, clean_ids = docs[:first_clean], docs[first_clean:]
+    grams = _Grams(b" ".join(words.to_pylist()))
+    tables, means, labels = [], [], []
+    for fold_ in range(FOLDS):
+        others = [[d for i, d in enumerate(side) if i % FOLDS != fold_] for side in (toxic_ids, clean_ids)]
+        table = np.round(_learnt(words, grams, *others, rng, rounds, passes, batch, rate) * _STEPS).astype(np.int32)
+        tables.append(table)
+        for label, side in ((1.0, parts[0]), (0.0, parts[1])):
+            texts = [d.decode("utf-8", "replace") for d in side[fold_::FOLDS]]
+            if texts:
+                means.append(np.concatenate([averages(part, table) for part in by_bytes([pa.array(texts, pa.large_string())])]))
+                labels.append(np.full(len(texts), label))
+    return Model(np.round(np.mean(tables, axis=0)).astype(np.int32), _curve(np.concatenate(means), np.concatenate(labels)))
 
 
 def different_words(texts: pa.Array) -> list[bytes]:
     """The different words of each text that train a model, with blanks between them."""
     data, begins = _spaced(texts)
-    held, out = data.tobytes(), []
-    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(data)], strict=True):
-        words = {w for w in held[a:b].split(b" ") if 0 < len(w) <= LONGEST}
-        if len(words) > WORDS:
-            words = sorted(words, key=lambda w: (xxhash.xxh64_intdigest(w), w))[:WORDS]
-        out.append(b" ".join(sorted(words)))
-    return out
+    held = data.tobytes()
+    ends = [*begins[1:].tolist(), len(data)]
+    return [b" ".join(sorted({w for w in held[a:b].split(b" ") if w})) for a, b in zip(begins.tolist(), ends, strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, seed: int = 5) -> Model:
     """Train on at most ``toxic`` + ``clean`` labelled documents, none of them held out."""
     known = labels.where(fold() != 0)
     ids = sampled(known.where("toxic = 1"), toxic).withColumn("bad", F.lit(True)).unionByName(sampled(known.where("toxic = 0"), clean).withColumn("bad", F.lit(False)))
@@ -325,7 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLE
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(different_words(batch.column(1)), pa.binary())], names=["bad", "words"])
 
     found = texts_of(docs, ids).select("bad", "text").mapInArrow(rows, "bad boolean, words binary").toArrow()  # at most toxic + clean rows
-    return train(*(sorted(found["words"].filter(pc.equal(found["bad"], bad)).to_pylist()) for bad in (True, False)))
+    return train(*(sorted(found["words"].filter(pc.equal(found["bad"], bad)).to_pylist()) for bad in (True, False)), seed=seed)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity_score") -> DataFrame:

@@ -73,7 +73,7 @@ def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
     """(record) of every row: a whole WARC record but for its last CRLF."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload").cast("long")})
-    same = rows.where(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(F.max("id").alias("first_id"), F.max_by("url", "id").alias("first_url"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n")
+    same = rows.where(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(F.max("id").alias("first_id"), F.max_by("url", F.struct("id", "url")).alias("first_url"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n")
     same = saved(same, "equal-payloads")
     same = F.broadcast(same) if same.count() <= BROADCAST_ROWS else same
     rows = rows.join(same, ["sha1", "bytes"], "left")

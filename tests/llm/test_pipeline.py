@@ -36,4 +36,4 @@ def test_stages(spark, folder):
 def test_names():
     names = list(registry.queries())
     assert [n for n, _ in pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "decontamination", "tokens"]
-    assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}

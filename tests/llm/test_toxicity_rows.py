@@ -1,10 +1,15 @@
-"""A document's toxicity score stands alone; unseen misspellings are found; the sample is bounded."""
+"""A document's toxicity score stands alone; unseen misspellings are found; recall holds for every seed."""
+
+import os
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from factloom.llm import toxicity
+from factloom.llm.labelled import fold
+
+SF = "/root/testdata/sf0.1"
 
 TEXTS = ["one two", "two", "two", "", "two three", None, "three", "three three four", "four", "", "Ünï köln—vier «fünf»", " \n"]
 
@@ -65,9 +70,33 @@ def test_unseen_misspellings_are_found():
     assert found[toxic].mean() > 0.9 and found[~toxic].mean() < 0.05
 
 
-def test_training_documents_are_bounded(spark):
+def test_every_different_word_trains():
     many = " ".join(f"w{i}" for i in range(10_000)) + " " + "x" * 100
-    assert [len(w.split()) for w in toxicity.different_words(pa.array([many, "a A b", ""], pa.large_string()))] == [toxicity.WORDS, 2, 0]
+    assert [len(w.split()) for w in toxicity.different_words(pa.array([many, "a A b", ""], pa.large_string()))] == [10_001, 2, 0]
+
+
+def test_one_procedure_at_every_size():
+    """A single document a side, or sides of different size, take the same way."""
+    for toxic, clean in (([b"foul wick"], [b"fair day"]), ([b"foul wick"] * 3, [b"fair day"] * 30), ([b"foul"], [b"fair"] * 9)):
+        scores = toxicity.train(toxic, clean).scores(["foul wick", "fair day", "", None])
+        assert ((scores >= 0) & (scores <= 1)).all() and scores[2] == scores[3] == 0
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="the driver's tables are not here")
+def test_recall_holds_for_every_seed(spark):
+    """Fold 0 of the driver's documents: at least 0.9 found and at most 3 clean ones called toxic, whatever the seed (SEEDS of them, 10 in README)."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where(fold() == 0).join(docs, "doc_id").select("toxic", "text").toArrow()
+    toxic = held["toxic"].to_numpy() == 1
+    figures = []
+    for seed in range(int(os.environ.get("SEEDS", 2))):
+        found = toxicity.fit(docs, labels, seed=seed).scored(held["text"].combine_chunks()) >= toxicity.THRESHOLD
+        figures.append((float(found[toxic].mean()), int(found[~toxic].sum())))
+    print(figures)
+    assert all(recall >= 0.9 and wrong <= 3 for recall, wrong in figures), figures
+
+
+def test_training_texts_are_one_an_id(spark):
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None)], "doc_id long, text string")
     from factloom.llm.labelled import texts_of
 
