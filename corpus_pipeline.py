@@ -7,8 +7,9 @@
 4. decontamination: documents contaminated by the benchmark go.
 5. tokens: what is left, as token ids.
 
-Stage 3 decides by row: a row goes only if its group keeps another, null ids come last, and of rows
-with equal id and text one stays.  Rows with a null id pass stage 4, which names documents by id.
+Stages 3 and 4 decide by row, which id and text tell apart: of two rows with one id, one may stay.  In
+stage 3 a row goes only if its group keeps another, null ids come last, and of rows with equal id and
+text one stays.
 Empty tables pass as empty tables.
 """
 
@@ -21,14 +22,21 @@ from factloom.llm import bpe, decontaminate, quality, simhash, toxicity
 from factloom.llm.registry import tokenizer_path
 from factloom.llm.shared import discard, fresh, saved, table
 
-#: Ids, or pairs of id and text hash, that are broadcast at most (8 or 16 bytes each); more are joined by shuffle.
+#: Pairs of id and text hash that are broadcast at most (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``gone`` (one column, doc_id)."""
-    gone = saved(gone.select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``key``, by which rows are told apart: whether the id is null, the id, the text's hash."""
+    return docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.xxhash64("text").alias("text_hash")))
+
+
+def _matched(rows: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with the keys in ``keys`` (one column ``key``) as ``how`` says, by broadcast while they are few."""
+    its_id, its_hash = fresh("its_id", rows), fresh("its_hash", rows)
+    pairs = saved(keys.select(F.col(f"{key}.doc_id").alias(its_id), F.col(f"{key}.text_hash").alias(its_hash)).distinct(), "keys")
+    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+    return rows.join(pairs, F.col(f"{key}.doc_id").eqNullSafe(F.col(its_id)) & (F.col(f"{key}.text_hash") == F.col(its_hash)), how)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,26 +51,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The least key of a group names it: null ids last, then the smaller id, then the lesser hash.
-    key, its_id, its_hash = (fresh(name, docs) for name in ("key", "its_id", "its_hash"))
-    keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.xxhash64("text").alias("text_hash")))
+    key = fresh("key", docs)
+    keyed = _keyed(docs, key)
     grouped = saved(simhash.near_duplicates(keyed, key), "groups")
-    pair = [F.col(f"{key}.doc_id").alias(its_id), F.col(f"{key}.text_hash").alias(its_hash)]
-
-    def matched(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
-        pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
-        return rows.join(pairs, F.col(f"{key}.doc_id").eqNullSafe(F.col(its_id)) & (F.col(f"{key}.text_hash") == F.col(its_hash)), how)
-
-    left = matched(keyed, saved(grouped.where(F.col(key) != F.col("component_id")).select(pair).distinct(), "gone"), "left_anti")
-    repeated = saved(grouped.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(pair), "repeated")
+    left = _matched(keyed, key, grouped.where(F.col(key) != F.col("component_id")), "left_anti")
+    repeated = saved(grouped.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(key), "repeated")
     if repeated.isEmpty():
         return left.select(docs.columns)
-    once = matched(left, repeated, "left_semi").dropDuplicates([key])
-    return matched(left, repeated, "left_anti").unionByName(once).select(docs.columns)
+    once = _matched(left, key, repeated, "left_semi").dropDuplicates([key])
+    return _matched(left, key, repeated, "left_anti").unionByName(once).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.verdicts(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
-    return _without(docs, found.where("contaminated"))
+    key = fresh("key", docs)
+    keyed = _keyed(docs, key)
+    found = decontaminate.verdicts(decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col=key), id_col=key)
+    return _matched(keyed, key, found.where("contaminated").select(key), "left_anti").select(docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
