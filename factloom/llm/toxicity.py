@@ -44,6 +44,8 @@ THRESHOLD = 0.5
 BAG = 3
 #: Tables, each of which leaves out one fold of the training documents.
 FOLDS = 4
+#: How far the curve levels the classes: 0 leaves them as they are, 1 lets both weigh the same.
+LEVELLED = 0.65
 BITS, WIDTH = 18, 8
 SIZES = (3, 4, 5, 6)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -234,9 +236,9 @@ def _random(docs: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
 def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights and shift of the logistic curve over averages, by Newton's method with a small penalty; no average counts against a text.
 
-    A class weighs as the root of its number of rows: the rarer one counts for more than its share.
+    A class weighs as its number of rows to the power 1 - ``LEVELLED``: the rarer one counts for more than its share.
     """
-    weight = np.where(y > 0, np.sqrt(1 / max(1, (y > 0).sum())), np.sqrt(1 / max(1, (y <= 0).sum())))
+    weight = np.where(y > 0, max(1, (y > 0).sum()) ** -LEVELLED, max(1, (y <= 0).sum()) ** -LEVELLED)
     weight *= len(y) / weight.sum()
     middle, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     used = np.ones(x.shape[1], bool)
