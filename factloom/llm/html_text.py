@@ -10,8 +10,9 @@ Smoothness edges join neighbours in page order, the weaker the further apart the
 and next of kin under one parent.  The minimum cut, found by max-flow, labels the blocks, so that a
 block with weak signs follows its neighbours; the content side is the text.
 
-Bounds: ``FIT_PAGES`` pages fit the classifier, of which counts of kinds of blocks reach the driver;
-extraction reads every whole page.
+Bounds: ``FIT_PAGES`` pages fit the classifier, of which counts of kinds of blocks reach the driver.  The
+features that names give are the first 16 different words of a container's names, and those of the
+``NAME_DEPTH`` containers around a block; extraction reads every whole page.
 
 Cases: a null page gives the empty text; text outside any block element is a block; a line break is
 white space inside its block; unclosed and stray tags are repaired, in time linear in the page's length

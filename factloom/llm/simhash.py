@@ -4,8 +4,10 @@ A 64-bit fingerprint is cut into two parts of 23 bits and one of 18.  The anchor
 are the 4,096 words of the perfect Golay code, whose covering radius is 3; the 18-bit part takes all
 its words as anchors (radius 0).  Two fingerprints that differ in at most ``limit`` bits differ in
 at most t bits of some part, where the t of the parts add up to ``limit`` - 2.  So a fingerprint's
-home is its nearest anchor, it is copied to every anchor within radius + t, and each home compares
-its own fingerprints with the copies: every link is found.
+home is its nearest anchor, and it is copied to the nearest anchor of each word that lies within t bits
+of its own.  These are anchors within radius + t, and enough of them: a partner's part is one of those
+words, so its home is among the copies' anchors.  Each home compares its own fingerprints with the
+copies, and every link is found.
 
 Equal fingerprints are one node.  An anchor with many fingerprints is dealt out in blocks of at
 most ``BLOCK``, and a block returns a spanning star a cluster, never all its pairs.
@@ -110,7 +112,7 @@ class Covering:
         return part if self.errors is None else part ^ self.errors[self.remainder(part)]
 
     def copies(self, bits: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, anchor, is it home) for each anchor within the covering radius + ``extra``."""
+        """(row, anchor, is it home): the nearest anchors of all words within ``extra`` bits, where a partner's home must be."""
         part, rows = self.part(bits), np.arange(len(bits))
         home = self.nearest(part)
         found = [rows.astype(np.uint64) << np.uint64(32) | home]
