@@ -85,7 +85,7 @@ def array_scores(predicted: Column, gold: Column) -> dict[str, Column]:
 def delta_matrix(scores: DataFrame, name: str = "baseline", value: str = "score") -> DataFrame:
     """Difference of each pair of a small table of named scores (one row a baseline)."""
     right = scores.select(F.col(name).alias("rhs"), F.col(value).alias("_r"))
-    return scores.select(F.col(name).alias("lhs"), F.col(value).alias("_l")).crossJoin(F.broadcast(right)).select("lhs", "rhs", (F.col("_l") - F.col("_r")).alias("delta"))
+    return scores.select(F.col(name).alias("lhs"), F.col(value).alias("_l")).crossJoin(right).select("lhs", "rhs", (F.col("_l") - F.col("_r")).alias("delta"))
 
 
 def delta_maps(matrix: DataFrame) -> DataFrame:

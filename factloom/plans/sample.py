@@ -8,6 +8,7 @@ company by name.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -19,6 +20,7 @@ from factloom.functions.numbers import rounded
 from factloom.operators import answers, evidence, graph, metrics, profiles, quality, support
 from factloom.operators.extract import ENTITIES, RELATIONS, distinct_entities, entity, relation
 from factloom.plans import dims
+from factloom.sources import files
 from factloom.sources.staging import staged
 
 #: Words that are no part of a person's name, in either place.
@@ -26,9 +28,16 @@ STOP = ("Executive", "Board", "Committee", "Return", "Banking")
 PATTERNS = {"person": X.PERSON, "money": X.MONEY, "quarter": X.QUARTER}
 
 
+#: How many values a rule of each kind has.
+VALUES = {"entity": 2, "relation": 3, "pattern": 2}
+
+
 @dataclass(frozen=True)
 class RuleSet:
-    """rules: profile ("" for any) -> ordered (phrase, kind, values): ("entity", (name, type)), ("relation", (s, r, t)) or ("pattern", (pattern, type))."""
+    """rules: profile ("" for any) -> ordered (phrase, kind, values[, cased]): ("entity", (name, type)), ("relation", (s, r, t)) or ("pattern", (pattern, type)).
+
+    A phrase is looked for in lower case, or as it stands where ``cased``.
+    """
 
     rules: Mapping[str, tuple] = field(default_factory=dict)
     entity_confidence: float = 0.88
@@ -38,6 +47,34 @@ class RuleSet:
     templates: Mapping[str, answers.AnswerTemplate] = field(default_factory=dict)
 
 
+def rules_of(data: Mapping) -> RuleSet:
+    """A rule set from plain data: a list ``rules`` of rows {profile, phrase, kind, values, cased}, in order, and the set's other fields.
+
+    ``templates`` maps query templates to {pattern, confidence}.  Rows that can't be right are refused.
+    """
+    rules: dict[str, list[tuple]] = {}
+    for n, row in enumerate(data.get("rules", ())):
+        kind, values, profile = row.get("kind"), tuple(row.get("values") or ()), row.get("profile") or ""
+        if kind not in VALUES or len(values) != VALUES[kind] or not all(isinstance(v, str) and v for v in values):
+            raise ValueError(f"rule {n}: a rule is an entity (name, type), a relation (source, type, target) or a pattern (pattern, type)")
+        if kind == "pattern" and values[0] not in PATTERNS:
+            raise ValueError(f"rule {n}: no pattern {values[0]!r}; there are {', '.join(PATTERNS)}")
+        if profile and profile not in dims.PROFILES:
+            raise ValueError(f"rule {n}: no profile {profile!r}")
+        rules.setdefault(profile, []).append((row.get("phrase") or "", kind, values, bool(row.get("cased", False))))
+    rest = {name: data[name] for name in ("entity_confidence", "relation_confidence", "dedupe") if name in data}
+    templates = {name: answers.AnswerTemplate(t["pattern"], float(t["confidence"])) for name, t in data.get("templates", {}).items()}
+    return RuleSet({p: tuple(rows) for p, rows in rules.items()}, templates=templates, **rest)
+
+
+def read_rules(uri: str) -> RuleSet:
+    """The rule set of a JSON file."""
+    held = files.read(uri)
+    if held is None:
+        raise FileNotFoundError(uri)
+    return rules_of(json.loads(held))
+
+
 def _people(text: Column) -> Column:
     stop = F.array(*map(F.lit, STOP))
     return F.filter(X.persons(text, initials=False), lambda p: ~F.arrays_overlap(F.split(p, " "), stop))
@@ -52,7 +89,7 @@ def extracted(df: DataFrame, rules: RuleSet, profile: Column) -> DataFrame:
 
     def parts(of: str, kinds: tuple[str, ...], kind: str) -> Column:
         made = [F.array().cast(kind)]
-        for phrase, what, values in rules.rules.get(of, ()):
+        for phrase, what, values, *cased in rules.rules.get(of, ()):
             if what not in kinds:
                 continue
             if what == "pattern":
@@ -62,7 +99,8 @@ def extracted(df: DataFrame, rules: RuleSet, profile: Column) -> DataFrame:
                 item = F.array(entity(F.lit(values[0]), values[1], rules.entity_confidence))
             else:
                 item = F.array(relation(F.lit(values[0]), values[1], F.lit(values[2]), rules.relation_confidence))
-            made.append(F.when(F.contains(low, F.lit(phrase.lower())), item).otherwise(F.array()).cast(kind))
+            held = F.contains(text, F.lit(phrase)) if any(cased) else F.contains(low, F.lit(phrase.lower()))
+            made.append(F.when(held, item).otherwise(F.array()).cast(kind))
         return F.concat(*made)
 
     def chosen(kinds: tuple[str, ...], kind: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime, timezone
@@ -122,6 +123,22 @@ def markdown_table(rows: Sequence[Mapping], columns: Sequence[str]) -> str:
     return "\n".join([*lines, *("| " + " | ".join(shown(row.get(c)) for c in columns) + " |" for row in rows)])
 
 
+def write_table(rows: Iterable[Mapping], columns: Mapping[str, str], folder: str | Path, name: str, title: str, notes: Sequence[str] = ()) -> tuple[Path, Path]:
+    """A report's table (a row a baseline) as CSV, headed by column names, and as Markdown, headed by their titles, with notes below."""
+    rows, folder = list(rows), Path(folder)
+    folder.mkdir(parents=True, exist_ok=True)
+    known = list(dims.BASELINES)
+    rows.sort(key=lambda r: known.index(r["baseline"]) if r["baseline"] in known else len(known))
+    with (folder / f"{name}.csv").open("w", newline="") as out:
+        writer = csv.DictWriter(out, list(columns), extrasaction="ignore")
+        writer.writeheader()
+        writer.writerows(rows)
+    table = markdown_table([{columns[c]: row.get(c) for c in columns} for row in rows], list(columns.values()))
+    parts = [f"# {title}", table, *(["\n".join(f"- {n}" for n in notes)] if notes else [])]
+    (folder / f"{name}.md").write_text("\n\n".join(parts) + "\n")
+    return folder / f"{name}.csv", folder / f"{name}.md"
+
+
 def markdown_snapshot(state: Mapping, overall: Sequence[Mapping], by_category: Sequence[Mapping]) -> str:
     """A snapshot of a run: its state, a table of baselines and one a baseline by category."""
     parts = ["# Run snapshot", "\n".join(f"- {name}: `{state.get(name)}`" for name in ("run_id", "status", "stage", "current_baseline", "sample_count", "updated_at"))]

@@ -106,3 +106,32 @@ def test_answers_and_provenance(spark, data):
     assert (found["lost"].answer, found["lost"].confidence) == (NO_EVIDENCE, 0.05)
     best = {r.edge_id: r.sentence for r in sample.provenance(state, data["questions"], data["documents"]).collect()}
     assert best["governance:log1:2:ivo_brandt:serves_on_committee:safety_committee"] == "Ivo Brandt joined the safety committee in spring."
+
+
+def test_rules_are_data(spark, data, tmp_path):
+    """Written as JSON rows and read back, the rules give the same extraction and the same scores."""
+
+    def plain(rules):
+        rows = [{"profile": p, "phrase": r[0], "kind": r[1], "values": r[2]} for p, some in rules.rules.items() for r in some]
+        more = {"entity_confidence": rules.entity_confidence, "relation_confidence": rules.relation_confidence, "dedupe": rules.dedupe}
+        return {"rules": rows, **more, "templates": {n: {"pattern": t.pattern, "confidence": t.confidence} for n, t in rules.templates.items()}}
+
+    read = []
+    for name, rules in (("strict", STRICT), ("loose", LOOSE)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(plain(rules)))
+        read.append(sample.read_rules(str(tmp_path / f"{name}.json")))
+    made = lambda rules: sorted(map(str, sample.extracted(data["documents"].withColumn("p", sample.F.lit("governance")), rules, sample.F.col("p")).select("doc_id", "entities", "relations").collect()))
+    assert made(read[0]) == made(STRICT) and made(read[1]) == made(LOOSE)
+    assert (read[1].dedupe, read[1].entity_confidence, read[0].templates) == (True, 0.6, STRICT.templates)
+
+
+def test_a_cased_rule_and_rules_that_cannot_be_right(spark):
+    row = {"kind": "entity", "values": ["Chair", "OfficerRole"], "phrase": "Chair"}
+    docs = spark.createDataFrame([("a", "the chair"), ("b", "The Chair")], "doc_id string, text string")
+    count = lambda **more: {r.doc_id: len(r.entities) for r in sample.extracted(docs, sample.rules_of({"rules": [row | more]}), sample.F.lit("governance")).collect()}
+    assert count() == {"a": 1, "b": 1} and count(cased=True) == {"a": 0, "b": 1}
+    for wrong in ({"kind": "edge"}, {"values": ["x"]}, {"profile": "odd"}, {"kind": "pattern", "values": ["none", "T"]}, {"values": ["", "T"]}):
+        with pytest.raises(ValueError, match="rule 0"):
+            sample.rules_of({"rules": [row | wrong]})
+    with pytest.raises(FileNotFoundError):
+        sample.read_rules("/nowhere/rules.json")
