@@ -358,7 +358,7 @@ def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reports.metric_summary(rows, _SUMMARIZED)
     long = rows.unpivot(["baseline", "category"], _SUMMARIZED, "metric", "v").where("v IS NOT NULL").withColumn("scope", F.explode(F.array(F.lit("overall"), "category")))
     spread = long.groupBy("scope", "baseline", "metric").agg((2 * 1.96 * F.stddev_pop("v") / F.sqrt(F.count("v"))).alias("normal"))
-    wide = (F.col("n") < 100) | F.col("high").eqNullSafe(F.col("low")) | ((F.col("high") - F.col("low")) / F.col("normal")).between(0.75, 1.25)
+    wide = (F.col("n") < 100) | F.col("high").eqNullSafe(F.col("low")) | F.coalesce(F.try_divide(F.col("high") - F.col("low"), F.col("normal")).between(0.75, 1.25), F.lit(False))
     fits = F.col("mean").between(F.col("low"), F.col("high")) & wide
     return found.join(spread, ["scope", "baseline", "metric"]).select("scope", "baseline", "metric", "mean", "n", fits.alias("interval_fits"))
 
