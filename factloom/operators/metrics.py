@@ -74,12 +74,19 @@ def item(*fields: Column) -> Column:
     return F.concat_ws("\x00", *(F.coalesce(F.concat(F.lit("="), f), F.lit("")) for f in fields))
 
 
-def array_scores(predicted: Column, gold: Column) -> dict[str, Column]:
-    """precision, recall and f1 of the distinct elements of two arrays that stand on one row."""
+def with_array_scores(df: DataFrame, sides: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """``df`` with name_precision, name_recall and name_f1 of the distinct elements of two arrays (predicted, gold) that stand on one row.
+
+    Arrays and counts are columns of their own, so each is worked out once a row.
+    """
     none = F.array().cast("array<string>")
-    p, g = F.array_distinct(F.coalesce(predicted, none)), F.array_distinct(F.coalesce(gold, none))
-    tp, n_p, n_g = F.size(F.array_intersect(p, g)), F.size(p), F.size(g)
-    return {"precision": precision(tp, n_p, n_g), "recall": recall(tp, n_p, n_g), "f1": f1(tp, n_p, n_g)}
+    columns = df.columns
+    df = df.withColumns({f"_{name}_{c}": F.array_distinct(F.coalesce(x, none)) for name, pair in sides.items() for c, x in zip("pg", pair, strict=True)})
+    both = lambda name: F.array_intersect(f"_{name}_p", f"_{name}_g")
+    df = df.withColumns({f"_{name}_{c}": x for name in sides for c, x in (("tp", F.size(both(name))), ("np", F.size(f"_{name}_p")), ("ng", F.size(f"_{name}_g")))})
+    counts = lambda name: [F.col(f"_{name}_{c}") for c in ("tp", "np", "ng")]
+    scores = {"precision": precision, "recall": recall, "f1": f1}
+    return df.select(*columns, *(score(*counts(name)).alias(f"{name}_{c}") for name in sides for c, score in scores.items()))
 
 
 def delta_matrix(scores: DataFrame, name: str = "baseline", value: str = "score") -> DataFrame:

@@ -17,7 +17,7 @@ from factloom.functions.numbers import rounded
 from factloom.operators import answers, evidence, extract, graph, metrics, profiles, quality, support, tables
 from factloom.operators.backend import Backend, ask, choose_extraction, choose_profile, failure, requests
 from factloom.plans import dims
-from factloom.plans.reports import mention_scores
+from factloom.plans.reports import with_mention_scores
 from factloom.plans.sample import allowed_relations
 from factloom.sources.staging import staged
 
@@ -118,8 +118,8 @@ def extraction_scores(df: DataFrame, manual: DataFrame | None = None) -> DataFra
     examples = df.select("example_id", "question_text", "answer_text", "target_profile").dropDuplicates(["example_id"])
     gold = staged(resolved_gold(examples, manual).select("example_id", "gold_entities", "gold_relations", "evaluation_gold_source"), "gold")
     df = df.select("graph_id", "example_id", "entities", "relations").join(gold, "example_id")
-    scores = mention_scores(F.col("entities"), F.col("relations"), F.col("gold_entities"), F.col("gold_relations"))
-    return df.select("graph_id", rounded((rounded(scores["entity_f1"]) + rounded(scores["relation_f1"])) / 2).alias("extraction_f1"), "evaluation_gold_source")
+    df = with_mention_scores(df, F.col("entities"), F.col("relations"), F.col("gold_entities"), F.col("gold_relations"))
+    return df.select("graph_id", rounded((rounded(F.col("entity_f1")) + rounded(F.col("relation_f1"))) / 2).alias("extraction_f1"), "evaluation_gold_source")
 
 
 def run(examples: DataFrame, config: Config | None = None, manual: DataFrame | None = None, backend: Backend | None = None, tasks: Sequence[str] = TASKS) -> DataFrame:
