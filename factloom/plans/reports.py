@@ -169,19 +169,17 @@ def metric_rows(answers: DataFrame, artifacts: DataFrame) -> DataFrame:
     built = [n for n, f in dims.BASELINES.items() if f[0] is not None]
     # Nested rows are read once for all that is taken from them.
     artifacts = staged(artifacts.select("baseline", "example_id", "error", "profile_decision", "extraction", "query_support", "answer"), "artifacts")
-    art = artifacts.select(
-        "baseline",
-        F.col("example_id").alias("doc_id"),
+    kept = [
         F.col("answer.category").alias("_category"),
         F.col("query_support.support_score").alias("query_support_path_coverage"),
         conformance(F.col("profile_decision.selected_profile"), F.col("extraction.relations")).alias("relation_schema_conformance_rate"),
         fallback_or_error().alias("fallback_error_rate"),
         F.col("profile_decision.selected_profile").alias("_profile"),
-    )
-    extraction = artifact_extraction_f1(artifacts).withColumnRenamed("example_id", "doc_id")
-    art = art.join(extraction, ["baseline", "doc_id"], "left")
+    ]
+    art = artifact_extraction_f1(artifacts, kept).withColumnRenamed("example_id", "doc_id")
     reference = answers.where("baseline = 'reference_only_baseline'").select("doc_id", F.col("token_f1").alias("_reference"))
-    df = answers.join(art, ["baseline", "doc_id"], "full_outer").join(reference, "doc_id", "left")
+    # All of these grow with the run: a small file may hold very many rows, so none is broadcast by its size.
+    df = answers.join(art.hint("merge"), ["baseline", "doc_id"], "full_outer").join(reference.hint("merge"), "doc_id", "left")
     df = df.withColumn("category", F.coalesce("category", "_category")).where("category IS NOT NULL")
     graph, chosen = F.col("baseline").isin(built), F.col("baseline").isin(built[1:])
     of_category = _canonical(F.col("category"))

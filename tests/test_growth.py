@@ -31,3 +31,12 @@ def test_amounts_of_no_supplier_read_as_years(spark, tmp_path):
     spark.range(1980, 2100).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
     got = {int(r.example_id): r.n_entities for r in catalog_runs.gold_resolution(spark, str(tmp_path)).collect()}
     assert got == {k: 2 if k % 5 == 0 else (2, 5, 1)[k % 3] for k in range(1980, 2100)}
+
+
+def test_metric_rows_broadcast_nothing_and_read_artifacts_once(spark):
+    answers = spark.createDataFrame([(GRAPH, "2", "Financials", 0.5), ("reference_only_baseline", "2", "Financials", 0.25)], "baseline string, doc_id string, category string, token_f1 double")
+    found = reports.metric_rows(answers, _artifacts(spark))
+    plan = _plan(found)
+    assert "BroadcastHashJoin" not in plan and plan.split("== Initial Plan ==")[-1].count("FileScan parquet") == 1
+    got = {(r.baseline, r.doc_id): (r.answer_quality_delta, r.ontology_constrained_extraction_f1) for r in found.collect()}
+    assert got == {(GRAPH, "1"): (None, 0.5), (GRAPH, "2"): (0.25, 1.0), ("reference_only_baseline", "2"): (0.0, None)}
