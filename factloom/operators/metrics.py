@@ -149,6 +149,10 @@ def prefixes(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappi
 PART_ROWS = 4_096
 #: Draws that a task makes at once.
 _DRAWS = 1 << 21
+#: From so many rows a value on, a part counts draws by value.
+_REPEATED = 8
+#: By how many times a part may be larger where values repeat.
+_WIDEST = 64
 
 
 def drawn_from(part: int, n: int, resamples: int, seed: Sequence[int], part_rows: int = PART_ROWS) -> np.ndarray:
@@ -170,12 +174,18 @@ def drawn_from(part: int, n: int, resamples: int, seed: Sequence[int], part_rows
     return counts
 
 
-def _sums(values: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The sum of ``counts[b]`` draws of ``values`` for each resample b."""
-    out, step = np.zeros(len(counts)), max(1, _DRAWS // max(1, int(counts.max())))
+def _sums(values: np.ndarray, weights: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The sum of ``counts[b]`` draws for each resample b, from distinct ``values`` that stand for ``weights`` rows each."""
+    rows, out = int(weights.sum()), np.zeros(len(counts))
+    if len(values) * _REPEATED <= rows:  # how often each value is drawn, not one draw after the other
+        step = max(1, _DRAWS // len(values))
+        for at in range(0, len(counts), step):
+            out[at : at + step] = rng.multinomial(counts[at : at + step], weights / rows) @ values
+        return out
+    every, step = np.repeat(values, weights), max(1, _DRAWS // max(1, int(counts.max())))
     for at in range(0, len(counts), step):
         some = counts[at : at + step]
-        drawn = values[rng.integers(0, len(values), int(some.sum()))]
+        drawn = every[rng.integers(0, rows, int(some.sum()))]
         ends = np.concatenate([[0.0], np.cumsum(drawn)])
         upto = np.cumsum(some)
         out[at : at + step] = ends[upto] - ends[upto - some]
@@ -185,28 +195,40 @@ def _sums(values: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> n
 def bootstrap(df: DataFrame, value: str, id_col: str, keys: Sequence[str], resamples: int = 2000, seed: int = 7, part_rows: int = PART_ROWS) -> DataFrame:
     """(keys, mean, low, high, n): percentile interval of the mean, from ``resamples`` draws with replacement.
 
-    Rows are numbered by ``id_col`` and cut into parts of ``part_rows``.  Each part works out how many
+    Equal values of a group are counted first; rows are numbered in order of value and cut into parts of
+    ``part_rows``, or of so many times that as values repeat (``_WIDEST`` times at most).  Each part works out how many
     draws of every resample fall to it and draws them from its own rows; only sums, one a part and
     resample, are shuffled, and the result does not depend on partitions.  Rows with null values are
-    left out; one row is its own interval.
+    left out; one row is its own interval.  Rows need no ids: those of equal value are alike (``id_col`` is not read).
     """
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(id_col).alias("_id"), F.col(value).cast("double").alias("_v"))
-    rows = staged(prefixes(known, keys, ["_id"], {"_at": F.lit(1).cast("long")}).select(*keys, "_v", (F.col("_at") - 1).alias("_at")), "numbered")
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    counted = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    rows = staged(prefixes(counted, keys, ["_v"], {"_end": F.col("_c")}).select(*keys, "_v", "_c", (F.col("_end") - F.col("_c")).alias("_at")), "numbered")
+    totals = rows.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.count(F.lit(1)).alias("_values"))
     by = {f"_key{i}": F.col(k) for i, k in enumerate(keys)}
-    counted = totals.select(*(c.alias(name) for name, c in by.items()), F.col("n").alias("_n"))
+    size = part_rows * F.least(F.lit(_WIDEST), F.ceil(F.col("n") / F.col("_values")))
+    sizes = totals.select(*(c.alias(name) for name, c in by.items()), F.col("n").alias("_n"), size.cast("long").alias("_size"))
+    totals = totals.drop("_values")
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(name)) for name, k in zip(by, keys, strict=True)), F.lit(True))
-    dealt = rows.join(counted, same).select(*keys, "_at", "_v", "_n", F.xxhash64(F.lit(seed), *keys).alias("_group"), F.floor(F.col("_at") / part_rows).alias("_part"))
+    # A value that fills several parts gives each its share.
+    first, last = F.floor(F.col("_at") / F.col("_size")), F.floor((F.col("_at") + F.col("_c") - 1) / F.col("_size"))
+    dealt = rows.join(sizes, same).withColumn("_part", F.explode(F.sequence(first, last)))
+    held = F.least(F.col("_at") + F.col("_c"), (F.col("_part") + 1) * F.col("_size")) - F.greatest(F.col("_at"), F.col("_part") * F.col("_size"))
+    dealt = dealt.select(*keys, "_v", held.alias("_c"), "_n", "_size", F.xxhash64(F.lit(seed), *keys).alias("_group"), "_part")
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_at")
-        group, part = int(rows["_group"].iloc[0]) & (2**63 - 1), int(rows["_part"].iloc[0])
-        counts = drawn_from(part, int(rows["_n"].iloc[0]), resamples, (seed, group), part_rows)
-        out = pd.DataFrame({"_b": np.arange(resamples), "_sum": _sums(rows["_v"].to_numpy(), counts, np.random.default_rng((seed, group, part)))})
-        return out.assign(**{k: rows[k].iloc[0] for k in keys})[[*keys, "_b", "_sum"]]
+        rows = rows.sort_values("_v")
+        of = rows.iloc[0]
+        group, part, n, size = (int(of[c]) for c in ("_group", "_part", "_n", "_size"))
+        group &= 2**63 - 1
+        counts = drawn_from(part, n, resamples, (seed, group), size)
+        sums = _sums(rows["_v"].to_numpy(), rows["_c"].to_numpy(), counts, np.random.default_rng((seed, group, part)))
+        return pd.DataFrame({"_b": np.arange(resamples), "_sum": sums}).assign(**{k: of[k] for k in keys})[[*keys, "_b", "_sum"]]
 
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("_b", T.LongType()), T.StructField("_sum", T.DoubleType())])
-    sums = dealt.groupBy(*keys, "_part").applyInPandas(draw, schema)
+    # A part is few bytes and much work: with a number given, parts are not put together into one task by their size.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = dealt.repartition(tasks, *keys, "_part").groupBy(*keys, "_part").applyInPandas(draw, schema)
     means = sums.groupBy(*keys, "_b").agg(F.sum("_sum").alias("_m"))
     ranked = means.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_m", "_b")) - 1)  # ``resamples`` rows a group
     low, high = int(0.025 * resamples), min(resamples - 1, int(0.975 * resamples))

@@ -1,8 +1,10 @@
 """What fails only on larger tables: joins that broadcast what grows, keys that read as something else."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from factloom import catalog_runs
+from factloom.operators import metrics
 from factloom.plans import reports
 
 GRAPH = "graph_with_profile_selection_only"
@@ -40,3 +42,21 @@ def test_metric_rows_broadcast_nothing_and_read_artifacts_once(spark):
     assert "BroadcastHashJoin" not in plan and plan.split("== Initial Plan ==")[-1].count("FileScan parquet") == 1
     got = {(r.baseline, r.doc_id): (r.answer_quality_delta, r.ontology_constrained_extraction_f1) for r in found.collect()}
     assert got == {(GRAPH, "1"): (None, 0.5), (GRAPH, "2"): (0.25, 1.0), ("reference_only_baseline", "2"): (0.0, None)}
+
+
+def test_draws_by_value_are_those_by_row():
+    rng = np.random.default_rng(3)
+    values, weights, counts = np.array([0.0, 0.25, 2.0]), np.array([900, 300, 100]), np.full(20_000, 1_300)
+    by_value = metrics._sums(values, weights, counts, rng)
+    by_row = rng.choice(np.repeat(values, weights), (4_000, 1_300)).sum(axis=1)
+    assert abs(by_value.mean() - by_row.mean()) < 0.1 * by_row.std() and abs(by_value.std() / by_row.std() - 1) < 0.05
+
+
+def test_bootstrap_draws_from_values_not_from_rows(spark):
+    """Its parts are as many as values fill, however often these repeat; the interval is the normal one."""
+    df = spark.range(200_000).select("id", F.when(F.col("id") < 1_000, F.col("id") / 512).otherwise(F.col("id") % 5 / 4).alias("v"), F.lit("a").alias("k"))
+    mean, deviation = df.agg(F.avg("v"), F.stddev_pop("v")).first()
+    got = metrics.bootstrap(df, "v", "id", ["k"]).first()
+    half = 1.96 * deviation / 200_000**0.5
+    assert (got.n, round(got["mean"], 9)) == (200_000, round(mean, 9))
+    assert abs(got.low - (mean - half)) < 0.15 * half and abs(got.high - (mean + half)) < 0.15 * half
