@@ -7,22 +7,24 @@ Gradient-boosted trees score each proposal by its format and by the words around
 reaches its kind's threshold and touches no fixed span is added.  Proposals of different kinds may
 overlap, as fixed spans may.
 
-The trees are fitted on a bounded sample of documents (``FIT_DOCS``, those of the least hashes that hold a
-digit or an at sign), without labels by hand: the fixed spans there are respelt in the disguises above
-and stand, in their own contexts, for personal data; proposals that touch no fixed span, and respelt
-spans made invalid, stand for the rest.  A third of these rows is kept back, and each kind's threshold
-lets at most ``FALSE_RATE`` of those among them pass that are no personal data.
+The trees are fitted on all documents, without labels by hand: the fixed spans are respelt in the disguises
+above and stand, in their own contexts, for personal data; proposals that touch no fixed span, and respelt
+spans made invalid, stand for the rest.  Examples that the trees see alike are one row with their number as
+weight, so the fit's rows are as many as there are different sights and not as many as spans; no example is
+left out.  A third of the examples is kept back, and each kind's threshold lets at most ``FALSE_RATE`` of
+those among them pass that are no personal data.
 
 Scoring is one pass over the texts without a shuffle.  Places come from the lengths between matches,
 summed in blocks of ``BLOCK`` matches.  The trees become a column expression.
 
 Cases: null texts are empty; texts of any length are taken whole; repeated rows stay rows of their own;
-without fixed spans in the sample nothing is added; an empty table gives no rows; extra columns stay in
+without fixed spans nothing is added; an empty table gives no rows; extra columns stay in
 ``with_spans`` and are ignored elsewhere.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 from factloom.llm.shared import saved
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_DOCS, FIT_SPANS = 4_000, 20_000
 #: Share of the kept-back rows that are no personal data which may pass a threshold.
 FALSE_RATE = 0.002
 BLOCK = 256
@@ -255,35 +256,35 @@ def _tree(node) -> object:
     return (split.featureIndex(), split.threshold(), _tree(node.leftChild()), _tree(node.rightChild()))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_DOCS, spans: int = FIT_SPANS) -> Trees:
-    """Trees and thresholds from at most ``rows`` documents and ``spans`` examples of a sort."""
+def fit(docs: DataFrame, text_col: str = "text") -> Trees:
+    """Trees and thresholds from all of ``docs``."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    some = docs.where(F.col(text_col).rlike("[0-9]{2}|@")).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    some = some.orderBy(F.xxhash64("id", "text"), "id").limit(rows)
-    found = saved(_spans(saved(some, "fit-docs"), "text", proposals=True).select("_base", "_proposed"), "fit-spans")
+    found = saved(_spans(docs.select(F.col(text_col).alias("text")), "text", proposals=True).select("_base", "_proposed"), "fit-spans")
     base = found.select(F.explode("_base").alias("s")).select("s.*").drop("begin", "end").distinct()
     # What passes the card's check as it stands may be a card: it is no counter-example.
     plain = found.select(F.explode("_proposed").alias("s")).select("s.*").drop("begin", "end").distinct()
     plain = plain.where((F.col("kind") != KINDS.index("card")) | ~_luhn(_digits(F.col("value"))))
-    by_hash = lambda df: df.orderBy(F.xxhash64(*df.columns)).limit(spans)
     sorts = [(1.0, _respelt(base, DISGUISES, "disguised")), (0.0, _respelt(base, SPOILT, "spoilt")), (0.0, plain)]
-    examples = reduce(DataFrame.unionByName, [by_hash(df.select("kind", "value", "before", "after")).withColumn("label", F.lit(label)) for label, df in sorts])
+    examples = reduce(DataFrame.unionByName, [df.select("kind", "value", "before", "after").withColumn("label", F.lit(label)) for label, df in sorts])
     span = F.struct("kind", "value", "before", "after")
-    examples = examples.select("label", (F.xxhash64("kind", "value") % 3 == 0).alias("kept_back"), _seen(span).alias("f"))
-    examples = saved(examples.select("label", "kept_back", "f.*"), "fit-examples")
+    examples = examples.select("label", (F.xxhash64("kind", "value") % 3 == 0).alias("kept_back"), _seen(span).alias("f")).select("label", "kept_back", "f.*")
     names = examples.columns[2:]
-    counts = {r.label: r.n for r in examples.where("NOT kept_back").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    examples = saved(examples.groupBy("label", "kept_back", *names).agg(F.count("*").cast("double").alias("n")), "fit-examples")
+    tallied = examples.where("NOT kept_back").groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("sights")).collect()
+    counts = {r.label: r.n for r in tallied}
     if not counts.get(1.0) or not counts.get(0.0):
         return Trees([], [2.0] * len(KINDS))
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(examples)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False).fit(vectors.where("NOT kept_back").select("label", "features"))
+    # From so many bins on, MLlib looks for splits in all rows and not in some of them.
+    bins = max(32, math.isqrt(sum(r.sights for r in tallied)) + 1)
+    model = GBTClassifier(maxBins=bins, maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False, weightCol="n").fit(vectors.where("NOT kept_back").select("label", "features", "n"))
     trees = Trees([(float(w), _tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees, strict=True)], [])
     seen = F.struct(*names)
-    # Rows at or above each score, by kind: precision there decides; at most a third of the examples.
-    scored = examples.where("kept_back").select(F.col("kind").cast("int").alias("kind"), "label", trees.margin(seen, names).alias("m"))
-    tally = scored.groupBy("kind", "m").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy("kind", F.desc("m")).collect()
+    # Rows at or above each score, by kind: precision there decides; a row a kind and sum of leaves.
+    scored = examples.where("kept_back").select(F.col("kind").cast("int").alias("kind"), "label", "n", trees.margin(seen, names).alias("m"))
+    tally = scored.groupBy("kind", "m").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).orderBy("kind", F.desc("m")).collect()
     for k in range(len(KINDS)):
         rows = [r for r in tally if r.kind == k]
         rest = sum(r.n - r.good for r in rows)
