@@ -126,13 +126,16 @@ def shareholder_return() -> tuple[Column, Column]:
 EXTRACTORS = {"governance": governance, "financials": financials, "shareholder_return": shareholder_return}
 
 
-def extract(df: DataFrame, text: str = "source_text", profile: str = "selected_profile") -> DataFrame:
-    """Adds entities and relations by each row's profile; unknown profiles go to financials.  What ``prepared`` adds may be there already."""
+def extract(df: DataFrame, text: str = "source_text", profile: str = "selected_profile", names: tuple[str, str] = ("entities", "relations"), keep: bool = False) -> DataFrame:
+    """Adds entities and relations (``names``) by each row's profile; unknown profiles go to financials.
+
+    What ``prepared`` adds may be there already, and stays if it is to ``keep``.
+    """
     df = df if set(SHARED) <= set(df.columns) else prepared(df, text)
     made = {name: f() for name, f in EXTRACTORS.items()}
     pick = lambda i: F.when(F.col(profile) == "governance", made["governance"][i]).when(F.col(profile) == "shareholder_return", made["shareholder_return"][i]).otherwise(made["financials"][i])
-    df = df.withColumns({"entities": pick(0), "relations": pick(1)}).drop(*SHARED)
-    return df.withColumns({"entities": distinct_entities(F.col("entities")), "relations": distinct_relations(F.col("relations"))})
+    df = df.withColumns({name: pick(i) for i, name in enumerate(names)}).drop(*(() if keep else SHARED))
+    return df.withColumns({name: once(F.col(name)) for name, once in zip(names, (distinct_entities, distinct_relations), strict=True)})
 
 
 def degraded(df: DataFrame) -> DataFrame:

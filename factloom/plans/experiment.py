@@ -54,10 +54,12 @@ def with_intents(examples: DataFrame) -> DataFrame:
 
 
 TASKS = ("profile", "extraction", "answer")
+#: Columns of examples that no graph needs.
+TEXTS = ("question_text", "answer_text", "references", "source_text")
 
 
 def extractions(examples: DataFrame, backend: Backend | None = None, tasks: Sequence[str] = TASKS, calls: Mapping | None = None) -> DataFrame:
-    """(example, baseline, selected_profile, entities, relations, error) of the graph baselines.
+    """(example without ``TEXTS``, baseline, selected_profile, entities, relations, error) of the graph baselines.
 
     A ``backend`` chooses profiles and extracts where ``tasks`` say so; where it fails, the heuristics
     stay, and where it gives a request up for good, ``error`` says why.  ``calls`` are settings of ``ask``.
@@ -72,20 +74,22 @@ def extractions(examples: DataFrame, backend: Backend | None = None, tasks: Sequ
         chosen = choose_profile(asked, "response").withColumn("error", failure("response")).drop(*request[1:], "response", "response_error")
     else:
         chosen = chosen.withColumn("error", F.lit(None).cast("string"))
-    chosen = chosen.withColumn("by_keywords", F.col("selected_profile"))
-    # The text is searched once an example, not once a baseline.
-    chosen = staged(extract.prepared(chosen, "source_text"), "prepared")
-    df = chosen.withColumn("_b", F.explode(flags)).select("*", "_b.*").drop("_b")
-    df = df.withColumn("selected_profile", F.when(F.col("selects"), F.col("by_keywords")).otherwise(F.col("target_profile")))
-    df = extract.extract(df)
+    chosen = extract.prepared(chosen.withColumn("by_keywords", F.col("selected_profile")), "source_text")
+    # The text is searched once an example, and what is found by either profile is exploded: no text is written, and none copied to the baselines.
+    kinds = ("entities", "relations")
+    for profile in ("target_profile", "by_keywords"):
+        chosen = extract.extract(chosen, profile=profile, names=tuple(f"{profile}_{c}" for c in kinds), keep=True)
+    df = chosen.drop(*extract.SHARED, *(c for c in TEXTS if c != "source_text")).withColumn("_b", F.explode(flags)).select("*", "_b.*").drop("_b")
+    taken = lambda c: F.when(F.col("selects"), F.col(f"by_keywords{c}")).otherwise(F.col(f"target_profile{c}"))
+    df = df.withColumns({"selected_profile": taken("")} | {c: taken(f"_{c}") for c in kinds}).drop(*(f"{p}_{c}" for p in ("target_profile", "by_keywords") for c in kinds))
     if backend is not None and "extraction" in tasks:
-        asked = ask(requests(df, "extraction", F.col("selected_profile")), backend, request, **(calls or {}))
+        asked = ask(requests(df, "extraction", F.col("selected_profile")).drop("source_text"), backend, request, **(calls or {}))
         df = choose_extraction(asked, "response").withColumn("error", F.coalesce("error", failure("response"))).drop(*request[1:], "response", "response_error")
-    worn = {c: F.col(f"_{c}") for c in ("entities", "relations")}
+    worn = {c: F.col(f"_{c}") for c in kinds}
     both = extract.degraded(df.withColumns({f"_{c}": F.col(c) for c in worn}))
     # ``_entities`` and ``_relations`` are as extracted, the plain names degraded.
     both = both.withColumns({c: F.when(F.col("constrained"), kept).otherwise(F.col(c)) for c, kept in worn.items()})
-    return both.drop("_entities", "_relations").withColumn("graph_id", F.concat_ws(":", "baseline", "example_id"))
+    return both.drop("_entities", "_relations", "source_text").withColumn("graph_id", F.concat_ws(":", "baseline", "example_id"))
 
 
 def _mentions(df: DataFrame, column: str) -> DataFrame:
@@ -97,7 +101,11 @@ def resolved_gold(df: DataFrame, manual: DataFrame | None = None) -> DataFrame:
 
     ``manual`` has (example_id, gold_entities, gold_relations); all names come in normal form.
     """
-    df = extract.induced_gold(df, "question_text", "answer_text", "target_profile")
+    return with_manual_gold(extract.induced_gold(df, "question_text", "answer_text", "target_profile"), manual)
+
+
+def with_manual_gold(df: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """``df`` with manual gold in place of its own where there is any, and evaluation_gold_source."""
     if manual is None:
         return df.withColumn("evaluation_gold_source", F.lit("induced_proxy"))
     n = X.normalize
@@ -114,12 +122,11 @@ def resolved_gold(df: DataFrame, manual: DataFrame | None = None) -> DataFrame:
 
 
 def extraction_scores(df: DataFrame, manual: DataFrame | None = None) -> DataFrame:
-    """(graph_id, extraction_f1, evaluation_gold_source) against resolved gold; F1s are rounded before their mean."""
-    examples = df.select("example_id", "question_text", "answer_text", "target_profile").dropDuplicates(["example_id"])
-    gold = staged(resolved_gold(examples, manual).select("example_id", "gold_entities", "gold_relations", "evaluation_gold_source"), "gold")
-    df = df.select("graph_id", "example_id", "entities", "relations").join(gold, "example_id")
+    """``df`` with extraction_f1 and evaluation_gold_source in place of its gold; F1s are rounded before their mean."""
+    df = with_manual_gold(df, manual)
+    columns = [c for c in df.columns if c not in ("gold_entities", "gold_relations")]
     df = with_mention_scores(df, F.col("entities"), F.col("relations"), F.col("gold_entities"), F.col("gold_relations"))
-    return df.select("graph_id", rounded((rounded(F.col("entity_f1")) + rounded(F.col("relation_f1"))) / 2).alias("extraction_f1"), "evaluation_gold_source")
+    return df.select(*columns, rounded((rounded(F.col("entity_f1")) + rounded(F.col("relation_f1"))) / 2).alias("extraction_f1"))
 
 
 def run(examples: DataFrame, config: Config | None = None, manual: DataFrame | None = None, backend: Backend | None = None, tasks: Sequence[str] = TASKS) -> DataFrame:
@@ -129,35 +136,42 @@ def run(examples: DataFrame, config: Config | None = None, manual: DataFrame | N
     ``tasks`` named: it chooses profiles, extracts, and answers every baseline from its context by the
     same prompt; where it fails, what the heuristics say stays.  A row whose request it gives up for good
     has an ``error``, and counts as ``failed`` says.
+
+    Texts stay with the examples and are written nowhere: what the graphs say is gathered by example, and
+    the examples are joined to it once, for snippets and answers.  Rows are worked out when they are read;
+    who reads them more than once may stage them.
     """
     config = config or Config()
     spark = examples.sparkSession
     examples = with_intents(examples)
     # Mentions and graph feed every later table.
-    made = staged(extractions(examples, backend, tasks, config.calls()), "extractions")
+    known = extract.induced_gold(examples, "question_text", "answer_text", "target_profile")
+    made = staged(extraction_scores(extractions(known, backend, tasks, config.calls()), manual), "extractions")
     entities, relations = _mentions(made, "entities"), _mentions(made, "relations")
     nodes, edges = (staged(table, "graph") for table in graph.build(entities, relations, sets=False))
     issues = staged(quality.analyze(nodes, edges, allowed_relations(spark), graph.node_sets(entities, relations)[0]), "issues")
     questions = made.select("graph_id", F.col("example_id").alias("question_id"), "target_profile", "intent_id", "required_relations", "required_entity_types", "focus_slots")
-    found = staged(support.analyze(questions, edges, nodes, dims.SLOT_HINTS), "support")
+    found = support.analyze(questions, edges, nodes, dims.SLOT_HINTS)
 
     ends = nodes.select("graph_id", "node_id", "name", "entity_type")
     side = lambda s: ends.withColumnsRenamed({"node_id": f"{s}_node_id", "name": f"{s}_name", "entity_type": f"{s}_type"})
     aware = made.where("aware").select("graph_id")
     kept = quality.without_issues(edges, issues.join(aware, "graph_id", "left_semi"))
     used = support.supporting_edges(questions, kept).join(side("source"), ["graph_id", "source_node_id"], "left").join(side("target"), ["graph_id", "target_node_id"], "left")
-    lines = evidence.sentence_rows(examples.select("example_id", "references"), ["example_id"])
-    used = staged(used, "used")
-    about = used.select("graph_id", F.col("question_id").alias("example_id"), "edge_id", "source_name", "relation_type", "target_name")
-    snippets = evidence.snippets(about, lines, "example_id", config.snippet_limit, ["graph_id"])
-    bundles = staged(evidence.bundle(used, snippets, ["graph_id"]), "bundles")
+    bundles = evidence.bundle(used, None, ["graph_id"])
     n_issues = issues.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_issues"))
     n_nodes = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes"))
 
-    df = made.select("error", "graph_id", "baseline", "example_id", "category", "question_text", "answer_text", "target_profile", "by_keywords", "selected_profile", "intent_id", F.size("entities").alias("n_entities"), F.size("relations").alias("n_relations"), "references", "focus_slots", "required_relations", "required_entity_types")
-    for other in (found.drop("question_id", "target_profile", "intent_id"), bundles, n_issues, n_nodes, extraction_scores(made, manual)):
+    df = made.select("error", "graph_id", "baseline", "example_id", "target_profile", "by_keywords", "selected_profile", "intent_id", F.size("entities").alias("n_entities"), F.size("relations").alias("n_relations"), "focus_slots", "required_relations", "required_entity_types", "extraction_f1", "evaluation_gold_source")
+    for other in (found.drop("question_id", "target_profile", "intent_id"), bundles, n_issues, n_nodes):
         df = df.join(other, "graph_id", "left")
     df = df.na.fill(0, ["n_edges", "n_issues", "n_nodes"])
+    held = df.groupBy(F.col("example_id").alias("_example")).agg(F.collect_list(F.struct(*(c for c in df.columns if c != "example_id"))).alias("graphs"))
+    held = staged(held, "graphs")
+    texts = examples.select("example_id", "category", "question_text", "answer_text", "references")
+    # Merged, not broadcast: the file is small for its rows.
+    df = texts.join(held.hint("merge"), F.col("example_id").eqNullSafe(F.col("_example"))).drop("_example")
+    df = evidence.exploded_with_snippets(df, "graphs", limit=config.snippet_limit)
     missing = support.missing_slots(F.col("missing_requirements"))
     df = df.withColumns({"answer": answers.from_bundle(F.col("triples"), missing), "confidence": answers.graph_confidence(F.col("n_edges"), F.col("support_score"))})
 
@@ -175,8 +189,8 @@ def run(examples: DataFrame, config: Config | None = None, manual: DataFrame | N
         rows = ask(requests(rows.withColumn("context_text", context), "answer"), backend, ["example_id", "task", "instructions", "prompt", "temperature"], **config.calls())
         rows = rows.withColumn("error", F.coalesce("error", failure("response")))
     rows = failed(answers.with_agent(rows, "response" if answered else None))
-    rows = staged(rows.drop("context_text", "task", "instructions", "prompt", "temperature", "response", "response_error"), "answers")
-    return rows.join(metrics.token_f1(rows, ["graph_id"], "answer", "answer_text").withColumn("token_f1", rounded(F.col("token_f1"))), "graph_id")
+    rows = rows.drop("context_text", "task", "instructions", "prompt", "temperature", "response", "response_error")
+    return metrics.token_f1(rows, rows.columns, "answer", "answer_text").withColumn("token_f1", rounded(F.col("token_f1")))
 
 
 def failed(rows: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """What fails only on larger tables: joins that broadcast what grows, keys that read as something else."""
 
+import os
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from factloom import catalog_runs
-from factloom.operators import metrics
-from factloom.plans import reports
+from factloom.operators import evidence, metrics
+from factloom.plans import experiment, reports
+from factloom.sources import examples, staging
 
 GRAPH = "graph_with_profile_selection_only"
 
@@ -60,3 +64,31 @@ def test_bootstrap_draws_from_values_not_from_rows(spark):
     half = 1.96 * deviation / 200_000**0.5
     assert (got.n, round(got["mean"], 9)) == (200_000, round(mean, 9))
     assert abs(got.low - (mean - half)) < 0.15 * half and abs(got.high - (mean + half)) < 0.15 * half
+
+
+def test_an_experiment_writes_no_texts_and_moves_them_once(spark):
+    noise = random.Random(1)
+    rows = [(str(i), "What dividend policy?", False, "Shareholder  Return", [f"Acme Inc. declared a dividend. {noise.randbytes(50_000).hex()}"], "The dividend.", "x") for i in range(4)]
+    given = examples.load_examples(spark.createDataFrame(rows, "_id string, text string, reasoning boolean, category string, references array<string>, answer string, type string"), per_category=None)
+    before = len(staging._WRITTEN.get(spark.sparkContext.applicationId, []))
+    found = experiment.run(given)
+    paths = [p.removeprefix("file:") for p in staging._WRITTEN[spark.sparkContext.applicationId][before:]]
+    written = sum(os.path.getsize(os.path.join(at, name)) for path in paths for at, _, names in os.walk(path) for name in names)
+    assert len(paths) > 3 and written < 4 * 50_000  # less than the texts of one copy
+    rows = found.where("baseline LIKE 'full%'").select("answer", "token_f1", F.size("triples").alias("n"))
+    plan = _plan(rows).split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2 and "BroadcastHashJoin" not in plan  # the examples, and what the graphs say of them
+    got = rows.collect()
+    assert len(got) == 4 and all(r.n == 1 and r.answer.startswith("Graph-grounded evidence indicates: Acme Inc. declared dividend tied to Dividend. Supporting reference text: Acme Inc. declared a dividend.") for r in got)
+
+
+def test_snippets_found_in_the_row_are_those_joined(spark):
+    texts = spark.createDataFrame([("1", ["Bo Ray chairs the Board. Nobody else. The board met.", "Ann Lee is Chair of the Board. Bo Ray left."]), ("2", [])], "doc string, references array<string>")
+    rows = [("g1", "1", "a", "Bo Ray", "chairs", "Board"), ("g1", "1", "b", "Ann Lee", "holds_role", "Chair"), ("g2", "1", "a", "Bo Ray", "chairs", "Board"), ("g3", "2", "a", "Bo Ray", "chairs", "Board")]
+    edges = spark.createDataFrame(rows, "graph_id string, doc string, edge_id string, source_name string, relation_type string, target_name string")
+    used = edges.withColumns({"source_type": F.lit("T"), "target_type": F.lit("T"), "confidence": F.lit(0.5), "ord": F.col("edge_id")})
+    joined = evidence.bundle(used, evidence.snippets(edges, evidence.sentence_rows(texts, ["doc"]), "doc", 2, ["graph_id"]), ["graph_id", "doc"])
+    bare = evidence.bundle(used, None, ["graph_id", "doc"]).groupBy("doc").agg(F.collect_list(F.struct("graph_id", "triples")).alias("graphs"))
+    in_row = evidence.exploded_with_snippets(texts.join(bare, "doc"), "graphs", limit=2)
+    listed = lambda df: {(r.graph_id, t.edge_id): t.provenance_snippets for r in df.collect() for t in r.triples}
+    assert listed(in_row) == listed(joined) and listed(in_row)["g1", "b"] == ["Bo Ray chairs the Board.", "Ann Lee is Chair of the Board."] and listed(in_row)["g3", "a"] == []
